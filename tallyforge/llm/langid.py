@@ -193,6 +193,12 @@ def fit(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
     keys = rows.select(F.col(lang_col).alias("l"), h.alias("h"))
+    # a hash threshold by language leaves about four times the sample, so that no task ranks a whole language
+    share = {r["l"]: min(1.0, 4.0 * docs_per_lang / r["count"]) for r in keys.groupBy("l").count().collect()}
+    if not share:
+        return {}
+    shares = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
+    keys = keys.where(F.pmod("h", F.lit(1_000_000_000)) < F.element_at(shares, F.col("l")) * 1_000_000_000)
     chosen = keys.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang)
     wanted = [r["h"] for r in chosen.select("h").distinct().collect()]  # docs_per_lang for each language at most
     if not wanted:
