@@ -67,7 +67,7 @@ def _slots(spark, n_slots: int, sources: DataFrame, block_words: int, segment: i
     have = need.join(owned.groupBy("skey").count(), "skey", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     missing = have.where("count < blocks").withColumn("k", F.explode(F.sequence(F.col("count"), F.col("blocks") - 1)))
     missing = missing.select("skey", "k", (F.lit(n_slots) + (F.col("k") - F.col("count")) * F.col("n_sources") + F.col("rank") - 1).cast("long").alias("slot"))
-    return ranked.unionByName(missing)
+    return materialize(ranked.unionByName(missing), "mix-slots")
 
 
 def _pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, block_words: int, cap: int, seed: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
