@@ -54,19 +54,21 @@ def load_vocabulary(model_file: str = DEFAULT_MODEL) -> dict:
 class Encoder:
     """Words to ids, with a bounded memory of words seen."""
 
-    def __init__(self, vocabulary: dict, keep_words: int = 300_000):
+    def __init__(self, vocabulary: dict, keep_words: int = 600_000):
         self.ids, self.scores, self.by_byte, self.table = (vocabulary[k] for k in ("ids", "scores", "bytes", "table"))
         long = [p for p in self.ids if len(p) > 1]
-        self.longest = max(map(len, self.ids), default=1)
         if any(MARK in p.lstrip(MARK) for p in long):
             raise ValueError("pieces that span words are not supported")
         apart = "\n" if not any("\n" in p for p in long) else ""
         self.words = re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + (f"|{apart}+" if apart else ""))
-        self.ends = {}
-        for p in long:
-            self.ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: sorted(n, reverse=True) for c, n in self.ends.items()}
-        self.fits: dict[tuple[str, str], bool] = {}
+        # pieces spelled backwards, as nested dicts; at a piece's node, under 0, stand the piece and its answers by last token
+        self.back: dict = {}
+        for p in self.ids:
+            node = self.back
+            for ch in reversed(p):
+                node = node.setdefault(ch, {})
+            node[0] = (p, {})
+        self.answers = 0
         self.known: dict[str, tuple[int, ...]] = {}
         self.keep_words = keep_words
 
@@ -84,15 +86,17 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fit(self, prev: str, token: str) -> bool:
-        if len(self.fits) > 2_000_000:
-            self.fits.clear()
-        ok = self.fits[prev, token] = self.merge(prev + token) == ([prev, token] if prev else [token])
+    def _fit(self, prev: str, token: str, answers: dict) -> bool:
+        """Whether ``token`` may follow ``prev``; kept, as long as there are fewer than two million answers."""
+        ok = self.merge(prev + token) == ([prev, token] if prev else [token])
+        if self.answers < 2_000_000:
+            answers[prev] = ok
+            self.answers += 1
         return ok
 
     def learn(self, words) -> None:
         """Encode distinct words depth-first over their trie."""
-        fits, ids, none = self.fits, self.ids, ()
+        ids, root = self.ids, self.back
         last: list[str] = [""]  # last[j]: the last token of the first j characters' encoding
         before = ""
         for word in sorted(words):
@@ -102,18 +106,20 @@ class Encoder:
                 j += 1
             del last[j + 1 :]
             for j in range(j, len(word)):
-                for size in self.ends.get(word[j], none):
-                    if size > j + 1:
-                        continue
-                    token = word[j + 1 - size : j + 1]
-                    if token in ids:
-                        prev = last[j + 1 - size]
-                        ok = fits.get((prev, token))
-                        if self._fit(prev, token) if ok is None else ok:
-                            last.append(token)
+                node, found = root, word[j]
+                for k in range(j, -1, -1):
+                    node = node.get(word[k])
+                    if node is None:
+                        break
+                    piece = node.get(0)
+                    if piece is not None:
+                        token, answers = piece
+                        prev = last[k]
+                        ok = answers.get(prev)
+                        if self._fit(prev, token, answers) if ok is None else ok:
+                            found = token
                             break
-                else:
-                    last.append(word[j])
+                last.append(found)
             before = word
             out, j = [], len(word)
             while j:
@@ -137,10 +143,11 @@ class Encoder:
                 cut.append(None if t is None else self.words.findall(MARK + t.replace(" ", MARK)) if t else [])
                 size += len(t or "")
                 at += 1
-            new = {w for ws in cut if ws for w in ws}.difference(self.known)
+            met = set().union(*filter(None, cut))
+            new = met.difference(self.known)
             if len(new) + len(self.known) > self.keep_words:
                 self.known.clear()
-                new = {w for ws in cut if ws for w in ws}
+                new = met
             self.learn(new)
             get = self.known.__getitem__
             out += [None if ws is None else np.array(list(chain.from_iterable(map(get, ws))), np.int32) for ws in cut]
