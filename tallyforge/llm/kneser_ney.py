@@ -171,5 +171,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="tex
     quant = F.percentile_approx(F.exp("nll"), quantile, 10000) * margin
     overall = base.agg(quant).first()[0]
     limits = base.groupBy("group").agg(quant.alias("limit"))
-    out = scored.join(limits, "group", "left").withColumn("limit", F.coalesce("limit", F.lit(overall))).withColumn("perplexity", F.exp("nll"))
+    # a language may hold most rows: its limit is given to 64 salts, so that its rows do not meet in one task
+    limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    out = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_chars", "nll"), F.lit(64)).cast("int")).join(limits, ["group", "salt"], "left").withColumn("limit", F.coalesce("limit", F.lit(overall))).withColumn("perplexity", F.exp("nll"))
     return out.select("doc_id", "lang", "n_chars", "perplexity", "limit", F.coalesce(F.col("perplexity") <= F.col("limit"), F.col("perplexity").isNotNull() & F.col("limit").isNull()).alias("kept"))
