@@ -24,7 +24,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -159,11 +159,11 @@ class Encoder:
 
 
 def encode(docs: DataFrame, text_col="text", model_file: str = DEFAULT_MODEL, ids_col="piece_ids") -> DataFrame:
-    """``docs`` with ``ids_col`` (array<int>) in place of nothing else; an older column of that name is replaced."""
+    """``docs`` with ``ids_col`` (array<int>); an older column of that name is replaced."""
     vocabulary = load_vocabulary(model_file)
     rest = [c for c in docs.columns if c != ids_col]
     at = rest.index(text_col)
-    schema = docs.select(*rest).schema.add(ids_col, "array<int>")
+    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         encoder = Encoder(vocabulary)
@@ -194,7 +194,7 @@ def decode(encoded: DataFrame, ids_col="piece_ids", model_file: str = DEFAULT_MO
             texts = [None if x is None else encoder.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*rest, out])
 
-    return encoded.select(*rest).mapInArrow(run, encoded.select(*rest).schema.add(out, "string"))
+    return encoded.select(*rest).mapInArrow(run, T.StructType([*encoded.select(*rest).schema.fields, T.StructField(out, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, id_col="doc_id", text_col="text", model_file: str = DEFAULT_MODEL) -> DataFrame:
