@@ -1,4 +1,11 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the core library, each with its SQL over the same tables where SQL can express it."""
+
+from __future__ import annotations
+
+from . import monitor_queries, table_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (text_queries, table_queries, monitor_queries):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
