@@ -70,7 +70,7 @@ def scale_match(value, truth, scales=SCALES, absolute=0.01):
     hits = []
     for _, k in scales:
         hits.append(F.when(F.abs(value * k - truth) <= absolute, F.struct(F.lit(k).alias("factor"), F.lit("pdf_to_xbrl").alias("direction"))))
-        hits.append(F.when(F.abs(value / k - truth) <= absolute, F.struct(F.lit(1 / k).alias("factor"), F.lit("xbrl_to_pdf").alias("direction"))))
+        hits.append(F.when(F.abs(value - truth * k) <= absolute, F.struct(F.lit(1 / k).alias("factor"), F.lit("xbrl_to_pdf").alias("direction"))))
     return F.coalesce(*hits)
 
 

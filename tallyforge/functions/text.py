@@ -170,7 +170,7 @@ def table_file(name):
 def sections(markdown, level: int = 2):
     """Array of (title, content) of the parts under headings of ``level`` marks; what stands before the first has a null title."""
     parts = F.split(F.concat(F.lit("\n"), F.coalesce(markdown, F.lit(""))), rf"\n#{{{level}}} ")
-    return F.filter(
-        F.transform(parts, lambda p, i: F.struct(F.when(i > 0, F.trim(F.substring_index(p, "\n", 1))).alias("title"), F.trim(F.when((i > 0) & p.contains("\n"), F.regexp_replace(p, r"^[^\n]*\n", "")).when(i > 0, "").otherwise(p)).alias("content"))),
-        lambda s: s["title"].isNotNull() | (s["content"] != ""),
-    )
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    body = lambda p, i: F.when(i == 0, p).when(p.contains("\n"), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise("")
+    each = F.transform(parts, lambda p, i: F.struct(F.when(i > 0, strip(F.substring_index(p, "\n", 1))).alias("title"), strip(body(p, i)).alias("content")))
+    return F.filter(each, lambda s: s["title"].isNotNull() | (s["content"] != ""))

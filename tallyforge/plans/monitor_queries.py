@@ -1,4 +1,7 @@
-"""Queries over metric history: events by day and type."""
+"""Queries over metric history: events by day and type.
+
+Daily means are sums of whole ten-thousandths, so that the order of summation does not matter.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +19,10 @@ register = registrar(QUERIES, ORACLES)
 
 def _history(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.concat("event_type", F.lit("_rate")).alias("metric"), F.to_date("ts").alias("ts")).agg(F.round(F.avg("value"), 4).alias("value"))
+    return e.groupBy(F.concat("event_type", F.lit("_rate")).alias("metric"), F.to_date("ts").alias("ts")).agg((F.sum(F.round(F.col("value") * 10000).cast("long")).cast("double") / F.count("value") / 10000).alias("value"))
 
 
-_H = "WITH h AS (SELECT event_type || '_rate' AS metric, ts::DATE AS ts, round(avg(value), 4) AS value FROM events GROUP BY 1, 2) "
+_H = "WITH h AS (SELECT event_type || '_rate' AS metric, ts::DATE AS ts, sum(round(value * 10000)::BIGINT)::DOUBLE / count(value) / 10000 AS value FROM events GROUP BY 1, 2) "
 _D = _H + """, m AS (SELECT metric, max(ts) AS t FROM h GROUP BY 1), n AS (SELECT metric, min(ts) AS t FROM h GROUP BY 1),
 d AS (SELECT a.metric, a.value AS current, b.value AS baseline, CASE WHEN b.value = 0 THEN CASE WHEN a.value <> 0 THEN 1.0 ELSE 0.0 END ELSE (a.value - b.value) / b.value END AS rc FROM h a JOIN m ON a.metric = m.metric AND a.ts = m.t JOIN h b ON b.metric = a.metric JOIN n ON b.metric = n.metric AND b.ts = n.t) """
 

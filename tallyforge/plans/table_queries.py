@@ -133,7 +133,7 @@ def _sides(spark, sf_dir):
 _R = """WITH li AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS s FROM lineitem GROUP BY 1),
 j AS (SELECT o_orderkey AS label, o_orderkey AS concept, CASE WHEN k % 11 = 0 THEN s / 1000 ELSE s END AS p, CASE WHEN o_orderkey % 17 <> 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice ELSE s END END AS x FROM orders LEFT JOIN li ON k = o_orderkey WHERE o_orderkey % 13 <> 0),
 q AS (SELECT *, CASE WHEN p IS NULL OR x IS NULL THEN NULL WHEN x = 0 THEN 'Infinity'::DOUBLE ELSE abs(p - x) / abs(x) * 100 END AS pct,
-  CASE WHEN abs(p * 1e3 - x) <= .01 THEN 1e3 WHEN abs(p / 1e3 - x) <= .01 THEN 1e-3 WHEN abs(p * 1e6 - x) <= .01 THEN 1e6 WHEN abs(p / 1e6 - x) <= .01 THEN 1e-6 WHEN abs(p * 1e9 - x) <= .01 THEN 1e9 WHEN abs(p / 1e9 - x) <= .01 THEN 1e-9 END AS f FROM j),
+  CASE WHEN abs(p * 1e3 - x) <= .01 THEN 1e3 WHEN abs(p - x * 1e3) <= .01 THEN 1e-3 WHEN abs(p * 1e6 - x) <= .01 THEN 1e6 WHEN abs(p - x * 1e6) <= .01 THEN 1e-6 WHEN abs(p * 1e9 - x) <= .01 THEN 1e9 WHEN abs(p - x * 1e9) <= .01 THEN 1e-9 END AS f FROM j),
 d AS (SELECT *, CASE WHEN p IS NULL AND x IS NULL THEN NULL WHEN p IS NULL THEN 'missing_pdf_value' WHEN x IS NULL THEN 'missing_xbrl_value' WHEN abs(p - x) <= .01 OR pct <= .1 OR abs(p - x) / greatest(abs(p), abs(x)) <= 1e-6 THEN NULL WHEN f IS NOT NULL THEN 'scale_mismatch' ELSE 'value_mismatch' END AS discrepancy_type FROM q),
 z AS (SELECT *, CASE WHEN starts_with(discrepancy_type, 'missing') THEN 'missing_data' WHEN discrepancy_type = 'scale_mismatch' THEN 'moderate' WHEN pct > 10 THEN 'critical' WHEN pct > 1 THEN 'moderate' ELSE 'minor' END AS severity FROM d WHERE discrepancy_type IS NOT NULL)
 """

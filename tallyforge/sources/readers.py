@@ -18,8 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def _files(spark: SparkSession, path: str, glob: str, recursive: bool = True) -> DataFrame:
     """(file, text) of each file, whole."""
-    r = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    return r.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("n_bytes"), F.col("value").alias("text"))
+    r = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
+    return r.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("n_bytes"), F.col("value").alias("text"))
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
