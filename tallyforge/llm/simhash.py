@@ -7,8 +7,8 @@ to ``radius`` differing positions have a common orthogonal v, and in v's table b
 key: every linked pair collides somewhere.
 
 Equal fingerprints are merged first, so copies cost one row. A bucket of more than ``bucket_limit``
-fingerprints is not cut: its members go to a further level of masks over the bits still free, which
-halves those bits again, until at most 2**8 fingerprints can share a key. Inside a bucket a forest
+fingerprints is not cut: its members go to a further level of masks over the bits still free, and so on
+until few enough share a key; with eight bits free they are 2**8 at most. Inside a bucket a forest
 is emitted, never all pairs. Components come from alternating large-star and small-star steps over the links;
 each round is written to the shared scratch folder.
 
@@ -63,11 +63,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind.simpleString()}, fp bigint")
 
 
+_ALL = (1 << 64) - 1
+#: Primitive polynomials over two elements, by degree.
+PRIMITIVE = {2: 0b111, 3: 0b1011, 4: 0b10011, 5: 0b100101, 6: 0b1000011, 7: 0b10000011, 8: 0b100011101}
+
+
 def cover(bits: int, radius: int) -> list[int]:
-    """The masks of a covering family over the set positions of ``bits``."""
-    at = [i for i in range(64) if bits >> i & 1]
-    vectors = [1 + j % ((1 << (radius + 1)) - 1) for j in range(len(at))]
-    return [sum(1 << i for i, x in zip(at, vectors) if (x & v).bit_count() & 1) for v in range(1, 1 << (radius + 1))]
+    """The masks of a covering family over the set positions of ``bits``.
+
+    Positions get successive powers of a primitive element, of which any radius+1 in a row are independent: every
+    mask keeps at least one of each radius+1 positions in a row, so masks over what is left free always get further.
+    """
+    at, degree, vectors, x = [i for i in range(64) if bits >> i & 1], radius + 1, [], 1
+    for _ in at:
+        vectors.append(x)
+        x <<= 1
+        if x >> degree:
+            x ^= PRIMITIVE[degree]
+    return [sum(1 << i for i, y in zip(at, vectors) if (y & v).bit_count() & 1) for v in range(1, 1 << degree)]
 
 
 def _signed(x: int) -> int:
@@ -94,8 +107,6 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 2048) -> DataFram
     """Edges (a, b) between distinct fingerprints ``fps.fp`` whose components are those of all links."""
     if bucket_limit < 256:
         raise ValueError("bucket_limit must be at least 256")
-    spark = fps.sparkSession
-
     def edges(batches):
         for b in batches:
             pairs = []
@@ -104,8 +115,12 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 2048) -> DataFram
             p = np.array(pairs, np.uint64).reshape(-1, 2).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
-    level = {(1 << 64) - 1: cover((1 << 64) - 1, radius)}
-    keyed = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in level[(1 << 64) - 1]])).alias("mask"))
+    def further(batches):  # the same covering again, over the bits that a mask leaves free
+        for b in batches:
+            nexts = [[_signed(m & _ALL | x) for x in cover(~m & _ALL, radius)] for m in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nexts, pa.list_(pa.int64()))], ["mask", "key", "nexts"])
+
+    keyed = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in cover(_ALL, radius)])).alias("mask"))
     found = None
     while True:
         keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
@@ -119,10 +134,8 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 2048) -> DataFram
         large = sized.where(f"n > {bucket_limit}").select("mask", "key")
         if large.isEmpty():
             return found.distinct()
-        # the same covering again, over the bits that the mask leaves free; the masks are constants (31 to a level's mask)
-        level = {m: [m | s for s in cover(~m & ((1 << 64) - 1), radius)] for ms in level.values() for m in ms}
-        nexts = spark.createDataFrame([(_signed(m), [_signed(x) for x in xs]) for m, xs in level.items()], "mask bigint, nexts array<bigint>")
-        keyed = keyed.join(large, ["mask", "key"]).join(F.broadcast(nexts), "mask").select("fp", F.explode("nexts").alias("mask"))
+        nexts = large.mapInArrow(further, "mask bigint, key bigint, nexts array<bigint>")
+        keyed = keyed.join(nexts, ["mask", "key"]).select("fp", F.explode("nexts").alias("mask")).distinct()
         keyed = materialize(keyed, "simhash-level")
 
 
