@@ -70,10 +70,11 @@ def _slots(spark, n_slots: int, sources: DataFrame, block_words: int, segment: i
     return materialize(ranked.unionByName(missing), "mix-slots")
 
 
-def _pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, block_words: int, cap: int, seed: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+def _pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, block_words: int, cap: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Documents with their pieces (one row a piece, or one without), and the sources."""
     spark = docs.sparkSession
-    digits = max(1, math.ceil(math.log(max(1, docs.count() / bucket_rows), 16)))
+    # about as many buckets as rows in each: neither level of the running sums grows faster than the square root
+    digits = max(1, round(math.log(max(1, docs.count()), 16) / 2))
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
@@ -102,21 +103,21 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     return placed.withColumn("k", F.coalesce("piece.k", -1 - F.col("row").cast("long"))), sources
 
 
-def _scheduled(docs, id_col, text_col, source_col, weights, block_words, cap, seed, bucket_rows):
-    pieces, sources = _pieces(docs, id_col, text_col, source_col, weights, block_words, cap, seed, bucket_rows)
+def _scheduled(docs, id_col, text_col, source_col, weights, block_words, cap, seed):
+    pieces, sources = _pieces(docs, id_col, text_col, source_col, weights, block_words, cap, seed)
     total = sources.agg(F.sum("quota")).first()[0] or 0
     return pieces.join(_slots(docs.sparkSession, math.ceil(total / block_words), sources, block_words), ["skey", "k"], "left")
 
 
-def schedule(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), block_words=512, repeat_cap=3, seed=7, bucket_rows=4096) -> DataFrame:
+def schedule(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), block_words=512, repeat_cap=3, seed=7) -> DataFrame:
     """The mix itself: (slot, source_key, block, epoch, doc_id, first_word, n_words), one row a piece of a block."""
-    s = _scheduled(docs, id_col, text_col, source_col, weights, block_words, repeat_cap, seed, bucket_rows)
+    s = _scheduled(docs, id_col, text_col, source_col, weights, block_words, repeat_cap, seed)
     return s.where("slot IS NOT NULL").select("slot", F.col("skey").alias("source_key"), F.col("k").alias("block"), "piece.epoch", "doc_id", F.col("piece.first").alias("first_word"), F.col("piece.words").alias("n_words"))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), block_words=512, repeat_cap=3, seed=7, bucket_rows=4096) -> DataFrame:
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), block_words=512, repeat_cap=3, seed=7) -> DataFrame:
     """Per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
-    s = _scheduled(docs, id_col, text_col, source_col, weights, block_words, repeat_cap, seed, bucket_rows)
+    s = _scheduled(docs, id_col, text_col, source_col, weights, block_words, repeat_cap, seed)
     return (
         s.groupBy("skey", "bucket", "row", "doc_id", "size", "source_size", "target")
         .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("piece.words"))), F.lit(0)).cast("long").alias("taken"))
