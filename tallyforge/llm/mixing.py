@@ -130,8 +130,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     copies = (
         mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-        .select(F.col("doc_id").alias("_mix_id"), F.when(F.col("s") > 0, F.floor(F.col("t") / F.col("s") + 0.5)).otherwise(F.lit(0)).cast("int").alias("_copies"))
-        .where("_copies > 0")
+        .select(F.col("doc_id").alias("_tallyforge_mix_id"), F.when(F.col("s") > 0, F.floor(F.col("t") / F.col("s") + 0.5)).otherwise(F.lit(0)).cast("int").alias("_tallyforge_copies"))
+        .where("_tallyforge_copies > 0")
     )
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[joined[c] for c in docs.columns])
+    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_tallyforge_mix_id")))
+    return joined.withColumn("_tallyforge_copy", F.explode(F.sequence(F.lit(1), "_tallyforge_copies"))).select(*[joined[c] for c in docs.columns])

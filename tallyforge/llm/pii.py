@@ -75,8 +75,9 @@ def luhn(digits):
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_c``: array of (start, rank, end, kind, ok, votes, size, before) of all candidates, base and weak."""
-    df = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    """(_row, _c): the input's columns as a struct, and an array of (start, rank, end, kind, ok, votes, size, before) of all candidates, base and weak."""
+    # the input's columns are packed, so that none of them meets a helper column's name
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     t = F.col("_t")
     gates = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]"), "phone": t.rlike(r"\+[0-9]"), "email_words": t.rlike(r"\[at\]|\(at\)| at "), "phone_local": t.rlike(r"[0-9]{3}[ .-][0-9]{4}"), "social": t.rlike(r"[0-9]-[0-9]{2}-[0-9]")}
     patterns = (EMAIL, IP, CARD, PHONE, EMAIL_WORDS, PHONE_LOCAL, SOCIAL)
@@ -88,7 +89,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if kind == "card":  # most digit runs are too short to be anything; they are no candidates
             column = F.filter(column, lambda x: (F.length(F.translate(x["m"], " -", "")) >= 12) & (F.length(F.translate(x["m"], " -", "")) <= 19))
         found.append(F.transform(column, _describe(t, kind, rank)))
-    return df.withColumn("_c", F.concat(*found)).drop("_t", *[f"_{k}" for k in KINDS])
+    return df.select("_row", F.concat(*found).alias("_c"))
 
 
 def _describe(t, kind: str, rank: int):
@@ -161,12 +162,13 @@ def scan(docs: DataFrame, model: dict[str, float], text_col: str = "text", out:
     plain = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
     base = F.filter("_c", lambda x: (x["rank"] < BASE) & x["ok"])
     df = df.withColumn("_base", F.transform(base, plain))
+    unpack = [F.col("_row")[c].alias(c) for c in docs.columns if c != out]
     if not model:
-        return df.withColumn(out, F.array_sort("_base")).drop("_c", "_base")
+        return df.select(*unpack, F.array_sort("_base").alias(out))
     weights = F.create_map(*[F.lit(x) for kv in model.items() for x in kv])
     odds = lambda x: F.aggregate(features(x), F.lit(model[""]), lambda z, f: z + F.coalesce(F.try_element_at(weights, f), F.lit(0.0)))
     more = F.filter("_c", lambda x: (x["rank"] >= BASE) & (odds(x) > 0) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return df.withColumn(out, F.array_sort(F.concat("_base", F.transform(more, plain)))).drop("_c", "_base")
+    return df.select(*unpack, F.array_sort(F.concat("_base", F.transform(more, plain))).alias(out))
 
 
 def report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

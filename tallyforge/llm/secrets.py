@@ -64,7 +64,8 @@ def _kind(spans: F.Column, kind: str) -> F.Column:
 
 def scan(docs: DataFrame, text_col: str = "text", width: int = 20, out: str = "secret_spans") -> DataFrame:
     """``docs`` with ``out``: array of (start, rank, end, kind), sorted; rank 3 marks the method's own spans."""
-    df = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # the input's columns are packed, so that none of them meets a helper column's name
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     df = find_spans(df, "_t", ASSIGN, "_assign", F.col("_t").rlike("(?i:passw|secret|token|api_?key)"))
     df = df.withColumn("_assign", F.filter("_assign", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12))
     df = find_spans(df, "_t", ACCESS, "_access", F.col("_t").contains("AKIA"))
@@ -77,7 +78,7 @@ def scan(docs: DataFrame, text_col: str = "text", width: int = 20, out: str = "s
     limit = "case " + " ".join(f"when x.m rlike '{p}' then {v}" for p, v in CLASSES.values() if p) + f" else {CLASSES['mixed'][1]} end"
     df = df.withColumn("_high", F.expr(f"filter(transform(_cand, x -> named_struct('start', x.start, 'end', x.end, 'h', {window_entropy_sql('x.m', width)}, 'limit', {limit})), y -> y.h >= y.limit)"))
     df = df.withColumn(out, F.array_sort(F.concat("_base", _kind(F.col("_high"), "entropy"))))
-    return df.drop("_t", "_assign", "_access", "_hex", "_cand", "_base", "_high")
+    return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != out], out)
 
 
 def digest(spans: F.Column) -> F.Column:
@@ -86,20 +87,20 @@ def digest(spans: F.Column) -> F.Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", n_chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with each secret span replaced by ``mark``; overlapping spans are replaced once, null text stays null."""
-    df = scan(docs, text_col, out="_spans")
+    df = scan(docs, text_col, out="_tallyforge_spans")
     merged = F.aggregate(
-        F.col("_spans"),
+        F.col("_tallyforge_spans"),
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(
             F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
         ),
     )
-    df = df.withColumn("_m", F.when(F.size("_spans") > 0, merged))
+    df = df.withColumn("_tallyforge_m", F.when(F.size("_tallyforge_spans") > 0, merged))
     cut = F.expr(f"""concat(
-        array_join(transform(_m, (x, i) -> concat(
-            substring({text_col}, cast(if(i = 0, 0, _m[i - 1].end) + 1 as int), cast(x.start - if(i = 0, 0, _m[i - 1].end) as int)), '{mark}')), ''),
-        substring({text_col}, cast(element_at(_m, -1).end + 1 as int)))""")
-    df = df.withColumn(text_col, F.when(F.col("_m").isNotNull(), cut).otherwise(F.col(text_col)))
+        array_join(transform(_tallyforge_m, (x, i) -> concat(
+            substring({text_col}, cast(if(i = 0, 0, _tallyforge_m[i - 1].end) + 1 as int), cast(x.start - if(i = 0, 0, _tallyforge_m[i - 1].end) as int)), '{mark}')), ''),
+        substring({text_col}, cast(element_at(_tallyforge_m, -1).end + 1 as int)))""")
+    df = df.withColumn(text_col, F.when(F.col("_tallyforge_m").isNotNull(), cut).otherwise(F.col(text_col)))
     if n_chars_col in docs.columns:
-        df = df.withColumn(n_chars_col, F.when(F.col("_m").isNotNull(), F.length(text_col).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
+        df = df.withColumn(n_chars_col, F.when(F.col("_tallyforge_m").isNotNull(), F.length(text_col).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
     return df.select(*docs.columns)
