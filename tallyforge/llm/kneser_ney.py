@@ -1,13 +1,23 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of character 4-grams, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model over words, trained on trusted text.
 
-Characters are folded to 64 symbols, so an n-gram is an integer below 64**n. Counts of all trusted texts are summed by n-gram;
-continuation counts, discounts and backoff weights come from joins of the count tables with their context totals, all
-sharded by key. What they give is bounded by the alphabet, not by the data: at most 64**4 entries of two bytes
-(33.5 MB), which every executor gets to score documents in place. A join of each document's own n-grams with the counts would
-shuffle many times the input.
+Words are split at ASCII white space, lower-cased, freed of outer punctuation, with digits folded to 0. A text is read as
+order-1 start marks, its words, and an end mark. All counts cover all trusted texts: tasks sum their own n-grams, and the
+tables of each order (counts, continuation counts, context totals) are sharded by key and joined; they grow with the text.
 
-A document's perplexity is exp of the mean negative log probability per character. Its language's limit is a quantile
-of the trusted documents' values, widened by a margin; languages without trusted documents take that of all.
+For seen n-grams p = alpha + gamma(context) p(suffix), for others p = gamma(context) p(suffix). So a text's log
+probability is a sum over all of its n-grams of all orders, each giving one value of its own:
+
+    value(g) = log p(g) - log gamma(context of g) - log p(suffix of g)   (0 where g is not seen)
+             + log gamma(g)                                              (0 where g is no context)
+
+Documents are scored by one join: each task turns a block of documents into (n-gram, its documents in the block), which
+meets the sharded values; their sums per document follow. Values are whole millionths, so sums do not hang on their order.
+N-grams with at least 1/``hot_parts`` of all tokens (at most ``hot_parts`` of each order by their share) are added where
+the text is read; none of them is shuffled.
+
+Perplexity is exp of the mean negative log probability per word, the end mark included. One tenth of the trusted documents
+(by hash of id) stays out of training and sets the limit of its language: a quantile times a margin. Languages without any
+take that of all; where all trusted documents would be left out, all train and calibrate.
 
 Defined results: null or blank text has no perplexity and is not kept. Null language is a group of its own. Without
 trusted text every non-blank document is kept (no model). Every row gives one row.
@@ -15,163 +25,281 @@ trusted text every non-blank document is kept (no model). Every row gives one ro
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import WORD, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-A, ORDER = 64, 4
-#: Symbols 3 to 28 are a to z; 0 stands before a text, 1 is a blank, 2 a line end.
-PUNCTUATION = ".,;:!?'\"-()|"
-_tables: dict[str, np.ndarray] = {}
-
-
-def symbols() -> np.ndarray:
-    """Symbol of each code point below 65536; those above take the one of their low 16 bits."""
-    if "symbols" not in _tables:
-        t = np.array([48 + c % 16 for c in range(65536)], np.int64)  # other letters and marks
-        for c in range(65536):
-            ch = chr(c)
-            if c < 128:
-                t[c] = 43 + c % 5  # other ASCII
-            elif ch.isupper() and len(ch.lower()) == 1:
-                t[c] = 30
-        for c in range(26):
-            t[97 + c], t[65 + c] = 3 + c, 30
-        t[48:58] = 29
-        for i, ch in enumerate(PUNCTUATION):
-            t[ord(ch)] = 31 + i
-        t[[32, 9, 11, 12, 13]] = 1
-        t[10] = 2
-        _tables["symbols"] = t
-    return _tables["symbols"]
-
-
-def grams(text: str) -> np.ndarray:
-    """The 4-gram ending at each character of ``text``."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    s = np.zeros(len(cp) + ORDER - 1, np.int64)
-    s[ORDER - 1 :] = symbols()[cp & 0xFFFF]
-    n = len(cp)
-    return ((s[:n] * A + s[1 : n + 1]) * A + s[2 : n + 2]) * A + s[3:]
-
-
-def count_grams(docs: DataFrame, text_col="text") -> DataFrame:
-    """(g, c) over all rows; each task sums its own texts before the shuffle."""
+ORDER, HOT_PARTS = 2, 20_000
+#: Ids of the start and end marks; a word's id is XXH3 of its folded form.
+START, END = 0, 1
+#: More trusted ids than this are joined by sort-merge instead of a broadcast.
+MOST_IDS = 2_000_000
+BLOCK_WORDS, BLOCK_DOCS = 3_000_000, 32_000
+UNIT = 1e6
+
+
+# --- words and n-grams
+def fold(words: pa.Array) -> pa.Array:
+    """Folded forms of distinct words; pure punctuation stays as it is."""
+    low = pc.utf8_lower(words)
+    bare = pc.ascii_trim(low, characters=".,;:!?\"'()[]{}|<>-_*#")
+    return pc.replace_substring_regex(pc.if_else(pc.equal(bare, ""), low, bare), "[0-9]", "0")
+
+
+def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of words of each text)."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat = lists.flatten()
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    there = pc.not_equal(pc.binary_length(flat), 0)
+    coded = flat.filter(there).dictionary_encode()
+    ids = np.array([xxhash.xxh3_64_intdigest(w) for w in fold(coded.dictionary).cast(pa.large_binary()).to_pylist()], np.uint64).view(np.int64)
+    n = np.bincount(owner[there.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return (ids[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)), n
+
+
+def marked(ids: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, text of each place, whether the place is a start mark) of all texts with words."""
+    at = np.flatnonzero(n)
+    size = n[at] + order
+    begin = np.cumsum(size) - size
+    seq = np.full(int(size.sum()), END, np.int64)
+    starts = (begin[:, None] + np.arange(order - 1)).ravel()
+    seq[starts] = START
+    is_start = np.zeros(len(seq), bool)
+    is_start[starts] = True
+    inner = ~is_start
+    inner[begin + size - 1] = False
+    seq[inner] = ids
+    return seq, np.repeat(at, size), is_start
+
+
+def key_of(words: list[np.ndarray]) -> np.ndarray:
+    """Spark's xxhash64 of long columns, so that both sides of the join agree."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    rot = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = np.full(len(words[0]), 42, np.uint64)
+    for w in words:
+        h = h + p5 + np.uint64(8)
+        h = rot(h ^ (rot(w.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def pieces_of(batches, most_words: int, most_docs: int):
+    """Batches cut and joined to blocks of about ``most_words`` words; a text is never cut."""
+    held, size, rows = [], 0, 0
+    for b in batches:
+        spaces = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 6 + 1)
+        at = 0
+        while at < len(b):
+            done = spaces[at - 1] if at else 0
+            end = min(len(b), at + most_docs - rows, max(at + 1, int(np.searchsorted(spaces, done + most_words - size, "right"))))
+            held.append(b.slice(at, end - at))
+            size, rows, at = size + int(spaces[end - 1] - done), rows + end - at, end
+            if size >= most_words or rows >= most_docs or at < len(b):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size, rows = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def column(table: pa.Table, i: int) -> pa.Array:
+    c = table.column(i)
+    return c.chunk(0) if c.num_chunks else pa.array([], c.type)
+
+
+def names(n: int, first: int = 1) -> list[str]:
+    return [f"w{i}" for i in range(first, n + 1)]
+
+
+# --- training
+def count_grams(docs: DataFrame, text_col="text", order=ORDER) -> DataFrame:
+    """(w1 .. wn, c, raw) over all rows; each task sums its own blocks before the shuffle."""
+    cols = names(order)
 
     def run(batches):
-        total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for b in batches:
-            texts, at = b.column(0).to_pylist(), 0
-            while at < len(texts):
-                part, size = [], 0
-                while at < len(texts) and size < 2_000_000:
-                    if texts[at]:
-                        part.append(grams(texts[at]))
-                        size += len(part[-1])
-                    at += 1
-                if part:
-                    g, c = np.unique(np.concatenate(part), return_counts=True)
-                    g, inverse = np.unique(np.concatenate([total[0], g]), return_inverse=True)
-                    total = (g, np.bincount(inverse, np.concatenate([total[1], c])).astype(np.int64))
-        if len(total[0]):
-            for i in range(0, len(total[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(total[0][i : i + 100_000]), pa.array(total[1][i : i + 100_000])], ["g", "c"])
-
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def estimate(counts: DataFrame) -> DataFrame:
-    """(n, g, alpha, ctx, gamma): discounted probabilities of seen n-grams and their contexts' backoff weights, for n = 1 to 4."""
-    level, parts = counts.select("g", "c"), []
-    for n in range(ORDER, 0, -1):
-        level = materialize(level, f"kn-{n}")
-        met = {r["c"]: r["k"] for r in level.where("c <= 4").groupBy("c").agg(F.count("*").alias("k")).collect()}
-        n1, n2, n3, n4 = (met.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        d = [max(0.0, min(i, i - (i + 1) * y * b / a)) if a and b else 0.5 for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
+        for block in pieces_of(batches, BLOCK_WORDS, 1 << 30):
+            seq, _, start = marked(*word_ids(column(block, 0)), order)
+            last = np.flatnonzero(~start)
+            grams = [seq[last - order + 1 + i] for i in range(order)]
+            by = np.lexsort(grams[::-1])
+            grams = [g[by] for g in grams]
+            new = np.ones(len(by), bool)
+            if len(by):
+                new[1:] = np.any([g[1:] != g[:-1] for g in grams], axis=0)
+            at = np.flatnonzero(new)
+            c = np.diff(np.append(at, len(by)))
+            for i in range(0, len(at), 50_000):
+                part = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(g[at[part]]) for g in grams] + [pa.array(c[part].astype(np.int64))], cols + ["c"])
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, ", ".join(f"{w} bigint" for w in cols) + ", c bigint")
+    return found.groupBy(*cols).agg(F.sum("c").alias("c")).withColumn("raw", F.col("c"))
+
+
+def join_split(left: DataFrame, right: DataFrame, on: list[str], weight: str, limit: float) -> DataFrame:
+    """Inner join. Rows of ``right`` with a ``weight`` of at least ``limit`` are few by that very share and are broadcast, so that
+    their many partners on the left need no shuffle; all others meet by sort-merge."""
+    hot = F.broadcast(right.where(F.col(weight) >= limit))
+    cold = left.join(F.broadcast(right.where(F.col(weight) >= limit).select(*on)), on, "left_anti")
+    return left.join(hot, on).unionByName(cold.join(right.where(F.col(weight) < limit).hint("merge"), on))
+
+
+def discounts(level: DataFrame) -> list[float]:
+    met = {r["c"]: r["k"] for r in level.where("c <= 4").groupBy("c").agg(F.count("*").alias("k")).collect()}
+    n1, n2, n3, n4 = (met.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    return [max(0.0, min(i, i - (i + 1) * y * b / a)) if a and b else 0.5 for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
+
+
+def estimate(counts: DataFrame, order=ORDER, hot_parts=HOT_PARTS) -> tuple[DataFrame, float]:
+    """((key, v, share) of all n-grams seen or met as a context, log p of an unseen word)."""
+    levels, tokens = {order: counts}, int(counts.agg(F.sum("c")).first()[0])
+    for n in range(order - 1, 0, -1):
+        below = levels[n + 1].groupBy(*names(n + 1, 2)).agg(F.count("*").alias("c"), F.sum("raw").alias("raw"))
+        levels[n] = materialize(below.toDF(*names(n), "c", "raw"), f"kn-{n}")
+    limit, lower, found = tokens / hot_parts, None, []
+    for n in range(1, order + 1):
+        level, d = levels[n], discounts(levels[n])
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        keyed = level.withColumn("ctx", F.floor(F.col("g") / A).cast("long"))
-        ctx = keyed.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(cut).alias("freed"))
-        parts.append(keyed.join(ctx, "ctx").select(F.lit(n).alias("n"), "g", ((F.col("c") - cut) / F.col("total")).alias("alpha"), "ctx", (F.col("freed") / F.col("total")).alias("gamma")))
-        level = level.groupBy((F.col("g") % (A ** (n - 1))).alias("g")).agg(F.count("*").alias("c"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def dense(model: DataFrame) -> np.ndarray:
-    """-log p of every 4-gram as float16, filled up from the lowest order. Bounded by the alphabet."""
-    rows = model.toPandas()
-    p = np.full(1, 1.0 / A)
-    for n in range(1, ORDER + 1):
-        at = rows[rows["n"] == n]
-        gamma, alpha = np.ones(A ** (n - 1), np.float32), np.zeros(A**n, np.float32)
-        gamma[at["ctx"].to_numpy()] = at["gamma"].to_numpy()
-        alpha[at["g"].to_numpy()] = at["alpha"].to_numpy()
         if n == 1:
-            p = alpha + gamma[0] * np.float32(1.0 / A)
+            total, freed, k = level.agg(F.sum("c"), F.sum(cut), F.count("*")).first()
+            unseen = freed / total / (k + 1)
+            p = level.select("w1", "raw", ((F.col("c") - cut) / total + unseen).alias("p"))
+            gain = F.log("p") - math.log(unseen)
         else:
-            # the lower order drops the context's first symbol
-            shape = (A, A ** (n - 2), A)
-            p = (alpha.reshape(shape) + gamma.reshape(A, A ** (n - 2), 1) * p.reshape(1, A ** (n - 2), A)).ravel()
-    return (-np.log(np.maximum(p, 1e-12))).astype(np.float16)
+            ctx = level.groupBy(*names(n - 1)).agg(F.sum("c").alias("total"), F.sum(cut).alias("freed"), F.sum("raw").alias("ctx_raw"))
+            ctx = materialize(ctx.select(*names(n - 1), "total", (F.col("freed") / F.col("total")).alias("gamma"), "ctx_raw"), f"kn-context-{n}")
+            found.append(ctx.select(F.xxhash64(*names(n - 1)).alias("key"), F.log("gamma").alias("v"), (F.col("ctx_raw") / tokens).alias("share")))
+            with_ctx = join_split(level, ctx, names(n - 1), "ctx_raw", limit)
+            suffix = lower.select(*(F.col(f"w{i}").alias(f"w{i + 1}") for i in range(1, n)), F.col("p").alias("q"), F.col("raw").alias("suffix_raw"))
+            both = join_split(with_ctx, suffix, names(n, 2), "suffix_raw", limit)
+            p = both.select(*names(n), "raw", "gamma", "q", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
+            gain = F.log("p") - F.log("gamma") - F.log("q")
+        p = p.withColumn("gain", gain)
+        if n < order:
+            p = materialize(p, f"kn-p-{n}")
+        found.append(p.select(F.xxhash64(*names(n)).alias("key"), F.col("gain").alias("v"), (F.col("raw") / tokens).alias("share")))
+        lower = p
+    out = found.pop()  # n-grams of the highest order are no context: nothing to add up for them
+    rest = found[0]
+    for f in found[1:]:
+        rest = rest.unionByName(f)
+    rest = rest.groupBy("key").agg(F.sum("v").alias("v"), F.max("share").alias("share"))
+    fixed = F.round(F.col("v") * UNIT).cast("long").alias("v")
+    return out.unionByName(rest).select("key", fixed, "share"), math.log(unseen)
 
 
-def trusted_texts(docs: DataFrame, trusted: DataFrame, id_col="doc_id") -> DataFrame:
-    ids = trusted.select(F.col(id_col).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
-    return docs.join(ids.hint("merge"), docs[id_col] == ids["_trusted"], "left_semi")  # the same plan at every size
+def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of ``docs`` (_id, text) with an id in ``ids`` (_id, distinct): by broadcast if those are proven few, else by sort-merge."""
+    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "_id", "left_semi")
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text") -> np.ndarray | None:
-    """The scoring table from the texts of ``docs`` whose ids are in ``trusted``; None if there are none."""
-    counts = materialize(count_grams(trusted_texts(docs.select(id_col, text_col), trusted, id_col), text_col), "kn-counts")
-    return None if counts.isEmpty() else dense(estimate(counts))
+def fit(docs: DataFrame, ids: DataFrame, order=ORDER, hot_parts=HOT_PARTS):
+    """(values, log p of an unseen word) from the texts of ``docs`` (_id, text) with an id in ``ids``; None if they hold no word."""
+    counts = materialize(count_grams(trusted_texts(docs, ids), "text", order), "kn-counts")
+    if counts.isEmpty():
+        return None
+    values, unseen = estimate(counts, order, hot_parts)
+    return materialize(values, "kn-values"), unseen
 
 
-def score(docs: DataFrame, table: np.ndarray, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """(doc_id, lang, n_chars, nll): nll is the mean negative log probability per character, null for blank text."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+# --- scoring
+def postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], order=ORDER) -> DataFrame:
+    """(key, block, post, doc) of ``docs`` (_id, text, lang): one row for each document, with its hot n-grams' sum, and one
+    for each other n-gram of a block, with the documents that hold it, repeats included."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        t = shared.value
-        for b in batches:
-            nll = []
-            for text in b.column(1).to_pylist():
-                if not text or not text.strip():
-                    nll.append(None)
-                    continue
-                total = 0.0
-                for i in range(0, len(text), 1 << 20):
-                    tail = text[max(0, i - ORDER + 1) : i]
-                    total += float(t[grams(tail + text[i : i + (1 << 20)])[len(tail) :]].sum(dtype=np.float64))
-                nll.append(total / len(text))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x or "") for x in b.column(1).to_pylist()], pa.int64()), pa.array(nll, pa.float64())], ["doc_id", "lang", "n_chars", "nll"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(run, f"doc_id {kind}, lang string, n_chars bigint, nll double")
-
-
-def classify(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", quantile=0.9, margin=1.5) -> DataFrame:
-    """(doc_id, lang, n_chars, perplexity, limit, kept), one row for each row of ``docs``."""
-    table = fit(docs, trusted, id_col, text_col)
-    if table is None:
-        blank = F.coalesce(F.trim(F.col(text_col).cast("string")) == "", F.lit(True))
-        return docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("limit"), (~blank).alias("kept"))
-    scored = materialize(score(docs, table, id_col, text_col, lang_col), "kn-scores").withColumn("group", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
-    ids = trusted.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    base = scored.where("nll IS NOT NULL").join(ids, "doc_id", "left_semi")
+        hot_key, hot_v = shared.value
+        part, seen = TaskContext.get().partitionId() << 32, 0
+        for block in pieces_of(batches, BLOCK_WORDS, BLOCK_DOCS):
+            ids, n = word_ids(column(block, 0))
+            seq, owner, start = marked(ids, n, order)
+            owner, sums = owner.astype(np.int16), np.zeros(len(n), np.int64)
+            ends_here = ~(start & np.append(start[1:], False))  # only the last start mark is a context of a word
+            places, keys = [], []
+            for size in range(1, order + 1):
+                # windows inside one text: they end at or behind the size-th place
+                end = np.arange(size - 1, len(seq))
+                end = end[(owner[end] == owner[end - size + 1]) & ends_here[end]]
+                key, own = key_of([seq[end - size + 1 + i] for i in range(size)]), owner[end]
+                if len(hot_key):
+                    at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
+                    is_hot = hot_key[at] == key
+                    np.add.at(sums, own[is_hot], hot_v[at[is_hot]])
+                    key, own = key[~is_hot], own[~is_hot]
+                keys.append(key), places.append(own)
+            key, own = np.concatenate(keys), np.concatenate(places)
+            by = np.argsort(key, kind="stable")
+            key, own = key[by], own[by]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            ends = np.append(at, len(key))
+            whose = pa.StructArray.from_arrays([column(block, 1), column(block, 2), pa.array(n.astype(np.int64)), pa.array(sums)], ["id", "lang", "n", "hot"])
+            number = part + seen
+            seen += 1
+            for i in range(0, len(n), 10_000):
+                docs_here = np.arange(i, min(i + 10_000, len(n)))
+                spread = key_of([docs_here.astype(np.int64), np.full(len(docs_here), number, np.int64)])
+                post = pa.ListArray.from_arrays(np.arange(len(docs_here) + 1, dtype=np.int32), docs_here.astype(np.int16))
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.full(len(docs_here), number)), post, whose.slice(i, len(docs_here))], ["key", "block", "post", "doc"])
+            for i in range(0, len(at), 50_000):
+                e = ends[i : i + 50_001]
+                post = pa.ListArray.from_arrays((e - e[0]).astype(np.int32), own[e[0] : e[-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(key[e[:-1]]), pa.array(np.full(len(e) - 1, number)), post, pa.nulls(len(e) - 1, whose.type)], ["key", "block", "post", "doc"])
+
+    return docs.select("text", "_id", "lang").mapInArrow(run, f"key bigint, block bigint, post array<smallint>, doc struct<id: {kind}, lang: string, n: bigint, hot: bigint>")
+
+
+def score(docs: DataFrame, values: DataFrame, unseen: float, order=ORDER, hot_parts=HOT_PARTS) -> DataFrame:
+    """(doc_id, lang, n_words, nll) of ``docs`` (_id, text, lang): mean negative log probability per word, null for blank text."""
+    is_hot = F.col("share") >= 1.0 / hot_parts
+    hot = values.where(is_hot).select("key", "v").toPandas().sort_values("key")
+    table = hot["key"].to_numpy(np.int64), hot["v"].to_numpy(np.int64)
+    # few documents follow any one key here: hot n-grams are gone, and a block gives a key at most once
+    met = postings(docs, table, order).join(values.where(~is_hot).select("key", "v").hint("merge"), "key", "left").where("v IS NOT NULL OR doc IS NOT NULL")
+    spread = met.select("block", F.explode("post").alias("at"), F.when(F.col("doc").isNull(), F.col("v")).otherwise(F.col("doc.hot")).alias("v"), "doc")
+    per_doc = spread.groupBy("block", "at").agg(F.sum("v").alias("v"), F.max("doc.id").alias("doc_id"), F.max("doc.lang").alias("lang"), F.max("doc.n").alias("n_words"))
+    end = F.col("n_words") + 1
+    return per_doc.select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, -(F.col("v") / UNIT / end) - unseen).alias("nll"))
+
+
+def classify(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", quantile=0.95, margin=2.0, order=ORDER) -> DataFrame:
+    """(doc_id, lang, n_words, perplexity, limit, kept), one row for each row of ``docs``."""
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    ids = trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
+    out = F.pmod(F.xxhash64("_id"), F.lit(10)) == 0
+    model = fit(docs.select("_id", "text"), ids.where(~out), order)
+    calibrate = ids.where(out) if model else ids
+    model = model or fit(docs.select("_id", "text"), ids, order)
+    if model is None:
+        n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        return docs.select(F.col("_id").alias("doc_id"), "lang", n.alias("n_words"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("limit"), (n > 0).alias("kept"))
+    scored = materialize(score(docs, *model, order), "kn-scores").withColumn("group", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+    known = scored.where("nll IS NOT NULL")
     quant = F.percentile_approx(F.exp("nll"), quantile, 10000) * margin
+    base = known.join(calibrate.withColumnRenamed("_id", "doc_id"), "doc_id", "left_semi")
     overall = base.agg(quant).first()[0]
+    if overall is None:  # no calibration document holds a word
+        base = known.join(ids.withColumnRenamed("_id", "doc_id"), "doc_id", "left_semi")
+        overall = base.agg(quant).first()[0]
     limits = base.groupBy("group").agg(quant.alias("limit"))
     # a language may hold most rows: its limit is given to 64 salts, so that its rows do not meet in one task
     limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    out = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_chars", "nll"), F.lit(64)).cast("int")).join(limits, ["group", "salt"], "left").withColumn("limit", F.coalesce("limit", F.lit(overall))).withColumn("perplexity", F.exp("nll"))
-    return out.select("doc_id", "lang", "n_chars", "perplexity", "limit", F.coalesce(F.col("perplexity") <= F.col("limit"), F.col("perplexity").isNotNull() & F.col("limit").isNull()).alias("kept"))
+    judged = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "nll"), F.lit(64)).cast("int")).join(limits, ["group", "salt"], "left").withColumn("limit", F.coalesce("limit", F.lit(overall))).withColumn("perplexity", F.exp("nll"))
+    return judged.select("doc_id", "lang", "n_words", "perplexity", "limit", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(False)).alias("kept"))

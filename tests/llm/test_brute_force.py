@@ -278,19 +278,28 @@ def test_tiff_pages(spark, docs):
 
 
 # --- Kneser-Ney
-def _kn(texts):
-    """Interpolated modified Kneser-Ney by dictionaries."""
-    A, c = 64, [None] * 5
-    c[4] = collections.Counter(tuple(int(g) // A**k % A for k in (3, 2, 1, 0)) for t in texts if t for g in kneser_ney.grams(t))
-    for n in (3, 2, 1):
+def _kn_words(text, order):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    out = []
+    for w in (w.lower() for w in words):
+        w = w.strip(".,;:!?\"'()[]{}|<>-_*#") or w
+        out.append(re.sub("[0-9]", "0", w))
+    return ["<s>"] * (order - 1) + out + ["</s>"] if out else []
+
+
+def _kn(texts, order):
+    """p(n-gram) by definition, counts in plain dictionaries."""
+    c = {order: collections.Counter()}
+    for t in texts:
+        s = _kn_words(t or "", order)
+        c[order].update(tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s)))
+    for n in range(order - 1, 0, -1):
         c[n] = collections.Counter(g[1:] for g in c[n + 1])
-    disc = {}
-    for n in range(1, 5):
+    disc, tot, freed = {}, collections.Counter(), collections.Counter()
+    for n in range(1, order + 1):
         m = collections.Counter(c[n].values())
         y = m[1] / (m[1] + 2 * m[2]) if m[1] and m[2] else 0.5
         disc[n] = [max(0.0, min(i, i - (i + 1) * y * m[i + 1] / m[i])) if m[i] and m[i + 1] else 0.5 for i in (1, 2, 3)]
-    tot, freed = collections.Counter(), collections.Counter()
-    for n in range(1, 5):
         for g, k in c[n].items():
             tot[g[:-1], n] += k
             freed[g[:-1], n] += disc[n][min(k, 3) - 1]
@@ -298,26 +307,42 @@ def _kn(texts):
     def p(g):
         n = len(g)
         if n == 0:
-            return 1 / A
-        t = tot[g[:-1], n]
-        k = c[n][g]
+            return 1 / (len(c[1]) + 1)
+        t, k = tot[g[:-1], n], c[n][g]
         return ((k - disc[n][min(k, 3) - 1]) / t if k else 0.0) + freed[g[:-1], n] / t * p(g[1:]) if t else p(g[1:])
 
     return p
 
 
-def test_kneser_ney(spark):
-    texts = [(1, "the cat sat on the mat. the dog sat on the log."), (2, "a cat and a dog and a mat, the end"), (3, "the THE 123 é\n"), (4, None)]
-    d = spark.createDataFrame(texts, "doc_id long, text string")
-    table = kneser_ney.fit(d, d.where("doc_id <= 2").select("doc_id"))
-    p = _kn([t for i, t in texts if i <= 2])
-    rnd = random.Random(7)
-    seen = [int(g) for _, t in texts if t for g in kneser_ney.grams(t)]
-    for g in seen + [rnd.randrange(64**4) for _ in range(300)]:
-        want = -math.log(p(tuple(g // 64**k % 64 for k in (3, 2, 1, 0))))
-        assert abs(float(table[g]) - want) < 0.01 * max(1, want), g
-    ctx = 5 * 64 * 64 + 6 * 64 + 1
-    assert abs(np.exp(-table[ctx * 64 : ctx * 64 + 64].astype(float)).sum() - 1) < 0.01
+@pytest.mark.parametrize("order, hot_parts", [(2, 20_000), (3, 5)])
+def test_kneser_ney_scores_equal_the_definition(spark, docs, order, hot_parts):
+    texts = [r["text"] for r in docs.values()][:25] + ["the cat sat on the mat. The dog, 12 dogs sat on the log.", "a cat and a dog !!", " ", None, "word " * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "_id long, text string").selectExpr("*", "'x' AS lang")
+    model = kneser_ney.fit(df, df.where("_id % 2 = 0").select("_id"), order, hot_parts)
+    p = _kn([t for i, t in enumerate(texts) if i % 2 == 0], order)
+    got = {r["doc_id"]: r for r in kneser_ney.score(df, *model, order, hot_parts).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        s = _kn_words(t or "", order)
+        assert got[i]["n_words"] == max(0, len(s) - order)
+        if not s:
+            assert got[i]["nll"] is None
+            continue
+        want = [-math.log(p(tuple(s[j - order + 1 : j + 1]))) for j in range(order - 1, len(s))]
+        assert abs(got[i]["nll"] - sum(want) / len(want)) < 1e-4, i
+
+
+def test_kneser_ney_keys_and_blocks(spark, monkeypatch):
+    w = np.array([0, 1, -5, 2**62], np.int64)
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(w, w[::-1])], "a long, b long").selectExpr("xxhash64(a, b) AS h").collect()
+    assert [r["h"] for r in rows] == kneser_ney.key_of([w, w[::-1].copy()]).tolist()
+    texts = [f"one two three {'four ' * (i % 5)}word{i % 7}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "_id long, text string").selectExpr("*", "'x' AS lang").coalesce(1)
+    run = lambda: {r["doc_id"]: round(r["nll"], 6) for r in kneser_ney.score(df, *kneser_ney.fit(df, df.select("_id"))).collect()}
+    whole = run()
+    monkeypatch.setattr(kneser_ney, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(kneser_ney, "BLOCK_DOCS", 7)
+    assert run() == whole and len(whole) == 300
 
 
 # --- pieces
