@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -33,15 +34,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _spent.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables early. Nothing that is still to be computed may read them; derive a materialized result first."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch_path)
+        _spent.remove((t.sparkSession, t._scratch_path))
+    if tables:  # shuffle files go when the JVM notices that their plans are unreachable
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 @atexit.register
 def _sweep() -> None:
     for spark, path in _spent:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has gone; its scratch folder is the cluster's to clear
             return
 

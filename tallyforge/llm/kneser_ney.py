@@ -35,7 +35,7 @@ import xxhash
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -127,7 +127,7 @@ def names(n: int, first: int = 1) -> list[str]:
 
 # --- training
 def count_grams(docs: DataFrame, text_col="text", order=ORDER) -> DataFrame:
-    """(w1 .. wn, c, raw) over all rows; each task sums its own blocks before the shuffle."""
+    """(w1 .. wn, c) over all rows; each task sums its own blocks before the shuffle."""
     cols = names(order)
 
     def run(batches):
@@ -147,7 +147,7 @@ def count_grams(docs: DataFrame, text_col="text", order=ORDER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(g[at[part]]) for g in grams] + [pa.array(c[part].astype(np.int64))], cols + ["c"])
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, ", ".join(f"{w} bigint" for w in cols) + ", c bigint")
-    return found.groupBy(*cols).agg(F.sum("c").alias("c")).withColumn("raw", F.col("c"))
+    return found.groupBy(*cols).agg(F.sum("c").alias("c"))
 
 
 def join_split(left: DataFrame, right: DataFrame, on: list[str], weight: str, limit: float) -> DataFrame:
@@ -166,41 +166,51 @@ def discounts(level: DataFrame) -> list[float]:
 
 
 def estimate(counts: DataFrame, order=ORDER, hot_parts=HOT_PARTS) -> tuple[DataFrame, float]:
-    """((key, v, share) of all n-grams seen or met as a context, log p of an unseen word)."""
-    levels, tokens = {order: counts}, int(counts.agg(F.sum("c")).first()[0])
-    for n in range(order - 1, 0, -1):
-        below = levels[n + 1].groupBy(*names(n + 1, 2)).agg(F.count("*").alias("c"), F.sum("raw").alias("raw"))
-        levels[n] = materialize(below.toDF(*names(n), "c", "raw"), f"kn-{n}")
+    """((key, v, hot) of all n-grams seen or met as a context, materialized; log p of an unseen word)."""
+    levels, scratch = {order: counts}, []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        scratch.append(materialize(df, label))
+        return scratch[-1]
+
+    tokens = int(counts.agg(F.sum("c")).first()[0])
     limit, lower, found = tokens / hot_parts, None, []
+    for n in range(order - 1, 0, -1):
+        raw = "c" if n + 1 == order else "raw"
+        below = levels[n + 1].groupBy(*names(n + 1, 2)).agg(F.count("*").alias("c"), F.sum(raw).alias("raw"))
+        levels[n] = keep(below.toDF(*names(n), "c", "raw"), f"kn-{n}")
     for n in range(1, order + 1):
-        level, d = levels[n], discounts(levels[n])
+        level, d, raw = levels[n], discounts(levels[n]), "c" if n == order else "raw"
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         if n == 1:
             total, freed, k = level.agg(F.sum("c"), F.sum(cut), F.count("*")).first()
             unseen = freed / total / (k + 1)
-            p = level.select("w1", "raw", ((F.col("c") - cut) / total + unseen).alias("p"))
-            gain = F.log("p") - math.log(unseen)
+            p = level.select("w1", F.col(raw).alias("raw"), ((F.col("c") - cut) / total + unseen).alias("p"))
+            p = p.withColumn("gain", F.log("p") - math.log(unseen))
         else:
-            ctx = level.groupBy(*names(n - 1)).agg(F.sum("c").alias("total"), F.sum(cut).alias("freed"), F.sum("raw").alias("ctx_raw"))
-            ctx = materialize(ctx.select(*names(n - 1), "total", (F.col("freed") / F.col("total")).alias("gamma"), "ctx_raw"), f"kn-context-{n}")
-            found.append(ctx.select(F.xxhash64(*names(n - 1)).alias("key"), F.log("gamma").alias("v"), (F.col("ctx_raw") / tokens).alias("share")))
-            with_ctx = join_split(level, ctx, names(n - 1), "ctx_raw", limit)
+            ctx = level.groupBy(*names(n - 1)).agg(F.sum("c").alias("total"), F.sum(cut).alias("freed"), F.sum(raw).alias("ctx_raw"))
+            ctx = keep(ctx, f"kn-context-{n}")
+            gamma = F.col("freed") / F.col("total")
+            found.append(ctx.select(F.xxhash64(*names(n - 1)).alias("key"), F.log(gamma).alias("v"), (F.col("ctx_raw") >= limit).alias("hot")))
+            # alpha / gamma and the suffix's p give the gain; only what later steps need is carried on
+            with_ctx = join_split(level, ctx, names(n - 1), "ctx_raw", limit).select(*names(n), F.col(raw).alias("raw"), ((F.col("c") - cut) / F.col("freed")).alias("odds"), *([gamma.alias("gamma")] if n < order else []))
             suffix = lower.select(*(F.col(f"w{i}").alias(f"w{i + 1}") for i in range(1, n)), F.col("p").alias("q"), F.col("raw").alias("suffix_raw"))
-            both = join_split(with_ctx, suffix, names(n, 2), "suffix_raw", limit)
-            p = both.select(*names(n), "raw", "gamma", "q", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
-            gain = F.log("p") - F.log("gamma") - F.log("q")
-        p = p.withColumn("gain", gain)
+            p = join_split(with_ctx, suffix, names(n, 2), "suffix_raw", limit).withColumn("gain", F.log1p(F.col("odds") / F.col("q")))
+            if n < order:
+                p = p.select(*names(n), "raw", "gain", (F.col("gamma") * (F.col("odds") + F.col("q"))).alias("p"))
         if n < order:
-            p = materialize(p, f"kn-p-{n}")
-        found.append(p.select(F.xxhash64(*names(n)).alias("key"), F.col("gain").alias("v"), (F.col("raw") / tokens).alias("share")))
+            p = keep(p, f"kn-p-{n}")
+        found.append(p.select(F.xxhash64(*names(n)).alias("key"), F.col("gain").alias("v"), (F.col("raw") >= limit).alias("hot")))
         lower = p
     out = found.pop()  # n-grams of the highest order are no context: nothing to add up for them
-    rest = found[0]
-    for f in found[1:]:
-        rest = rest.unionByName(f)
-    rest = rest.groupBy("key").agg(F.sum("v").alias("v"), F.max("share").alias("share"))
-    fixed = F.round(F.col("v") * UNIT).cast("long").alias("v")
-    return out.unionByName(rest).select("key", fixed, "share"), math.log(unseen)
+    if found:
+        rest = found[0]
+        for f in found[1:]:
+            rest = rest.unionByName(f)
+        out = out.unionByName(rest.groupBy("key").agg(F.sum("v").alias("v"), F.max("hot").alias("hot")))
+    values = materialize(out.select("key", F.round(F.col("v") * UNIT).cast("long").alias("v"), "hot"), "kn-values")
+    release(*scratch)
+    return values, math.log(unseen)
 
 
 def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -214,8 +224,9 @@ def fit(docs: DataFrame, ids: DataFrame, order=ORDER, hot_parts=HOT_PARTS):
     counts = materialize(count_grams(trusted_texts(docs, ids), "text", order), "kn-counts")
     if counts.isEmpty():
         return None
-    values, unseen = estimate(counts, order, hot_parts)
-    return materialize(values, "kn-values"), unseen
+    model = estimate(counts, order, hot_parts)
+    release(counts)
+    return model
 
 
 # --- scoring
@@ -266,13 +277,12 @@ def postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], order=ORDER) -
     return docs.select("text", "_id", "lang").mapInArrow(run, f"key bigint, block bigint, post array<smallint>, doc struct<id: {kind}, lang: string, n: bigint, hot: bigint>")
 
 
-def score(docs: DataFrame, values: DataFrame, unseen: float, order=ORDER, hot_parts=HOT_PARTS) -> DataFrame:
+def score(docs: DataFrame, values: DataFrame, unseen: float, order=ORDER) -> DataFrame:
     """(doc_id, lang, n_words, nll) of ``docs`` (_id, text, lang): mean negative log probability per word, null for blank text."""
-    is_hot = F.col("share") >= 1.0 / hot_parts
-    hot = values.where(is_hot).select("key", "v").toPandas().sort_values("key")
+    hot = values.where("hot").select("key", "v").toPandas().sort_values("key")
     table = hot["key"].to_numpy(np.int64), hot["v"].to_numpy(np.int64)
     # few documents follow any one key here: hot n-grams are gone, and a block gives a key at most once
-    met = postings(docs, table, order).join(values.where(~is_hot).select("key", "v").hint("merge"), "key", "left").where("v IS NOT NULL OR doc IS NOT NULL")
+    met = postings(docs, table, order).join(values.where(~F.col("hot")).select("key", "v").hint("merge"), "key", "left").where("v IS NOT NULL OR doc IS NOT NULL")
     spread = met.select("block", F.explode("post").alias("at"), F.when(F.col("doc").isNull(), F.col("v")).otherwise(F.col("doc.hot")).alias("v"), "doc")
     per_doc = spread.groupBy("block", "at").agg(F.sum("v").alias("v"), F.max("doc.id").alias("doc_id"), F.max("doc.lang").alias("lang"), F.max("doc.n").alias("n_words"))
     end = F.col("n_words") + 1
