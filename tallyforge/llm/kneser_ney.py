@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney model over words, trained on trusted text.
 
-Words are split at ASCII white space, lower-cased, freed of outer punctuation, with digits folded to 0. A text is read as
+Words are split at ASCII white space, freed of outer punctuation and lower-cased unless all in capitals; digits become 0. A text is read as
 order-1 start marks, its words, and an end mark. All counts cover all trusted texts: tasks sum their own n-grams, and the
 tables of each order (counts, continuation counts, context totals) are sharded by key and joined; they grow with the text.
 
@@ -50,10 +50,11 @@ UNIT = 1e6
 
 # --- words and n-grams
 def fold(words: pa.Array) -> pa.Array:
-    """Folded forms of distinct words; pure punctuation stays as it is."""
-    low = pc.utf8_lower(words)
-    bare = pc.ascii_trim(low, characters=".,;:!?\"'()[]{}|<>-_*#")
-    return pc.replace_substring_regex(pc.if_else(pc.equal(bare, ""), low, bare), "[0-9]", "0")
+    """Folded forms of distinct words: two and more letters in capitals only stay as they are, as does pure punctuation."""
+    bare = pc.ascii_trim(words, characters=".,;:!?\"'()")
+    bare = pc.if_else(pc.equal(bare, ""), words, bare)
+    shouted = pc.and_(pc.utf8_is_upper(bare), pc.greater(pc.utf8_length(bare), 1))
+    return pc.replace_substring_regex(pc.if_else(shouted, bare, pc.utf8_lower(bare)), "[0-9]", "0")
 
 
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +285,9 @@ def score(docs: DataFrame, values: DataFrame, unseen: float, order=ORDER) -> Dat
     # few documents follow any one key here: hot n-grams are gone, and a block gives a key at most once
     met = postings(docs, table, order).join(values.where(~F.col("hot")).select("key", "v").hint("merge"), "key", "left").where("v IS NOT NULL OR doc IS NOT NULL")
     spread = met.select("block", F.explode("post").alias("at"), F.when(F.col("doc").isNull(), F.col("v")).otherwise(F.col("doc.hot")).alias("v"), "doc")
-    per_doc = spread.groupBy("block", "at").agg(F.sum("v").alias("v"), F.max("doc.id").alias("doc_id"), F.max("doc.lang").alias("lang"), F.max("doc.n").alias("n_words"))
+    # documents' own fields are part of the first key: sums of fixed-size values stay in hash aggregation
+    sums = spread.groupBy("block", "at", "doc").agg(F.sum("v").alias("v"))
+    per_doc = sums.groupBy("block", "at").agg(F.sum("v").alias("v"), F.max("doc").alias("doc")).select("v", F.col("doc.id").alias("doc_id"), F.col("doc.lang").alias("lang"), F.col("doc.n").alias("n_words"))
     end = F.col("n_words") + 1
     return per_doc.select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, -(F.col("v") / UNIT / end) - unseen).alias("nll"))
 
