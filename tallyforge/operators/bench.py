@@ -56,3 +56,11 @@ def cost_model(runtime: DataFrame, prices: list[tuple[str, float]], pages: list[
 def best_run(runs: DataFrame, by: str, lowest: bool = False) -> DataFrame:
     """First wins among equals, by run id."""
     return runs.orderBy(F.col(by).asc_nulls_last() if lowest else F.col(by).desc_nulls_last(), "run_id").limit(1)
+
+
+def throughput(results: DataFrame, memory: str = "memory_peak_mb", cpu: str = "cpu_percent_avg") -> DataFrame:
+    """Pages a second and an hour, pages by second and megabyte, and pages an hour over memory and processor use."""
+    rate = lambda per: F.when(per > 0, F.col("pages_processed") / per).otherwise(0.0)
+    r = results.withColumn("pages_per_second", rate(F.col("runtime_seconds"))).withColumn("pages_per_hour", 3600 * F.col("pages_per_second"))
+    used = F.col(memory) + F.col(cpu)
+    return r.withColumn("efficiency_score", rate(F.col("runtime_seconds") * F.col(memory))).withColumn("resource_efficiency", F.when(used > 0, F.col("pages_per_hour") / used).otherwise(0.0))

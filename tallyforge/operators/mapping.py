@@ -147,3 +147,18 @@ def pair_by_tokens(left: DataFrame, right: DataFrame, key: str = "name", order:
     first = tokens(right).groupBy("token").agg(F.min_by(F.struct(F.col(order).alias("o"), F.col(key).alias("partner")), F.col(order)).alias("p"))
     hit = tokens(left).join(first, "token").groupBy(key, order).agg(F.min("p").alias("p")).select(key, order, F.col("p.partner").alias("partner"))
     return left.select(key, order).join(hit, [key, order], "left")
+
+
+def pair_directories(short: DataFrame, full: DataFrame) -> DataFrame:
+    """short(name) like prefix_year to the first full(name) that starts with the prefix and contains the year; null if none does.
+
+    Full names meet short ones on their own leading parts, so the join is an equi-join.
+    """
+    parts = F.split("name", "_")
+    s = short.where(F.size(parts) >= 2).select("name", parts[0].alias("_prefix"), F.element_at(parts, -1).alias("_year"))
+    sizes = [r[0] for r in s.select(F.length("_prefix")).distinct().collect()]  # lengths of prefixes: a handful of numbers
+    if not sizes:
+        return short.select("name", F.lit(None).cast("string").alias("partner"))
+    f = full.select(F.col("name").alias("partner"), F.explode(F.array_distinct(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.substring(F.col("name"), F.lit(1), n)))).alias("_prefix"))
+    hit = s.join(f, "_prefix").where(F.col("partner").contains(F.col("_year"))).groupBy("name").agg(F.min("partner").alias("partner"))
+    return short.select("name").join(hit, "name", "left")

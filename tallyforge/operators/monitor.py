@@ -140,3 +140,19 @@ def write_baseline(current: DataFrame, path: str, name: str, source_id: str, cre
     """Overwrite the named baseline's partition only."""
     out = current.select("metric", "value", F.lit(created).cast("timestamp").alias("created"), F.lit(source_id).alias("source_id"), F.lit(name).alias("name"))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").parquet(path)
+
+
+# The metrics of an evaluation that are tracked.
+TRACKED = (
+    "text_extraction.successful_extraction_rate", "text_extraction.avg_chars_per_page", "text_extraction.ocr_rate", "text_extraction.content_distribution_entropy",
+    "table_extraction.total_tables_extracted", "table_extraction.avg_content_quality", "table_extraction.methods_used",
+    "performance.avg_runtime_per_page", "performance.avg_throughput_pages_per_hour", "performance.avg_memory_usage_mb", "performance.overall_success_rate",
+    "regression_testing.tests_passed", "regression_testing.tests_failed", "regression_testing.overall_status_numeric",
+)
+
+
+def tracked_metrics(evaluations: DataFrame, key: str = "id", ts: str = "ts", names=TRACKED) -> DataFrame:
+    """Of the latest evaluation (id, ts, metric, value; rows as flatten_metrics makes them) every tracked metric, 0 where it is missing."""
+    last = evaluations.agg(F.max_by(key, ts).alias(key), F.max(ts).alias(ts)).where(F.col(key).isNotNull())
+    wanted = last.select(key, ts, F.explode(F.array(*map(F.lit, names))).alias("metric"))
+    return wanted.join(evaluations.select(key, "metric", "value"), [key, "metric"], "left").select(key, ts, "metric", F.coalesce("value", F.lit(0.0)).alias("value"))

@@ -52,9 +52,9 @@ def resolve_column(labels: DataFrame, columns: DataFrame) -> DataFrame:
     return pairs.groupBy("label").agg(F.min_by("column", F.struct((F.col("column") != F.col("label")).cast("int"), "col_idx")).alias("column"))
 
 
-def reconcile(mapping: DataFrame, reported: DataFrame, facts: DataFrame, ignore_unmapped: bool = True) -> DataFrame:
-    """mapping(label, concept), reported(label, pdf_value), facts(concept, fact_value) to discrepancies only."""
-    df = mapping.join(reported, "label", "left").join(facts, "concept", "left")
+def reconcile(mapping: DataFrame, reported: DataFrame, facts: DataFrame, ignore_unmapped: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """mapping(label, concept), reported(label, pdf_value), facts(concept, fact_value) to discrepancies only. All have the columns ``by``, which must agree too."""
+    df = mapping.join(reported, [*by, "label"], "left").join(facts, [*by, "concept"], "left")
     if ignore_unmapped:
         df = df.where("concept IS NOT NULL")
     p, x = F.col("pdf_value"), F.col("fact_value")
@@ -66,7 +66,7 @@ def reconcile(mapping: DataFrame, reported: DataFrame, facts: DataFrame, ignore_
     df = df.withColumn("discrepancy_type", kind).where("discrepancy_type IS NOT NULL")
     both = p.isNotNull() & x.isNotNull()
     return df.select(
-        "label", "concept", "pdf_value", "fact_value", F.abs(p - x).alias("difference"), F.when(both, percentage_difference(p, x)).alias("percentage_difference"),
+        *by, "label", "concept", "pdf_value", "fact_value", F.abs(p - x).alias("difference"), F.when(both, percentage_difference(p, x)).alias("percentage_difference"),
         F.col("scale").isNotNull().alias("scaled_match"), F.col("scale.factor").alias("scale_factor"), F.col("scale.direction").alias("scale_direction"), "discrepancy_type",
     ).withColumn("severity", severity(F.col("discrepancy_type"), F.col("percentage_difference")))
 
@@ -137,3 +137,35 @@ def diagnose(n_left, n_right, n_matched, mean_left, mean_right, n_periods, mappi
     gap = F.abs(F.log10(F.greatest(F.abs(mean_left), F.lit(1e-9))) - F.log10(F.greatest(F.abs(mean_right), F.lit(1e-9))))
     causes = F.array(F.when(n_matched / F.greatest(F.least(n_left, n_right), F.lit(1)) < 0.5, "few values match"), F.when(n_periods > 1, "several periods"), F.when(gap > 0.5, "scales differ"), F.when(mapping_rate < 0.5, "few labels map"))
     return F.filter(causes, lambda x: x.isNotNull())
+
+
+# Categories of facts and what their concepts contain.
+CATEGORIES = {
+    "revenue": ("Revenue", "SalesRevenueNet", "Revenues", "TotalRevenues"),
+    "net_income": ("NetIncomeLoss", "NetIncome", "ProfitLoss", "EarningsLossFromContinuingOperations"),
+    "total_assets": ("Assets", "TotalAssets", "AssetsTotal"),
+    "total_equity": ("StockholdersEquity", "Equity", "TotalEquity", "ShareholdersEquity"),
+    "cash": ("Cash", "CashAndCashEquivalents", "CashAndShortTermInvestments"),
+    "debt": ("Debt", "TotalDebt", "LongTermDebt"),
+    "shares_outstanding": ("SharesOutstanding", "CommonStockSharesOutstanding"),
+}
+
+
+def categorise(facts: DataFrame, categories: dict[str, tuple[str, ...]] | None = None, concept: str = "concept") -> DataFrame:
+    """``facts`` with ``category``, once for each category whose words the concept contains in any case. A fact is never doubled in one category."""
+    hit = [F.when(F.coalesce(F.lower(concept).rlike("|".join(w.lower() for w in ws)), F.lit(False)), name) for name, ws in (CATEGORIES if categories is None else categories).items()]
+    return facts.withColumn("category", F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())))
+
+
+def best_fact(facts: DataFrame, keys: list[str], seq: str, value: str = "numeric_value", context: str = "context_id", unit: str = "unit") -> DataFrame:
+    """Of each key the fact of the best score: 10 for a context, 5 for a unit, millions of value up to 50; the first wins."""
+    given = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1).otherwise(0)
+    score = 10 * given(context) + 5 * given(unit) + F.least(F.abs(value) / 1e6, F.lit(50.0))
+    ranked = facts.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(score.desc(), seq)))
+    return ranked.where("_r = 1").drop("_r")
+
+
+def category_tops(facts: DataFrame, seq: str, period: str, value: str = "numeric_value", n: int = 3) -> DataFrame:
+    """the first ``n`` facts of each category in its latest period with a value (the limit is the report's)."""
+    latest = facts.where(F.col(value).isNotNull()).withColumn("_p", F.max(period).over(W.partitionBy("category"))).where(F.col(period) == F.col("_p")).drop("_p")
+    return latest.withColumn("_r", F.row_number().over(W.partitionBy("category").orderBy(seq))).where(F.col("_r") <= n).drop("_r")

@@ -1,4 +1,4 @@
-"""Metadata records: builders, validation, completeness, format fan-out."""
+"""Metadata records: builders, validation, completeness, format fan-out."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.text import truncate
+from . import tables as tb
+
 # The block types that records may have.
 BLOCK_TYPES = ("heading", "subheading", "paragraph", "text_block", "list", "table", "figure", "header", "footer", "section", "structured_content", "image", "caption", "page_text")
 
@@ -84,3 +87,43 @@ def fit_width(row, headers):
     """A row of cells padded or cut to the headers' width."""
     n = F.size(headers)
     return F.slice(F.concat(row, F.array_repeat(F.lit(""), n)), 1, n)
+
+
+def table_records(cells: DataFrame, confidence: float = 0.85) -> DataFrame:
+    """P25: a record a table, its text rendered (P17) and its shape beside it."""
+    shape = cells.groupBy(*tb.TABLE).agg(F.countDistinct("row_idx").cast("int").alias("rows"), F.countDistinct("col_idx").cast("int").alias("cols"), F.max(F.col("header").isNotNull()).alias("has_headers"))
+    t = tb.render(cells).join(shape, tb.TABLE)
+    info = F.struct("rows", "cols", F.col("table_num").alias("table_id"), F.col("method").alias("extraction_method"), "has_headers").alias("table_info")
+    return t.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"), F.concat(F.lit("Table "), F.col("table_num").cast("string")).alias("section"), F.lit("table").alias("block_type"), "text", F.col("method").alias("extraction_method"), F.lit(confidence).alias("confidence"), info)
+
+
+def section_records(sections: DataFrame, confidence: float = 0.9, limit: int = 1500) -> DataFrame:
+    """sections(doc_id, section_number, title, content) to records; the ordinal stands for the page, long contents are cut."""
+    info = F.struct("title", F.length("content").cast("int").alias("content_length"), F.col("section_number").cast("int").alias("section_number")).alias("section_info")
+    return sections.where(F.length("content") > 50).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("section_number").cast("int").alias("page"), F.coalesce("title", F.lit("Introduction")).alias("section"), F.lit("section").alias("block_type"), truncate(F.col("content"), limit).alias("text"), F.lit("docling").alias("extraction_method"), F.lit(confidence).alias("confidence"), info)
+
+
+def object_records(objects: DataFrame) -> DataFrame:
+    """Drawn objects (doc_id, page, kind, x0, top, x1, bottom) to a record a page and kind: how many, and the box around them."""
+    g = objects.groupBy("doc_id", "page", "kind").agg(F.count("*").alias("n"), F.struct(F.min("x0").alias("x1"), F.min("top").alias("y1"), F.max("x1").alias("x2"), F.max("bottom").alias("y2")).alias("bbox"))
+    return g.select("doc_id", "page", F.concat(F.lit("Page "), F.col("page").cast("string")).alias("section"), F.when(F.col("kind") == "image", "image").otherwise("figure").alias("block_type"), F.concat(F.col("n").cast("string"), F.lit(" "), "kind").alias("text"), F.lit("pdfplumber").alias("extraction_method"), F.lit(0.9).alias("confidence"), "bbox")
+
+
+def page_totals(records: DataFrame, by: list[str]) -> DataFrame:
+    """Characters of text and number of tables by page."""
+    return records.groupBy(*by).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("text_length"), F.count_if(F.col("block_type") == "table").alias("n_tables"))
+
+
+def structure_summary(docs: DataFrame, tables: DataFrame, preview: int = 500) -> DataFrame:
+    """docs(doc_id, markdown, text) and their tables(doc_id, table_num, rows, cols): lengths, tables' shapes, a preview."""
+    shapes = tables.groupBy("doc_id").agg(F.count("*").alias("n_tables"), F.array_sort(F.collect_list(F.struct("table_num", "rows", "cols"))).alias("shapes"))
+    none = F.lit(0).cast("long")
+    return docs.join(shapes, "doc_id", "left").select("doc_id", F.length("markdown").alias("markdown_length"), F.length("text").alias("text_length"), F.coalesce("n_tables", none).alias("n_tables"), "shapes", F.substring("markdown", 1, preview).alias("preview"))
+
+
+def layout_counts(ocr: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pages of a nested OCR document, and which kinds of parts it has."""
+    size = lambda c: F.greatest(F.size(c), F.lit(0))
+    total = lambda part: F.aggregate(F.coalesce("pages", F.array()), F.lit(0), lambda n, p: n + size(p[part])).alias(f"n_{part}")
+    has = lambda part: F.coalesce(F.exists("pages", lambda p: size(p[part]) > 0), F.lit(False)).alias(f"has_{part}")
+    return ocr.select(key, size(F.col("pages")).alias("n_pages"), F.length(F.coalesce("text", F.lit(""))).alias("text_length"), *[total(p) for p in ("blocks", "paragraphs", "lines", "tables", "form_fields")], has("tables"), has("form_fields"), size(F.col("entities")).alias("n_entities"))

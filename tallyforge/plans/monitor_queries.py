@@ -158,3 +158,15 @@ def latest_status(spark, sf_dir):
 def dedupe_keep_first(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.min("event_id").alias("event_id")).select("event_id", "user_id", "event_type")
+
+
+@register("""WITH e AS (SELECT event_id AS id, ts, event_type || '.value' AS metric, value FROM events UNION ALL SELECT event_id, ts, event_type || '.user', user_id::DOUBLE FROM events),
+l AS (SELECT arg_max(id, struct_pack(ts, id)) AS id FROM e), w AS (SELECT DISTINCT metric FROM e)
+SELECT l.id AS id, w.metric AS metric, coalesce(e.value, 0)::DOUBLE AS value FROM l CROSS JOIN w LEFT JOIN e ON e.id = l.id AND e.metric = w.metric""")
+def tracked_metrics(spark, sf_dir):
+    """The last event as an evaluation; metrics of the other types are missing from it and count as 0."""
+    e = table(spark, sf_dir, "events")
+    kinds = [r[0] for r in e.select("event_type").distinct().collect()]  # a handful
+    long = e.select(F.col("event_id").alias("id"), F.struct("ts", "event_id").alias("ts"), F.explode(F.array(F.struct(F.concat("event_type", F.lit(".value")).alias("m"), F.col("value").cast("double").alias("v")), F.struct(F.concat("event_type", F.lit(".user")).alias("m"), F.col("user_id").cast("double").alias("v")))).alias("x"))
+    found = mo.tracked_metrics(long.select("id", "ts", F.col("x.m").alias("metric"), F.col("x.v").alias("value")), names=[f"{k}.{s}" for k in kinds for s in ("value", "user")])
+    return found.select("id", "metric", "value")

@@ -215,3 +215,42 @@ def cost_model(spark, sf_dir):
     r = bench.derive(_results(spark, sf_dir)).agg(F.avg("runtime_per_page").alias("runtime_per_page"))
     c = bench.cost_model(r, [("ocr", 0.0015), ("text", 0.0001)], [100, 1000, 5000, 10000])
     return c.select("service", "pages", r6("service_cost").alias("service_cost"), r6("own_cost").alias("own_cost"), "tier", "cheaper")
+
+
+@register(_C + """SELECT method, count(*) AS n_tables, round(avg("rows"), 6) AS avg_rows, round(stddev_samp("rows"), 6) AS std_rows, round(avg(cols), 6) AS avg_cols, round(stddev_samp(cols), 6) AS std_cols, median("rows" * cols)::DOUBLE AS median_cells,
+  round(avg(content_quality), 6) AS avg_quality, round(stddev_samp(content_quality), 6) AS std_quality, round(avg((content_quality > 0.7)::INT), 6) AS high_quality_ratio FROM c GROUP BY method""")
+def table_structure_stats(spark, sf_dir):
+    s = tb.structure_stats(_candidates(spark, sf_dir), ["method"])
+    return s.select("method", "n_tables", "median_cells", *[r6(x).alias(x) for x in ("avg_rows", "std_rows", "avg_cols", "std_cols", "avg_quality", "std_quality", "high_quality_ratio")])
+
+
+_CATEGORIES = {"pressing": ("urgent", "high"), "planned": ("MEDIUM", "LOW"), "levels": ("HIGH", "MEDIUM", "LOW")}
+
+
+def _categorised(spark, sf_dir):
+    """orders as facts: priorities as concepts, clerks as contexts, totals as values; not every fact has a unit."""
+    f = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("concept"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("context_id"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("USD")).alias("unit"), F.col("o_totalprice").alias("numeric_value"), F.trunc("o_orderdate", "year").alias("end_date"), "o_custkey")
+    return rc.categorise(f, _CATEGORIES)
+
+
+_K = """WITH k AS (SELECT * FROM (VALUES ('pressing', 'urgent|high'), ('planned', 'medium|low'), ('levels', 'high|medium|low')) AS v(category, p)),
+f AS (SELECT category, orders.*, 10 * (o_orderkey % 7 <> 0)::INT + 5 * (o_orderkey % 3 = 0)::INT + least(abs(o_totalprice) / 1e6, 50) AS score FROM orders JOIN k ON regexp_matches(lower(o_orderpriority), p))
+"""
+
+
+@register(_K + "SELECT category, o_custkey, o_orderkey, o_totalprice AS numeric_value FROM (SELECT *, row_number() OVER (PARTITION BY category, o_custkey ORDER BY score DESC, o_orderkey) AS r FROM f) WHERE r = 1")
+def category_best_fact(spark, sf_dir):
+    return rc.best_fact(_categorised(spark, sf_dir), ["category", "o_custkey"], "o_orderkey").select("category", "o_custkey", "o_orderkey", "numeric_value")
+
+
+@register(_K + """, m AS (SELECT category, max(date_trunc('year', o_orderdate)) AS e FROM f GROUP BY 1)
+SELECT category, o_orderkey, concept, numeric_value FROM (SELECT category, o_orderkey, o_orderpriority AS concept, o_totalprice AS numeric_value, row_number() OVER (PARTITION BY category ORDER BY o_orderkey) AS r FROM f JOIN m USING (category) WHERE date_trunc('year', o_orderdate) = e) WHERE r <= 3""")
+def category_tops(spark, sf_dir):
+    return rc.category_tops(_categorised(spark, sf_dir), "o_orderkey", "end_date").select("category", "o_orderkey", "concept", "numeric_value")
+
+
+@register("""WITH b AS (SELECT l_suppkey AS operation, round(sum(l_quantity), 2) AS rt, max(l_quantity) AS mem, round(avg(l_tax * 100), 6) AS cpu, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT operation, round(n / rt, 6) AS pages_per_second, round(n / (rt * mem), 6) AS efficiency_score, round(3600 * (n / rt) / (mem + cpu), 6) AS resource_efficiency FROM b""")
+def throughput(spark, sf_dir):
+    t = bench.throughput(_results(spark, sf_dir))
+    return t.select("operation", *[r6(c).alias(c) for c in ("pages_per_second", "efficiency_score", "resource_efficiency")])

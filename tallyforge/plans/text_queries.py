@@ -276,3 +276,13 @@ def reading_order(spark, sf_dir):
     from ..operators.layout import reading_order as order
 
     return order(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "reading_order", "multicolumn")
+
+
+@register(f"""
+WITH b AS (SELECT source, doc_id % 50 AS page, text, {_CLASS} AS b FROM documents WHERE trim(text) <> '')
+SELECT source AS section, page::INT AS page, sum(length(text))::BIGINT AS text_length, count(*) FILTER (b = 'list') AS n_tables FROM b GROUP BY ALL
+""")
+def page_totals(spark, sf_dir):
+    """Lists stand for tables."""
+    r = _records(spark, sf_dir).withColumn("block_type", F.when(F.col("block_type") == "list", "table").otherwise(F.col("block_type")))
+    return records.page_totals(r, ["section", "page"])

@@ -154,3 +154,14 @@ def page_subset(pages: DataFrame, wanted: list[int] | None = None, n: int | None
             raise ValueError(f"pages start at 1: {bad}")
         return pages.where(F.col(page).isin(*wanted))
     return pages.orderBy(F.xxhash64(page, F.lit(seed)), page).limit(n or 0)
+
+
+def existing_only(index: DataFrame, files: DataFrame, name: str = "filename") -> DataFrame:
+    """Rows of ``index`` whose file is among ``files`` (file)."""
+    return index.join(files.select(F.col("file").alias(name)).distinct(), name, "left_semi")
+
+
+def page_info(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Name and size in megabytes of each file under ``path``; contents are not read."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("length") / (1024 * 1024)).alias("size_mb"), F.col("modificationTime").alias("modified"))
