@@ -25,10 +25,10 @@ def first_facts(facts: DataFrame, seq: str) -> DataFrame:
 
 def latest_period(facts: DataFrame, key: str = "concept") -> DataFrame:
     """Of each key the rows of the latest end date; without end dates those of the latest instant; without both all."""
-    w = W.partitionBy(key)
-    df = facts.withColumn("_e", F.max("end_date").over(w)).withColumn("_i", F.max("instant_date").over(w))
+    last = facts.groupBy(F.col(key).alias("_key")).agg(F.max("end_date").alias("_e"), F.max("instant_date").alias("_i"))
+    df = facts.join(last, facts[key].eqNullSafe(last["_key"]))  # summed before the shuffle: a key may hold a third of all rows
     keep = F.when(F.col("_e").isNotNull(), F.col("end_date") == F.col("_e")).when(F.col("_i").isNotNull(), F.col("instant_date") == F.col("_i")).otherwise(True)
-    return df.where(F.coalesce(keep, F.lit(False))).drop("_e", "_i")
+    return df.where(F.coalesce(keep, F.lit(False))).drop("_e", "_i", "_key")
 
 
 def aggregate_values(df: DataFrame, keys: list[str], value: str, how: str = "sum", seq: str | None = None) -> DataFrame:
@@ -76,12 +76,15 @@ def severity(kind, percent):
     return F.when(kind == "no_xbrl_mapping", "unmapped").when(kind.startswith("missing"), "missing_data").when(kind == "error", "errors").when(kind == "scale_mismatch", "moderate").when(percent > 10, "critical").when(percent > 1, "moderate").otherwise("minor")
 
 
-def severity_counts(found: DataFrame) -> DataFrame:
-    """A3, A4: counts by severity, and statistics of finite percentages (a missing one counts as 0)."""
+def severity_counts(found: DataFrame, exact: bool = True) -> DataFrame:
+    """A3, A4: counts by severity, and statistics of finite percentages (a missing one counts as 0).
+
+    The exact median keeps a count of each distinct percentage; for billions of discrepancies ask for the approximate one.
+    """
     n = lambda s: F.sum(F.when(F.col("severity").isin(*s), 1).otherwise(0))
     pct = F.coalesce("percentage_difference", F.lit(0.0))
     pct = F.when(pct < math.inf, pct)
-    return found.agg(F.count("*").alias("n"), n(["critical"]).alias("critical"), n(["moderate"]).alias("moderate"), n(["minor"]).alias("minor"), n(["missing_data", "unmapped"]).alias("data_issues"), n(["errors"]).alias("errors"), F.avg(pct).alias("mean_pct"), F.percentile(pct, 0.5).alias("median_pct"), F.max(pct).alias("max_pct"), F.min(pct).alias("min_pct"))
+    return found.agg(F.count("*").alias("n"), n(["critical"]).alias("critical"), n(["moderate"]).alias("moderate"), n(["minor"]).alias("minor"), n(["missing_data", "unmapped"]).alias("data_issues"), n(["errors"]).alias("errors"), F.avg(pct).alias("mean_pct"), (F.percentile(pct, 0.5) if exact else F.percentile_approx(pct, 0.5, 100_000)).alias("median_pct"), F.max(pct).alias("max_pct"), F.min(pct).alias("min_pct"))
 
 
 def value_range_join(left: DataFrame, right: DataFrame, tolerance: float = 0.1, key: str = "id", value: str = "value") -> DataFrame:
@@ -167,5 +170,7 @@ def best_fact(facts: DataFrame, keys: list[str], seq: str, value: str = "numeric
 
 def category_tops(facts: DataFrame, seq: str, period: str, value: str = "numeric_value", n: int = 3) -> DataFrame:
     """the first ``n`` facts of each category in its latest period with a value (the limit is the report's)."""
-    latest = facts.where(F.col(value).isNotNull()).withColumn("_p", F.max(period).over(W.partitionBy("category"))).where(F.col(period) == F.col("_p")).drop("_p")
+    valued = facts.where(F.col(value).isNotNull())
+    last = valued.groupBy("category").agg(F.max(period).alias("_p"))  # a row a category: few
+    latest = valued.join(F.broadcast(last), "category").where(F.col(period) == F.col("_p")).drop("_p")
     return latest.withColumn("_r", F.row_number().over(W.partitionBy("category").orderBy(seq))).where(F.col("_r") <= n).drop("_r")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import records as rec, tables as tb
 
+#: Rows of an Excel sheet, its header included.
+SHEET_ROWS = 1_048_576
+
 
 def save_pages(pages: DataFrame, path: str) -> None:
     """K1: pages by document, and each document's text with page marks."""
@@ -44,6 +47,8 @@ def save_formats(records: DataFrame, path: str, order: list) -> None:
 def save_as(df: DataFrame, path: str, kind: str) -> None:
     """K6, K7: csv, json or parquet; any other kind raises. Excel is written from the driver for small results."""
     if kind == "xlsx":
+        if df.limit(SHEET_ROWS).count() == SHEET_ROWS:
+            raise ValueError(f"a sheet holds fewer than {SHEET_ROWS} rows below its header")
         df.toPandas().to_excel(path)
     elif kind in ("csv", "json", "parquet", "orc"):
         df.write.mode("overwrite").option("header", True).format(kind).save(path)

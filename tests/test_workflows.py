@@ -118,3 +118,14 @@ def test_objects_structure_and_counts(spark):
 
 def test_volume_tiers(spark):
     assert [spark.range(1).select(bench.volume_tier(F.lit(n))).first()[0] for n in (999, 1000, 10000)] == ["small", "medium", "large"]
+
+
+def test_latest_period_keeps_null_keys(spark):
+    d = datetime.date
+    f = spark.createDataFrame([(1, "a", d(2024, 1, 1), None), (2, "a", d(2023, 1, 1), None), (3, "b", None, d(2022, 1, 1)), (4, "b", None, d(2021, 1, 1)), (5, "c", None, None), (6, None, d(2020, 1, 1), None), (7, None, d(2019, 1, 1), None)], "seq int, concept string, end_date date, instant_date date")
+    assert sorted(r["seq"] for r in rc.latest_period(f).collect()) == [1, 3, 5, 6]
+
+
+def test_median_of_differences(spark):
+    f = spark.createDataFrame([("critical", 20.0), ("minor", 1.0), ("missing_data", None)], "severity string, percentage_difference double")
+    assert [rc.severity_counts(f, exact=e).first()["median_pct"] for e in (True, False)] == [1.0, 1.0]
