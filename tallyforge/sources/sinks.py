@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import records as rec, tables as tb
+from ..operators import mapping, records as rec, tables as tb
+from . import readers
 
 #: Rows of an Excel sheet, its header included.
 SHEET_ROWS = 1_048_576
@@ -64,3 +65,33 @@ def append_run(runs: DataFrame, path: str) -> None:
 def save_suite(results: DataFrame, path: str) -> None:
     """Without the bulky report text."""
     results.drop("report_content").write.mode("overwrite").json(path)
+
+
+def save_session(found: dict[str, DataFrame], path: str, session_id: str) -> None:
+    """K8: the frames of a cross-verification, each with its session as a partition, so that a rerun replaces its own session only."""
+    for name, df in found.items():
+        df.withColumn("session_id", F.lit(session_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{path}/{name}")
+
+
+def save_ocr(docs: DataFrame, path: str, key: str = "doc_id") -> None:
+    """K9: pages, table cells, form fields, entities and counts of nested OCR documents, one write each."""
+    parts = {"pages": readers.ocr_pages(docs, key), "cells": readers.ocr_cells(docs, key), "forms": readers.ocr_forms(docs, key), "entities": readers.ocr_entities(docs, key), "summary": rec.layout_counts(docs, key)}
+    for name, df in parts.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def save_structure(docs: DataFrame, tables: DataFrame, path: str) -> None:
+    """Converted documents (doc_id, markdown, text) as markdown by document, and the summary of their structure."""
+    docs.where("markdown IS NOT NULL").select("markdown", "doc_id").write.mode("overwrite").partitionBy("doc_id").text(f"{path}/markdown")
+    rec.structure_summary(docs, tables).write.mode("overwrite").json(f"{path}/structure")
+
+
+def export_rules(rules: DataFrame, path: str) -> None:
+    """Label rules (clean_label, concept) as JSON lines."""
+    rules.select("clean_label", "concept").write.mode("overwrite").json(path)
+
+
+def import_rules(rules: DataFrame, path: str) -> DataFrame:
+    """``rules`` with those of ``path``, which replace rules of the same label; equal rows once."""
+    more = rules.sparkSession.read.schema("clean_label string, concept string").json(path)
+    return mapping.upsert_rules(rules.select("clean_label", "concept"), more).distinct()

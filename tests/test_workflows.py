@@ -1,13 +1,14 @@
 """The end-to-end workflows and reports on worked cases."""
 
 import datetime
+import json
 
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.operators import bench, mapping, monitor, records, reconcile as rc, tables as tb
 from tallyforge.plans import workflows as wf
-from tallyforge.sources import readers, reports
+from tallyforge.sources import readers, reports, sinks
 
 
 def cells(spark, tables):
@@ -129,3 +130,28 @@ def test_latest_period_keeps_null_keys(spark):
 def test_median_of_differences(spark):
     f = spark.createDataFrame([("critical", 20.0), ("minor", 1.0), ("missing_data", None)], "severity string, percentage_difference double")
     assert [rc.severity_counts(f, exact=e).first()["median_pct"] for e in (True, False)] == [1.0, 1.0]
+
+
+def test_sessions_and_rules(spark, tmp_path):
+    one = spark.createDataFrame([(1,)], "n int")
+    for session, df in (("a", one), ("b", one), ("a", one.unionByName(one))):
+        sinks.save_session({"x": df}, str(tmp_path / "s"), session)
+    assert {(r["session_id"], r["count"]) for r in spark.read.parquet(str(tmp_path / "s" / "x")).groupBy("session_id").count().collect()} == {("a", 2), ("b", 1)}
+    rules = lambda *xs: spark.createDataFrame(xs, "clean_label string, concept string")
+    sinks.export_rules(rules(("sales", "Revenues"), ("cash", "Cash")), str(tmp_path / "r"))
+    got = sinks.import_rules(rules(("sales", "Old"), ("debt", "Debt")), str(tmp_path / "r"))
+    assert {tuple(r) for r in got.collect()} == {("sales", "Revenues"), ("cash", "Cash"), ("debt", "Debt")}
+
+
+def test_ocr_and_structure_sinks(spark, tmp_path):
+    page = {"page_number": 1, "paragraphs": [{"text": "p"}], "tables": [{"table_id": 0, "header_rows": [[{"text": "h"}]], "body_rows": [[{"text": "v"}]]}], "form_fields": [{"field_name": "n", "field_value": "v"}]}
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "d.json").write_text(json.dumps({"text": "t", "pages": [page], "entities": [{"type": "T", "mention_text": "m", "page_refs": [{"page": 1}]}]}))
+    docs = readers.json_documents(spark, str(tmp_path / "o")).drop("_corrupt_record").withColumn("doc_id", F.lit("d"))
+    sinks.save_ocr(docs, str(tmp_path / "out"))
+    assert [spark.read.json(str(tmp_path / "out" / n)).count() for n in ("pages", "cells", "forms", "entities", "summary")] == [1, 2, 1, 1, 1]
+    assert spark.read.json(str(tmp_path / "out" / "summary")).first()["n_paragraphs"] == 1
+    whole = spark.createDataFrame([("d", "# T\nbody", "body"), ("e", None, None)], "doc_id string, markdown string, text string")
+    tables = spark.createDataFrame([("d", 1, 2, 2)], "doc_id string, table_num int, rows int, cols int")
+    sinks.save_structure(whole, tables, str(tmp_path / "m"))
+    assert {r["doc_id"]: r["n_tables"] for r in spark.read.json(str(tmp_path / "m" / "structure")).collect()} == {"d": 1, "e": 0}
