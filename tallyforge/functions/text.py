@@ -1,4 +1,4 @@
-"""Text: profiles, segmentation, classes, label cleaning, truncation."""
+"""Text: profiles, segmentation, classes, label cleaning, truncation."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from .numeric import parse_accounting
+
 # Label cleaning rules, in order.
 CLEAN_RULES = (
     (r"\(in \$.*?\)", ""),
@@ -28,6 +30,21 @@ HEADING_WORDS = ("FORM", "REPORT", "TESLA", "ITEM", "PART", "SECTION")
 MONEY_WORDS = ("$", "MILLION", "BILLION", "REVENUE", "INCOME")
 STRUCTURE_WORDS = ("TABLE", "FIGURE", "EXHIBIT")
 
+#: Financial values: (name, pattern), and (name, pattern, scale); group 1 is the number.
+CONTEXT_PATTERNS = (
+    ("revenue", r"(?:revenue|sales|income)[^\d]*(\$?\d+(?:,\d{3})*(?:\.\d+)?)"),
+    ("net_income", r"(?:net income|profit|earnings)[^\d]*(\$?\d+(?:,\d{3})*(?:\.\d+)?)"),
+    ("assets", r"(?:total assets|assets)[^\d]*(\$?\d+(?:,\d{3})*(?:\.\d+)?)"),
+    ("cash", r"(?:cash|cash and equivalents)[^\d]*(\$?\d+(?:,\d{3})*(?:\.\d+)?)"),
+)
+VALUE_PATTERNS = (
+    ("currency_millions", r"\$(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)\s*(?:million|mil\b)", 1e6),
+    ("currency_billions", r"\$(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)\s*(?:billion|bil\b)", 1e9),
+    ("currency_exact", r"\$(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)", 1.0),
+    ("percentage", r"(\d{1,3}(?:\.\d{1,2})?)%", 1.0),
+    ("large_numbers", r"\b(\d{1,3}(?:,\d{3})+)\b", 1.0),
+)
+
 SPACE = r"\s+"
 
 
@@ -142,6 +159,20 @@ def profile(text, lexicon=PROFILE_WORDS) -> dict:
     }
 
 
+def financial_values(text, contextual=CONTEXT_PATTERNS, general=VALUE_PATTERNS):
+    """Array of (pattern_type, context, idx, value, original_text) of all matches of each pattern; patterns overlap, each emits its own.
+
+    Contextual patterns read the lowered text. Case, blanks and word ends are those of Unicode. ``idx`` counts a pattern's matches.
+    """
+    def found(t, pattern, kind, context, scale):
+        p = F.lit("(?iU)" + pattern)
+        both = F.zip_with(F.regexp_extract_all(t, p, F.lit(0)), F.regexp_extract_all(t, p, F.lit(1)), lambda whole, number: F.struct(whole.alias("whole"), number.alias("number")))
+        return F.transform(both, lambda m, i: F.struct(F.lit(kind).alias("pattern_type"), F.lit(context).alias("context"), i.alias("idx"), (parse_accounting(m["number"]) * scale).alias("value"), m["whole"].alias("original_text")))
+
+    each = [found(F.lower(text), p, "contextual", name, 1.0) for name, p in contextual] + [found(text, p, name, "unknown", k) for name, p, k in general]
+    return F.filter(F.concat(*each), lambda m: m["value"].isNotNull())
+
+
 def clean_filename(name):
     """Characters that file systems refuse become one underscore."""
     return F.trim(F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), "_+", "_"))

@@ -170,6 +170,20 @@ def amount_regex_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([0-9]{4,})[^0-9]"), F.lit(1))).alias("idx", "value"))
 
 
+def _matches(text: str, pattern: str, kind: str, context: str, scale: float) -> str:
+    v, o = (f"regexp_extract_all({text}, '(?i){pattern}', {g})" for g in (1, 0))
+    return f"SELECT doc_id, '{kind}' AS pattern_type, '{context}' AS context, unnest(range(len(v))) AS i, v, o, {scale} AS k FROM (SELECT doc_id, {v} AS v, {o} AS o FROM documents)"
+
+
+_AMOUNTS = " UNION ALL ".join([_matches("lower(text)", p, "contextual", name, 1.0) for name, p in tx.CONTEXT_PATTERNS] + [_matches("text", p, name, "unknown", k) for name, p, k in tx.VALUE_PATTERNS])
+
+
+@register(rf"SELECT doc_id, pattern_type, context, i::INT AS idx, regexp_replace(v[i + 1], '[,$]', '', 'g')::DOUBLE * k::DOUBLE AS value, o[i + 1] AS original_text FROM ({_AMOUNTS})")
+def financial_values(spark, sf_dir):
+    """T17 over whole texts; amount_regex_extract stays beside it, for plain runs of digits."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.financial_values(F.col("text"))).alias("m")).select("doc_id", "m.*")
+
+
 _LABEL = "'Total ' || p_name || ' & ' || p_brand || ' (in $millions)'"
 _CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({_LABEL}), '\(in \$.*?\)', '', 'g'), '[^\w\s&]', ' ', 'g'), '\s+', ' ', 'g'))"
 

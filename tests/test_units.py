@@ -165,6 +165,31 @@ def test_classes(spark):
     assert [c("Annual report"), c("OVERVIEW OF"), c("x" * 120 + " $5"), c("1. first " + "x" * 120), c("see table " + "x" * 120), c("x" * 120)] == ["heading", "subheading", "text_block", "list", "structured_content", "paragraph"]
 
 
+def test_financial_values(spark, tmp_path):
+    import duckdb
+
+    from tallyforge.plans import text_queries
+
+    texts = ["Net income was $1,234 and 5", "$2.50 million, then $3 BILLION, $7 mil", "up 12.5% to 1,234,567", "Total assets: none\nof 42", "cash 7", "no amount", "", None, "$1,000\nmilk 12345,678 €9,999"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = text_queries.financial_values(spark, str(tmp_path)).collect()
+    got = sorted((r["doc_id"], r["pattern_type"], r["context"], r["idx"], r["value"]) for r in rows)
+    u = "unknown"
+    assert got == sorted([
+        (0, "contextual", "revenue", 0, 1234.0), (0, "contextual", "net_income", 0, 1234.0), (0, "currency_exact", u, 0, 1234.0), (0, "large_numbers", u, 0, 1234.0),
+        (1, "currency_millions", u, 0, 2.5e6), (1, "currency_millions", u, 1, 7e6), (1, "currency_billions", u, 0, 3e9), (1, "currency_exact", u, 0, 2.5), (1, "currency_exact", u, 1, 3.0), (1, "currency_exact", u, 2, 7.0),
+        (2, "percentage", u, 0, 12.5), (2, "large_numbers", u, 0, 1234567.0), (3, "contextual", "assets", 0, 42.0), (4, "contextual", "cash", 0, 7.0),
+        (8, "currency_exact", u, 0, 1000.0), (8, "large_numbers", u, 0, 1000.0), (8, "large_numbers", u, 1, 9999.0),
+    ])
+    assert {r["original_text"] for r in rows if r["doc_id"] == 3} == {"total assets: none\nof 42"}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(f"SELECT doc_id, pattern_type, context, idx, value, original_text FROM ({text_queries.ORACLES['financial_values']})").fetchall()
+    assert sorted(want) == sorted(tuple(r[k] for k in ("doc_id", "pattern_type", "context", "idx", "value", "original_text")) for r in rows)
+    own = spark.range(1).select(F.explode(tx.financial_values(s("EBIT 9"), [("ebit", r"ebit (\d+)")], [])).alias("m")).select("m.*").collect()
+    assert [(r["context"], r["value"]) for r in own] == [("ebit", 9.0)]
+
+
 def test_sections(spark):
     got = one(spark, tx.sections(s("intro\n## One\nbody\nmore\n## Two\n")))[0]
     assert [(x["title"], x["content"]) for x in got] == [(None, "intro"), ("One", "body\nmore"), ("Two", "")]
