@@ -53,6 +53,12 @@ def words(t):
     return F.filter(F.split(F.coalesce(t, F.lit("")), SPACE), lambda w: w != "")
 
 
+def tokens(t, stop=()):
+    """Lowered runs of letters, marks and digits of any script, without the words in ``stop``; none for null."""
+    out = F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    return F.filter(out, lambda w: ~w.isin(*stop)) if stop else out
+
+
 def n_words(t):
     return F.size(words(t))
 

@@ -11,6 +11,8 @@ from ..functions.text import words
 
 #: A dimension side above this many rows is joined by its blocking key instead of being compared with all.
 SMALL_DIMENSION = 20_000
+#: Up to this many pairs of document and token a TF-IDF side is broadcast.
+SMALL_POSTINGS = 200_000
 
 
 def exact(labels: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,19 +97,25 @@ def strategies(labels: DataFrame, concepts: DataFrame, synonyms: DataFrame, leas
 def tfidf(docs: DataFrame, queries: DataFrame, least: float = 0.0) -> DataFrame:
     """Best document by TF-IDF cosine for each query: docs(doc, token), queries(query, token), one row a token occurrence.
 
-    Smooth idf: ln((1 + n) / (1 + df)) + 1 over ``docs``. Pairs meet on shared tokens only.
+    Smooth idf: ln((1 + n) / (1 + df)) + 1 over ``docs``. Pairs meet on shared tokens only; a query that shares none gets no row.
     """
+    pairs = docs.distinct()
     n = docs.select("doc").distinct().agg(F.count("*").alias("n"))
-    idf = docs.distinct().groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = pairs.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    small = pairs.limit(SMALL_POSTINGS + 1).count() <= SMALL_POSTINGS
+    near = F.broadcast if small else lambda df: df
 
     def weigh(df, key):
-        tf = df.groupBy(key, "token").agg(F.count("*").alias("tf")).join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-        norm = tf.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return tf.join(norm, key).select(key, "token", (F.col("w") / F.col("norm")).alias("w"))
+        if small:  # tokens that docs have are dealt by their text once, and all else is done there: no token is a task of its own
+            tf = df.join(near(idf), "token").repartition(key).groupBy(key, "token", "idf").agg(F.count("*").alias("tf"))
+        else:
+            tf = df.groupBy(key, "token").agg(F.count("*").alias("tf")).join(idf, "token")
+        tf = tf.withColumn("w", F.col("tf") * F.col("idf"))
+        return tf.select(key, "token", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).alias("w"))
 
     d, q = weigh(docs, "doc"), weigh(queries, "query")
-    dots = q.withColumnRenamed("w", "wq").join(d, "token").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("cosine"))
-    return dots.where(F.col("cosine") >= least).groupBy("query").agg(F.max_by(F.struct("doc", "cosine"), F.struct("cosine", -F.col("doc"))).alias("b")).select("query", "b.doc", "b.cosine")
+    dots = q.withColumnRenamed("w", "wq").join(near(d), "token").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("cosine"))
+    return dots.where(F.col("cosine") >= least).groupBy("query").agg(F.min_by(F.struct("doc", "cosine"), F.struct(-F.col("cosine"), "doc")).alias("b")).select("query", "b.doc", "b.cosine")
 
 
 def statistics(mapped: DataFrame) -> DataFrame:

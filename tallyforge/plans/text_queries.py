@@ -262,6 +262,26 @@ def label_tfidf_map(spark, sf_dir):
     return mapping.tfidf(docs, queries)
 
 
+_ALL_TOKENS = r"SELECT {0} AS k, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')) AS token FROM {1}"
+
+
+@register(rf"""
+WITH d AS ({_ALL_TOKENS.format('item_id', 'benchmark')}), q AS ({_ALL_TOKENS.format('doc_id', 'documents')}),
+n AS (SELECT count(DISTINCT k) AS n FROM d), idf AS (SELECT token, ln((1 + n.n)::DOUBLE / (1 + count(DISTINCT k))) + 1 AS idf FROM d, n GROUP BY token, n.n),
+dw AS (SELECT k, token, count(*) * idf AS w FROM d JOIN idf USING (token) GROUP BY k, token, idf), qw AS (SELECT k, token, count(*) * idf AS w FROM q JOIN idf USING (token) GROUP BY k, token, idf),
+dn AS (SELECT k, sqrt(sum(w * w)) AS n FROM dw GROUP BY k), qn AS (SELECT k, sqrt(sum(w * w)) AS n FROM qw GROUP BY k),
+s AS (SELECT qw.k AS query, dw.k AS doc, round(sum(qw.w / qn.n * (dw.w / dn.n)), 6) AS cosine FROM qw JOIN dw USING (token) JOIN dn ON dn.k = dw.k JOIN qn ON qn.k = qw.k GROUP BY 1, 2),
+b AS (SELECT query, doc, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, doc) AS r FROM s) WHERE r = 1)
+SELECT doc_id AS query, doc, cosine FROM documents LEFT JOIN b ON query = doc_id
+""")
+def document_tfidf_map(spark, sf_dir):
+    """T6 over all words of whole documents against benchmark, null for a document without a match; label_tfidf_map stays beside it, for long words of conversations."""
+    d = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.explode(tx.tokens(F.col("text"))).alias("token"))
+    best = mapping.tfidf(docs, d.select(F.col("doc_id").alias("query"), F.explode(tx.tokens(F.col("text"))).alias("token")))
+    return d.select(F.col("doc_id").alias("query")).join(best, "query", "left").select("query", "doc", "cosine")
+
+
 @register(r"""
 WITH t AS (SELECT p_partkey AS s, p_name AS name, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[_\-.\s]+'), lambda x: x <> ''))) AS token FROM part),
 f AS (SELECT token, min(s) AS s FROM t WHERE s % 2 = 0 GROUP BY token),

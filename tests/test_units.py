@@ -132,6 +132,23 @@ def test_cascade_gives_one_row_a_label(spark):
     assert {r["label"]: r["method"] for r in st.collect()} == {1: "exact", 2: "synonym", 3: "none", 4: "exact"}
 
 
+def test_tfidf_of_all_words(spark, tmp_path, monkeypatch):
+    from tallyforge.plans import text_queries
+
+    texts = [(1, "it is so"), (2, "ÉTÉ à la mer"), (3, "zzz"), (4, None), (5, "The sea"), (6, "of")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "so it is"), (2, "été mer"), (3, "the sea, the sea"), (4, "t")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def got():
+        return {r["query"]: (r["doc"], r["cosine"]) for r in text_queries.document_tfidf_map(spark, str(tmp_path)).collect()}
+
+    want = {1: (1, 1.0), 2: (2, 1.0), 3: (None, None), 4: (None, None), 5: (3, 1.0), 6: (None, None)}
+    assert got() == want
+    monkeypatch.setattr(mapping, "SMALL_POSTINGS", 0)
+    assert got() == want
+    assert one(spark, tx.tokens(s("The cafe\u0301 is OPEN_24"), ("the", "is")))[0] == ["cafe\u0301", "open", "24"]
+
+
 def test_range_join_equals_brute_force(spark):
     import random
 
