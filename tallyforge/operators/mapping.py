@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import words
+from ..functions.text import tokens, words
 
 #: A dimension side above this many rows is joined by its blocking key instead of being compared with all.
 SMALL_DIMENSION = 20_000
@@ -83,24 +83,37 @@ def cascade(labels: DataFrame, rules: DataFrame, terms: DataFrame, scorer: str =
     return out.withColumn("mapped", F.col("concept").isNotNull())
 
 
-def strategies(labels: DataFrame, concepts: DataFrame, synonyms: DataFrame, least: float = 0.7) -> DataFrame:
-    """Of equality (1.0; the last concept wins), synonym ratio and direct ratio (strictly better, at least ``least``)."""
+def strategies(labels: DataFrame, concepts: DataFrame, synonyms: DataFrame, least: float = 0.7, least_cosine: float = 0.6, stop=()) -> DataFrame:
+    """Of equality (1.0; the last concept wins), synonym ratio and direct ratio (strictly better, at least ``least``); labels that
+    none of these finds go to the best TF-IDF cosine over concepts with their synonyms, at least ``least_cosine`` (ties: the smaller name).
+
+    The idf is that of labels and concepts together, so words that no concept has lower a label's cosine. ``stop``: words it leaves out.
+    """
     terms = concepts.select(F.col("concept").alias("term"), "concept", F.lit(1).alias("own")).unionByName(synonyms.select("term", "concept", F.lit(0).alias("own")))
     pairs = labels.select("clean_label").where("clean_label <> ''").distinct().join(F.broadcast(terms.groupBy(F.lit(1).alias("_k")).agg(F.collect_list(F.struct("term", "concept", "own")).alias("ts"))), F.lit(1) == F.col("_k")).select("clean_label", F.explode("ts").alias("t")).select("clean_label", "t.*")
     same = (F.col("own") == 1) & (F.lower("term") == F.col("clean_label"))
     s = pairs.withColumn("confidence", F.when(same, 1.0).otherwise(edit_ratio(F.col("clean_label"), F.lower("term")) / 100)).where(F.col("confidence") >= least)
     s = s.withColumn("method", F.when(same, "exact").when(F.col("own") == 1, "direct").otherwise("synonym"))
     best = s.groupBy("clean_label").agg(F.max_by(F.struct("concept", "confidence", "method"), F.struct("confidence", F.when(F.col("method") == "exact", 1).otherwise(0), -F.col("own"), "concept")).alias("b")).select("clean_label", "b.*")
+    split = lambda df, key, text: df.select(key.alias("doc"), F.explode(tokens(text, stop)).alias("token"))
+    docs = split(concepts.select("concept").distinct().unionByName(synonyms.select("concept", "term").distinct(), allowMissingColumns=True), F.col("concept"), F.coalesce("term", "concept"))
+    own = labels.select("clean_label").where("clean_label <> ''").distinct()
+    corpus = docs.select(F.concat(F.lit("c:"), "doc").alias("doc"), "token").unionByName(split(own, F.concat(F.lit("l:"), "clean_label"), F.col("clean_label")))
+    rest = split(own.join(best, "clean_label", "left_anti"), F.col("clean_label"), F.col("clean_label")).withColumnRenamed("doc", "query")
+    more = tfidf(docs, rest, least_cosine, corpus).select(F.col("query").alias("clean_label"), F.col("doc").alias("concept"), F.col("cosine").alias("confidence"), F.lit("tfidf").alias("method"))
+    best = best.unionByName(more)
     return labels.join(best, "clean_label", "left").withColumn("method", F.coalesce("method", F.lit("none"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, least: float = 0.0) -> DataFrame:
+def tfidf(docs: DataFrame, queries: DataFrame, least: float = 0.0, corpus: DataFrame | None = None) -> DataFrame:
     """Best document by TF-IDF cosine for each query: docs(doc, token), queries(query, token), one row a token occurrence.
 
-    Smooth idf: ln((1 + n) / (1 + df)) + 1 over ``docs``. Pairs meet on shared tokens only; a query that shares none gets no row.
+    Smooth idf: ln((1 + n) / (1 + df)) + 1 over ``docs``, or over ``corpus`` (doc, token), which then holds the words of ``docs`` too;
+    words outside it do not count. Pairs meet on shared tokens only; a query that shares none gets no row.
     """
-    pairs = docs.distinct()
-    n = docs.select("doc").distinct().agg(F.count("*").alias("n"))
+    corpus = docs if corpus is None else corpus
+    pairs = corpus.distinct()
+    n = corpus.select("doc").distinct().agg(F.count("*").alias("n"))
     idf = pairs.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     small = pairs.limit(SMALL_POSTINGS + 1).count() <= SMALL_POSTINGS
     near = F.broadcast if small else lambda df: df

@@ -132,6 +132,21 @@ def test_cascade_gives_one_row_a_label(spark):
     assert {r["label"]: r["method"] for r in st.collect()} == {1: "exact", 2: "synonym", 3: "none", 4: "exact"}
 
 
+def test_strategies_end_with_tfidf(spark):
+    concepts = spark.createDataFrame([("Revenue",), ("Assets",), ("Cash",)], "concept string")
+    synonyms = spark.createDataFrame([("net sales", "Revenue"), ("sales", "Revenue"), ("property plant equipment", "Assets"), ("liquid funds", "Cash")], "term string, concept string")
+    texts = ["equipment plant property", "revenue", "sales net", "liquid matter of quite other kinds", "zzz", ""]
+    labels = spark.createDataFrame(list(enumerate(texts)) + [(9, None), (10, "sales net")], "label int, clean_label string")
+    got = {r["label"]: r for r in mapping.strategies(labels, concepts, synonyms).collect()}
+    assert {k: (r["concept"], r["method"]) for k, r in got.items()} == {0: ("Assets", "tfidf"), 1: ("Revenue", "exact"), 2: ("Revenue", "tfidf"), 3: (None, "none"), 4: (None, "none"), 5: (None, "none"), 9: (None, "none"), 10: ("Revenue", "tfidf")}
+    # idf over 5 different labels and 3 concepts; the concept's text is "revenue net sales sales"
+    n = 8
+    w = {t: math.log((1 + n) / (1 + df)) + 1 for t, df in (("revenue", 2), ("net", 2), ("sales", 2))}
+    dot, a, b = w["net"] ** 2 + 2 * w["sales"] ** 2, math.hypot(w["net"], w["sales"]), math.hypot(w["revenue"], w["net"], 2 * w["sales"])
+    assert got[2]["confidence"] == pytest.approx(dot / a / b, abs=1e-6) and got[4]["confidence"] == 0
+    assert {r["method"] for r in mapping.strategies(labels.where("label = 2"), concepts, synonyms, least_cosine=0.99).collect()} == {"none"}
+
+
 def test_tfidf_of_all_words(spark, tmp_path, monkeypatch):
     from tallyforge.plans import text_queries
 
