@@ -1,26 +1,23 @@
-"""Reports: tiny aggregates formatted on the driver."""
+"""Reports: aggregates formatted on the driver, every row of them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 
-def _rows(df: DataFrame, most: int = 100) -> list[dict]:
-    return [r.asDict() for r in df.limit(most).collect()]  # a report's tables are short
+def _rows(df: DataFrame) -> Iterator[dict]:
+    return (r.asDict() for r in df.toLocalIterator())  # whole, one partition at a time
 
 
 def markdown(title: str, sections: dict[str, DataFrame], status: str | None = None) -> str:
     """A report: a heading for each section and its rows as a table."""
     out = [f"# {title}", ""] + ([f"Status: {status}", ""] if status else [])
     for name, df in sections.items():
-        rows = _rows(df)
-        out += [f"## {name}", ""]
-        if rows:
-            keys = list(rows[0])
-            out += ["| " + " | ".join(keys) + " |", "|" + "---|" * len(keys)] + ["| " + " | ".join("" if r[k] is None else str(r[k]) for k in keys) + " |" for r in rows]
-        else:
-            out.append("none")
-        out.append("")
+        keys = df.columns
+        rows = ["| " + " | ".join("" if r[k] is None else str(r[k]) for k in keys) + " |" for r in _rows(df)]
+        out += [f"## {name}", ""] + (["| " + " | ".join(keys) + " |", "|" + "---|" * len(keys), *rows] if rows else ["none"]) + [""]
     return "\n".join(out)
 
 
@@ -51,7 +48,7 @@ def quality_report(found: dict[str, DataFrame]) -> str:
 
 def regression_report(found: dict[str, DataFrame]) -> str:
     """R3."""
-    failed = found["checks"].where("NOT passed")
+    failed = found["checks"].where("NOT passed").orderBy("metric")
     return markdown("Regression checks", {"Summary": found["status"], "Failed": failed, "All": found["checks"].orderBy("metric"), "Simulated failures": found["simulation"]}, _status(found["status"]))
 
 

@@ -261,6 +261,15 @@ def test_sources_and_sinks(spark, tmp_path):
         readers.page_subset(rec, [0])
 
 
+def test_reports_hold_every_row(spark):
+    checks = spark.range(250).select(F.format_string("m%03d", "id").alias("metric"), (F.col("id") % 5 == 0).alias("passed"))
+    none = spark.createDataFrame([], "n int")
+    text = reports.regression_report({"checks": checks, "status": spark.createDataFrame([("FAIL",)], "status string"), "simulation": none})
+    failed, rest = text.split("## Failed")[1].split("## All")
+    names = [x.split(" | ")[0] for x in failed.splitlines() if x.startswith("| m") and "metric" not in x]
+    assert names == [f"| m{i:03d}" for i in range(250) if i % 5] and rest.count("\n| m") == 251 and rest.split("## Simulated failures")[1].strip() == "none"
+
+
 def test_stream(spark, tmp_path):
     t = datetime.datetime
     spark.createDataFrame([("ocr_rate", t(2024, 1, d), v) for d, v in ((1, 1.0), (2, 1.5), (3, 1.0), (9, 1.0))], "metric string, ts timestamp, value double").write.parquet(str(tmp_path / "in"))
