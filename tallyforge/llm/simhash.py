@@ -174,24 +174,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one whose id names the group.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, bucket_limit: int = 2048) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the first by (id, fingerprint, hash of the text), null ids last.
 
-    Of rows that repeat that id one stays; a group without ids keeps one row of each fingerprint.
+    Rows are chosen by id and text together, so an id that repeats with another text loses nothing but near copies. Of rows with
+    the chosen id and text one stays.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, **options), "near-duplicates")
-    counted = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    gone = counted.where("doc_id IS NOT NULL AND doc_id <> c").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    twice = counted.where("doc_id IS NOT NULL AND n > 1 AND doc_id = c").select(F.col("doc_id").alias("_twice"))
-    once = kept.where(F.col(id_col).isNotNull()).join(twice, kept[id_col] == twice["_twice"], "left_anti")
-    again = kept.join(twice, kept[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col])
-    blank = kept.where(F.col(id_col).isNull())
-    if blank.isEmpty():
-        return once.unionByName(again)
-    nameless = found.where("component_id IS NULL").select("fingerprint").distinct()
-    spare = docs.where(F.col(id_col).isNull())
-    marked = fingerprints(spare.select(F.col(text_col).alias("doc_id"), text_col), "doc_id", text_col).select(F.col("doc_id").alias("_text"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
-    texts = marked.join(nameless, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.first("_text").alias("_text"))
-    blank = spare.join(texts.select("_text"), spare[text_col].eqNullSafe(texts["_text"]), "left_semi").dropDuplicates([text_col])
-    return once.unionByName(again).unionByName(blank)
+    mark = F.sha2(F.coalesce(F.concat(F.lit("t"), docs[text_col].cast("string")), F.lit("")), 256)  # null is not the empty text
+    keyed = docs.select(F.struct(docs[id_col].alias("id"), mark.alias("hash")).alias("key"), docs[text_col].alias("text"))
+    prints = materialize(fingerprints(keyed, "key", "text", shingle), "fingerprints").select("doc_id.id", "doc_id.hash", "fp")
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "hash")).alias("b"))
+    roots = components(links(first.select("fp"), radius, bucket_limit))
+    first = first.join(roots, first.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), F.struct("b.blank", "b.id", "fp", "b.hash").alias("b"))
+    chosen = first.groupBy("root").agg(F.min("b").alias("b")).select("b.id", "b.hash")
+    sizes = prints.groupBy("id", "hash").agg(F.count("*").alias("n"))
+    same = chosen["id"].eqNullSafe(sizes["id"]) & (chosen["hash"] == sizes["hash"])
+    chosen = materialize(chosen.join(sizes, same).select(chosen["id"].alias("_kept_id"), chosen["hash"].alias("_kept_hash"), F.col("n").alias("_kept_n")), "near-duplicates")
+    kept = docs.join(chosen, docs[id_col].eqNullSafe(chosen["_kept_id"]) & (mark == chosen["_kept_hash"]))
+    once = kept.where("_kept_n = 1").select(*docs.columns)
+    if chosen.where("_kept_n > 1").isEmpty():
+        return once
+    return once.unionByName(kept.where("_kept_n > 1").dropDuplicates(["_kept_id", "_kept_hash"]).select(*docs.columns))

@@ -78,6 +78,18 @@ def test_repeated_row_stays_once(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(d).collect()) == [5, 6]
 
 
+def test_keep_one_by_id_and_text(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    far = "north south east west up down left right inside"
+    base = " ".join(f"w{i * i}" for i in range(400))
+    near = [t for t in (f"{base} a{i} b{i} c{i}" for i in range(200)) if 0 < (simhash.fingerprint(t) ^ simhash.fingerprint(base)).bit_count() <= 4]
+    assert near
+    rows = [(5, a), (5, b), (2, b), (7, far), (7, a.upper() + " iota kappa"), (None, base), (None, near[0]), (9, None), (None, ""), (5, b), (5, a), (5, a)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None), key=str) == sorted([(2, b), (5, a), (7, far), (7, a.upper() + " iota kappa"), (9, None)], key=str)
+    assert len([r for r in got if r["doc_id"] is None]) == 1
+
+
 def test_unknown_language_goes(odd):
     kept = {r["doc_id"] for r in langid.keep_known(odd, langid.fit(odd, epochs=1), min_score=0.0).collect()}
     assert kept == {1, 2, None, 7, 8, 9}
