@@ -3,8 +3,9 @@
 Base kinds are fixed patterns (assign, access, hex). The method adds kind ``entropy``: candidate tokens are classed
 by the characters they use (hex, alnum of one case, mixed); a window slides over each, the counts of the
 entering and the leaving character are updated, and with them the sum of c*log2(c), so that each step costs
-one update and no recount. A candidate is a secret if some window's entropy reaches its class's limit and no allow-list
-pattern fits. A candidate that lies inside a base span adds nothing.
+one update and no recount. A candidate is a secret if some window's entropy reaches its class's limit and the window holds
+no run, sequence or placeholder word; a candidate without a digit must reach HIGH bits more. Allow-list patterns fit
+whole candidates only. A candidate that lies inside a base span adds nothing.
 
 Defined results: null text is as empty text: no spans, and the hash of the empty string. Every row gives one row.
 """
@@ -27,28 +28,36 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-="
 #: Class: what its tokens look like, and the entropy in bits that a window must reach.
 CLASSES = {"hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", 2.9), "alnum": (r"^(?:[0-9a-z]+|[0-9A-Z]+)$", 3.4), "mixed": (r"", 3.7)}
-#: Tokens that look random but are public: identifiers, runs, placeholders, paths.
+#: Bits above its class's limit that a candidate without a digit must reach: words written together stay below.
+HIGH = 0.2
+#: Candidates that look random but are public, as a whole: identifiers, paths, numbers.
 ALLOW = (
-    r"(?i)example|sample|placeholder|changeme|lorem|dummy",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(.)\1{5,}",
-    r"(?i)0123456789|abcdefghij|qwertyuiop",
     r"^(?:[A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
     r"^[0-9+/_=-]+$",
 )
+#: What makes a single window public: placeholders, runs, sequences.
+ALLOW_WINDOW = r"(?i:example|sample|placeholder|changeme|lorem|dummy)|(.)\1{5,}|(?i:0123456789|abcdefghij|qwertyuiop)"
 
 
-def window_entropy_sql(token: str, width: int) -> str:
-    """SQL for the largest Shannon entropy (bits) of any window of ``width`` characters of ``token``; 0 if shorter."""
+def window_entropy_sql(token: str, width: int, least: str | None = None) -> str:
+    """SQL for the largest Shannon entropy (bits) of any window of ``width`` characters of ``token``; 0 if shorter.
+
+    With ``least``, SQL for a limit: the entropy of the first window that reaches it and that ALLOW_WINDOW does not excuse, else 0.
+    """
     n = len(ALPHABET)
     term = "array(0D, 0D, " + ", ".join(f"{c} * log2({c})" for c in range(2, width + 1)) + ")"  # c*log2(c), at c+1
     new, old = "codes[i - 1]", f"if(i > {width}, codes[i - {width} - 1], 0)"
     left = "if(x.old > 0, a.cnt[x.old - 1], 0)"
     held = "(a.cnt[x.new - 1] - if(x.new = x.old, 1, 0))"
     total = f"(a.s - {term}[{left}] + {term}[greatest({left} - 1, 0)] - {term}[{held}] + {term}[{held} + 1])"
+    here = f"log2({width}) - {total} / {width}"
+    best = f"greatest(a.best, if(x.i >= {width}, {here}, 0D))"
+    if least:
+        best = f"if(a.best = 0D AND x.i >= {width} AND {here} >= {least} AND NOT substring({token}, x.i - {width - 1}, {width}) rlike r'{ALLOW_WINDOW}', {here}, a.best)"
     step = f"""named_struct(
         's', {total},
-        'best', greatest(a.best, if(x.i >= {width}, log2({width}) - {total} / {width}, 0D)),
+        'best', {best},
         'cnt', transform(a.cnt, (c, j) -> c + if(j + 1 = x.new, 1, 0) - if(j + 1 = x.old, 1, 0)))"""
     return f"""aggregate(
         transform(array(transform(split({token}, ''), ch -> locate(ch, '{ALPHABET}'))), codes ->
@@ -74,9 +83,10 @@ def scan(docs: DataFrame, text_col: str = "text", width: int = 20, out: str = "s
     df = find_spans(df, "_t", CANDIDATE, "_cand")
     public = lambda m: reduce(lambda a, b: a | b, (m.rlike(p) for p in ALLOW))
     df = df.withColumn("_base", F.concat(_kind(F.col("_assign"), "assign"), _kind(F.col("_access"), "access"), _kind(F.col("_hex"), "hex")))
-    df = df.withColumn("_cand", F.filter("_cand", lambda x: x["m"].rlike("[0-9]") & ~public(x["m"]) & ~F.exists("_base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))))
-    limit = "case " + " ".join(f"when x.m rlike '{p}' then {v}" for p, v in CLASSES.values() if p) + f" else {CLASSES['mixed'][1]} end"
-    df = df.withColumn("_high", F.expr(f"filter(transform(_cand, x -> named_struct('start', x.start, 'end', x.end, 'h', {window_entropy_sql('x.m', width)}, 'limit', {limit})), y -> y.h >= y.limit)"))
+    df = df.withColumn("_cand", F.filter("_cand", lambda x: ~public(x["m"]) & ~F.exists("_base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))))
+    limit = "case " + " ".join(f"when cand.m rlike '{p}' then {v}" for p, v in CLASSES.values() if p) + f" else {CLASSES['mixed'][1]} end + if(cand.m rlike '[0-9]', 0, {HIGH})"
+    df = df.withColumn("_cand", F.expr(f"transform(_cand, cand -> named_struct('start', cand.start, 'end', cand.end, 'm', cand.m, 'limit', cast({limit} as double)))"))
+    df = df.withColumn("_high", F.expr(f"filter(_cand, cand -> {window_entropy_sql('cand.m', width, 'cand.limit')} > 0)"))
     df = df.withColumn(out, F.array_sort(F.concat("_base", _kind(F.col("_high"), "entropy"))))
     return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != out], out)
 

@@ -150,6 +150,17 @@ def test_secret_spans(spark, docs):
             assert not more
 
 
+def test_allowed_part_does_not_hide_a_secret(spark):
+    texts = {
+        1: "b3BlbnNzaC1rZXktdjEAAAAAAAAABG5vbmUq7Xw2LpZ9Rt", 2: "sample-9f8Xq2LmZ0aPw7RtYc4Vb6Nh", 3: "9f8Xq2LmZ0aPw7RtYc4Vb6Nh/example", 4: "QzWxEcRvTbYnUmIkOlPaSdFg",
+        5: "gggggggggggggggggggggggg1", 6: "AbstractSingletonProxyFactoryBean", 7: "sample/placeholder_example", 8: "3f2504e0-4f89-41d3-9a0c-0305e82c3301", 9: "path/to/some_longer/module-name12", 10: "x9Kq2exampleZ7mW4tR1", 11: "internationalizations",
+    }
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in texts.items()], "doc_id long, text string")
+    found = {r["doc_id"]: [r["text"][x["start"] : x["end"]] for x in r["secret_spans"]] for r in secrets.scan(df).collect()}
+    assert found == {i: [t] if i < 5 else [] for i, t in texts.items()}
+    assert {r["doc_id"] for r in secrets.redact(df).collect() if r["text"] == "see [SECRET] here"} == {1, 2, 3, 4}
+
+
 def test_window_entropy(spark):
     from pyspark.sql import functions as F
 
