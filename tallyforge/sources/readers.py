@@ -15,6 +15,12 @@ from ..functions import text as tx
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# A quote opens a quoted part at the start of a field only; line ends inside it belong to the field. Possessive throughout: no
+# part is tried again, so long fields need no deep stack.
+CSV_QUOTED = r'"([^"]*+(?:""[^"]*+)*+)"'
+CSV_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^,\r\n]*+)'
+CSV_RECORD = rf"{CSV_FIELD}(?:,{CSV_FIELD})*+"
+
 
 def _files(spark: SparkSession, path: str, glob: str, recursive: bool = True) -> DataFrame:
     """(file, text) of each file, whole."""
@@ -41,8 +47,8 @@ def json_documents(spark: SparkSession, path: str, schema: str = schemas.OCR_DOC
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """Every CSV table under ``path`` as long cells; files named with a leading underscore are indexes, not tables."""
     f = _files(spark, path, "*.csv").where(~F.col("file").startswith("_"))
-    lines = f.select("file", F.posexplode(F.filter(F.split("text", "\r?\n"), lambda x: x != "")).alias("line", "raw"))
-    fields = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "raw"), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x))
+    lines = f.select("file", F.posexplode(F.filter(F.regexp_extract_all("text", F.lit(CSV_RECORD), F.lit(0)), lambda x: x != "")).alias("line", "raw"))
+    fields = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "raw"), F.lit(rf",({CSV_FIELD})"), F.lit(1)), lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, f"^{CSV_QUOTED}", "$1"), '""', '"')).otherwise(x))
     lines = lines.select("file", "line", fields.alias("fields"))
     heads = lines.where("line = 0").select("file", F.col("fields").alias("heads"))
     body = lines.where("line > 0").join(heads, "file").select("file", (F.col("line") - 1).alias("row_idx"), "heads", F.posexplode("fields").alias("col_idx", "value"))
@@ -76,6 +82,8 @@ def _walk_xbrl(name: str, text: str) -> list[tuple]:
     space = lambda e: e.tag[1:].split("}")[0] if e.tag.startswith("{") else ""
     out = []
     try:
+        if "<!DOCTYPE" in text or "<!ENTITY" in text:  # entities may expand without bound
+            raise ET.ParseError("a document type is not accepted")
         root = ET.fromstring(text)
     except ET.ParseError as e:
         return [("error", name, None, None, str(e), *[None] * 8)]

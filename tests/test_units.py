@@ -233,6 +233,10 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t" / "_index.csv").write_text("a\n1\n")
     cells = readers.csv_cells(spark, str(tmp_path / "t")).collect()
     assert {(c["row_idx"], c["header"], c["value"]) for c in cells} == {(0, "Item", "x"), (0, "A, B", "1,5"), (1, "Item", "y"), (1, "A, B", None)} and cells[0]["doc_id"] == "acme"
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "q.csv").write_text('a,b\n"line one\nline two",5\n"he said ""no""",5" pipe\n,"' + 'x""' * 20_000 + '"\n\n3,\n')
+    q = {(c["row_idx"], c["header"]): c["value"] for c in readers.csv_cells(spark, str(tmp_path / "q")).collect()}
+    assert q == {(0, "a"): "line one\nline two", (0, "b"): "5", (1, "a"): 'he said "no"', (1, "b"): '5" pipe', (2, "a"): None, (2, "b"): 'x"' * 20_000, (3, "a"): "3", (3, "b"): None}
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "a.jsonl").write_text('{"doc_id":"a","page":1}\n\nbad\n{"doc_id":"b"}\n')
     assert {r["doc_id"] for r in readers.json_lines(spark, str(tmp_path / "j")).collect()} == {"a", "b"}
@@ -240,10 +244,11 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.xml").write_text(x)
     (tmp_path / "x" / "b.xml").write_text("<broken")
+    (tmp_path / "x" / "c.xml").write_text('<!DOCTYPE x [<!ENTITY a "aaaa">]><x>&a;</x>')
     parts = readers.xbrl_parts(spark, str(tmp_path / "x"))
     f = readers.facts(parts).first()
     assert (f["concept"], f["namespace"], f["numeric_value"], f["currency"], f["period_type"], str(f["end_date"])) == ("Revenues", "urn:g", 1200.0, "USD", "duration", "2024-12-31")
-    assert parts.where("kind = 'error'").count() == 1
+    assert parts.where("kind = 'error'").count() == 2
     doc = {"text": "t", "pages": [{"page_number": 1, "paragraphs": [], "lines": [{"text": "l1"}, {"text": "l2"}], "tables": [{"table_id": 0, "header_rows": [[{"text": "h"}]], "body_rows": [[{"text": "v"}]]}], "form_fields": [{"field_name": "n", "field_value": "v"}]}], "entities": [{"type": "T", "mention_text": "m", "page_refs": [{"page": 1}]}]}
     (tmp_path / "o").mkdir()
     (tmp_path / "o" / "d.json").write_text(json.dumps(doc))
