@@ -33,7 +33,7 @@ HIGH = 0.2
 #: Candidates that look random but are public, as a whole: identifiers, paths, numbers.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^(?:[A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
+    r"^(?:[A-Za-z]++[/_-])++[A-Za-z]*+[0-9]{0,4}$",
     r"^[0-9+/_=-]+$",
 )
 #: What makes a single window public: placeholders, runs, sequences.
