@@ -136,7 +136,7 @@ def _squeeze(raw: bytes, how: int) -> bytes:
 
 def _expand(raw: bytes, how: int, size: int) -> bytes:
     if how in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(raw)
+        return zlib.decompressobj().decompress(raw, max(1, size))  # no more than the part holds
     return {NONE: lambda x, _: x, PACKBITS: unpack_bits, LZW: lzw_decode}[how](raw, size)
 
 
@@ -204,17 +204,29 @@ def directories(blob: bytes) -> list[dict[int, list[int]]]:
     return found
 
 
-def decode_page(blob: bytes, tags: dict[int, list[int]]) -> np.ndarray:
-    """Pixels of one directory: height x width x samples."""
-    w, h, s = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, [1])[0]
-    if set(tags.get(BITS, [1])) != {8} or tags.get(284, [1])[0] != 1:
+def first(tags: dict[int, list[int]], tag: int, default=None):
+    """A tag's first value; the default where it is absent or empty."""
+    return (tags.get(tag) or [default])[0]
+
+
+def decode_page(blob: bytes, tags: dict[int, list[int]], most_bytes: int = 1 << 28) -> np.ndarray:
+    """Pixels of one directory: height x width x samples. A page that claims more than ``most_bytes`` of pixels is refused."""
+    w, h, s = (first(tags, t, d) for t, d in ((WIDTH, 0), (HEIGHT, 0), (SAMPLES, 1)))
+    if min(w, h, s) < 1 or w * h * s > most_bytes:
+        raise ValueError(f"{w} x {h} pixels of {s} samples")
+    if set(tags.get(BITS, [1])) != {8} or first(tags, 284, 1) != 1:
         raise ValueError("only chunky 8-bit samples are read")
-    how, predictor = tags.get(COMPRESSION, [NONE])[0], tags.get(PREDICTOR, [1])[0]
+    how, predictor = first(tags, COMPRESSION, NONE), first(tags, PREDICTOR, 1)
     tiled = TILE_OFFSETS in tags
-    ph, pw = (tags[TILE_LENGTH][0], tags[TILE_WIDTH][0]) if tiled else (min(h, tags.get(ROWS_PER_STRIP, [h])[0]), w)
+    ph, pw = (first(tags, TILE_LENGTH, 0), first(tags, TILE_WIDTH, 0)) if tiled else (min(h, first(tags, ROWS_PER_STRIP, h)), w)
+    if min(ph, pw) < 1 or ph * pw * s > most_bytes:
+        raise ValueError(f"parts of {pw} x {ph} pixels")
     across = -(-w // pw)
+    parts = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES]))
+    if len(parts) != across * -(-h // ph):
+        raise ValueError(f"{len(parts)} parts for {across * -(-h // ph)}")
     out = np.zeros((h, w, s), np.uint8)
-    for i, (at, n) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES])):
+    for i, (at, n) in enumerate(parts):
         y, x = i // across * ph, i % across * pw
         rows = ph if tiled else min(ph, h - y)
         raw = _expand(blob[at : at + n], how, rows * pw * s)
@@ -248,21 +260,21 @@ def pages(media: DataFrame, id_col: str, blob_col: str) -> DataFrame:
                     continue
                 try:
                     dirs = directories(blob)
-                except (ValueError, struct.error) as e:
-                    rows.append((key, 0, None, None, None, None, None, None, None, None, None, str(e)))
+                except (ValueError, struct.error, IndexError, MemoryError) as e:
+                    rows.append((key, 0, None, None, None, None, None, None, None, None, None, str(e) or repr(e)))
                     continue
                 for i, t in enumerate(dirs):
-                    head = (key, i, t.get(WIDTH, [None])[0], t.get(HEIGHT, [None])[0], t.get(SAMPLES, [1])[0], t.get(COMPRESSION, [1])[0], t.get(PREDICTOR, [1])[0], TILE_OFFSETS in t)
+                    head = (key, i, *[first(t, x, d) for x, d in ((WIDTH, None), (HEIGHT, None), (SAMPLES, 1), (COMPRESSION, 1), (PREDICTOR, 1))], TILE_OFFSETS in t)
                     try:
                         a = decode_page(blob, t)
-                        rows.append((*head, a.size, float(a.mean()) if a.size else 0.0, page_hash(a) if a.size else "", None))
-                    except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
+                        rows.append((*head, a.size, float(a.mean()), page_hash(a), None))
+                    except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, MemoryError) as e:
                         rows.append((*head, None, None, None, repr(e)))
             cols = list(zip(*rows)) or [()] * 12
-            types = [b.schema[0].type, *[pa.int32()] * 6, pa.bool_(), pa.int64(), pa.float64(), pa.string(), pa.string()]
+            types = [b.schema[0].type, pa.int32(), *[pa.int64()] * 5, pa.bool_(), pa.int64(), pa.float64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "page", "width", "height", "samples", "compression", "predictor", "tiled", "n_bytes", "mean", "page_hash", "error"])
 
-    return media.select(F.col(id_col), F.col(blob_col)).mapInArrow(run, f"id {kind}, page int, width int, height int, samples int, compression int, predictor int, tiled boolean, n_bytes bigint, mean double, page_hash string, error string")
+    return media.select(F.col(id_col), F.col(blob_col)).mapInArrow(run, f"id {kind}, page int, width bigint, height bigint, samples bigint, compression bigint, predictor bigint, tiled boolean, n_bytes bigint, mean double, page_hash string, error string")
 
 
 def store_text(text: str | None, width: int = 64, page_rows: int = 4096, compression: int = DEFLATE) -> tuple[int, bytes]:
