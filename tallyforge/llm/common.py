@@ -16,10 +16,13 @@ _spent: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, a folder of our own if all runs in one process, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tallyforge-"))
     return _own_dir[0]

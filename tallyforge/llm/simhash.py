@@ -74,6 +74,8 @@ def cover(bits: int, radius: int) -> list[int]:
     Positions get successive powers of a primitive element, of which any radius+1 in a row are independent: every
     mask keeps at least one of each radius+1 positions in a row, so masks over what is left free always get further.
     """
+    if radius + 1 not in PRIMITIVE:
+        raise ValueError(f"radius must be between 1 and {max(PRIMITIVE) - 1}")
     at, degree, vectors, x = [i for i in range(64) if bits >> i & 1], radius + 1, [], 1
     for _ in at:
         vectors.append(x)

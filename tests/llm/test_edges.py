@@ -99,3 +99,84 @@ def test_redaction(odd):
     out = {r["doc_id"]: r for r in secrets.redact(odd).collect()}
     assert out[9]["text"].endswith("[SECRET]") and "abcdefghijkl" not in out[9]["text"] and out[9]["n_chars"] == len(out[9]["text"])
     assert out[1]["text"] == ROWS[0][1] and out[3]["text"] is None
+
+
+# --- long tokens, broken files, wrong parameters
+LONG = {
+    "path": "a/" * 500_000 + "1", "base64": "Ab3+/x9" * 15_000, "hex": "0123456789abcdef" * 65_536, "email": "a@" + "b." * 500_000 + "c", "dotted": "1." * 8_000 + "1", "digits": "4 " * 50_000,
+    "plus": "+1" + "-2" * 500_000, "word": "w" * 1_000_000, "assign": "secret=" + "x" * 1_000_000, "spelled": "a at b dot " * 1_500, "quotes": '"' * 1_000_000, "capitals": "AKIA" * 25_000,
+}
+
+
+@pytest.fixture(scope="module")
+def long(spark):
+    return spark.createDataFrame([(i, t, "en" if i % 2 else "de", "s", len(t)) for i, t in enumerate(LONG.values())], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.mark.parametrize("name", sorted(PER_ROW))
+def test_long_tokens(long, name):
+    assert len(PER_ROW[name](long).collect()) == len(LONG)
+
+
+def test_long_tokens_in_stages(long):
+    assert langid.keep_known(long, langid.fit(long, epochs=1), min_score=0.0).count() <= len(LONG)
+    assert simhash.keep_one(long).count() <= len(LONG)
+    out = {r["doc_id"]: r for r in secrets.redact(long).collect()}
+    names = list(LONG)
+    assert out[names.index("path")]["text"] == LONG["path"] and out[names.index("hex")]["text"] == out[names.index("assign")]["text"] == "[SECRET]"
+
+
+def test_broken_tiff_files(spark):
+    import numpy as np
+
+    good = media_tiff.write_tiff([np.arange(64, dtype=np.uint8).reshape(8, 8)], media_tiff.NONE, 1, tile=16)
+
+    def patched(tag, count=None, value=None):
+        out = bytearray(good)
+        at = int.from_bytes(out[4:8], "little")
+        for i in range(int.from_bytes(out[at : at + 2], "little")):
+            e = at + 2 + 12 * i
+            if int.from_bytes(out[e : e + 2], "little") == tag:
+                if count is not None:
+                    out[e + 4 : e + 8] = count.to_bytes(4, "little")
+                if value is not None:
+                    out[e + 8 : e + 12] = value.to_bytes(4, "little")
+        return bytes(out)
+
+    blobs = {"good": good, "no tile width": patched(media_tiff.TILE_WIDTH, value=0), "empty tag": patched(media_tiff.WIDTH, count=0), "huge": patched(media_tiff.WIDTH, value=0xFFFFFFFF), "count": patched(media_tiff.TILE_OFFSETS, count=0xFFFFFFFF),
+             "compression": patched(media_tiff.COMPRESSION, value=77), "cut": good[: len(good) // 2], "short": b"II", "empty": b"", "loop": good[:4] + (0xFFFFFFF0).to_bytes(4, "little") + good[8:], "no parts": patched(media_tiff.TILE_BYTES, count=0)}
+    for i in range(0, len(good), 3):
+        blobs[f"byte {i}"] = good[:i] + b"\xff" + good[i + 1 :]
+    rows = media_tiff.pages(spark.createDataFrame([(k, bytearray(v)) for k, v in blobs.items()], "name string, blob binary"), "name", "blob").collect()
+    by = {r["id"]: r for r in rows}
+    assert by.keys() == blobs.keys() and by["good"]["error"] is None
+    assert all(by[k]["error"] for k in blobs if k != "good" and not k.startswith("byte"))
+
+
+def test_inflating_part_is_bounded():
+    import zlib
+
+    assert len(media_tiff._expand(zlib.compress(b"\0" * 50_000_000), media_tiff.DEFLATE, 4096)) == 4096
+
+
+@pytest.mark.parametrize("radius", [0, 8, -1])
+def test_radius_out_of_range(spark, radius):
+    with pytest.raises(ValueError, match="radius"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), radius)
+
+
+def test_scratch_folder_must_be_shared(spark, monkeypatch):
+    from tallyforge.llm import common
+
+    class Context:
+        master = "spark://far:7077"
+
+    class Session:
+        conf, sparkContext = spark.conf, Context
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert common.scratch_dir(Session) == named.rstrip("/")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.scratch_dir(Session)
