@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: list[str] = []
 _spent: list[tuple[SparkSession, str]] = []
 
@@ -35,7 +35,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")  # the write's own shuffle files go with it, not at some later collection
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     _spent.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -52,9 +57,6 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         _delete(t.sparkSession, t._scratch_path)
         _spent.remove((t.sparkSession, t._scratch_path))
-    if tables:  # shuffle files go when the JVM notices that their plans are unreachable
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 @atexit.register
@@ -113,24 +115,30 @@ def span_list(spans: F.Column) -> F.Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
-def find_spans(df: DataFrame, text: str, pattern: str, out: str, gate: F.Column | None = None) -> DataFrame:
+def find_spans(df: DataFrame, text: str, pattern: str, out: str, gate: F.Column | None = None, near: int = 0) -> DataFrame:
     """Add ``out``: array of (start, end, m) of every leftmost non-overlapping match of ``pattern``.
 
     Positions are code points, end exclusive. Between matches lie the pieces of split(), so the lengths of
     pieces and matches add up to positions; no Python is needed. ``gate``: a cheap condition
-    that must hold where the pattern can match.
+    that must hold where the pattern can match. ``near``: also (ahead, after): up to so many characters of what stands before the
+    match, back to the start of the match before it, and the character behind. They come from the pieces, as each substring of a
+    long text would be searched from its start.
     """
-    m, s = f"_{out}_m", f"_{out}_s"
+    m, s, p = f"_{out}_m", f"_{out}_s", f"_{out}_p"
     ok = F.col(text).isNotNull() if gate is None else F.coalesce(gate, F.lit(False))
     none = F.array().cast("array<string>")
     df = df.withColumn(m, F.when(ok, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(s, F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none))
     lens = F.zip_with(F.slice(s, 1, F.size(m)), F.col(m), lambda a, b: F.length(a) + F.length(b))
-    df = df.withColumn(f"_{out}_p", F.when(F.size(m) > 0, prefix_sums(lens)))
-    spans = F.zip_with(
-        F.zip_with(F.col(f"_{out}_p"), F.slice(s, 1, F.size(m)), lambda p, a: p + F.length(a)),
-        F.col(m),
-        lambda start, x: F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("m")),
-    )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,m:string>>")
-    return df.withColumn(out, F.when(F.size(m) > 0, spans).otherwise(empty)).drop(m, s, f"_{out}_p")
+    df = df.withColumn(p, F.when(F.size(m) > 0, prefix_sums(lens)))
+
+    def span(x, i):
+        start = F.get(F.col(p), i) + F.length(F.get(F.col(s), i))
+        fields = [start.alias("start"), (start + F.length(x)).alias("end"), x.alias("m")]
+        if near:
+            back = F.concat(F.coalesce(F.get(F.col(m), i - 1), F.lit("")), F.get(F.col(s), i))
+            fields += [F.right(back, F.lit(near)).alias("ahead"), F.left(F.concat(F.left(F.get(F.col(s), i + 1), F.lit(1)), F.left(F.coalesce(F.get(F.col(m), i + 1), F.lit("")), F.lit(1))), F.lit(1)).alias("after")]
+        return F.struct(*fields)
+
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,m:string" + (",ahead:string,after:string>>" if near else ">>"))
+    return df.withColumn(out, F.when(F.size(m) > 0, F.transform(m, span)).otherwise(empty)).drop(m, s, p)

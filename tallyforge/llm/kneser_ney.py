@@ -159,13 +159,17 @@ def join_split(left: DataFrame, right: DataFrame, on: list[str], weight: str, li
     return left.join(hot, on).unionByName(cold.join(right.where(F.col(weight) < limit).hint("merge"), on))
 
 
-def discounts(level: DataFrame) -> list[float]:
-    met = {r["c"]: r["k"] for r in level.where("c <= 4").groupBy("c").agg(F.count("*").alias("k")).collect()}
-    n1, n2, n3, n4 = (met.get(i, 0) for i in (1, 2, 3, 4))
+def discounts_of(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """Discounts of counts 1, 2 and more, from how many n-grams have counts 1 to 4."""
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     return [max(0.0, min(i, i - (i + 1) * y * b / a)) if a and b else 0.5 for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
 
 
+def discounts(level: DataFrame) -> list[float]:
+    met = {r["c"]: r["k"] for r in level.where("c <= 4").groupBy("c").agg(F.count("*").alias("k")).collect()}
+    return discounts_of(*(met.get(i, 0) for i in (1, 2, 3, 4)))
+
+
 def estimate(counts: DataFrame, order=ORDER, hot_parts=HOT_PARTS) -> tuple[DataFrame, float]:
     """((key, v, hot) of all n-grams seen or met as a context, materialized; log p of an unseen word)."""
     levels, scratch = {order: counts}, []
@@ -292,18 +296,28 @@ def score(docs: DataFrame, values: DataFrame, unseen: float, order=ORDER) -> Dat
     return per_doc.select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, -(F.col("v") / UNIT / end) - unseen).alias("nll"))
 
 
+def _scored(docs: DataFrame, ids: DataFrame, order: int) -> DataFrame | None:
+    """Scores by a model of the texts with an id in ``ids``, materialized; None if these hold no word. Bigrams go by packed shards."""
+    from . import bigrams
+
+    if order == 2:
+        return bigrams.score(docs, ids)
+    model = fit(docs.select("_id", "text"), ids, order)
+    return None if model is None else materialize(score(docs, *model, order), "kn-scores")
+
+
 def classify(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", quantile=0.95, margin=2.0, order=ORDER) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, limit, kept), one row for each row of ``docs``."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
     out = F.pmod(F.xxhash64("_id"), F.lit(10)) == 0
-    model = fit(docs.select("_id", "text"), ids.where(~out), order)
-    calibrate = ids.where(out) if model else ids
-    model = model or fit(docs.select("_id", "text"), ids, order)
-    if model is None:
+    calibrate, scored = ids.where(out), _scored(docs, ids.where(~out), order)
+    if scored is None:
+        calibrate, scored = ids, _scored(docs, ids, order)
+    if scored is None:
         n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
         return docs.select(F.col("_id").alias("doc_id"), "lang", n.alias("n_words"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("limit"), (n > 0).alias("kept"))
-    scored = materialize(score(docs, *model, order), "kn-scores").withColumn("group", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+    scored = scored.withColumn("group", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
     known = scored.where("nll IS NOT NULL")
     quant = F.percentile_approx(F.exp("nll"), quantile, 10000) * margin
     base = known.join(calibrate.withColumnRenamed("_id", "doc_id"), "doc_id", "left_semi")
