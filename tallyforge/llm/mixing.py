@@ -5,15 +5,17 @@
 2. Slot t is the golden-ratio point frac(t / phi), in 40-bit integers; it falls into one source's share
    of the cumulative targets. Slots are ranked per source.
 3. Each source's documents, in hash order and wrapping round, are cut into blocks of ``block_words``
-   words. Block k of a source goes to the source's slot of rank k.
+   words. Block k of a source goes to the source's slot of rank k: the slots are the order of the mix.
 
 The sequence's discrepancy leaves a source a few slots over or short of its quota: surplus slots stay
 empty, missing ranks are appended behind the schedule, and a source's last block is cut at its target, so the
-words taken equal the rounded target. DataFrame functions only; no group is gathered in
+words taken equal the rounded target at every size. DataFrame functions only; no group is gathered in
 one task (buckets and slot segments are ranked apart and offset), and nothing is broadcast by hint.
 
-Defined results: null text counts 0 words; such documents are returned with taken = 0. Null source is a
-source of its own, sorted last. Rows with equal ids are kept apart. Empty input gives no rows.
+Defined results: null text, and text of white space only, counts 0 words; such documents are returned with taken = 0, no block and a
+null slot, and ``mixed_documents`` leaves them out. Null source is a source of its own, sorted last. ``mix`` keeps rows with equal ids apart;
+``mixed_documents`` gives them equal copies, by their words together. Ties in the hash order go by id, then size. A very long
+text is cut into blocks like any other. Empty input gives no rows. Only the three named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -82,6 +84,7 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
         word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"),
     ).withColumn("bucket", F.substring("h", 1, digits))
+    base = materialize(base, "mix-sizes")  # texts are read once
     totals = materialize(base.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("_total")), "mix-buckets")
     sources = materialize(_sources(totals, tuple(weights), cap), "mix-sources")
     placed = with_running_offset(
@@ -103,35 +106,46 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     return placed.withColumn("k", F.coalesce("piece.k", -1 - F.col("row").cast("long"))), sources
 
 
-def _scheduled(docs, id_col, text_col, source_col, weights, block_words, cap, seed):
-    pieces, sources = _pieces(docs, id_col, text_col, source_col, weights, block_words, cap, seed)
-    total = sources.agg(F.sum("quota")).first()[0] or 0
-    return pieces.join(_slots(docs.sparkSession, math.ceil(total / block_words), sources, block_words), ["skey", "k"], "left")
+def _scheduled(docs, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), block_words=512, repeat_cap=3, seed=7) -> tuple[DataFrame, int]:
+    """(pieces with their slots, number of slots of the schedule)."""
+    pieces, sources = _pieces(docs, id_col, text_col, source_col, weights, block_words, repeat_cap, seed)
+    n_slots = math.ceil((sources.agg(F.sum("quota")).first()[0] or 0) / block_words)
+    return pieces.join(_slots(docs.sparkSession, n_slots, sources, block_words), ["skey", "k"], "left"), n_slots
 
 
-def schedule(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), block_words=512, repeat_cap=3, seed=7) -> DataFrame:
+def schedule(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: (slot, source_key, block, epoch, doc_id, first_word, n_words), one row a piece of a block."""
-    s = _scheduled(docs, id_col, text_col, source_col, weights, block_words, repeat_cap, seed)
+    s, _ = _scheduled(docs, **options)
     return s.where("slot IS NOT NULL").select("slot", F.col("skey").alias("source_key"), F.col("k").alias("block"), "piece.epoch", "doc_id", F.col("piece.first").alias("first_word"), F.col("piece.words").alias("n_words"))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), block_words=512, repeat_cap=3, seed=7) -> DataFrame:
-    """Per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
-    s = _scheduled(docs, id_col, text_col, source_col, weights, block_words, repeat_cap, seed)
-    return (
-        s.groupBy("skey", "bucket", "row", "doc_id", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("piece.words"))), F.lit(0)).cast("long").alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
-    )
+def _taken(s: DataFrame, *more) -> DataFrame:
+    words = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("piece.words"))), F.lit(0)).cast("long")
+    return s.groupBy("skey", "bucket", "row", "doc_id", "size", "source_size", "target").agg(words.alias("taken"), *more)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted), n_blocks, first_slot.
+
+    Options: id_col, text_col, source_col, weights, block_words, repeat_cap, seed.
+    """
+    s, _ = _scheduled(docs, **options)
+    return _taken(s, F.count("slot").alias("n_blocks"), F.min("slot").alias("first_slot")).select("doc_id", "size", "source_size", "target", "taken", "n_blocks", "first_slot")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (taken words over size, rounded half up)."""
-    id_col = options.get("id_col", "doc_id")
-    copies = (
-        mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-        .select(F.col("doc_id").alias("_tallyforge_mix_id"), F.when(F.col("s") > 0, F.floor(F.col("t") / F.col("s") + 0.5)).otherwise(F.lit(0)).cast("int").alias("_tallyforge_copies"))
-        .where("_tallyforge_copies > 0")
-    )
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_tallyforge_mix_id")))
-    return joined.withColumn("_tallyforge_copy", F.explode(F.sequence(F.lit(1), "_tallyforge_copies"))).select(*[joined[c] for c in docs.columns])
+    """``docs`` with each row as often as the mix takes it (taken words over size, rounded half up), dealt and sorted by the slots of its copies."""
+    id_col, cap = options.get("id_col", "doc_id"), options.get("repeat_cap", 3)
+    s, n_slots = _scheduled(docs, **options)
+    epochs = [f"_e{e}" for e in range(cap)]
+    per_row = _taken(s, *[F.min(F.when(F.col("piece.epoch") == e, F.col("slot"))).alias(c) for e, c in enumerate(epochs)])
+    per_id = per_row.groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"), *[F.min(c).alias(c) for c in epochs])
+    copies = F.when(F.col("s") > 0, F.floor(F.col("t") / F.col("s") + 0.5)).otherwise(F.lit(0)).cast("int")
+    slots = F.slice(F.array_sort(F.array_compact(F.array(*epochs))), F.lit(1), copies)
+    chosen = per_id.select(F.col("doc_id").alias("_tallyforge_mix_id"), slots.alias("_tallyforge_slots")).where("size(_tallyforge_slots) > 0")
+    joined = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_tallyforge_mix_id"))).withColumn("_tallyforge_slot", F.explode("_tallyforge_slots"))
+    # slots spread evenly, so their ranges need no sampling
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.expr(f"_tallyforge_slot * {parts} div {max(1, n_slots)}"), F.lit(parts - 1)).cast("int")
+    dealt = joined.withColumn("_tallyforge_part", part).repartitionById(parts, "_tallyforge_part").sortWithinPartitions("_tallyforge_slot", "_tallyforge_mix_id")
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,10 +21,10 @@ def op2_simhash_near_dedup(spark, sf_dir):
 
 
 def op3_secret_scan(spark, sf_dir):
-    df = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    df = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), candidates="n_candidates").drop("text")
     base = F.filter("secret_spans", lambda x: x["rank"] < 3)
     count = lambda k: F.size(F.filter("secret_spans", lambda x: x["rank"] == secrets.KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return df.select("doc_id", *map(count, secrets.KINDS[:3]), secrets.digest(base).alias("base_sha256"), span_list(F.col("secret_spans")).alias("spans"))
+    return df.select("doc_id", *map(count, secrets.KINDS[:3]), secrets.digest(base).alias("base_sha256"), span_list(F.col("secret_spans")).alias("spans"), "n_candidates", F.size(F.filter("secret_spans", lambda x: x["rank"] == 3)).cast("long").alias("n_added"))
 
 
 def op4_personal_data(spark, sf_dir):
@@ -71,12 +71,22 @@ s1 AS (SELECT *, [5, 2, 1][((rk - 1) % 3 + 1)::INT] AS w, sum(ss) OVER () AS tot
 s2 AS (SELECT *, row_number() OVER f AS pos, total - coalesce(sum(3 * ss) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
     sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM s1 WINDOW f AS (ORDER BY ss::DOUBLE / w, rk)),
 lv AS (SELECT room::DOUBLE AS room, share::DOUBLE AS share, pos FROM s2 WHERE w::DOUBLE * room::DOUBLE / share::DOUBLE <= (3 * ss)::DOUBLE ORDER BY pos LIMIT 1),
-s AS (SELECT source, ss, CASE WHEN s2.pos < lv.pos THEN (3 * ss)::DOUBLE ELSE w::DOUBLE * lv.room / lv.share END AS target FROM s2, lv),
-o AS (SELECT doc_id, size, ss, target, floor(target + 0.5)::BIGINT AS q,
+s AS (SELECT source, rk, ss, CASE WHEN s2.pos < lv.pos THEN (3 * ss)::DOUBLE ELSE w::DOUBLE * lv.room / lv.share END AS target FROM s2, lv),
+q AS (SELECT *, floor(target + 0.5)::BIGINT AS q, sum(floor(target + 0.5)::BIGINT) OVER () AS qs, sum(floor(target + 0.5)::BIGINT) OVER (ORDER BY rk) AS upto, count(*) OVER () AS n_sources FROM s),
+hl AS (SELECT *, floor(upto::DOUBLE / qs::DOUBLE * 1099511627776.0)::BIGINT AS hi, coalesce(lag(floor(upto::DOUBLE / qs::DOUBLE * 1099511627776.0)::BIGINT) OVER (ORDER BY rk), 0) AS lo FROM q),
+n AS (SELECT ceil(max(qs)::DOUBLE / 512)::BIGINT AS n_slots FROM q),
+pts AS (SELECT t AS slot, (((t + 1)::HUGEINT * 679541151873) % 1099511627776)::BIGINT AS point FROM (SELECT unnest(range(n_slots)) AS t FROM n)),
+own AS (SELECT rk, slot, row_number() OVER (PARTITION BY rk ORDER BY slot) - 1 AS k FROM pts JOIN hl ON point >= lo AND point < hi),
+have AS (SELECT hl.rk, ceil(q::DOUBLE / 512)::BIGINT AS blocks, n_sources, (SELECT count(*) FROM own WHERE own.rk = hl.rk) AS c FROM hl),
+slots AS (SELECT rk, k, slot FROM own UNION ALL SELECT rk, k, n_slots + (k - c) * n_sources + rk - 1 FROM (SELECT *, unnest(range(c, blocks)) AS k FROM have WHERE c < blocks), n),
+o AS (SELECT row_number() OVER () AS r, doc_id, size, rk, ss, target, q,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
-    FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size::BIGINT AS size, ss AS source_size, target,
-    (greatest(least(off + size, q) - off, 0) + greatest(least(off + ss + size, q) - off - ss, 0) + greatest(least(off + 2 * ss + size, q) - off - 2 * ss, 0))::BIGINT AS taken FROM o
+    FROM d JOIN hl ON d.source IS NOT DISTINCT FROM hl.source),
+e AS (SELECT r, rk, off + e * ss AS a, least(off + e * ss + size, q) AS b FROM o, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0 AND off + e * ss < q),
+p AS (SELECT r, rk, b - a AS words, unnest(range(a // 512, (b - 1) // 512 + 1)) AS k FROM e),
+f AS (SELECT r, count(*) AS n_blocks, min(slot) AS first_slot FROM p JOIN slots USING (rk, k) GROUP BY r),
+w AS (SELECT r, sum(b - a) AS taken FROM e GROUP BY r)
+SELECT doc_id, size::BIGINT AS size, ss AS source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(n_blocks, 0)::BIGINT AS n_blocks, first_slot::BIGINT AS first_slot FROM o LEFT JOIN w USING (r) LEFT JOIN f USING (r)
 """
 
 ORACLES = {"op1_source_mixing": _OP1_SQL, "op6_url_filter": urlfilter.oracle_sql(), "op10_quality_rules": rules.oracle_sql()}

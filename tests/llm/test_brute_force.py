@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from tallyforge.llm import common, kneser_ney, langid, media_tiff, mixing, pieces, pii, queries, rules, secrets, simhash
+from tallyforge.llm import bigrams, common, kneser_ney, langid, media_tiff, mixing, pieces, pii, queries, rules, secrets, simhash
 
 from oracle import compare
 
@@ -43,7 +43,34 @@ def test_mix_schedule(spark, sf_dir):
     slots = sorted(blocks)
     half = collections.Counter(k[1] for k in slots[: len(slots) // 2])
     assert all(abs(half[x] - total[x] / 2) <= 5 for x in total)
-    assert sorted(map(tuple, m)) == sorted(map(tuple, mixing.mix(d).collect()))
+    assert sorted(map(tuple, m), key=str) == sorted(map(tuple, mixing.mix(d).collect()), key=str)
+    first = {}
+    for r in s:
+        first[r["doc_id"]] = min(r["slot"], first.get(r["doc_id"], r["slot"]))
+    assert all(r["first_slot"] == first.get(r["doc_id"]) and (r["n_blocks"] > 0) == (r["taken"] > 0) for r in m)
+
+
+def test_slots_follow_the_sequence(spark, sf_dir, monkeypatch):
+    """Slots are ranks of golden-ratio points; another multiplier gives other slots and another order of the mixed documents."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    s, sources = mixing.schedule(d).collect(), collections.defaultdict(set)
+    for r in s:
+        sources[r["source_key"]].add((r["block"], r["slot"]))
+    points = {t: ((t + 1) * mixing.GOLDEN_40) % (1 << 40) for t in range(math.ceil(sum(r["n_words"] for r in s) / 512))}
+    for blocks in sources.values():
+        order = [slot for _, slot in sorted(blocks)]
+        assert order == sorted(order)  # block k in the slot of rank k
+        inside = [points[t] for t in order if t in points]
+        lo, hi = min(inside), max(inside)
+        others = {t for x in sources.values() if x is not blocks for _, t in x if t in points}
+        assert not any(lo < points[t] < hi for t in others)
+    mixed = [r["doc_id"] for r in mixing.mixed_documents(d).collect()]
+    slot = {r["doc_id"]: r["first_slot"] for r in mixing.mix(d).collect()}
+    seen = list(dict.fromkeys(mixed))
+    assert [slot[i] for i in seen] == sorted(slot[i] for i in seen)
+    monkeypatch.setattr(mixing, "GOLDEN_40", 3)
+    other = {r["doc_id"]: r["first_slot"] for r in mixing.mix(d).collect()}
+    assert sum(other[i] != slot[i] for i in slot) > len(slot) / 2
 
 
 # --- SimHash
@@ -161,6 +188,54 @@ def test_allowed_part_does_not_hide_a_secret(spark):
     assert {r["doc_id"] for r in secrets.redact(df).collect() if r["text"] == "see [SECRET] here"} == {1, 2, 3, 4}
 
 
+def _entropy_spans(t, base):
+    """Tokens with a window that reaches its class's limit, by definition; None if one is too near the limit to tell."""
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, t):
+        tok = m[0]
+        if any(re.search(p, tok) for p in secrets.ALLOW) or any(a <= m.start() and m.end() <= b for a, _, b, _ in base):
+            continue
+        limit = next((v for p, v in secrets.CLASSES.values() if p and re.search(p, tok)), secrets.CLASSES["mixed"][1]) + (0 if re.search("[0-9]", tok) else secrets.HIGH)
+        hit = False
+        for i in range(len(tok) - 19):
+            w = tok[i : i + 20]
+            h = sum(-c / 20 * math.log2(c / 20) for c in collections.Counter(w).values())
+            if abs(h - limit) < 1e-9:
+                return None
+            hit |= h > limit and not re.search(secrets.ALLOW_WINDOW, w)
+        if hit:
+            out.append((m.start(), 3, m.end(), "entropy"))
+    return out
+
+
+def _planted_secrets(rnd):
+    b64, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"
+    make = [lambda: "".join(rnd.choice(b64) for _ in range(rnd.randint(24, 64))), lambda: "".join(rnd.choice(low) for _ in range(rnd.randint(28, 48))), lambda: "sk-" + "".join(rnd.choice(b64[:62]) for _ in range(32)), lambda: "".join(rnd.choice(b64[:62] + "-_") for _ in range(40))]
+    words = "the of account number billing service request handler internal configuration manager default factory response value".split()
+    plain = [lambda: "".join(w.title() for w in rnd.choices(words, k=4)), lambda: "/".join(rnd.choices(words, k=5)), lambda: "-".join(rnd.choices(words, k=4)), lambda: "_".join(rnd.choices(words, k=4)) + str(rnd.randint(1, 99)), lambda: str(rnd.randint(10**24, 10**25)), lambda: "%08x-%04x-%04x-%04x-%012x" % tuple(rnd.getrandbits(b) for b in (32, 16, 16, 16, 48)), lambda: rnd.choice("ab=-") * 40, lambda: "https://example.com/" + "/".join(rnd.choices(words, k=4))]
+    return [(rnd.choice(make)(), True) if i % 2 else (rnd.choice(plain)(), False) for i in range(600)]
+
+
+def test_planted_entropy_secrets(spark):
+    """All spans equal the definition; measured against what was planted: precision and recall of the method's own spans."""
+    rows = _planted_secrets(random.Random(21))
+    texts = [f"value of it: {x} and so on" for x, _ in rows] + ["Ab9" + "xK2q" * 700 + "9f8Xq2LmZ0aPw7RtYc4Vb6Nh", ("sample9f8Xq2LmZ0aPw" * 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, told = {}, 0
+    for r in secrets.scan(df, candidates="n").collect():
+        t = texts[r["doc_id"]]
+        base, want = _base_secrets(t), _entropy_spans(t, _base_secrets(t))
+        got = [tuple(x) for x in r["secret_spans"]]
+        found[r["doc_id"]] = any(x[1] == 3 for x in got)  # long numbers are base spans of kind hex, by their definition
+        if want is not None:
+            told += 1
+            assert got == sorted(base + want), t[:80]
+            assert (r["n"] > 0) >= bool(want)
+    hits = [(found[i], planted) for i, (_, planted) in enumerate(rows)]
+    right = sum(f and p for f, p in hits)
+    assert told > 590 and right / sum(p for _, p in hits) >= 0.95 and right / sum(f for f, _ in hits) >= 0.95
+
+
 def test_window_entropy(spark):
     from pyspark.sql import functions as F
 
@@ -210,6 +285,54 @@ def test_personal_data(spark, docs):
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(x[1] == i for x in base) for i in range(4))
 
 
+def _planted_private(rnd):
+    two = lambda a, b: rnd.randint(a, b)
+    phone = lambda: f"({two(201, 289)}) {two(230, 499)}-{two(1000, 9999)}" if rnd.random() < 0.5 else f"{two(301, 389)}-{two(600, 899)}-{two(1000, 9999)}"
+    name = lambda: rnd.choice("anna bob carla dan eve".split()) + rnd.choice(["", ".w", "77"])
+    real = [lambda: f"please call {phone()} today", lambda: f"my phone is {phone()}, thanks", lambda: f"write to {name()} at {rnd.choice('mail post home'.split())}{two(1, 9)} dot com soon", lambda: f"contact {name()} [at] example [dot] org now", lambda: f"his ssn is {two(101, 665)}-{two(10, 99)}-{two(1000, 9999)} as filed", lambda: f"social security {two(101, 665)}-{two(10, 99)}-{two(1000, 9999)}."]
+    other = [lambda: f"part/{two(101, 199)}-{two(230, 999)}-{two(1000, 9999)}/b", lambda: f"code x{two(901, 999)}-{two(10, 99)}-{two(1000, 9999)}", lambda: f"version {two(0, 1)}00.{two(100, 199)}.{two(1000, 9999)}", lambda: "we met at noon dot later on", lambda: f"look at point dot {rnd.choice('matrix line graph'.split())}", lambda: f"no 000-{two(10, 99)}-{two(1000, 9999)} here", lambda: f"sizes {two(100, 199)} {two(100, 199)} {two(1000, 9999)}"]
+    base = [lambda: f"mail {name()}@example.com", lambda: f"host 10.0.{two(0, 255)}.{two(0, 255)} is up", lambda: f"card 4111 1111 1111 {rnd.choice(['1111', '1112'])}", lambda: f"call +1 ({two(201, 289)}) {two(230, 499)}-{two(1000, 9999)}", lambda: "nothing here"]
+    return [(rnd.choice((real, other, base)[i % 3])(), i % 3) for i in range(900)]
+
+
+def test_planted_private_data(spark):
+    """The model by definition from the candidates' votes; precision and recall of the method's own spans on what was planted."""
+    rows = _planted_private(random.Random(22))
+    texts = [t for t, _ in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cands = {r["doc_id"]: r["_c"] for r in pii.candidates(df).select("_row.doc_id", "_c").collect()}
+    # EM and classifier, plainly
+    each = [c for cs in cands.values() for c in cs]
+    pats = collections.Counter(tuple(c["votes"]) for c in each)
+    prior, yes, no = 0.5, [[0.15, 0.25, 0.6]] * 5, [[0.5, 0.3, 0.2]] * 5
+    q_of = lambda v: 1 / (1 + math.exp(-max(-30, min(30, math.log(prior) - math.log(1 - prior) + sum(math.log(yes[j][v[j] + 1]) - math.log(no[j][v[j] + 1]) for j in range(5))))))
+    for _ in range(25):
+        q = {v: q_of(v) for v in pats}
+        a, n = sum(k * q[v] for v, k in pats.items()), sum(pats.values())
+        yes, no = ([[(1 + sum(k * w(v) for v, k in pats.items() if v[j] == x)) / (3 + sum(k * w(v) for v, k in pats.items())) for x in (-1, 0, 1)] for j in range(5)] for w in (q.__getitem__, lambda v: 1 - q[v]))
+        prior = max(0.01, min(0.99, (1 + a) / (2 + n)))
+    soft = collections.defaultdict(lambda: [0.0, 0.0])
+    feats = lambda c: [f"v{j}={x}" for j, x in enumerate(c["votes"])] + [f"kind={c['kind']}", f"size={c['kind']}/{c['size']}", f"before={c['before']}"]
+    for c in each:
+        q = q_of(tuple(c["votes"]))
+        for f in feats(c):
+            soft[f][0] += q
+            soft[f][1] += 1 - q
+    sums = [sum(x[i] for f, x in soft.items() if f.startswith("kind=")) for i in (0, 1)]
+    odds = {f: math.log((a + 1) / (sums[0] + 2)) - math.log((b + 1) / (sums[1] + 2)) for f, (a, b) in soft.items()}
+    found = {}
+    for r in pii.report(df).collect():
+        base = _base_pii(texts[r["doc_id"]])
+        more = [(c["start"], c["rank"], c["end"], c["kind"]) for c in cands[r["doc_id"]] if c["rank"] > 3 and c["ok"] and sum(odds[f] for f in feats(c)) > 0]
+        assert all(e <= s or b >= t for b, _, t, _ in more for s, _, e, _ in base) or not base
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + more)), texts[r["doc_id"]]
+        assert r["n_added"] == len(more) and r["n_candidates"] == len(cands[r["doc_id"]])
+        found[r["doc_id"]] = bool(more)
+    real = [i for i, (_, kind) in enumerate(rows) if kind == 0]
+    assert sum(found[i] for i in real) >= 0.95 * len(real)
+    assert sum(found.values()) <= 1.05 * sum(found[i] for i in real)
+
+
 def test_expectation_maximisation(spark):
     """Reliabilities of two good labelers and a coin come out as such."""
     from pyspark.sql import functions as F
@@ -343,6 +466,62 @@ def test_kneser_ney_scores_equal_the_definition(spark, docs, order, hot_parts):
         assert abs(got[i]["nll"] - sum(want) / len(want)) < 1e-4, i
 
 
+@pytest.mark.parametrize("ranges, hot_parts, shard_words", [(3, 4000, 2_000_000), (2, 5, 20_000), (1, 50, 50_000)])
+def test_packed_bigrams_equal_the_definition(spark, docs, monkeypatch, ranges, hot_parts, shard_words):
+    """Whatever the layout: one shard or many, hot words and hot bigrams, small blocks, repeated rows."""
+    texts = [r["text"] for r in docs.values()][:25] + ["the cat sat on the mat. The dog, 12 dogs sat on the log.", "a CAT and A dog !! NATO AND", " ", None, "word " * 70_000, "only here " * 9, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 2 + [(None, texts[5])] * 230, "_id long, text string").selectExpr("*", "'x' AS lang").coalesce(2)
+    monkeypatch.setattr(bigrams, "LOT", 100)
+    monkeypatch.setattr(bigrams, "BLOCK_WORDS", 4000 if hot_parts < 4000 else 3_000_000)
+    ids = spark.createDataFrame([(i,) for i in range(0, 30, 2)], "_id long")
+    p = _kn([t for i, t in enumerate(texts) if i % 2 == 0 and i < 30], 2)
+    rows = bigrams.score(df, ids, ranges, hot_parts, shard_words).collect()
+    many = collections.Counter(r["doc_id"] for r in rows)
+    assert many == collections.Counter([*range(len(texts)), 3, 3, *[None] * 230])
+    assert len({(r["n_words"], r["nll"]) for r in rows if r["doc_id"] in (None, 5)}) == 1
+    for r in {r["doc_id"]: r for r in rows if r["doc_id"] is not None}.values():
+        s = _kn_words(texts[r["doc_id"]] or "", 2)
+        assert r["n_words"] == max(0, len(s) - 2) and r["lang"] == "x"
+        if not s:
+            assert r["nll"] is None
+            continue
+        want = [-math.log(p(tuple(s[j - 1 : j + 1]))) for j in range(1, len(s))]
+        assert abs(r["nll"] - sum(want) / len(want)) < 1e-4, r["doc_id"]
+    assert bigrams.score(df, ids.where("_id > 99")) is None
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(3)
+    for x in (np.zeros(0, np.uint64), np.array([2**64 - 1, 0], np.uint64), rng.integers(0, 70_000, 1000).astype(np.uint64)):
+        assert (bigrams.get(bigrams.put(x)) == x).all() and (bigrams.get_sorted(bigrams.put_sorted(np.sort(x))) == np.sort(x)).all()
+    y = np.array([0, -1, 5, -(2**40), 2**40], np.int64)
+    assert (bigrams.get_signed(bigrams.put_signed(y)) == y).all()
+
+
+def test_classify_by_definition(spark):
+    """Limits: the quantile of the calibration texts' perplexities by language, times the margin; else that of all."""
+    words = "a b c d e f g h".split()
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choice(words[: 3 + i % 5]) for _ in range(rnd.randint(1, 30))), ("x", "y", None)[i % 3] if i < 297 else "rare") for i in range(300)] + [(300, None, "x"), (301, " ", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = df.where("doc_id < 200 AND doc_id % 4 <> 0").select("doc_id")
+    got = {r["doc_id"]: r for r in kneser_ney.classify(df, trusted, quantile=0.9, margin=1.1).collect()}
+    out = {r["doc_id"] for r in trusted.selectExpr("doc_id", "pmod(xxhash64(doc_id), 10) = 0 AS o").collect() if r["o"]}
+    p = _kn([t for i, t, _ in rows if i < 200 and i % 4 and i not in out], 2)
+    ppl = {}
+    for i, t, _ in rows:
+        s = _kn_words(t or "", 2)
+        ppl[i] = math.exp(sum(-math.log(p(tuple(s[j - 1 : j + 1]))) for j in range(1, len(s))) / (len(s) - 1)) if s else None
+    lang = {i: x for i, _, x in rows}
+    quantile = lambda xs: sorted(xs)[max(0, math.ceil(0.9 * len(xs)) - 1)] * 1.1
+    limit = {x: quantile([ppl[i] for i in out if lang[i] == x]) for x in {lang[i] for i in out}}
+    for i, _, x in rows:
+        r = got[i]
+        assert abs(r["limit"] - limit.get(x, quantile([ppl[i] for i in out]))) < 1e-3
+        assert r["perplexity"] is None if ppl[i] is None else abs(r["perplexity"] - ppl[i]) < 1e-3
+        assert r["kept"] == (ppl[i] is not None and r["perplexity"] <= r["limit"])
+
+
 def test_kneser_ney_keys_and_blocks(spark, monkeypatch):
     w = np.array([0, 1, -5, 2**62], np.int64)
     rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(w, w[::-1])], "a long, b long").selectExpr("xxhash64(a, b) AS h").collect()
