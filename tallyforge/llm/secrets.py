@@ -7,7 +7,9 @@ one update and no recount. A candidate is a secret if some window's entropy reac
 no run, sequence or placeholder word; a candidate without a digit must reach HIGH bits more. Allow-list patterns fit
 whole candidates only. A candidate that lies inside a base span adds nothing.
 
-Defined results: null text is as empty text: no spans, and the hash of the empty string. Every row gives one row.
+Defined results: null text is as empty text: no spans, and the hash of the empty string. Every row gives one row; equal texts give
+equal spans. Spans that start together are ordered by kind. A very long token is measured in parts that overlap by a window less one
+character, so each window is seen once and none is lost. Columns of any name may stand beside the text; they are packed away.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-="
 CLASSES = {"hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", 2.9), "alnum": (r"^(?:[0-9a-z]+|[0-9A-Z]+)$", 3.4), "mixed": (r"", 3.7)}
 #: Bits above its class's limit that a candidate without a digit must reach: words written together stay below.
 HIGH = 0.2
+#: Windows of a token that one fold measures.
+PART = 1000
 #: Candidates that look random but are public, as a whole: identifiers, paths, numbers.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -71,8 +75,11 @@ def _kind(spans: F.Column, kind: str) -> F.Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def scan(docs: DataFrame, text_col: str = "text", width: int = 20, out: str = "secret_spans") -> DataFrame:
-    """``docs`` with ``out``: array of (start, rank, end, kind), sorted; rank 3 marks the method's own spans."""
+def scan(docs: DataFrame, text_col: str = "text", width: int = 20, out: str = "secret_spans", candidates: str | None = None) -> DataFrame:
+    """``docs`` with ``out``: array of (start, rank, end, kind), sorted; rank 3 marks the method's own spans.
+
+    ``candidates``: a column for the number of tokens whose windows were measured.
+    """
     # the input's columns are packed, so that none of them meets a helper column's name
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     df = find_spans(df, "_t", ASSIGN, "_assign", F.col("_t").rlike("(?i:passw|secret|token|api_?key)"))
@@ -86,9 +93,11 @@ def scan(docs: DataFrame, text_col: str = "text", width: int = 20, out: str = "s
     df = df.withColumn("_cand", F.filter("_cand", lambda x: ~public(x["m"]) & ~F.exists("_base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))))
     limit = "case " + " ".join(f"when cand.m rlike '{p}' then {v}" for p, v in CLASSES.values() if p) + f" else {CLASSES['mixed'][1]} end + if(cand.m rlike '[0-9]', 0, {HIGH})"
     df = df.withColumn("_cand", F.expr(f"transform(_cand, cand -> named_struct('start', cand.start, 'end', cand.end, 'm', cand.m, 'limit', cast({limit} as double)))"))
-    df = df.withColumn("_high", F.expr(f"filter(_cand, cand -> {window_entropy_sql('cand.m', width, 'cand.limit')} > 0)"))
+    parts = f"transform(sequence(0, greatest(length(cand.m) - {width}, 0) div {PART}), c -> substring(cand.m, c * {PART} + 1, {PART + width - 1}))"
+    df = df.withColumn("_high", F.expr(f"filter(_cand, cand -> exists({parts}, part -> {window_entropy_sql('part', width, 'cand.limit')} > 0))"))
     df = df.withColumn(out, F.array_sort(F.concat("_base", _kind(F.col("_high"), "entropy"))))
-    return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != out], out)
+    counted = [F.size("_cand").cast("long").alias(candidates)] if candidates else []
+    return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in (out, candidates)], out, *counted)
 
 
 def digest(spans: F.Column) -> F.Column:
