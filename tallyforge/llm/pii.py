@@ -2,12 +2,16 @@
 
 Natively in SQL functions. Base kinds (email, ip, card, phone) are fixed patterns with validators. Weak kinds (spelled-out email
 addresses, national phone numbers, social-security-like numbers) are candidates only. On every candidate, base or
-weak, five labelers vote 1, 0 or -1: a pattern validator, a gazetteer, the words before it, its neighbours, its length. Votes are
+weak, five labelers vote 1, 0 or -1: a validator, a gazetteer, the words before it, its neighbours, its length. A weak candidate that
+overlaps a base span is no candidate, so nothing is counted twice. Votes are
 counted by pattern of votes (at most 3**5 for a kind, however large the corpus); EM with a hidden yes or no runs over that table as
 a fold inside one SQL expression. The posteriors are soft labels of a naive Bayes span classifier over votes,
-kind, length and neighbours, fitted by aggregation; weak candidates it accepts are added to the base spans.
+kind, length and neighbours, fitted by aggregation; weak candidates it accepts are added to the base spans. Most base candidates are real, so
+their share says nothing of a weak one: weak ones start from even odds, and one without any evidence is not accepted.
 
-Defined results: null text is as empty text. Without any candidate there is no model and there are no spans. Every row gives one row.
+Defined results: null text is as empty text. Without any candidate there is no model and there are no spans. Every row gives one row; equal
+texts give equal spans, whatever their ids. Spans that start together are ordered by kind. Texts may be long: a match sees the text between it
+and the match before it, so no search starts over. Columns of any name may stand beside the text; they are packed away.
 """
 
 from __future__ import annotations
@@ -40,8 +44,8 @@ GAZETTEER = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|30)",
     "phone": r"^[+](?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
     "email_words": r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us)$",
-    "phone_local": r"^[(]?[2-9]",
-    "social": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+    "phone_local": r"^[(]?[2-9][0-8][0-9][)]?[ .-](?!555)",  # second digit 9 is reserved, exchange 555 is for films
+    "social": r"^(?!123-45-6789|078-05-1120|219-09-9999|987-65-43)(?!([0-9])\1\1-\1\1-)",
 }
 #: Words that speak for a kind when they stand shortly before it.
 CONTEXT = {
@@ -53,6 +57,12 @@ CONTEXT = {
     "phone_local": r"(?i)phone|call|tel|mobile|fax|whatsapp|anruf",
     "social": r"(?i)ssn|social|security|insurance",
 }
+#: What a weak candidate must look like: host labels and top-level names, numbering plan, issued ranges.
+WEAK_VALID = {
+    "email_words": r"(?i)^[a-z0-9][a-z0-9._%+-]*+ ?[\[(]?at[\])]? ?[a-z0-9](?:[a-z0-9-]*[a-z0-9])? ?[\[(]?dot[\])]? ?(?:[a-z]{2}|com|org|net|edu|gov|info|mail|name|tech|online)$",
+    "phone_local": r"^[(]?[2-9](?!11)[0-9]{2}[)]?[ .-][2-9](?!11)[0-9]{2}[ .-]",
+    "social": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+}
 LENGTH = {"email": (8, 60), "ip": (7, 15), "card": (13, 23), "phone": (10, 22), "email_words": (10, 60), "phone_local": (12, 14), "social": (11, 11)}
 N_VOTES = 5
 
@@ -66,7 +76,7 @@ def valid(kind: str, m):
         return (F.length(digits) >= 12) & (F.length(digits) <= 19) & luhn(digits)
     if kind == "phone":
         return (F.length(digits) >= 9) & (F.length(digits) <= 15)
-    return F.lit(True)
+    return m.rlike(WEAK_VALID[kind]) if kind in WEAK_VALID else F.lit(True)
 
 
 def luhn(digits):
@@ -82,25 +92,25 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     gates = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]"), "phone": t.rlike(r"\+[0-9]"), "email_words": t.rlike(r"\[at\]|\(at\)| at "), "phone_local": t.rlike(r"[0-9]{3}[ .-][0-9]{4}"), "social": t.rlike(r"[0-9]-[0-9]{2}-[0-9]")}
     patterns = (EMAIL, IP, CARD, PHONE, EMAIL_WORDS, PHONE_LOCAL, SOCIAL)
     for kind, pattern in zip(KINDS, patterns):
-        df = find_spans(df, "_t", pattern, f"_{kind}", gates[kind])
+        df = find_spans(df, "_t", pattern, f"_{kind}", gates[kind], 40)
     found = []
     for rank, kind in enumerate(KINDS):
         column = F.col(f"_{kind}")
         if kind == "card":  # most digit runs are too short to be anything; they are no candidates
             column = F.filter(column, lambda x: (F.length(F.translate(x["m"], " -", "")) >= 12) & (F.length(F.translate(x["m"], " -", "")) <= 19))
-        found.append(F.transform(column, _describe(t, kind, rank)))
-    return df.select("_row", F.concat(*found).alias("_c"))
+        found.append(F.transform(column, _describe(kind, rank)))
+    df = df.select("_row", F.concat(*found[:BASE]).alias("_base"), F.concat(*found[BASE:]).alias("_weak"))
+    apart = F.filter("_weak", lambda x: ~F.exists("_base", lambda b: b["ok"] & (b["start"] < x["end"]) & (b["end"] > x["start"])))
+    return df.select("_row", F.concat("_base", apart).alias("_c"))
 
 
-def _describe(t, kind: str, rank: int):
-    """What is recorded of a match of ``kind`` in text column ``t``."""
+def _describe(kind: str, rank: int):
+    """What is recorded of a match of ``kind``."""
     low, high = LENGTH[kind]
 
     def describe(x):
-        start, m = x["start"].cast("int"), x["m"]
-        ahead = F.substring(t, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40)))
-        prev = F.substring(t, F.greatest(start, F.lit(1)), F.least(start, F.lit(1)))
-        after = F.substring(t, x["end"].cast("int") + 1, F.lit(1))
+        m, ahead, after = x["m"], x["ahead"], x["after"]
+        prev = F.right(ahead, F.lit(1))
         ok = valid(kind, m)
         vote = lambda yes: F.when(yes, F.lit(1)).otherwise(F.lit(-1))
         votes = F.array(
@@ -138,7 +148,12 @@ def features(c) -> F.Column:
 
 def fit(docs: DataFrame, text_col: str = "text", rounds: int = 25) -> dict[str, float]:
     """Log odds by feature value (a few hundred at most), learned from all documents; empty without candidates."""
-    c = candidates(docs.select(text_col), text_col).where(F.size("_c") > 0).select(F.explode("_c").alias("c"))
+    return fit_candidates(candidates(docs.select(text_col), text_col), rounds)
+
+
+def fit_candidates(found: DataFrame, rounds: int = 25) -> dict[str, float]:
+    """``fit`` from what ``candidates`` gives."""
+    c = found.where(F.size("_c") > 0).select(F.explode("_c").alias("c"))
     groups = c.groupBy("c.kind", "c.votes", "c.size", "c.before").agg(F.count("*").cast("double").alias("n"))
     groups = materialize(groups, "pii-votes")
     by_votes = groups.groupBy("votes").agg(F.sum("n").alias("n"))
@@ -152,27 +167,36 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = 25) -> dict[str,
     soft = groups.select(F.explode(features({x: F.col(x) for x in ("votes", "kind", "size", "before")})).alias("f"), (F.col("n") * q).alias("yes"), (F.col("n") * (1 - q)).alias("no"))
     table = soft.groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()
     yes, no = (sum(r[x] for r in table if r["f"].startswith("kind=")) for x in ("yes", "no"))
-    model = {r["f"]: math.log((r["yes"] + 1) / (yes + 2)) - math.log((r["no"] + 1) / (no + 2)) for r in table}
-    return model | {"": math.log((yes + 1) / (no + 1))}
+    return {r["f"]: math.log((r["yes"] + 1) / (yes + 2)) - math.log((r["no"] + 1) / (no + 2)) for r in table}
+
+
+def judged(found: DataFrame, model: dict[str, float], out: str = "pii_spans") -> DataFrame:
+    """``found`` (with _c of ``candidates``) with ``out``: sorted array of (start, rank, end, kind); ranks from 4 mark the method's own spans."""
+    plain = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
+    chosen = lambda x: (x["rank"] < BASE) & x["ok"]
+    if model:
+        weights = F.create_map(*[F.lit(x) for kv in model.items() for x in kv])
+        odds = lambda x: F.aggregate(features(x), F.lit(0.0), lambda z, f: z + F.coalesce(F.try_element_at(weights, f), F.lit(0.0)))
+        chosen = lambda x: F.when(x["rank"] < BASE, x["ok"]).otherwise(x["ok"] & (odds(x) > 0))
+    return found.withColumn(out, F.array_sort(F.transform(F.filter("_c", chosen), plain)))
 
 
 def scan(docs: DataFrame, model: dict[str, float], text_col: str = "text", out: str = "pii_spans") -> DataFrame:
     """``docs`` with ``out``: sorted array of (start, rank, end, kind); ranks from 4 mark the method's own spans."""
-    df = candidates(docs, text_col)
-    plain = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
-    base = F.filter("_c", lambda x: (x["rank"] < BASE) & x["ok"])
-    df = df.withColumn("_base", F.transform(base, plain))
-    unpack = [F.col("_row")[c].alias(c) for c in docs.columns if c != out]
-    if not model:
-        return df.select(*unpack, F.array_sort("_base").alias(out))
-    weights = F.create_map(*[F.lit(x) for kv in model.items() for x in kv])
-    odds = lambda x: F.aggregate(features(x), F.lit(model[""]), lambda z, f: z + F.coalesce(F.try_element_at(weights, f), F.lit(0.0)))
-    more = F.filter("_c", lambda x: (x["rank"] >= BASE) & (odds(x) > 0) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return df.select(*unpack, F.array_sort(F.concat("_base", F.transform(more, plain))).alias(out))
+    df = judged(candidates(docs, text_col), model, "_spans")
+    return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != out], F.col("_spans").alias(out))
 
 
 def report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row for each row of ``docs``."""
-    df = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), fit(docs, text_col), "text")
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_candidates, n_added), one row for each row of ``docs``.
+
+    Texts are searched once: candidates are written to the scratch folder, and model and spans come from there.
+    """
+    found = candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").select("_row.doc_id", "_c")
+    found = materialize(found, "pii-candidates")
+    df = judged(found, fit_candidates(found))
     count = lambda k: F.size(F.filter("pii_spans", lambda x: x["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return df.select("doc_id", *map(count, KINDS[:BASE]), F.sha2(span_list(F.filter("pii_spans", lambda x: x["rank"] < BASE)), 256).alias("base_sha256"), span_list(F.col("pii_spans")).alias("spans"))
+    return df.select(
+        "doc_id", *map(count, KINDS[:BASE]), F.sha2(span_list(F.filter("pii_spans", lambda x: x["rank"] < BASE)), 256).alias("base_sha256"), span_list(F.col("pii_spans")).alias("spans"),
+        F.size("_c").cast("long").alias("n_candidates"), F.size(F.filter("pii_spans", lambda x: x["rank"] >= BASE)).cast("long").alias("n_added"),
+    )
