@@ -29,7 +29,7 @@ def parse_signed(v):
 def parse_accounting(v):
     """Blanks go too; negative only if all of the value stands in parentheses."""
     bare = F.regexp_replace(v, r"[,$\s()]", "")
-    return _num(F.when(F.trim(v).rlike(r"^\(.*\)$"), F.concat(F.lit("-"), bare)).otherwise(bare))
+    return _num(F.when(v.rlike(r"^\s*\(.*\)\s*$"), F.concat(F.lit("-"), bare)).otherwise(bare))
 
 
 def parse_strict(v):

@@ -45,7 +45,27 @@ VALUE_PATTERNS = (
     ("large_numbers", r"\b(\d{1,3}(?:,\d{3})+)\b", 1.0),
 )
 
+#: A shorter classifier's words (T10): no sections, cash as money, no structures.
+HEADING_WORDS_SHORT = HEADING_WORDS[:-1]
+MONEY_WORDS_SHORT = (*MONEY_WORDS, "CASH")
 SPACE = r"\s+"
+#: Characters that count as white space at the ends of a text: those of ASCII, its four separators, and Unicode's.
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(t):
+    """White space of all kinds goes at both ends; trim() takes blanks only."""
+    return F.btrim(t, F.lit(WHITE))
+
+
+def long_enough(t, least: int):
+    """at least ``least`` characters between the white space at its ends."""
+    return F.length(strip(t)) >= least
+
+
+def signature(t, size: int = 400):
+    """The first ``size`` characters in lower case, stripped."""
+    return strip(F.substring(F.lower(t), 1, size))
 
 
 def words(t):
@@ -68,8 +88,8 @@ def clean_label(label, rules=CLEAN_RULES, expand_first: bool = True):
     own = list(rules)
     if expand_first:
         own = [r for r in own if "&" in r[0] and "(and" not in r[0] and r[0].startswith(r"\b")] + own
-    out = F.trim(F.lower(F.coalesce(label, F.lit(""))))
-    return F.trim(reduce(lambda t, r: F.regexp_replace(t, "(?i)" + r[0], r[1]), own, out))
+    out = strip(F.lower(F.coalesce(label, F.lit(""))))
+    return strip(reduce(lambda t, r: F.regexp_replace(t, "(?i)" + r[0], r[1]), own, out))
 
 
 def clean_phrase(text):
@@ -79,7 +99,7 @@ def clean_phrase(text):
     t = F.regexp_replace(t, SPACE, " ")
     for w in LEADING_WORDS:
         t = F.regexp_replace(t, rf"^{w}\s+", "")
-    return F.trim(t)
+    return strip(t)
 
 
 def truncate(t, size: int = 1500):
@@ -90,7 +110,7 @@ def truncate(t, size: int = 1500):
 def route(text, ocr=None, least: int = 50, least_ocr: int = 10):
     """Which extraction is accepted."""
     ocr = F.lit("") if ocr is None else ocr
-    return F.when(F.length(F.trim(text)) > least, "pdfplumber").when(F.length(F.trim(ocr)) > least_ocr, "tesseract_ocr").otherwise("failed")
+    return F.when(F.length(strip(text)) > least, "pdfplumber").when(F.length(strip(ocr)) > least_ocr, "tesseract_ocr").otherwise("failed")
 
 
 def _has(upper, needles):
@@ -98,8 +118,8 @@ def _has(upper, needles):
 
 
 def classify(text, headings=HEADING_WORDS, money=MONEY_WORDS, structures=STRUCTURE_WORDS, font_size=None):
-    """T9 (T10 with other lexicons and ``structures=()``; T11 with ``font_size``)."""
-    up, bare = F.upper(text), F.trim(text)
+    """T9 (T10 with the short lexicons and ``structures=()``; T11 with ``font_size``)."""
+    up, bare = F.upper(text), strip(text)
     shout = (F.upper(bare) == bare) & (F.lower(bare) != bare)
     out = F.when((F.length(bare) < 100) & _has(up, headings), "heading")
     if structures:
@@ -128,10 +148,13 @@ def pack(parts, limit: int = 2000, joiner: str = "\n\n"):
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["held"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["held"]))))
 
 
-def paragraphs(text, separator: str = "\n\n", least: int = 15, limit: int = 2000):
-    """Paragraphs of at least ``least`` characters; longer ones than ``limit`` are packed from sentences."""
-    parts = F.filter(F.transform(F.split(text, separator), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
-    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= limit, F.array(p)).otherwise(pack(F.split(p, r"(?<=[.!?])\s+"), limit, " "))))
+def paragraphs(text, separator: str = "\n\n", least: int = 15, limit: int = 2000, joiner: str = ""):
+    """Paragraphs of at least ``least`` characters; longer ones than ``limit`` are packed from sentences.
+
+    A sentence ends at a full stop with a blank, which is lost between sentences of a chunk unless ``joiner`` gives it back.
+    """
+    parts = F.filter(F.transform(F.split(text, separator), strip), lambda p: F.length(p) >= least)
+    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= limit, F.array(p)).otherwise(F.transform(pack(F.split(p, r"(?<=\.) "), limit, joiner), strip))))
 
 
 def _moments(xs):
@@ -181,7 +204,7 @@ def financial_values(text, contextual=CONTEXT_PATTERNS, general=VALUE_PATTERNS):
 
 def clean_filename(name):
     """Characters that file systems refuse become one underscore."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), "_+", "_"))
+    return strip(F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), "_+", "_"))
 
 
 def document_attributes(name, companies: list[tuple[str, str, str]], default_year: str = "2024"):
@@ -211,3 +234,15 @@ def sections(markdown, level: int = 2):
     body = lambda p, i: F.when(i == 0, p).when(p.contains("\n"), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise("")
     each = F.transform(parts, lambda p, i: F.struct(F.when(i > 0, strip(F.substring_index(p, "\n", 1))).alias("title"), strip(body(p, i)).alias("content")))
     return F.filter(each, lambda s: s["title"].isNotNull() | (s["content"] != ""))
+
+
+def any_sections(markdown, first: str = "Introduction"):
+    """S17, any heading: array of (title, content) of the parts under lines that begin with '#'; parts of white space only are left out.
+
+    Content keeps its line ends. What stands before the first heading is titled ``first``.
+    """
+    parts = F.split(F.concat(F.lit("\n"), F.coalesce(markdown, F.lit("")), F.lit("\n")), "\n#")
+    # the line end that opens the next heading was its own line's: it is given back
+    body = lambda p, i: F.concat(F.when(i == 0, F.substring(p, 2, 1 << 30)).when(p.contains("\n"), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise(""), F.when((i < F.size(parts) - 1) & p.contains("\n"), F.lit("\n")).otherwise(""))
+    each = F.transform(parts, lambda p, i: F.struct(F.when(i == 0, F.lit(first)).otherwise(strip(F.btrim(F.substring_index(p, "\n", 1), F.lit("# ")))).alias("title"), body(p, i).alias("content")))
+    return F.filter(each, lambda s: strip(s["content"]) != "")

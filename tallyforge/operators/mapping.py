@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import difflib
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import tokens, words
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: A dimension side above this many rows is joined by its blocking key instead of being compared with all.
 SMALL_DIMENSION = 20_000
 #: Up to this many pairs of document and token a TF-IDF side is broadcast.
@@ -42,17 +46,40 @@ def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def sequence_ratio(a, b):
     """T5: difflib's ratio; there is no built-in with its values."""
-    from pyspark import cloudpickle
-    import sys
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return F.pandas_udf(_sequence_ratio, "double")(a, b)
 
 
-SCORERS = {"edit": edit_ratio, "token_sort": lambda a, b: edit_ratio(token_sort(a), token_sort(b)), "contain": contain_score, "sequence": lambda a, b: 100 * sequence_ratio(a, b)}
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with one bit for each character of ``a``."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = full
+    for ch in b:
+        met = rows & at.get(ch, 0)
+        rows = (rows + met | rows - met) & full
+    return len(a) - rows.bit_count()
+
+
+def _token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x: str, y: str) -> float:
+        n = len(x) + len(y)
+        return float(round(200 * common_length(x, y) / n)) if x and y else 0.0
+
+    return pd.Series([one(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+
+
+def token_sort_ratio(a, b):
+    """Words of letters and digits, lowered and sorted; 200 x common subsequence over both lengths, as a whole number; 0 if either is blank."""
+    plain = lambda t: token_sort(F.regexp_replace(t, r"[^\p{L}\p{N}_]", " "))
+    return F.pandas_udf(_token_sort_ratio, "double")(plain(a), plain(b))
+
+
+SCORERS = {"edit": edit_ratio, "token_sort": token_sort_ratio, "token_sort_edit": lambda a, b: edit_ratio(token_sort(a), token_sort(b)), "contain": contain_score, "sequence": lambda a, b: 100 * sequence_ratio(a, b)}
 
 
-def fuzzy(labels: DataFrame, terms: DataFrame, scorer: str = "edit", least: float = 80, block=None) -> DataFrame:
+def fuzzy(labels: DataFrame, terms: DataFrame, scorer: str = "token_sort", least: float = 80, block=None) -> DataFrame:
     """Best term at or above ``least`` for each distinct label; ties go to the smaller term.
 
     labels(label, clean_label), terms(term, concept). Terms are a lexicon: up to SMALL_DIMENSION rows (checked) each label
@@ -73,7 +100,7 @@ def fuzzy(labels: DataFrame, terms: DataFrame, scorer: str = "edit", least: floa
     return labels.join(best, "clean_label", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("method", F.when(F.col("concept").isNotNull(), "fuzzy").otherwise("none"))
 
 
-def cascade(labels: DataFrame, rules: DataFrame, terms: DataFrame, scorer: str = "edit", least: float = 80) -> DataFrame:
+def cascade(labels: DataFrame, rules: DataFrame, terms: DataFrame, scorer: str = "token_sort", least: float = 80) -> DataFrame:
     """Exact, then fuzzy for the rest; one row for each label row."""
     first = exact(labels, rules)
     hit = first.where("concept IS NOT NULL")

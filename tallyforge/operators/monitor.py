@@ -156,3 +156,35 @@ def tracked_metrics(evaluations: DataFrame, key: str = "id", ts: str = "ts", nam
     last = evaluations.agg(F.max_by(key, ts).alias(key), F.max(ts).alias(ts)).where(F.col(key).isNotNull())
     wanted = last.select(key, ts, F.explode(F.array(*map(F.lit, names))).alias("metric"))
     return wanted.join(evaluations.select(key, "metric", "value"), [key, "metric"], "left").select(key, ts, "metric", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def run_registry(runs: DataFrame, keep_recent: int, now, days: int) -> DataFrame:
+    """Each run's last state with ``archive``: true for those older than ``days`` that are not among the newest ``keep_recent``. runs(run_id, ts, status)."""
+    last = latest_status(runs, "run_id", "ts", "status")
+    newest = last.orderBy(F.desc("ts"), "run_id").limit(keep_recent).select("run_id", F.lit(True).alias("_new"))  # a bound of the caller's
+    old = F.col("ts") < F.lit(now) - F.make_dt_interval(F.lit(days))
+    return last.join(F.broadcast(newest), "run_id", "left").select("run_id", "status", "ts", (old & F.col("_new").isNull()).alias("archive"))
+
+
+def nested_value(df: DataFrame, path: str, default=None):
+    """P20: the column at a dotted path, or ``default`` where the schema has no such path."""
+    here = df.schema
+    for part in path.split("."):
+        if part not in getattr(here, "names", []):
+            return F.lit(default)
+        here = here[part].dataType
+    return F.col(".".join(f"`{p}`" for p in path.split(".")))
+
+
+def group_spread(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Count, mean, deviation and distinct values of each group, and whether its mean is the largest (ties: the smaller name)."""
+    g = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.countDistinct(value).alias("n_distinct"))
+    top = g.agg(F.min_by(by, F.struct(-F.col("mean"), by)).alias("_top"))
+    return g.join(F.broadcast(top), F.lit(True)).withColumn("is_top", F.col(by).eqNullSafe(F.col("_top"))).drop("_top")
+
+
+def synthetic_history(spark, metrics: dict[str, tuple[float, float]], days: int = 30, end="2024-12-31", seed: int = 0) -> DataFrame:
+    """A demonstration history: (metric, ts, value) for ``days`` days up to ``end``; metrics: name to (mean, deviation)."""
+    names = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(float(m)).alias("m"), F.lit(float(d)).alias("d")) for k, (m, d) in metrics.items()])
+    each = spark.range(days).select(F.expr(f"timestamp'{end}'").alias("_end"), F.col("id").alias("_i"), F.explode(names).alias("x"))
+    return each.select("x.metric", (F.col("_end") - F.make_dt_interval(F.col("_i").cast("int"))).alias("ts"), (F.col("x.m") + F.col("x.d") * F.randn(seed)).alias("value"))

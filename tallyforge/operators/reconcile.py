@@ -174,3 +174,36 @@ def category_tops(facts: DataFrame, seq: str, period: str, value: str = "numeric
     last = valued.groupBy("category").agg(F.max(period).alias("_p"))  # a row a category: few
     latest = valued.join(F.broadcast(last), "category").where(F.col(period) == F.col("_p")).drop("_p")
     return latest.withColumn("_r", F.row_number().over(W.partitionBy("category").orderBy(seq))).where(F.col("_r") <= n).drop("_r")
+
+
+def distinct_concepts(facts: DataFrame) -> DataFrame:
+    """A28."""
+    return facts.select("concept").where("concept IS NOT NULL").distinct()
+
+
+def fact_order() -> list:
+    """O1, O2: the order of facts in a file: by concept, then period, nulls last."""
+    return [F.asc_nulls_last(c) for c in ("concept", "end_date", "instant_date")]
+
+
+def reorder(df: DataFrame, first: list[str]) -> DataFrame:
+    """The named columns that there are, then the others as they stand."""
+    front = [c for c in first if c in df.columns]
+    return df.select(*[F.col(f"`{c}`") for c in front + [c for c in df.columns if c not in front]])
+
+
+# How good a match is, best first.
+MATCH_RANK = ("Exact", "Close", "Approximate", "None")
+
+
+def rank_matches(df: DataFrame, keys: list[str], quality: str = "quality", difference: str = "difference") -> DataFrame:
+    """Matches of each key numbered by quality, then by difference."""
+    rank = F.lit(len(MATCH_RANK))
+    for i, name in reversed(list(enumerate(MATCH_RANK))):
+        rank = F.when(F.col(quality) == name, i).otherwise(rank)
+    return df.withColumn("match_rank", F.row_number().over(W.partitionBy(*keys).orderBy(rank, F.asc_nulls_last(difference))))
+
+
+def head(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each key, as shown in a report."""
+    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")

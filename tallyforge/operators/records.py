@@ -5,19 +5,29 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import truncate
+from .. import schemas
+from ..functions.text import document_attributes, strip, truncate
 from . import tables as tb
 
-# The block types that records may have.
-BLOCK_TYPES = ("heading", "subheading", "paragraph", "text_block", "list", "table", "figure", "header", "footer", "section", "structured_content", "image", "caption", "page_text")
+# The block types and extraction methods that records may have, and the fields that each must have.
+BLOCK_TYPES = (
+    "paragraph", "heading", "subheading", "header", "footer", "caption", "footnote", "text_block", "structured_content", "table", "table_header", "table_cell", "list", "list_item", "image", "chart",
+    "diagram", "signature", "logo", "column", "text_region", "layout_block", "form_field", "checkbox", "barcode", "qr_code", "ai_analysis", "docling_section", "google_ai_entity", "unknown",
+)
+METHODS = (
+    "pdfplumber_text", "pypdf_text", "docling_text", "google_ai_text", "camelot_stream", "camelot_lattice", "pdfplumber_table", "tabula", "hybrid_table_extraction_camelot_stream", "hybrid_table_extraction_pdfplumber",
+    "layout_detection", "google_ai_layout", "docling_layout", "docling_ai_analysis", "docling_markdown_extraction", "google_document_ai", "openai_analysis", "hybrid_extraction", "unified_extraction", "multi_method_extraction", "manual_extraction", "unknown_method",
+)
+REQUIRED = ("doc_id", "company", "fiscal_year", "source_path", "extraction_timestamp", "page", "section", "block_type", "text", "extraction_method")
 
 
 def text_records(df: DataFrame, doc_id, page, text, block_type, method: str, confidence: float = 0.9, section=None) -> DataFrame:
-    """Records of any text-bearing frame; blank texts give none."""
+    """Records of any text-bearing frame; texts of white space only give none. ``completed`` adds the other columns."""
     page, text = F.col(page) if isinstance(page, str) else page, F.col(text) if isinstance(text, str) else text
     section = F.concat(F.lit("Page "), page.cast("string")) if section is None else section
-    return df.where(F.trim(text) != "").select(
+    return df.where(strip(text) != "").select(
         F.col(doc_id).cast("string").alias("doc_id"), page.cast("int").alias("page"), section.alias("section"), (F.lit(block_type) if isinstance(block_type, str) else block_type).alias("block_type"),
         text.alias("text"), F.lit(method).alias("extraction_method"), F.lit(confidence).alias("confidence"),
     )
@@ -40,14 +50,41 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def errors(types=BLOCK_TYPES):
-    """the array of what is wrong with a record; empty if nothing is."""
-    blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
+def completed(records: DataFrame, documents: DataFrame | None, extracted_at) -> DataFrame:
+    """``records`` with all columns of the record schema, those they lack as nulls.
+
+    documents(doc_id, company, fiscal_year, source_path) gives what holds for a whole document; where it is None, that is read from
+    the document's name. ``extracted_at``: a timestamp, or a column.
+    """
+    own = ["company", "fiscal_year", "source_path"]
+    base = records.drop(*own)
+    if documents is None:
+        at = document_attributes(F.col("doc_id"), [])
+        base = base.withColumns({"company": at["company"], "fiscal_year": at["fiscal_year"], "source_path": F.col("doc_id")})
+    else:
+        one = documents.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(*[F.min(c).alias(c) for c in own])
+        base = base.join(one, "doc_id", "left")
+    base = base.withColumn("extraction_timestamp", F.lit(extracted_at).cast("timestamp"))
+
+    def column(f):
+        if f.name not in base.columns:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        if not isinstance(f.dataType, StructType):
+            return F.col(f.name).cast(f.dataType).alias(f.name)
+        have = base.schema[f.name].dataType.names
+        parts = [(F.col(f.name)[x.name] if x.name in have else F.lit(None)).cast(x.dataType).alias(x.name) for x in f.dataType.fields]
+        return F.when(F.col(f.name).isNotNull(), F.struct(*parts)).alias(f.name)
+
+    return base.select(*map(column, StructType.fromDDL(schemas.RECORDS).fields))
+
+
+def errors(types=BLOCK_TYPES, required=REQUIRED):
+    """the array of what is wrong with a record; empty if nothing is. A page of 0 counts as missing, as an empty text does."""
+    blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == ("0" if c == "page" else ""))
     return F.filter(
         F.array(
-            *[F.when(blank(c), f"missing {c}") for c in ("doc_id", "section", "block_type", "text", "extraction_method")],
-            F.when(F.col("page").isNull() | (F.col("page") < 1), "bad page"), F.when(F.col("confidence").isNotNull() & ~F.col("confidence").between(0, 1), "bad confidence"),
-            F.when(~blank("block_type") & ~F.col("block_type").isin(*types), "bad block type"),
+            *[F.when(blank(c), f"missing {c}") for c in required],
+            F.when(F.col("confidence").isNotNull() & ~F.col("confidence").between(0, 1), "bad confidence"), F.when(F.col("block_type").isNull() | ~F.col("block_type").isin(*types), "bad block type"),
         ),
         lambda x: x.isNotNull(),
     )
@@ -59,7 +96,7 @@ def completeness(records: DataFrame, by: list[str]) -> DataFrame:
     has = lambda *ts: F.max(t.isin(*ts))
     return records.groupBy(*by).agg(
         F.count("*").alias("n_records"), F.countDistinct("page").alias("n_pages"), F.countDistinct("block_type").alias("n_types"), F.countDistinct("extraction_method").alias("n_methods"),
-        has("paragraph", "text_block", "page_text").alias("has_text"), has("table").alias("has_tables"), has("heading", "subheading").alias("has_headings"), has("image", "figure").alias("has_images"),
+        has("paragraph", "text_block").alias("has_text"), has("table").alias("has_tables"), has("heading", "subheading").alias("has_headings"), has("image", "chart", "diagram").alias("has_images"),
     ).withColumn("complete", F.col("has_text") & F.col("has_tables") & F.col("has_headings")).withColumn("score", F.least(F.lit(1.0), F.col("n_types") / 8))
 
 
@@ -80,7 +117,7 @@ def from_json(df: DataFrame, schema: str, col: str = "json") -> DataFrame:
 def fan_out(records: DataFrame, order: list) -> DataFrame:
     """K5: (seq, jsonl, markdown, plain) of each record; blank texts have no markdown, but count. Numbered within each document."""
     n = records.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)))
-    return n.select("seq", F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("jsonl"), F.when(F.trim("text") != "", F.concat(F.lit("## Record "), F.col("seq").cast("string"), F.lit("\n\n"), "text")).alias("markdown"), F.col("text").alias("plain"))
+    return n.select("seq", F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("jsonl"), F.when(strip(F.col("text")) != "", F.concat(F.lit("## Record "), F.col("seq").cast("string"), F.lit("\n\n"), "text")).alias("markdown"), F.col("text").alias("plain"))
 
 
 def fit_width(row, headers):
@@ -100,13 +137,20 @@ def table_records(cells: DataFrame, confidence: float = 0.85) -> DataFrame:
 def section_records(sections: DataFrame, confidence: float = 0.9, limit: int = 1500) -> DataFrame:
     """sections(doc_id, section_number, title, content) to records; the ordinal stands for the page, long contents are cut."""
     info = F.struct("title", F.length("content").cast("int").alias("content_length"), F.col("section_number").cast("int").alias("section_number")).alias("section_info")
-    return sections.where(F.length("content") > 50).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("section_number").cast("int").alias("page"), F.coalesce("title", F.lit("Introduction")).alias("section"), F.lit("section").alias("block_type"), truncate(F.col("content"), limit).alias("text"), F.lit("docling").alias("extraction_method"), F.lit(confidence).alias("confidence"), info)
+    return sections.where(F.length("content") > 50).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("section_number").cast("int").alias("page"), F.coalesce("title", F.lit("Introduction")).alias("section"), F.lit("docling_section").alias("block_type"), truncate(F.col("content"), limit).alias("text"), F.lit("docling_markdown_extraction").alias("extraction_method"), F.lit(confidence).alias("confidence"), info)
+
+
+def analysis_records(docs: DataFrame, model: str, confidence: float = 0.9, preview: int = 1500) -> DataFrame:
+    """docs(doc_id, markdown) to one summary row a document: how long its text is, how many headings, and its beginning."""
+    n = F.regexp_count(F.concat(F.lit("\n"), F.col("markdown")), F.lit("\n#"))
+    text = F.concat(F.lit("Document of "), F.length("markdown").cast("string"), F.lit(" characters and "), n.cast("string"), F.lit(" headings: "), truncate(F.col("markdown"), preview))
+    return docs.where(strip(F.col("markdown")) != "").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit("Document Analysis").alias("section"), F.lit("ai_analysis").alias("block_type"), text.alias("text"), F.lit("docling_ai_analysis").alias("extraction_method"), F.lit(confidence).alias("confidence"), F.struct(F.lit(model).alias("model_name"), F.lit("structure").alias("analysis_type"), F.array().cast("array<string>").alias("entities_detected"), F.lit(None).cast("double").alias("sentiment_score"), F.array().cast("array<string>").alias("topics")).alias("ai_analysis"))
 
 
 def object_records(objects: DataFrame) -> DataFrame:
     """Drawn objects (doc_id, page, kind, x0, top, x1, bottom) to a record a page and kind: how many, and the box around them."""
     g = objects.groupBy("doc_id", "page", "kind").agg(F.count("*").alias("n"), F.struct(F.min("x0").alias("x1"), F.min("top").alias("y1"), F.max("x1").alias("x2"), F.max("bottom").alias("y2")).alias("bbox"))
-    return g.select("doc_id", "page", F.concat(F.lit("Page "), F.col("page").cast("string")).alias("section"), F.when(F.col("kind") == "image", "image").otherwise("figure").alias("block_type"), F.concat(F.col("n").cast("string"), F.lit(" "), "kind").alias("text"), F.lit("pdfplumber").alias("extraction_method"), F.lit(0.9).alias("confidence"), "bbox")
+    return g.select("doc_id", "page", F.concat(F.lit("Page "), F.col("page").cast("string")).alias("section"), F.when(F.col("kind") == "image", "image").otherwise("diagram").alias("block_type"), F.concat(F.col("n").cast("string"), F.lit(" "), "kind").alias("text"), F.lit("layout_detection").alias("extraction_method"), F.lit(0.9).alias("confidence"), "bbox")
 
 
 def page_totals(records: DataFrame, by: list[str]) -> DataFrame:

@@ -16,22 +16,25 @@ from ..sources import sinks
 
 
 def tables_of(cells: DataFrame, accuracy: DataFrame | None = None, hybrid: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(cells, tables) that are kept: cleaned, headed, scored and gated; then the best of each page (``hybrid``), or the best of each signature.
+    """(cells, tables) that are kept: cleaned, headed and scored; then the best of each page among those that pass F4 (``hybrid``), or the
+    best of each signature among those that pass S4.
 
     ``accuracy`` (doc_id, method, page, table_num, accuracy) comes from the extraction, where the method reports any.
     """
     clean = tb.infer_headers(tb.clean_cells(cells))
     scored = tb.score_tables(clean)
     scored = scored.join(accuracy, tb.TABLE, "left") if accuracy is not None else scored.withColumn("accuracy", F.lit(None).cast("double"))
-    good = scored.where(tb.page_gate(F.col("page"), F.col("content_quality")))
+    gate = tb.passes_gate(F.col("content_quality"), F.col("rows"), F.col("cols"), F.col("financial_score")) if hybrid else tb.page_gate(F.col("page"), F.col("content_quality"))
+    good = scored.where(gate)
     kept = tb.best_table_per_page(good) if hybrid else tb.dedupe_tables(good)
     return clean.join(kept.select(*tb.TABLE), tb.TABLE, "left_semi"), kept
 
 
-def document_pipeline(pages: DataFrame, words: DataFrame, cells: DataFrame, sections: DataFrame | None = None, accuracy: DataFrame | None = None, hybrid: bool = True) -> dict[str, DataFrame]:
+def document_pipeline(pages: DataFrame, words: DataFrame, cells: DataFrame, sections: DataFrame | None = None, accuracy: DataFrame | None = None, hybrid: bool = True, documents: DataFrame | None = None, extracted_at="2000-01-01") -> dict[str, DataFrame]:
     """Pages, words, candidate tables and markdown sections of many documents to blocks, tables, one union of records, and what is complete.
 
-    pages(doc_id, page, text), words(WORDS), cells(CELLS without headers), sections(doc_id, section_number, title, content).
+    pages(doc_id, page, text), words(WORDS), cells(CELLS without headers), sections(doc_id, section_number, title, content),
+    documents(DOCUMENTS); without these, company and year come from documents' names. ``extracted_at`` stamps the records.
     """
     kept, tables = tables_of(cells, accuracy, hybrid)
     blocks = layout.word_blocks(words).withColumn("type", F.lit("Text"))
@@ -45,7 +48,7 @@ def document_pipeline(pages: DataFrame, words: DataFrame, cells: DataFrame, sect
     ]
     if sections is not None:
         found.append(records.section_records(sections))
-    every = records.union(*found).withColumn("errors", records.errors())
+    every = records.completed(records.union(*found), documents, extracted_at).withColumn("errors", records.errors())
     return {
         "blocks": layout.reading_order(boxes, ["doc_id", "page"], ["bounding_box.y1", "bounding_box.x1", "block_id"]),
         "cells": kept, "tables": tables, "methods": tb.method_summary(tables),
@@ -71,7 +74,7 @@ def cross_verify(cells: DataFrame, facts: DataFrame, rules: DataFrame, terms: Da
     docs = cells.select(F.col("doc_id").alias("name"), F.lit(0).alias("seq")).distinct()
     files = facts.select(F.col("source_file").alias("name"), F.lit(0).alias("seq")).distinct()
     pairs = mapping.pair_by_tokens(docs, files).where("partner IS NOT NULL").select(F.col("name").alias("doc_id"), F.col("partner").alias("source_file"))
-    labels = cells.select("doc_id", F.col("header").alias("label")).where(F.trim("label") != "").distinct().withColumn("clean_label", tx.clean_label(F.col("label")))
+    labels = cells.select("doc_id", F.col("header").alias("label")).where(tx.strip(F.col("label")) != "").distinct().withColumn("clean_label", tx.clean_label(F.col("label")))
     mapped = mapping.cascade(labels, rules, terms, scorer, least)
     reported = cells.withColumn("v", nm.parse_signed(F.col("value"))).where("v IS NOT NULL").withColumnRenamed("header", "label")
     reported = rc.aggregate_values(reported, ["doc_id", "label"], "v", how, "row_idx").withColumnRenamed("value", "pdf_value")
@@ -112,3 +115,13 @@ def overall_status(stages: dict[str, DataFrame]) -> DataFrame:
     """(stage, n, status) of each named frame: ``empty`` if it holds no row."""
     one = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n", F.when(F.col("n") > 0, "success").otherwise("empty").alias("status")) for name, df in stages.items()]
     return reduce(lambda a, b: a.unionByName(b), one)
+
+
+def fallback_records(pages: DataFrame, cells: DataFrame, layout_blocks: DataFrame, sections: DataFrame, documents: DataFrame | None = None, extracted_at="2000-01-01", n_sections: int = 10) -> DataFrame:
+    """Records straight from what the steps wrote, without gates: pages' texts, all tables, layout blocks, the first sections of each document.
+
+    pages(doc_id, page, text), cells(CELLS), layout_blocks(LAYOUT_BLOCKS), sections(doc_id, section_number, title, content).
+    """
+    blocks = layout_blocks.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page_num").alias("page"), F.concat(F.lit("Page "), F.col("page_num").cast("string")).alias("section"), F.lit("layout_block").alias("block_type"), F.coalesce("text", "type").alias("text"), F.lit("layout_detection").alias("extraction_method"), F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.col("bounding_box").alias("bbox"))
+    found = [records.text_records(pages, "doc_id", "page", "text", "text_block", "pdfplumber_text"), records.table_records(cells), blocks, records.section_records(sections.where(F.col("section_number") <= n_sections))]
+    return records.completed(records.union(*found), documents, extracted_at)

@@ -52,15 +52,11 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.select("file", "line", fields.alias("fields"))
     heads = lines.where("line = 0").select("file", F.col("fields").alias("heads"))
     body = lines.where("line > 0").join(heads, "file").select("file", (F.col("line") - 1).alias("row_idx"), "heads", F.posexplode("fields").alias("col_idx", "value"))
-    at = tx.table_file(F.col("file"))
-    return body.select(
-        F.regexp_replace("file", r"(_(camelot_lattice|camelot_stream|pdfplumber)_p[0-9]+_t[0-9]+)?\.csv$", "").alias("doc_id"), at["method"].alias("method"), at["page"].alias("page"), at["table_id"].alias("table_num"), "row_idx", "col_idx",
-        F.coalesce(F.try_element_at("heads", F.col("col_idx") + 1), F.concat(F.lit("Col_"), F.col("col_idx").cast("string"))).alias("header"), F.nullif("value", F.lit("")).alias("value"),
-    )
+    return named_cells(body.withColumn("header", F.coalesce(F.try_element_at("heads", F.col("col_idx") + 1), F.concat(F.lit("Col_"), F.col("col_idx").cast("string")))))
 
 
 def excel_cells(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of each workbook as cells. Needs an Excel reader for pandas on the workers."""
+    """First sheet of each workbook as cells, with the columns of ``csv_cells``. Needs an Excel reader for pandas on the workers."""
     def run(frames):
         import io
 
@@ -72,7 +68,15 @@ def excel_cells(spark: SparkSession, path: str) -> DataFrame:
                 long = t.reset_index(drop=True).melt(ignore_index=False).reset_index()
                 yield pd.DataFrame({"doc_id": name.rsplit("/", 1)[-1], "row_idx": long["index"].astype("int32"), "col_idx": long["variable"].map({c: i for i, c in enumerate(t.columns)}).astype("int32"), "header": long["variable"].astype(str), "value": long["value"]})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").option("recursiveFileLookup", True).load(path).mapInPandas(run, "doc_id string, row_idx int, col_idx int, header string, value string")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").option("recursiveFileLookup", True).load(path).mapInPandas(run, "doc_id string, row_idx int, col_idx int, header string, value string")
+    return named_cells(found.withColumnRenamed("doc_id", "file"))
+
+
+def named_cells(cells: DataFrame) -> DataFrame:
+    """(file, row_idx, col_idx, header, value) to cells with doc_id, method, page and table_num from the file's name."""
+    at = tx.table_file(F.col("file"))
+    name = F.regexp_replace("file", r"(_(camelot_lattice|camelot_stream|pdfplumber)_p[0-9]+_t[0-9]+)?\.(csv|xls[a-z]*)$", "")
+    return cells.select(name.alias("doc_id"), at["method"].alias("method"), at["page"].alias("page"), at["table_id"].alias("table_num"), "row_idx", "col_idx", "header", F.nullif("value", F.lit("")).alias("value"))
 
 
 def _walk_xbrl(name: str, text: str) -> list[tuple]:
@@ -134,7 +138,7 @@ def markdown_sections(spark: SparkSession, path: str, level: int = 2, least: int
 def ocr_pages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per page its text (paragraphs, else lines, else tokens) and how many parts it has."""
     p = docs.select(key, F.explode("pages").alias("p"))
-    joined = lambda c, sep: F.nullif(F.trim(F.array_join(F.transform(f"p.{c}", lambda x: x["text"]), sep)), F.lit(""))
+    joined = lambda c, sep: F.nullif(tx.strip(F.array_join(F.transform(f"p.{c}", lambda x: x["text"]), sep)), F.lit(""))
     n = lambda c: F.greatest(F.size(f"p.{c}"), F.lit(0)).alias(f"n_{c}")
     return p.select(key, F.col("p.page_number").alias("page"), F.coalesce(joined("paragraphs", "\n"), joined("lines", "\n"), joined("tokens", " "), F.lit("")).alias("text"), *map(n, ("blocks", "paragraphs", "lines", "tokens", "tables", "form_fields")))
 
@@ -155,12 +159,15 @@ def ocr_entities(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def page_subset(pages: DataFrame, wanted: list[int] | None = None, n: int | None = None, seed: int = 0, page: str = "page") -> DataFrame:
-    """The named pages, or ``n`` of them drawn by hash. Pages out of range raise."""
+    """The named pages of one document, or ``n`` of them drawn by hash. Pages out of range, and more than there are, raise."""
+    last, total = pages.agg(F.coalesce(F.max(page), F.lit(0)), F.countDistinct(page)).first()
     if wanted is not None:
-        bad = [p for p in wanted if p < 1]
+        bad = [p for p in wanted if not 1 <= p <= last]
         if bad:
-            raise ValueError(f"pages start at 1: {bad}")
+            raise ValueError(f"pages go from 1 to {last}: {bad}")
         return pages.where(F.col(page).isin(*wanted))
+    if (n or 0) > total:
+        raise ValueError(f"{n} pages of {total}")
     return pages.orderBy(F.xxhash64(page, F.lit(seed)), page).limit(n or 0)
 
 
@@ -173,3 +180,14 @@ def page_info(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Name and size in megabytes of each file under ``path``; contents are not read."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("length") / (1024 * 1024)).alias("size_mb"), F.col("modificationTime").alias("modified"))
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """How many pages each document has, and its full text in page order."""
+    own = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t"))))
+    return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.array_join(F.transform(own, lambda x: x["t"]), "\n").alias("text"))
+
+
+def newest(files: DataFrame, by: str = "modified", n: int = 1) -> DataFrame:
+    """The ``n`` most recent files; of equal times the later name."""
+    return files.orderBy(F.desc(by), F.desc("file")).limit(n)

@@ -3,6 +3,8 @@
 import datetime
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,7 +189,7 @@ def test_file_names(spark):
 def test_records(spark):
     d = spark.createDataFrame([(1, 1, "hello"), (2, 0, "x"), (3, 1, " ")], "doc_id int, page int, text string")
     r = records.text_records(d, "doc_id", "page", "text", "nonsense", "m")
-    assert {x["doc_id"]: x["e"] for x in r.select("doc_id", records.errors().alias("e")).collect()} == {"1": ["bad block type"], "2": ["bad page", "bad block type"]}
+    assert {x["doc_id"]: x["e"] for x in r.select("doc_id", records.errors(required=r.columns[:6]).alias("e")).collect()} == {"1": ["bad block type"], "2": ["missing page", "bad block type"]}
     back = records.from_json(records.as_json(r), "doc_id string, page int, text string")
     assert {x["text"] for x in back.collect()} == {"hello", "x"}
 
@@ -290,3 +292,117 @@ def test_bench_columns(spark):
     d = {x["operation"]: x for x in bench.derive(r).collect()}
     assert d["a"]["runtime_per_page"] == 10.0 and d["a"]["success_percent"] == 0.0 and d["b"]["success_percent"] == 75.0 and d["b"]["pages_per_hour"] == 720.0
     assert bench.bottlenecks(bench.derive(r)).first()["avg_runtime_per_page"] == 7.5
+
+
+def test_white_space_is_stripped_as_python_does(spark):
+    texts = ["\t a b\n", "\x0b\x0c\r\x1c\x1d\x1e\x1f", "\u00a0x\u2003\u3000", "\x85y\u2028\u2029", "\u200bz\u200b", "", "  ", "\ufeffq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.strip(F.col("t")).alias("s"), tx.route(F.col("t")).alias("r"))
+    assert [r["s"] for r in df.orderBy("i").collect()] == [t.strip() for t in texts]
+    white = spark.createDataFrame([("1", 1, "\n\t" * 60), ("1", 2, "\u00a0" * 60 + "word")], "doc_id string, page int, text string")
+    assert {r["r"] for r in white.select(tx.route(F.col("text")).alias("r")).collect()} == {"failed"}
+    assert [r["page"] for r in records.text_records(white, "doc_id", "page", "text", "paragraph", "x").collect()] == [2]
+    assert one(spark, tx.classify(F.lit("\n\tSHOUTED\n")))[0] == "subheading"
+
+
+def test_long_paragraphs_are_packed_by_sentence(spark):
+    def plain(text, limit):
+        out = []
+        for para in text.split("\n\n"):
+            para = para.strip()
+            if len(para) < 15:
+                continue
+            if len(para) <= limit:
+                out.append(para)
+                continue
+            held = ""
+            for part in re.split(r"(?<=\.) ", para):
+                if len(held) + len(part) <= limit:
+                    held += part
+                else:
+                    out += [held.strip()] if held else []
+                    held = part
+            out += [held.strip()] if held else []
+        return out
+
+    rnd = random.Random(1)
+    texts = ["\n\n".join(" ".join("w" * rnd.randint(1, 9) + rnd.choice(["", "", ".", "!", ". "]) for _ in range(rnd.randint(1, 60))) for _ in range(4)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.paragraphs(F.col("t"), limit=90).alias("p"))
+    assert all(r["p"] == plain(texts[r["i"]], 90) for r in df.collect())
+
+
+def test_sections_under_any_heading(spark):
+    def plain(md):
+        out, title, body = [], "Introduction", ""
+        for line in md.split("\n"):
+            if line.startswith("#"):
+                out += [(title, body)] if body.strip() else []
+                title, body = line.strip("# ").strip(), ""
+            else:
+                body += line + "\n"
+        return out + ([(title, body)] if body.strip() else [])
+
+    mds = ["a\nb\n# T #\nc\n\n## U\n### V\nd", "# only", "", "\n\n# x\n\n", "#\tq\nz\n", "x # y\n#z\n w \n"]
+    df = spark.createDataFrame(list(enumerate(mds)), "i int, t string").select("i", tx.any_sections(F.col("t")).alias("s"))
+    assert all([tuple(x) for x in r["s"]] == plain(mds[r["i"]]) for r in df.collect())
+
+
+def test_token_sort_ratio(spark):
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rnd = random.Random(2)
+    pairs = [("Net sales, total", "total net sales"), ("", "a"), ("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear"), ("a-b", "b a")] + [tuple("".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 20))) for _ in range(2)) for _ in range(100)]
+    got = [r["s"] for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i").select(mapping.token_sort_ratio(F.col("a"), F.col("b")).alias("s")).collect()]
+    for (a, b), s_ in zip(pairs, got):
+        x, y = (" ".join(sorted(re.sub(r"[^\w]", " ", t.lower()).split())) for t in (a, b))
+        assert s_ == (float(round(200 * lcs(x, y) / (len(x) + len(y)))) if x and y else 0.0), (a, b)
+
+
+def test_records_have_all_columns(spark):
+    r = records.text_records(spark.createDataFrame([("acme_2023", 1, "some text"), ("b", 0, "more text")], "doc_id string, page int, text string"), "doc_id", "page", "text", "paragraph", "pdfplumber_text")
+    docs = spark.createDataFrame([("acme_2023", "Acme", "2023", "/a.pdf")], "doc_id string, company string, fiscal_year string, source_path string")
+    full = records.completed(r, docs, "2024-05-06")
+    assert full.schema.simpleString() == spark.createDataFrame([], schemas.RECORDS).schema.simpleString()
+    bad = {x["doc_id"]: x["e"] for x in full.select("doc_id", records.errors().alias("e")).collect()}
+    assert bad == {"acme_2023": [], "b": ["missing company", "missing fiscal_year", "missing source_path", "missing page"]}
+    assert records.completed(r, None, "2024-05-06").select("doc_id", "company", "fiscal_year", "source_path").orderBy("doc_id").first()[1:] == ("Unknown Company", "2023", "acme_2023")
+    assert len(records.BLOCK_TYPES) == len(set(records.BLOCK_TYPES)) == 30 and len(set(records.METHODS)) == 22
+    a = records.analysis_records(spark.createDataFrame([("d", "# A\ntext\n## B\n"), ("e", " \n")], "doc_id string, markdown string"), "m")
+    assert [x["text"] for x in a.collect()] == ["Document of 14 characters and 2 headings: # A\ntext\n## B\n"]
+    assert not records.completed(a, docs.select(F.lit("d").alias("doc_id"), "company", "fiscal_year", "source_path"), "2024-05-06").select(records.errors().alias("e")).first()["e"]
+
+
+def test_enhanced_tables(spark):
+    t = lambda n, rows: [("d", "m", 1, n, i, j, None, v) for i, r in enumerate(rows) for j, v in enumerate(r)]
+    cells = spark.createDataFrame(t(1, [["Item", "2024"], ["Cash", "12"]]) + t(2, [["x", "y"], ["1", "2"]]) + t(3, [["Name", "Other"]]) + t(4, [["ab", None], ["cd", None]]), schemas.CELLS)
+    ids = lambda df: {r["table_num"] for r in df.collect()}
+    assert ids(tb.enhance(cells)) == {1} and ids(tb.enhance(cells, 0.0)) == {1, 2}
+    both = tb.enhance(cells, keep_poor=True)
+    assert both.count() == cells.count() and ids(both.where("enhanced")) == {1}
+
+
+def test_small_operators(spark):
+    pages = spark.createDataFrame([(i, f"p{i}") for i in range(1, 6)], "page int, text string")
+    assert [r["page"] for r in readers.page_subset(pages, [2, 5]).orderBy("page").collect()] == [2, 5] and readers.page_subset(pages, n=3, seed=1).count() == 3
+    for wrong in ({"wanted": [6]}, {"wanted": [0]}, {"n": 6}):
+        with pytest.raises(ValueError):
+            readers.page_subset(pages, **wrong)
+    files = spark.createDataFrame([("a", 1), ("b", 3), ("c", 3)], "file string, modified int")
+    assert [r["file"] for r in readers.newest(files, n=2).collect()] == ["c", "b"]
+    assert rc.reorder(pages, ["text", "none"]).columns == ["text", "page"]
+    nested = spark.createDataFrame([((1, ("x",)),)], "a struct<b:int,c:struct<d:string>>")
+    assert one_row(nested.select(monitor.nested_value(nested, "a.c.d").alias("x"), monitor.nested_value(nested, "a.z", 7).alias("y"))) == ("x", 7)
+    h = monitor.synthetic_history(spark, {"m": (10.0, 1.0), "n": (0.0, 0.0)}, days=5)
+    assert h.count() == 10 and {r["value"] for r in h.where("metric = 'n'").collect()} == {0.0}
+    facts = spark.createDataFrame([("b", None, None), ("a", "2024-01-01", None), ("a", None, "2024-01-01"), (None, None, None)], "concept string, end_date string, instant_date string")
+    assert [r["concept"] for r in facts.orderBy(*rc.fact_order()).collect()] == ["a", "a", "b", None]
+
+
+def one_row(df):
+    return tuple(df.first())

@@ -27,10 +27,10 @@ def test_documents_to_records(spark, tmp_path):
     found = wf.document_pipeline(pages, words, c, s)
     assert [(r["method"], r["page"]) for r in found["tables"].collect()] == [("camelot_stream", 1)]
     got = {(r["block_type"], r["page"]) for r in found["records"].collect()}
-    assert ("table", 1) in got and ("header", 1) in got and ("section", 1) in got and ("section", 2) not in got
+    assert ("table", 1) in got and ("header", 1) in got and ("docling_section", 1) in got and ("docling_section", 2) not in got
     table = found["records"].where("block_type = 'table'").first()
     assert table["text"].splitlines() == ["Table Headers: Item, Total Revenue", "Row 1: north | 1,000", "Row 2: south | 500"] and (table["table_info"]["rows"], table["table_info"]["cols"]) == (2, 2)
-    assert len(found["records"].where("block_type = 'section'").first()["text"]) == 1503
+    assert len(found["records"].where("block_type = 'docling_section'").first()["text"]) == 1503
     assert found["rejected"].count() == 0 and found["completeness"].first()["has_tables"]
     assert {r["reading_order"] for r in found["blocks"].collect()} == set(range(1, found["blocks"].count() + 1))
     wf.save_document_pipeline(found, str(tmp_path / "out"))
@@ -107,7 +107,7 @@ def test_pairings_and_files(spark, tmp_path):
 def test_objects_structure_and_counts(spark):
     o = spark.createDataFrame([("d", 1, "line", 1.0, 2.0, 3.0, 4.0), ("d", 1, "line", 0.0, 5.0, 2.0, 9.0), ("d", 1, "image", 0.0, 0.0, 1.0, 1.0)], "doc_id string, page int, kind string, x0 double, top double, x1 double, bottom double")
     got = {(r["block_type"], r["text"], tuple(r["bbox"])) for r in records.object_records(o).collect()}
-    assert got == {("figure", "2 line", (0.0, 2.0, 3.0, 9.0)), ("image", "1 image", (0.0, 0.0, 1.0, 1.0))}
+    assert got == {("diagram", "2 line", (0.0, 2.0, 3.0, 9.0)), ("image", "1 image", (0.0, 0.0, 1.0, 1.0))}
     docs = spark.createDataFrame([("d", "m" * 600, "t"), ("e", None, None)], "doc_id string, markdown string, text string")
     tables = spark.createDataFrame([("d", 2, 3, 4), ("d", 1, 1, 1)], "doc_id string, table_num int, rows int, cols int")
     s = {r["doc_id"]: r for r in records.structure_summary(docs, tables).collect()}
