@@ -9,7 +9,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import bench, layout, monitor as mo
+from ..operators import bench, layout, monitor as mo, reconcile
 from .common import r6, registrar, table
 
 QUERIES: dict = {}
@@ -130,7 +130,12 @@ def word_blocks(spark, sf_dir):
     return layout.gap_groups(e, ["user_id"], ["ts", "event_id"], late, "block").groupBy("user_id", "block").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
-@register()
+@register("""
+WITH RECURSIVE e AS (SELECT user_id, ts::DATE AS day, event_id, epoch_us(ts) / 6e7 AS m, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, day, event_id, n, 1 AS line, m AS anchor FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.day, e.event_id, e.n, CASE WHEN abs(e.m - w.anchor) < 60 THEN w.line ELSE w.line + 1 END, CASE WHEN abs(e.m - w.anchor) < 60 THEN w.anchor ELSE e.m END FROM w JOIN e ON e.user_id = w.user_id AND e.day = w.day AND e.n = w.n + 1)
+SELECT user_id, day, event_id, line FROM w
+""")
 def line_anchor_group(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("es"))
     e = e.withColumn("gs", layout.anchor_groups(F.transform("es", lambda x: F.unix_micros(x["ts"].cast("timestamp")) / 6e7), 60))
@@ -150,14 +155,14 @@ def json_props(spark, sf_dir):
 
 @register("SELECT user_id, arg_max(event_type, struct_pack(ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY 1")
 def latest_status(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts"))
-    return e
+    e = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return mo.latest_status(e, "user_id", "at", "event_type").select("user_id", "status", F.col("ts.ts").alias("ts"))
 
 
 @register("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, ts::DATE ORDER BY event_id) AS r FROM events) WHERE r = 1")
 def dedupe_keep_first(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.min("event_id").alias("event_id")).select("event_id", "user_id", "event_type")
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("concept"), F.col("event_type").alias("context_id"), F.to_date("ts").alias("numeric_value"), F.lit(None).cast("string").alias("segment"))
+    return reconcile.first_facts(e, "event_id").select("event_id", F.col("concept").alias("user_id"), F.col("context_id").alias("event_type"))
 
 
 @register("""WITH e AS (SELECT event_id AS id, ts, event_type || '.value' AS metric, value FROM events UNION ALL SELECT event_id, ts, event_type || '.user', user_id::DOUBLE FROM events),

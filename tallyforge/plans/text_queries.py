@@ -20,6 +20,7 @@ STRUCTURES = ("TOKEN", "COPYRIGHT")
 
 _WORDS = r"len(list_filter(string_split_regex(coalesce({0}, ''), '\s+'), lambda x: x <> ''))"
 _W = _WORDS.format("text")
+_T = f"trim(text, '{tx.WHITE}')"
 _BODY = "greatest(length(text), 1)"
 
 
@@ -64,26 +65,44 @@ def length_entropy_by_lang(spark, sf_dir):
     return quality.histogram_entropy(table(spark, sf_dir, "documents"), ["lang"], "n_chars")
 
 
-@register("SELECT doc_id, CASE WHEN length(trim(text)) > 50 THEN 'pdfplumber' WHEN length(trim(coalesce(source, ''))) > 10 THEN 'tesseract_ocr' ELSE 'failed' END AS route FROM documents")
+@register(f"SELECT doc_id, CASE WHEN length({_T}) > 50 THEN 'pdfplumber' WHEN length(trim(coalesce(source, ''), '{tx.WHITE}')) > 10 THEN 'tesseract_ocr' ELSE 'failed' END AS route FROM documents")
 def page_route(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.route(F.col("text"), F.coalesce("source", F.lit(""))).alias("route"))
 
 
-@register("SELECT lang, count(*) AS n, count(*) FILTER (length(trim(text)) >= 20) AS page_ok, count(*) FILTER (length(trim(text)) >= 15) AS paragraph_ok, count(*) FILTER (length(trim(text)) >= 30) AS block_ok FROM documents GROUP BY lang")
+@register(f"SELECT lang, count(*) AS n, count(*) FILTER (length({_T}) >= 20) AS page_ok, count(*) FILTER (length({_T}) >= 15) AS paragraph_ok, count(*) FILTER (length({_T}) >= 30) AS block_ok FROM documents GROUP BY lang")
 def min_length_gate(spark, sf_dir):
-    n = F.length(F.trim("text"))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(n >= k).alias(a) for k, a in ((20, "page_ok"), (15, "paragraph_ok"), (30, "block_ok"))])
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(tx.long_enough(F.col("text"), k)).alias(a) for k, a in ((20, "page_ok"), (15, "paragraph_ok"), (30, "block_ok"))])
 
 
-@register("""
-WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 15) AS ps FROM documents)
+@register(f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{tx.WHITE}')), lambda x: length(x) >= 15) AS ps FROM documents)
 SELECT doc_id, i::INT AS idx, ps[i + 1] AS paragraph FROM (SELECT doc_id, ps, unnest(range(len(ps))) AS i FROM p)
 """)
 def paragraph_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.paragraphs(F.col("text"), "\n", limit=1 << 30)).alias("idx", "paragraph"))
 
 
-@register()
+def _packed(parts: str, limit: int, joiner: str) -> str:
+    """SQL for greedy packing of a list of texts; chr(1) stands between chunks while the list is folded."""
+    last = "string_split(a, chr(1))[-1]"
+    return f"""list_filter(string_split(list_reduce(list_concat([''], {parts}), lambda a, x: CASE WHEN {last} = '' THEN a || x WHEN length({last}) + length(x) + length({joiner}) <= {limit} THEN a || {joiner} || x ELSE a || chr(1) || x END), chr(1)), lambda c: c <> '')"""
+
+
+@register(f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{tx.WHITE}')), lambda x: length(x) >= 15) AS ps FROM documents),
+q AS (SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 120 THEN [p] ELSE list_transform({_packed("string_split(replace(p, '. ', '.' || chr(2)), chr(2))", 120, "''")}, lambda c: trim(c, '{tx.WHITE}')) END)) AS cs FROM p)
+SELECT doc_id, i::INT AS idx, cs[i + 1] AS paragraph FROM (SELECT doc_id, cs, unnest(range(len(cs))) AS i FROM q)
+""")
+def paragraph_pack(spark, sf_dir):
+    """T7 with its branch for long paragraphs."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.paragraphs(F.col("text"), "\n", limit=120)).alias("idx", "paragraph"))
+
+
+@register(f"""
+WITH p AS (SELECT doc_id, {_packed("string_split(text, chr(10))", 2000, "chr(10)")} AS cs FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, i::INT AS idx, length(cs[i + 1])::INT AS n_chars, sha256(cs[i + 1]) AS chunk_sha256 FROM (SELECT doc_id, cs, unnest(range(len(cs))) AS i FROM p)
+""")
 def chunk_pack(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.pack(F.split("text", "\n"), 2000, "\n")).alias("idx", "chunk"))
     return d.select("doc_id", "idx", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("chunk_sha256"))
@@ -93,8 +112,8 @@ def _any(words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(upper(text), '{w}')" for w in words) + ")"
 
 
-_CLASS = rf"""CASE WHEN length(trim(text)) < 100 AND {_any(HEADINGS)} THEN 'heading' WHEN length(trim(text)) < 50 AND upper(trim(text)) = trim(text) AND lower(trim(text)) <> trim(text) THEN 'subheading'
-  WHEN {_any(MONEY)} THEN 'text_block' WHEN regexp_matches(trim(text), '^\w+\.\s') OR contains(text, '•') THEN 'list' WHEN {_any(STRUCTURES)} THEN 'structured_content' ELSE 'paragraph' END"""
+_CLASS = rf"""CASE WHEN length({_T}) < 100 AND {_any(HEADINGS)} THEN 'heading' WHEN length({_T}) < 50 AND upper({_T}) = {_T} AND lower({_T}) <> {_T} THEN 'subheading'
+  WHEN {_any(MONEY)} THEN 'text_block' WHEN regexp_matches({_T}, '^\w+\.\s') OR contains(text, '•') THEN 'list' WHEN {_any(STRUCTURES)} THEN 'structured_content' ELSE 'paragraph' END"""
 
 
 def _classified(spark, sf_dir):
@@ -106,6 +125,12 @@ def block_classify(spark, sf_dir):
     return _classified(spark, sf_dir).select("doc_id", "block_type")
 
 
+@register(rf"""SELECT doc_id, CASE WHEN length({_T}) < 100 AND {_any(tx.HEADING_WORDS_SHORT)} THEN 'heading' WHEN {_any(tx.MONEY_WORDS_SHORT)} THEN 'text_block' WHEN regexp_matches({_T}, '^\w+\.\s') OR contains(text, '•') THEN 'list' ELSE 'paragraph' END AS block_type FROM documents""")
+def block_classify_short(spark, sf_dir):
+    """T10, with its own words."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.classify(F.col("text"), tx.HEADING_WORDS_SHORT, tx.MONEY_WORDS_SHORT, ()).alias("block_type"))
+
+
 @register(f"SELECT lang, {_CLASS} AS block_type, count(*) AS n FROM documents GROUP BY ALL")
 def block_type_counts(spark, sf_dir):
     return records.type_counts(_classified(spark, sf_dir), ["lang"])
@@ -117,27 +142,31 @@ def _records(spark, sf_dir):
 
 
 @register(f"""
-SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 50 < 1 THEN 'bad page' ELSE '' END || CASE WHEN b NOT IN ('heading', 'paragraph', 'text_block', 'list') THEN CASE WHEN doc_id % 50 < 1 THEN ',' ELSE '' END || 'bad block type' ELSE '' END AS errors
-FROM (SELECT doc_id, {_CLASS} AS b FROM documents WHERE trim(text) <> '')
+SELECT doc_id::VARCHAR AS doc_id, concat_ws(',', CASE WHEN source_path IS NULL THEN 'missing company' END, CASE WHEN source_path IS NULL THEN 'missing fiscal_year' END, CASE WHEN source_path IS NULL THEN 'missing source_path' END,
+  CASE WHEN doc_id % 50 = 0 THEN 'missing page' END, CASE WHEN section IS NULL OR section = '' THEN 'missing section' END, CASE WHEN b = 'list' THEN 'bad block type' END) AS errors
+FROM (SELECT doc_id, source AS section, CASE WHEN doc_id % 3 > 0 THEN 'doc-' || doc_id END AS source_path, {_CLASS} AS b FROM documents WHERE {_T} <> '')
 """)
 def record_validate(spark, sf_dir):
-    return _records(spark, sf_dir).select("doc_id", F.array_join(records.errors(("heading", "paragraph", "text_block", "list")), ",").alias("errors"))
+    """F7 over records with all columns; every third document has no attributes, and lists are not accepted."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", F.lit("Acme").alias("company"), F.lit("2024").alias("fiscal_year"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_path"))
+    full = records.completed(_records(spark, sf_dir), d, "2024-01-01")
+    return full.select("doc_id", F.array_join(records.errors([t for t in records.BLOCK_TYPES if t != "list"]), ",").alias("errors"))
 
 
 @register(f"""
 SELECT block_type, method AS extraction_method, count(*) AS n, sum(length(t))::BIGINT AS chars FROM (
   SELECT {_CLASS} AS block_type, 'pdfplumber' AS method, text AS t FROM documents UNION ALL
-  SELECT 'page_text', 'html', html FROM pages UNION ALL SELECT 'paragraph', 'conversation', text FROM conversations) WHERE trim(t) <> '' GROUP BY ALL
+  SELECT 'text_block', 'html', html FROM pages UNION ALL SELECT 'paragraph', 'conversation', text FROM conversations) WHERE trim(t, '{tx.WHITE}') <> '' GROUP BY ALL
 """)
 def record_union(spark, sf_dir):
     p, c = table(spark, sf_dir, "pages"), table(spark, sf_dir, "conversations")
-    u = records.union(_records(spark, sf_dir), records.text_records(p, "page_id", F.lit(1), "html", "page_text", "html", 0.8), records.text_records(c, "conv_id", F.col("turn") + 1, "text", "paragraph", "conversation"))
+    u = records.union(_records(spark, sf_dir), records.text_records(p, "page_id", F.lit(1), "html", "text_block", "html", 0.8), records.text_records(c, "conv_id", F.col("turn") + 1, "text", "paragraph", "conversation"))
     return u.groupBy("block_type", "extraction_method").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @register(f"""
-WITH b AS (SELECT source, doc_id % 50 AS page, {_CLASS} AS b FROM documents WHERE trim(text) <> '')
-SELECT source AS section, count(*) AS n_records, count(DISTINCT page) AS n_pages, count(DISTINCT b) AS n_types, bool_or(b IN ('paragraph', 'text_block', 'page_text')) AS has_text, bool_or(b IN ('heading', 'subheading')) AS has_headings, round(least(1.0, count(DISTINCT b) / 8.0), 6)::DOUBLE AS score FROM b GROUP BY source
+WITH b AS (SELECT source, doc_id % 50 AS page, {_CLASS} AS b FROM documents WHERE {_T} <> '')
+SELECT source AS section, count(*) AS n_records, count(DISTINCT page) AS n_pages, count(DISTINCT b) AS n_types, bool_or(b IN ('paragraph', 'text_block')) AS has_text, bool_or(b IN ('heading', 'subheading')) AS has_headings, round(least(1.0, count(DISTINCT b) / 8.0), 6)::DOUBLE AS score FROM b GROUP BY source
 """)
 def record_completeness(spark, sf_dir):
     return records.completeness(_records(spark, sf_dir), ["section"]).select("section", "n_records", "n_pages", "n_types", "has_text", "has_headings", r6("score").alias("score"))
@@ -158,9 +187,9 @@ def header_footer_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<li[^>]*><a[^>]*>([^<]*)</a>", 1).alias("header"), F.regexp_extract("html", "<footer[^>]*>([^<]*)", 1).alias("footer"))
 
 
-@register("SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY trim(substr(lower(text), 1, 400)) ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
+@register(f"SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY trim(substr(lower(text), 1, 400), '{tx.WHITE}') ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
 def dedupe_keep_best(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.trim(F.substring(F.lower("text"), 1, 400)).alias("sig"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", tx.signature(F.col("text")).alias("sig"))
     top = d.groupBy("sig").agg(F.max_by(F.struct("doc_id", "n_chars"), F.struct("n_chars", -F.col("doc_id"))).alias("b"))
     return top.select("b.doc_id", "b.n_chars")
 
@@ -227,7 +256,20 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k DESC
 @register(_FUZZY + "SELECT lower(c_mktsegment) AS clean_label, term, concept, round(coalesce(k, 0), 6) AS confidence, count(*) AS n FROM customer LEFT JOIN b ON lower(c_mktsegment) = c GROUP BY ALL")
 def label_fuzzy_map(spark, sf_dir):
     labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("label"), F.lower("c_mktsegment").alias("clean_label"))
-    return mapping.fuzzy(labels, _terms(spark, sf_dir), least=15).groupBy("clean_label", "term", "concept", r6("confidence").alias("confidence")).agg(F.count("*").alias("n"))
+    return mapping.fuzzy(labels, _terms(spark, sf_dir), "edit", least=15).groupBy("clean_label", "term", "concept", r6("confidence").alias("confidence")).agg(F.count("*").alias("n"))
+
+
+@register("""
+WITH l AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS c FROM part), t AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS term, p_type AS concept FROM part WHERE p_partkey % 7 = 0),
+s AS (SELECT c, term, concept, 100.0 * (1 - levenshtein(c, term)::DOUBLE / greatest(length(c), length(term))) AS k FROM l, t WHERE split_part(c, ' ', 2) = split_part(term, ' ', 2)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k DESC, term, concept) AS r FROM s WHERE k >= 80) WHERE r = 1)
+SELECT p_partkey AS label, term, concept, round(coalesce(k, 0), 6) AS confidence FROM part LEFT JOIN b ON lower(p_name || ' ' || p_brand) = c
+""")
+def part_fuzzy_map(spark, sf_dir):
+    """J2 with a blocking key: parts' labels against a seventh of them, where the second words agree."""
+    p = table(spark, sf_dir, "part").withColumn("name", F.lower(F.concat_ws(" ", "p_name", "p_brand")))
+    labels, terms = p.select(F.col("p_partkey").alias("label"), F.col("name").alias("clean_label")), p.where("p_partkey % 7 = 0").select(F.col("name").alias("term"), F.col("p_type").alias("concept"))
+    return mapping.fuzzy(labels, terms, "edit", 80, lambda t: F.array(F.split_part(t, F.lit(" "), F.lit(2)))).select("label", "term", "concept", r6("confidence").alias("confidence"))
 
 
 @register()
@@ -313,7 +355,7 @@ def reading_order(spark, sf_dir):
 
 
 @register(f"""
-WITH b AS (SELECT source, doc_id % 50 AS page, text, {_CLASS} AS b FROM documents WHERE trim(text) <> '')
+WITH b AS (SELECT source, doc_id % 50 AS page, text, {_CLASS} AS b FROM documents WHERE {_T} <> '')
 SELECT source AS section, page::INT AS page, sum(length(text))::BIGINT AS text_length, count(*) FILTER (b = 'list') AS n_tables FROM b GROUP BY ALL
 """)
 def page_totals(spark, sf_dir):
