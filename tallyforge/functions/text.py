@@ -167,15 +167,20 @@ def _moments(xs):
     )
 
 
-def profile(text, lexicon=PROFILE_WORDS) -> dict:
-    """The features of a page's text, by name."""
+def profile_folds(text) -> dict:
+    """The parts of ``profile`` that other parts share: a frame that holds them as columns has each computed once."""
     t = F.coalesce(text, F.lit(""))
-    chars, n = F.length(t), n_words(t)
+    lengths = lambda p: F.transform(F.filter(F.split(t, p), lambda s: s.rlike(r"\S")), lambda s: n_words(s).cast("double"))
+    return {"words": n_words(t), "sentences": _moments(lengths("[.!?]+")), "paragraphs": _moments(lengths("\n\n"))}
+
+
+def profile(text, lexicon=PROFILE_WORDS, folds: dict | None = None) -> dict:
+    """The features of a page's text, by name. ``folds``: columns that hold ``profile_folds``."""
+    t = F.coalesce(text, F.lit(""))
+    folds = folds or profile_folds(text)
+    chars, n, sent, para = F.length(t), folds["words"], folds["sentences"], folds["paragraphs"]
     lines = F.size(F.split(t, "\n"))
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("int")
-    sentences = F.transform(F.filter(F.split(t, "[.!?]+"), lambda s: s.rlike(r"\S")), lambda s: n_words(s).cast("double"))
-    paras = F.transform(F.filter(F.split(t, "\n\n"), lambda s: s.rlike(r"\S")), lambda s: n_words(s).cast("double"))
-    sent, para = _moments(sentences), _moments(paras)
     finds = F.regexp_count(F.lower(t), F.lit(r"\b(" + "|".join(lexicon) + r")\b")).cast("int")
     one = lambda x: F.greatest(x, F.lit(1))
     return {

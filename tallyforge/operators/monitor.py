@@ -40,10 +40,21 @@ def drift_summary(drifts: DataFrame) -> DataFrame:
     return d.withColumn("drift_detected", F.col("drift_score") > 0.15).withColumn("critical", F.col("drift_score") > 0.3).withColumn("level", F.when((F.col("drift_score") > 0.5) | (F.col("avg_change") > 0.3), "high").when((F.col("drift_score") > 0.2) | (F.col("avg_change") > 0.1), "medium").otherwise("low"))
 
 
+def by_day(history: DataFrame, metric: str, ts: str, *sums) -> tuple[DataFrame, DataFrame]:
+    """(history with its day _d, one row for each metric and day): no task has to order all of a metric's points."""
+    h = history.withColumn("_d", F.to_date(ts))
+    return h, h.groupBy(metric, "_d").agg(*sums)
+
+
 def trend(history: DataFrame, metric: str = "metric", ts: str = "ts", value: str = "value") -> DataFrame:
-    """M7, M8: slope over the index of each metric's points, its line, and a direction; under three points there is none."""
-    w = W.partitionBy(metric).orderBy(ts)
-    h = history.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
+    """M7, M8: slope over the index of each metric's points, its line, and a direction; under three points there is none.
+
+    A point's index is its place in its day behind all days before.
+    """
+    h, days = by_day(history, metric, ts, F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(metric).orderBy("_d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    h = h.join(days.select(F.col(metric), F.col("_d"), before.alias("_before")), [metric, "_d"])
+    h = h.withColumn("_x", (F.row_number().over(W.partitionBy(metric, "_d").orderBy(ts)) - 1 + F.col("_before")).cast("double"))
     t = h.groupBy(metric).agg(F.count("*").alias("n"), F.regr_slope(value, "_x").alias("slope"), F.regr_intercept(value, "_x").alias("intercept"), F.min_by(value, ts).alias("first"), F.max_by(value, ts).alias("last"))
     rel = F.when(F.col("first") != 0, F.col("slope") / F.abs("first")).otherwise(F.lit(0.0))
     t = t.withColumn("relative_slope", rel)
@@ -58,7 +69,11 @@ def control_limits(history: DataFrame, metric: str = "metric", value: str = "val
 
 def diff_outliers(history: DataFrame, metric: str = "metric", ts: str = "ts", value: str = "value", q: float = 0.8) -> DataFrame:
     """Points whose step from the one before exceeds the metric's ``q`` quantile of steps."""
-    d = history.withColumn("step", F.abs(F.col(value) - F.lag(value).over(W.partitionBy(metric).orderBy(ts))))
+    h, days = by_day(history, metric, ts, F.max_by(value, ts).alias("_last"))
+    days = days.withColumn("_prev", F.lag("_last").over(W.partitionBy(metric).orderBy("_d"))).drop("_last")
+    one = F.row_number().over(W.partitionBy(metric, "_d").orderBy(ts)) == 1
+    prev = F.when(one, F.col("_prev")).otherwise(F.lag(value).over(W.partitionBy(metric, "_d").orderBy(ts)))
+    d = h.join(days, [metric, "_d"]).withColumn("step", F.abs(F.col(value) - prev)).drop("_d", "_prev")
     return d.join(d.groupBy(metric).agg(F.percentile("step", q).alias("limit")), metric).where("step > limit")
 
 
@@ -71,8 +86,9 @@ def first_last(history: DataFrame, metric: str = "metric", ts: str = "ts", value
 
 def run_deltas(history: DataFrame, metric: str = "metric", ts: str = "ts", value: str = "value") -> DataFrame:
     """Each metric's last point against the one before and the one two before."""
-    w = W.partitionBy(metric).orderBy(ts)
-    d = history.withColumn("delta", F.col(value) - F.lag(value).over(w)).withColumn("third", F.lag(value, 2).over(w)).withColumn("_r", F.row_number().over(W.partitionBy(metric).orderBy(F.desc(ts)))).where("_r = 1")
+    w = W.partitionBy(metric).orderBy(F.desc(ts))
+    newest = history.withColumn("_r", F.row_number().over(w)).where("_r <= 3")  # cut to three in each task before any of them meet
+    d = newest.withColumn("delta", F.col(value) - F.lead(value).over(w)).withColumn("third", F.lead(value, 2).over(w)).where("_r = 1")
     d = d.withColumn("slope3", (F.col(value) - F.col("third")) / 2)
     change = F.when(F.col("third") != 0, (F.col(value) - F.col("third")) / F.col("third"))
     return d.withColumn("trend3", F.when(change.isNull(), "unknown").when(change > 0.2, "up").when(change < -0.2, "down").otherwise("flat")).drop("_r", "third")
@@ -110,8 +126,11 @@ def simulate_failures(metrics: DataFrame, rules: DataFrame, factor: float = 1.5)
     return check_rules(metrics, hard).select("metric", (~F.col("passed")).alias("detected"))
 
 
-def cutoff(history: DataFrame, days: int, now, ts: str = "ts") -> DataFrame:
-    """rows of the last ``days`` days before ``now``."""
+def cutoff(history: DataFrame, days: int, now=None, ts: str = "ts") -> DataFrame:
+    """rows of the last ``days`` days before ``now``; where that is None, before the newest row."""
+    if now is None:
+        newest = history.agg(F.max(ts).alias("_now"))
+        return history.join(F.broadcast(newest), F.col(ts) >= F.col("_now") - F.make_dt_interval(F.lit(days))).drop("_now")
     return history.where(F.col(ts) >= F.lit(now) - F.make_dt_interval(F.lit(days)))
 
 
@@ -152,9 +171,15 @@ TRACKED = (
 
 
 def tracked_metrics(evaluations: DataFrame, key: str = "id", ts: str = "ts", names=TRACKED) -> DataFrame:
-    """Of the latest evaluation (id, ts, metric, value; rows as flatten_metrics makes them) every tracked metric, 0 where it is missing."""
+    """Of the latest evaluation (id, ts, metric, value; rows as flatten_metrics makes them) every tracked metric, 0 where it is missing.
+
+    ``names``: the metrics' names, or a frame (metric).
+    """
     last = evaluations.agg(F.max_by(key, ts).alias(key), F.max(ts).alias(ts)).where(F.col(key).isNotNull())
-    wanted = last.select(key, ts, F.explode(F.array(*map(F.lit, names))).alias("metric"))
+    if isinstance(names, DataFrame):
+        wanted = names.select("metric").distinct().join(F.broadcast(last), F.lit(True))  # the latest is one row
+    else:
+        wanted = last.select(key, ts, F.explode(F.array(*map(F.lit, names))).alias("metric"))
     return wanted.join(evaluations.select(key, "metric", "value"), [key, "metric"], "left").select(key, ts, "metric", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 

@@ -5,8 +5,6 @@ Daily means are sums of whole ten-thousandths, so that the order of summation do
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from ..operators import bench, layout, monitor as mo, reconcile
@@ -144,8 +142,7 @@ def line_anchor_group(spark, sf_dir):
 
 @register(_H + ", l AS (SELECT * FROM h WHERE ts >= (SELECT max(ts) FROM events)::TIMESTAMP - INTERVAL 7 DAY) SELECT metric, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC) AS r FROM l) WHERE r <= 3")
 def history_cutoff(spark, sf_dir):
-    now = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0] or datetime.datetime(1970, 1, 1)
-    return mo.retain(mo.cutoff(_history(spark, sf_dir), 7, now), ["metric"], 3, [F.desc("ts")]).select("metric", "ts", "value")
+    return mo.retain(mo.cutoff(_history(spark, sf_dir), 7), ["metric"], 3, [F.desc("ts")]).select("metric", "ts", "value")
 
 
 @register("SELECT event_type, count(*) AS n, count(DISTINCT props) AS n_props, max(length(props))::INT AS longest FROM events GROUP BY 1")
@@ -171,7 +168,7 @@ SELECT l.id AS id, w.metric AS metric, coalesce(e.value, 0)::DOUBLE AS value FRO
 def tracked_metrics(spark, sf_dir):
     """The last event as an evaluation; metrics of the other types are missing from it and count as 0."""
     e = table(spark, sf_dir, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().collect()]  # a handful
+    kinds = e.select("event_type").distinct().select(F.explode(F.array(*[F.concat("event_type", F.lit(f".{x}")) for x in ("value", "user")])).alias("metric"))
     long = e.select(F.col("event_id").alias("id"), F.struct("ts", "event_id").alias("ts"), F.explode(F.array(F.struct(F.concat("event_type", F.lit(".value")).alias("m"), F.col("value").cast("double").alias("v")), F.struct(F.concat("event_type", F.lit(".user")).alias("m"), F.col("user_id").cast("double").alias("v")))).alias("x"))
-    found = mo.tracked_metrics(long.select("id", "ts", F.col("x.m").alias("metric"), F.col("x.v").alias("value")), names=[f"{k}.{s}" for k in kinds for s in ("value", "user")])
+    found = mo.tracked_metrics(long.select("id", "ts", F.col("x.m").alias("metric"), F.col("x.v").alias("value")), names=kinds)
     return found.select("id", "metric", "value")

@@ -39,10 +39,11 @@ SELECT doc_id, length(text)::BIGINT AS char_count, {_W}::BIGINT AS word_count, l
   round({_W}::DOUBLE / {_BODY}, 6) AS content_density FROM d
 """)
 def text_profile(spark, sf_dir):
-    p = tx.profile(F.col("text"), LEXICON)
+    d = table(spark, sf_dir, "documents").withColumns({f"_{k}": c for k, c in tx.profile_folds(F.col("text")).items()})
+    p = tx.profile(F.col("text"), LEXICON, {k: F.col(f"_{k}") for k in ("words", "sentences", "paragraphs")})
     whole = ("char_count", "word_count", "line_count", "financial_keywords", "currency_patterns", "percentage_patterns", "sentence_count")
     part = ("avg_words_per_line", "numeric_ratio", "special_char_ratio", "uppercase_ratio", "avg_sentence_length", "sentence_length_std", "content_density")
-    return table(spark, sf_dir, "documents").select("doc_id", *[p[k].cast("long").alias(k) for k in whole], *[r6(p[k]).alias(k) for k in part])
+    return d.select("doc_id", *[p[k].cast("long").alias(k) for k in whole], *[r6(p[k]).alias(k) for k in part])
 
 
 @register(rf"""
