@@ -14,7 +14,11 @@ each round is written to the shared scratch folder.
 
 Defined results: null or blank text has fingerprint 0 and links like any other. Rows with null ids are linked,
 but the smallest non-null id names the component (null if it has none). Rows with equal ids all get
-their own fingerprint's component. Empty input gives no rows.
+their own fingerprint's component. Repeated rows and ties share one component. A very long text is hashed in parts of 65,536 shingles and none
+is left out. Only the two named columns are read, so others may have any name. Empty input gives no rows. A radius outside 1 to 7 raises.
+
+Costs: a bucket of more than ``bucket_limit`` fingerprints gives each of them 31 keys (2**(radius+1) - 1) at the next level, and only those still in
+large buckets go further; each level fixes at least one more bit of each radius+1.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -123,11 +127,12 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 2048) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nexts, pa.list_(pa.int64()))], ["mask", "key", "nexts"])
 
     keyed = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in cover(_ALL, radius)])).alias("mask"))
-    found = None
+    found, scratch = None, []
     while True:
         keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sized = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
         sized = materialize(sized, "simhash-buckets")
+        scratch.append(sized)
         pair = sized.where("n = 2").select("a", "b").where(F.bit_count(F.expr("a ^ b")) <= radius)
         many = keyed.join(sized.where(f"n > 2 AND n <= {bucket_limit}").select("mask", "key"), ["mask", "key"])
         many = many.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(edges, "a bigint, b bigint")
@@ -135,10 +140,25 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 2048) -> DataFram
         found = both if found is None else found.unionByName(both)
         large = sized.where(f"n > {bucket_limit}").select("mask", "key")
         if large.isEmpty():
-            return found.distinct()
+            break
         nexts = large.mapInArrow(further, "mask bigint, key bigint, nexts array<bigint>")
         keyed = keyed.join(nexts, ["mask", "key"]).select("fp", F.explode("nexts").alias("mask")).distinct()
         keyed = materialize(keyed, "simhash-level")
+        scratch.append(keyed)
+    out = materialize(found.distinct(), "simhash-links")
+    release(*scratch)
+    return out
+
+
+def split_join(many: DataFrame, one: DataFrame, on: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row for each key and in ``n`` how often ``many`` has it, ``total`` in all.
+
+    Keys with at least 1/``parts`` of all rows are ``parts`` at most by that share; theirs are broadcast, so that no key is one task's.
+    """
+    limit = max(2, -(-total // parts))
+    hot = one.where(F.col("n") >= limit)
+    rest = many.join(F.broadcast(hot.select(on)), on, "left_anti").join(one.where(F.col("n") < limit), on)
+    return many.join(F.broadcast(hot), on).unionByName(rest).drop("n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,12 +171,13 @@ def components(edges: DataFrame) -> DataFrame:
     seen = stamp(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        big = split_join(both.where("v > u"), least, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialize(small, "links")
+        last, e = e, materialize(small, "links")
+        release(last)
         now = stamp(e)
         if now == seen:
             break
@@ -168,12 +189,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, bucket_limit: int = 2048) -> DataFrame:
     """(doc_id, fingerprint hex, component_id), one row for each row of ``docs``."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    rows, distinct = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     roots = components(links(classes.select("fp"), radius, bucket_limit))
-    classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    least = split_join(rooted.select("fp", "root", F.col("n").alias("copies")), named, "root", distinct).select("fp", "component_id", F.col("copies").alias("n"))
+    least = materialize(least, "components")
+    return split_join(prints, least, "fp", rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, bucket_limit: int = 2048) -> DataFrame:
