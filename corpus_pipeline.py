@@ -1,11 +1,17 @@
-"""Documents to token ids: language ID, near-duplicate removal, secret redaction, source mixing, SentencePiece ids."""
+"""Documents to token ids: language ID, near-duplicate removal, secret redaction, source mixing, SentencePiece ids.
+
+Defined results: null texts, blank ones and those without a letter have no language and go. Null sources and languages are values like any
+other. Rows with null ids are rows like any other, but near copies go, and of equal rows one stays. The words of rows with one id are
+counted together when copies are made. Further columns pass through all stages, whatever their names; only ``text`` becomes
+``piece_ids`` at the end. Very long texts are read whole. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import langid, mixing, pieces, secrets, simhash
-from tallyforge.llm.common import materialize
+from tallyforge.llm.common import materialize, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            release(before)  # nothing reads it any more
+        before = docs
     return docs
