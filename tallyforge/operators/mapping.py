@@ -13,7 +13,7 @@ from ..functions.text import tokens, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: A dimension side above this many rows is joined by its blocking key instead of being compared with all.
+#: A lexicon above this many rows is compared in lots of about as many.
 SMALL_DIMENSION = 20_000
 #: Up to this many pairs of document and token a TF-IDF side is broadcast.
 SMALL_POSTINGS = 200_000
@@ -79,20 +79,33 @@ def token_sort_ratio(a, b):
 SCORERS = {"edit": edit_ratio, "token_sort": token_sort_ratio, "token_sort_edit": lambda a, b: edit_ratio(token_sort(a), token_sort(b)), "contain": contain_score, "sequence": lambda a, b: 100 * sequence_ratio(a, b)}
 
 
+def with_all(labels: DataFrame, terms: DataFrame, salts: int = 32) -> DataFrame:
+    """Each of ``labels`` with each of ``terms``, which stand in arrays, so that no pair is shuffled.
+
+    Up to SMALL_DIMENSION terms (counted) are one array, which is broadcast. More are dealt into lots of about as many; then labels and
+    lots meet by an equi-join, labels spread over ``salts`` keys for each lot.
+    """
+    cols = terms.columns
+    lots = max(1, -(-terms.count() // SMALL_DIMENSION))
+    lot = terms.groupBy(F.pmod(F.xxhash64(*cols), F.lit(lots)).cast("int").alias("_lot")).agg(F.collect_list(F.struct(*cols)).alias("_ts"))
+    if lots == 1:
+        met = labels.withColumn("_lot", F.lit(0)).join(F.broadcast(lot), "_lot")
+    else:
+        each = labels.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("_salt", F.pmod(F.xxhash64(*labels.columns), F.lit(salts)).cast("int"))
+        met = each.join(lot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["_lot", "_salt"])
+    return met.select(*labels.columns, F.explode("_ts").alias("_t")).select(*labels.columns, "_t.*")
+
+
 def fuzzy(labels: DataFrame, terms: DataFrame, scorer: str = "token_sort", least: float = 80, block=None) -> DataFrame:
     """Best term at or above ``least`` for each distinct label; ties go to the smaller term.
 
-    labels(label, clean_label), terms(term, concept). Terms are a lexicon: up to SMALL_DIMENSION rows (checked) each label
-    meets all of them. Beyond that a blocking key must be given: ``block`` maps a text column to
-    an array of keys, and only pairs that share a key are scored.
+    labels(label, clean_label), terms(term, concept). Each label meets all terms (see ``with_all``), unless a blocking key is
+    given: ``block`` maps a text column to an array of keys, and only pairs that share a key are scored.
     """
     score = SCORERS[scorer]
     distinct = labels.select("clean_label").distinct()
     if block is None:
-        if terms.limit(SMALL_DIMENSION + 1).count() > SMALL_DIMENSION:
-            raise ValueError(f"more than {SMALL_DIMENSION} terms: pass block=, a function of the text to an array of keys")
-        # the lexicon as one array on each label: no pair is shuffled
-        pairs = distinct.join(F.broadcast(terms.select("term", "concept").distinct().groupBy(F.lit(1).alias("_k")).agg(F.collect_list(F.struct("term", "concept")).alias("ts"))), F.lit(1) == F.col("_k")).select("clean_label", F.explode("ts").alias("t")).select("clean_label", "t.*")
+        pairs = with_all(distinct, terms.select("term", "concept").distinct())
     else:
         pairs = distinct.select("clean_label", F.explode(block(F.col("clean_label"))).alias("_b")).join(terms.select("term", "concept", F.explode(block(F.col("term"))).alias("_b")), "_b").drop("_b").distinct()
     scored = pairs.withColumn("confidence", score(F.col("clean_label"), F.col("term"))).where(F.col("confidence") >= least)
@@ -117,7 +130,7 @@ def strategies(labels: DataFrame, concepts: DataFrame, synonyms: DataFrame, leas
     The idf is that of labels and concepts together, so words that no concept has lower a label's cosine. ``stop``: words it leaves out.
     """
     terms = concepts.select(F.col("concept").alias("term"), "concept", F.lit(1).alias("own")).unionByName(synonyms.select("term", "concept", F.lit(0).alias("own")))
-    pairs = labels.select("clean_label").where("clean_label <> ''").distinct().join(F.broadcast(terms.groupBy(F.lit(1).alias("_k")).agg(F.collect_list(F.struct("term", "concept", "own")).alias("ts"))), F.lit(1) == F.col("_k")).select("clean_label", F.explode("ts").alias("t")).select("clean_label", "t.*")
+    pairs = with_all(labels.select("clean_label").where("clean_label <> ''").distinct(), terms.distinct())
     same = (F.col("own") == 1) & (F.lower("term") == F.col("clean_label"))
     s = pairs.withColumn("confidence", F.when(same, 1.0).otherwise(edit_ratio(F.col("clean_label"), F.lower("term")) / 100)).where(F.col("confidence") >= least)
     s = s.withColumn("method", F.when(same, "exact").when(F.col("own") == 1, "direct").otherwise("synonym"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import percentage_difference, scale_match, within_tolerance
+from .mapping import with_all
 
 # Words of relevant concepts.
 RELEVANT = ("revenue", "income", "profit", "loss", "asset", "liability", "equity", "cash", "expense", "cost", "sales", "earnings", "balance", "debt", "capital", "investment", "dividend")
@@ -47,9 +48,10 @@ def concept_summary(facts: DataFrame, key: str, value: str, modes: list[str]) ->
 
 
 def resolve_column(labels: DataFrame, columns: DataFrame) -> DataFrame:
-    """The column of each label: the equal one, else the first by col_idx with mutual containment. columns(column, col_idx): headers of one table, few."""
-    pairs = labels.join(F.broadcast(columns), F.lower("column").contains(F.lower("label")) | F.lower("label").contains(F.lower("column")), "left")
-    return pairs.groupBy("label").agg(F.min_by("column", F.struct((F.col("column") != F.col("label")).cast("int"), "col_idx")).alias("column"))
+    """The column of each label: the equal one, else the first by col_idx with mutual containment. columns(column, col_idx): headers of one table."""
+    own = labels.select("label").distinct()
+    met = with_all(own, columns.select("column", "col_idx").distinct()).where(F.lower("column").contains(F.lower("label")) | F.lower("label").contains(F.lower("column")))
+    return own.join(met, "label", "left").groupBy("label").agg(F.min_by("column", F.struct((F.col("column") != F.col("label")).cast("int"), "col_idx")).alias("column"))
 
 
 def reconcile(mapping: DataFrame, reported: DataFrame, facts: DataFrame, ignore_unmapped: bool = True, by: tuple[str, ...] = ()) -> DataFrame:

@@ -406,3 +406,15 @@ def test_small_operators(spark):
 
 def one_row(df):
     return tuple(df.first())
+
+
+def test_large_lexicons_are_compared_in_lots(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, f"net sales {i % 7}") for i in range(20)], "label int, clean_label string")
+    terms = spark.createDataFrame([(f"net sales {i}", f"c{i}") for i in range(9)] + [("other", "o")], "term string, concept string")
+    run = lambda: sorted(map(tuple, mapping.fuzzy(labels, terms, "edit").collect()))
+    whole, columns = run(), spark.createDataFrame([(c, i) for i, c in enumerate(("Sales 2024", "Sales", "Costs"))], "column string, col_idx int")
+    asked = spark.createDataFrame([("sales",), ("Costs",), ("none",)], "label string")
+    found = {r["label"]: r["column"] for r in rc.resolve_column(asked, columns).collect()}
+    assert found == {"sales": "Sales 2024", "Costs": "Costs", "none": None}
+    monkeypatch.setattr(mapping, "SMALL_DIMENSION", 2)
+    assert run() == whole and {r["label"]: r["column"] for r in rc.resolve_column(asked, columns).collect()} == found
