@@ -4,14 +4,23 @@ A text is marked (blanks become U+2581, one is put in front) and cut into words.
 which lists a trie depth-first: what was computed for a word's first characters is kept for the next word, up to their
 common prefix.
 
-The forward step: for every prefix of a word, the last token of its encoding. The vocabulary is a BPE model (scores are
-merge ranks), whose encoding is not the path of the best score sum; scores summed along a path would give
+The forward step of a unigram model: the best score of every prefix of a word and the last token on its path, over all pieces that
+end there; of equal scores the longer piece.
+
+The forward step of a BPE model: for every prefix of a word, the last token of its encoding. Scores are merge ranks there, and the
+encoding is not the path of the best score sum; scores summed along a path would give
 other ids than the model's own. The step thus takes, of the pieces that end at a position, the one that is compatible
 with the last token before it: merging the two tokens' characters by rank must give back these two tokens. A
 sequence is the model's encoding if and only if all its neighbours are compatible, and for each prefix just one
-piece is. Results equal the sentencepiece library's ids, with byte fallback for characters outside the vocabulary.
+piece is. Results equal the sentencepiece library's ids, with byte fallback for characters outside the vocabulary, or
+one unknown id for a run of them where the model has no bytes.
+
+Model files of other types, with a normalising table, without the mark in front, with extra blanks removed, or with
+pieces of the user's own are refused, as their ids would be others.
 
-Defined results: null text gives null ids and 0 tokens; empty text gives no ids. U+2581 in a text decodes as a blank.
+Defined results: null text gives null ids and 0 tokens; empty text gives no ids. U+2581 in a text decodes as a blank. Every row gives
+one row, repeated rows too; an empty table gives no rows. Long texts are cut into words like any other, and a word may be as long as it likes.
+Other columns are passed on untouched, whatever their names; only an older column with the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import types
 from itertools import chain
 
 import numpy as np
@@ -32,30 +42,85 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def fields(raw: bytes) -> dict[int, list]:
+    """The fields of one protocol buffer message: numbers, or bytes."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number():
+        nonlocal at
+        x = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            x |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return x
+
+    while at < len(raw):
+        key = number()
+        size = {0: None, 1: 8, 5: 4}.get(key & 7, -1)
+        if size is None:
+            value = number()
+        else:
+            if size < 0:
+                size = number()
+            value = raw[at : at + size]
+            at += size
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+#: Model types and kinds of pieces in model files.
+UNIGRAM, BPE = 1, 2
+USER_DEFINED = 4
+
+
+def check_model(raw: bytes) -> int:
+    """The type of a serialized model; raises if its ids would not be those of this module."""
+    top = fields(raw)
+    trainer, normal = (fields(top.get(i, [b""])[0]) for i in (2, 3))
+    kind = trainer.get(3, [UNIGRAM])[0]
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError(f"model type {kind}: only unigram and BPE models are read")
+    if normal.get(2, [b""])[0]:
+        raise ValueError("the model normalises characters by a table")
+    if normal.get(3, [1])[0] != 1 or normal.get(4, [1])[0] != 0 or normal.get(5, [1])[0] != 1 or trainer.get(24, [0])[0]:
+        raise ValueError("the model must put a mark in front, keep all blanks and mark them")
+    if any(fields(p).get(3, [1])[0] == USER_DEFINED for p in top.get(1, [])):
+        raise ValueError("pieces of the user's own are not supported")
+    return kind
+
+
 def load_vocabulary(model_file: str = DEFAULT_MODEL) -> dict:
     """Pieces, scores and byte ids of a model file, read once on the driver; its size is the vocabulary's, fixed."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    raw = sp.serialized_model_proto()
+    kind = check_model(raw)
     ids, scores, by_byte, table = {}, {}, {}, []
     for i in range(sp.vocab_size()):
         piece = sp.id_to_piece(i)
         if sp.is_byte(i):
             by_byte[int(piece[3:5], 16)] = i
             table.append(bytes((int(piece[3:5], 16),)))
-        elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
+        elif sp.is_unknown(i):
+            table.append(" \u2047 ".encode())
+        elif sp.is_control(i) or sp.is_unused(i):
             table.append(b"")
         else:
             ids[piece], scores[piece] = i, sp.get_score(i)
             table.append(piece.replace(MARK, " ").encode())
-    return {"ids": ids, "scores": scores, "bytes": [by_byte[i] for i in range(256)], "table": table}
+    return {"key": hashlib.sha256(raw).hexdigest(), "kind": kind, "ids": ids, "scores": scores, "bytes": [by_byte[i] for i in range(256)] if len(by_byte) == 256 else [], "unknown": sp.unk_id(), "table": table}
 
 
 class Encoder:
     """Words to ids, with a bounded memory of words seen."""
 
     def __init__(self, vocabulary: dict, keep_words: int = 600_000):
-        self.ids, self.scores, self.by_byte, self.table = (vocabulary[k] for k in ("ids", "scores", "bytes", "table"))
+        self.ids, self.scores, self.by_byte, self.table, self.unknown = (vocabulary[k] for k in ("ids", "scores", "bytes", "table", "unknown"))
         long = [p for p in self.ids if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in long):
             raise ValueError("pieces that span words are not supported")
@@ -71,6 +136,7 @@ class Encoder:
         self.answers = 0
         self.known: dict[str, tuple[int, ...]] = {}
         self.keep_words = keep_words
+        self.learn = self.learn_bpe if vocabulary["kind"] == BPE else self.learn_unigram
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE by rank, leftmost first; used on two tokens at a time."""
@@ -94,9 +160,38 @@ class Encoder:
             self.answers += 1
         return ok
 
-    def learn(self, words) -> None:
+    def learn_unigram(self, words) -> None:
+        """Encode distinct words depth-first over their trie: best score of each prefix, shared along common prefixes."""
+        root, scores = self.back, self.scores
+        least = min(scores.values(), default=0.0) - 10.0  # what the library takes for a character that is no piece
+        best, last, before = [0.0], [""], ""
+        for word in sorted(words):
+            n = min(len(word), len(before))
+            j = 0
+            while j < n and word[j] == before[j]:
+                j += 1
+            del last[j + 1 :], best[j + 1 :]
+            for j in range(j, len(word)):
+                node, top, found = root, None, word[j]
+                if found not in scores:
+                    top = best[j] + least
+                for k in range(j, -1, -1):
+                    node = node.get(word[k])
+                    if node is None:
+                        break
+                    piece = node.get(0)
+                    if piece is not None:
+                        value = best[k] + scores[piece[0]]
+                        if top is None or value >= top:
+                            top, found = value, piece[0]
+                best.append(top)
+                last.append(found)
+            before = word
+            self._keep(word, last)
+
+    def learn_bpe(self, words) -> None:
         """Encode distinct words depth-first over their trie."""
-        ids, root = self.ids, self.back
+        root = self.back
         last: list[str] = [""]  # last[j]: the last token of the first j characters' encoding
         before = ""
         for word in sorted(words):
@@ -121,17 +216,31 @@ class Encoder:
                             break
                 last.append(found)
             before = word
-            out, j = [], len(word)
-            while j:
-                token = last[j]
-                j -= len(token)
-                i = ids.get(token)
-                if i is not None:
-                    out.append(i)
-                else:
-                    out.extend(self.by_byte[b] for b in reversed(token.encode("utf-8", "surrogatepass")))
-            out.reverse()
-            self.known[word] = tuple(out)
+            self._keep(word, last)
+
+    def _keep(self, word: str, last: list[str]) -> None:
+        ids, out, j = self.ids, [], len(word)
+        while j:
+            token = last[j]
+            j -= len(token)
+            i = ids.get(token)
+            if i is not None:
+                out.append(i)
+            elif self.by_byte:
+                out.extend(self.by_byte[b] for b in reversed(token.encode("utf-8", "surrogatepass")))
+            else:
+                out.append(self.unknown)
+        out.reverse()
+        self.known[word] = tuple(out)
+
+    def _ids(self, words: list[str]) -> np.ndarray:
+        ids = np.array(list(chain.from_iterable(map(self.known.__getitem__, words))), np.int32)
+        if self.by_byte or not len(ids):
+            return ids
+        again = ids == self.unknown  # a run of unknown characters is one id
+        again[1:] &= again[:-1].copy()
+        again[0] = False
+        return ids[~again]
 
     def encode(self, texts: list, chunk_chars: int = 4_000_000) -> list[np.ndarray | None]:
         out: list[np.ndarray | None] = []
@@ -149,8 +258,7 @@ class Encoder:
                 self.known.clear()
                 new = met
             self.learn(new)
-            get = self.known.__getitem__
-            out += [None if ws is None else np.array(list(chain.from_iterable(map(get, ws))), np.int32) for ws in cut]
+            out += [None if ws is None else self._ids(ws) for ws in cut]
         return out
 
     def decode(self, ids) -> str:
@@ -158,6 +266,14 @@ class Encoder:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def encoder_of(vocabulary: dict) -> Encoder:
+    """The worker's encoder of a vocabulary: a Python worker keeps one from task to task, with the words that it knows."""
+    held = sys.modules.setdefault("_tallyforge_encoder", types.ModuleType("_tallyforge_encoder")).__dict__
+    if held.get("key") != vocabulary["key"]:
+        held["key"], held["encoder"] = vocabulary["key"], Encoder(vocabulary)
+    return held["encoder"]
+
+
 def encode(docs: DataFrame, text_col="text", model_file: str = DEFAULT_MODEL, ids_col="piece_ids") -> DataFrame:
     """``docs`` with ``ids_col`` (array<int>); an older column of that name is replaced."""
     vocabulary = load_vocabulary(model_file)
@@ -166,7 +282,7 @@ def encode(docs: DataFrame, text_col="text", model_file: str = DEFAULT_MODEL, id
     schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
@@ -203,7 +319,7 @@ def round_trip(docs: DataFrame, id_col="doc_id", text_col="text", model_file: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
