@@ -3,8 +3,10 @@
 Reads both byte orders; compression none, PackBits, LZW or deflate; 8-bit samples, chunky; predictor 1 or 2.
 Writes little-endian files with the same choices. A page that cannot be decoded gives a row with ``error``.
 
-Defined results: null text is as empty text, whose payload is 64 zero bytes. Every row of a
-text table gives one row; null blobs give no pages.
+Defined results: null text is as empty text, whose payload is 64 zero bytes. Every row of a text table gives one row, repeated rows too; equal
+texts give equal values. Long texts go over as many pages as they need. Null blobs give no pages; an empty or broken blob gives a row with
+``error``, and so does a page that claims more than 2**28 bytes of pixels, lacks parts, or is in a form that is not read. An empty table
+gives no rows. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

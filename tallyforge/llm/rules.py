@@ -3,7 +3,9 @@
 Policies are versioned masks over the ledger: a document is kept if no bit of the policy is set. Ablations (what each rule removes,
 alone and in all) are bitwise aggregations over the ledger, without reading texts again.
 
-Defined results: null text is as empty text. Every row gives one row.
+Defined results: null text is as empty text: all measurements are 0, and it has few words. Every row gives one row, repeated rows and ids too; equal
+texts give equal rows. Limits are strict: a document that just reaches one does not fail it. Texts are measured whole, however long. An
+empty table gives no rows, and its ablation none. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
