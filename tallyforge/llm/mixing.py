@@ -55,8 +55,9 @@ def _sources(totals: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame
     return s.select("skey", "source", "rank", "weight", "source_size", "target", "quota", "lo", "hi", F.count("*").over(everything).alias("n_sources"))
 
 
-def _slots(spark, n_slots: int, sources: DataFrame, block_words: int, segment: int = 4096) -> DataFrame:
+def _slots(spark, n_slots: int, sources: DataFrame, block_words: int) -> DataFrame:
     """(skey, k, slot): the slot of each source's block k."""
+    segment = max(4096, math.isqrt(n_slots))  # slots are ranked in segments, then segments: neither grows faster than the square root
     t = F.col("id") + 1
     low, high, half = t % (1 << 20), F.floor(t / (1 << 20)).cast("long") % (1 << 20), 1 << 20
     # t * GOLDEN_40 mod 2**40 in two limbs of 20 bits, without 64-bit overflow
