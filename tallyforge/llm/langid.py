@@ -5,11 +5,14 @@ directions, labels every byte position with language probabilities, and a docume
 over its positions. Windows of many documents run side by side as lanes of one matrix, so memory is bounded
 by ``lanes`` x ``steps`` and a long text is no special case.
 
-Training takes at most ``docs_per_lang`` documents of each language (the smallest hashes of their ids) and at most
-``windows_per_doc`` windows of each: the documented bound of the labelled sample. Prediction sees the text alone.
+Training takes at most ``docs_per_lang`` documents of each language (the smallest hashes of their ids), at most
+``windows_per_doc`` windows of each, and the ``max_langs`` most common languages: the documented bound of the labelled sample. Prediction
+sees the text alone.
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0. If there is nothing to learn
-from, every row is ``und``. Each row gives one row.
+from, every row is ``und``. Each row gives one row, repeated ids too, each by its own text. Equally probable languages: the first by name.
+Scores are rounded to six decimals, as sums of floats hang on which texts run side by side. Of rows with one id and language the one with the smallest
+windows is learned from. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -184,30 +187,27 @@ def predict_texts(m: dict, texts: list, steps: int = 64, lanes: int = 4096) -> t
         flush()
     for i in np.flatnonzero(sizes):
         j = int(np.argmax(sums[i]))
-        names[i], scores[i] = m["langs"][j], float(min(1.0, max(0.0, sums[i, j] / sizes[i])))
+        names[i], scores[i] = m["langs"][j], round(float(min(1.0, max(0.0, sums[i, j] / sizes[i]))), 6)
     return names, scores
 
 
-def fit(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=400, windows_per_doc=8, steps=64, hidden=8, epochs=6, seed=5) -> dict:
+def fit(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=400, windows_per_doc=8, steps=64, hidden=8, epochs=6, seed=5, max_langs=200) -> dict:
     """Train on a bounded sample: per language the ``docs_per_lang`` rows of smallest id hash, ``windows_per_doc`` windows each."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    keys = rows.select(F.col(lang_col).alias("l"), h.alias("h"))
+    rows = rows.select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"), F.col(text_col).cast("string").alias("t"))
     # a hash threshold by language leaves about four times the sample, so that no task ranks a whole language
-    share = {r["l"]: min(1.0, 4.0 * docs_per_lang / r["count"]) for r in keys.groupBy("l").count().collect()}
-    if not share:
-        return {}
-    shares = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    keys = keys.where(F.pmod("h", F.lit(1_000_000_000)) < F.element_at(shares, F.col("l")) * 1_000_000_000)
-    chosen = keys.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang)
-    wanted = [r["h"] for r in chosen.select("h").distinct().collect()]  # docs_per_lang for each language at most
-    if not wanted:
+    common = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
+    if not common:
         return {}
+    shares = F.create_map(*[F.lit(x) for r in common for x in (r["l"], min(1.0, 4.0 * docs_per_lang / r["count"]))])
+    keys = rows.select("l", "h").where(F.pmod("h", F.lit(1_000_000_000)) < F.try_element_at(shares, F.col("l")) * 1_000_000_000)
+    chosen = keys.distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang).select("l", "h")
+    text_col, rows = "t", rows.join(F.broadcast(chosen), ["l", "h"], "left_semi")  # docs_per_lang x max_langs keys at most
     size = F.length(text_col)
     span = F.greatest(size - steps, F.lit(0))
     starts = F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)), lambda j: F.substring(F.col(text_col), F.floor(span * j / max(1, windows_per_doc - 1)).cast("int") + 1, F.lit(steps)))
-    sample = rows.where(h.isin(wanted)).select(F.col(lang_col).alias("l"), h.alias("h"), F.array_distinct(starts).alias("w"))
-    got = sorted(sample.dropDuplicates(["h", "l"]).collect(), key=lambda r: (r["h"], r["l"]))
+    sample = rows.select("l", "h", F.array_distinct(starts).alias("w")).groupBy("l", "h").agg(F.min("w").alias("w"))
+    got = sorted(sample.collect(), key=lambda r: (r["h"], r["l"]))
     langs = sorted({r["l"] for r in got})
     data = [(codes_of(w.encode("utf-8")[:steps], steps)[0], langs.index(r["l"])) for r in got for w in r["w"] if any(map(str.isalpha, w))]
     if not data:
