@@ -20,7 +20,9 @@ Perplexity is exp of the mean negative log probability per word, the end mark in
 take that of all; where all trusted documents would be left out, all train and calibrate.
 
 Defined results: null or blank text has no perplexity and is not kept. Null language is a group of its own. Without
-trusted text every non-blank document is kept (no model). Every row gives one row.
+trusted text every non-blank document is kept (no model). Every row gives one row, repeated rows and ids too, and equal rows equal scores; an
+id that is trusted makes all its rows trusted. A document whose perplexity equals the limit is kept. Texts are read whole, however long: a text is
+never cut into blocks. An empty table gives no rows. Only the three named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

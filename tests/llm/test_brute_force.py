@@ -365,6 +365,52 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - g[k][at]) < 2e-3, (k, at)
 
 
+def _scalar_probs(m, codes):
+    """The network's equations, a number at a time."""
+    H, k = m["hidden"], len(m["langs"])
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(d, seq):
+        h, out = [0.0] * H, []
+        for c in seq:
+            u = [sum(float(m["U" + d][i, j]) * h[j] for j in range(H)) for i in range(3 * H)]
+            x = [float(v) for v in m["X" + d][c]]
+            z, r = ([sig(x[o + i] + u[o + i]) for i in range(H)] for o in (0, H))
+            n = [math.tanh(x[2 * H + i] + r[i] * u[2 * H + i]) for i in range(H)]
+            h = [(1 - z[i]) * n[i] + z[i] * h[i] for i in range(H)]
+            out.append(h)
+        return out
+
+    f, b = states("f", codes), states("b", codes[::-1])[::-1]
+    probs = []
+    for hf, hb in zip(f, b):
+        y = [sum(float(m["O"][i, j]) * v for j, v in enumerate(hf + hb)) + float(m["c"][i, 0]) for i in range(k)]
+        e = [math.exp(v - max(y)) for v in y]
+        probs.append([v / sum(e) for v in e])
+    return probs
+
+
+def test_forward_pass_and_pooling():
+    m = langid.init_model(["a", "b", "c"], 5, seed=9)
+    texts = ["abc é " * 7, "x" * 64, "y" * 65, "Ça va? 😀 z"]
+    names, scores = langid.predict_texts(m, texts, steps=16)
+    for t, name, score in zip(texts, names, scores):
+        data, sums = t.encode(), [0.0] * 3
+        for i in range(0, len(data), 16):
+            w = list(data[i : i + 16])
+            for p in _scalar_probs(m, w + [langid.PAD] * (16 - len(w)))[: len(w)]:
+                sums = [a + b for a, b in zip(sums, p)]
+        want = max(range(3), key=sums.__getitem__)
+        assert name == m["langs"][want] and abs(score - sums[want] / len(data)) < 2e-5
+
+
+def test_training_sample_is_stable(spark):
+    rows = [(i % 40, f"text number {i} of some length", "abc"[i % 3]) for i in range(120)]
+    a, b = (langid.fit(spark.createDataFrame(r, "doc_id long, text string, lang string"), epochs=1) for r in (rows, rows[::-1]))
+    assert all(np.array_equal(a[k], b[k]) for k in ("Xf", "Uf", "Xb", "Ub", "O", "c"))
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), epochs=1, max_langs=2)["langs"] == ["a", "b"]
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
@@ -472,6 +518,7 @@ def test_packed_bigrams_equal_the_definition(spark, docs, monkeypatch, ranges, h
     texts = [r["text"] for r in docs.values()][:25] + ["the cat sat on the mat. The dog, 12 dogs sat on the log.", "a CAT and A dog !! NATO AND", " ", None, "word " * 70_000, "only here " * 9, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 2 + [(None, texts[5])] * 230, "_id long, text string").selectExpr("*", "'x' AS lang").coalesce(2)
     monkeypatch.setattr(bigrams, "LOT", 100)
+    monkeypatch.setattr(bigrams, "MOST_TASKS", 20_000 if ranges > 1 else 2)
     monkeypatch.setattr(bigrams, "BLOCK_WORDS", 4000 if hot_parts < 4000 else 3_000_000)
     ids = spark.createDataFrame([(i,) for i in range(0, 30, 2)], "_id long")
     p = _kn([t for i, t in enumerate(texts) if i % 2 == 0 and i < 30], 2)
@@ -552,10 +599,58 @@ def test_pieces_equal_the_library(spark, docs):
         assert r["decoded"] == r["text"].replace("▁", " ")
 
 
+def _model(pieces_, kind=1, spec=b"", more=b""):
+    """A serialized model: pieces (text, score, kind), model type, normaliser fields."""
+    import struct
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out += bytes((n & 127 | 128,))
+            n >>= 7
+        return out + bytes((n,))
+
+    part = lambda tag, raw: bytes((tag << 3 | 2,)) + number(len(raw)) + raw
+    body = b"".join(part(1, part(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + number(k)) for p, s, k in pieces_)
+    return body + part(2, b"\x18" + number(kind) + more) + part(3, spec or b"\x18\x01\x20\x00\x28\x01")
+
+
+@pytest.mark.parametrize("with_bytes", [False, True])
+def test_unigram_viterbi_equals_the_library(tmp_path, with_bytes):
+    import sentencepiece
+
+    rnd = random.Random(13)
+    made = {"▁": -4.0, **{c: -3.0 - i / 8 for i, c in enumerate("abcdefg")}}
+    while len(made) < 120:
+        made[("▁" if rnd.random() < 0.4 else "") + "".join(rnd.choice("abcdefg") for _ in range(rnd.randint(2, 5)))] = -rnd.randint(8, 80) / 8 - 2
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256) if with_bytes] + [(p, s, 1) for p, s in made.items()]
+    path = tmp_path / "u.model"
+    path.write_bytes(_model(rows, 1, more=b"\x98\x02\x01" if with_bytes else b""))
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["".join(rnd.choice("abcdefg  xé") for _ in range(rnd.randint(1, 60))) for _ in range(500)] + ["", " ", "xx x", "a" * 300]
+    v = pieces.load_vocabulary(str(path))
+    assert v["kind"] == pieces.UNIGRAM
+    score = lambda ids: sum(made.get(sp.id_to_piece(i), -99.0) for i in ids)
+    for t, got in zip(texts, pieces.Encoder(v).encode(texts)):
+        want = sp.encode(t)
+        assert got.tolist() == want or score(got.tolist()) == score(want), repr(t)
+    assert sum(g.tolist() == sp.encode(t) for t, g in zip(texts, pieces.Encoder(v).encode(texts))) >= 0.98 * len(texts)
+
+
+def test_other_models_are_refused():
+    rows = [("<unk>", 0.0, 2), ("a", -1.0, 1)]
+    assert pieces.check_model(_model(rows, 1)) == 1 and pieces.check_model(_model(rows, 2)) == 2
+    for raw in (_model(rows, 3), _model(rows, 4), _model(rows, 1, b"\x12\x01x\x18\x01\x20\x00"), _model(rows, 1, b"\x18\x00\x20\x00"), _model(rows, 1, b"\x18\x01\x20\x01"), _model([*rows, ("b", 0.0, 4)], 1)):
+        with pytest.raises(ValueError):
+            pieces.check_model(raw)
+
+
 def test_forgetting_words_changes_nothing():
     v = pieces.load_vocabulary()
     texts = ["the words of a text", "other words entirely", None, "the end of words"]
     a, b = pieces.Encoder(v).encode(texts), pieces.Encoder(v, keep_words=2).encode(texts, chunk_chars=1)
+    held = pieces.encoder_of(v)
+    assert pieces.encoder_of({**v}) is held and pieces.encoder_of({**v, "key": "another"}) is not held
     assert all((x is None and y is None) or x.tolist() == y.tolist() for x, y in zip(a, b))
 
 

@@ -4,7 +4,7 @@ import pytest
 
 from tallyforge.llm import kneser_ney, langid, media_tiff, mixing, pieces, pii, rules, secrets, simhash, urlfilter
 
-from conftest import ROWS
+from conftest import CLASH, ROWS
 
 N = len(ROWS)
 
@@ -180,3 +180,70 @@ def test_scratch_folder_must_be_shared(spark, monkeypatch):
     else:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             common.scratch_dir(Session)
+
+
+def test_soft_terms_decide(spark):
+    urls = {0: ("http://free-bets.x/", "block"), 1: ("http://cheap-pills.x/", "block"), 2: ("http://ads.track.x/a", "block"), 3: ("http://bets.x/bets/bets", "allow"), 4: ("http://free.cheap.x/", "allow"), 5: ("http://freebets.x/", "allow"), 6: ("HTTP://FREE.x/?q=WIN&ads", "block")}
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame([(i, u) for i, (u, _) in urls.items()], "page_id long, url string")).collect()}
+    assert {i: r["verdict"] for i, r in got.items()} == {i: v for i, (_, v) in urls.items()}
+    assert (got[3]["soft_hits"], got[3]["soft_weight"], got[6]["soft_hits"]) == (1, 2, 3)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    told = urlfilter.judge(pages).where("rule IS NULL AND verdict = 'block'").groupBy((urlfilter.F.col("strict_hits") > 0).alias("strict")).count().collect()
+    assert {r["strict"] for r in told} == {True, False}
+    assert len(set(urlfilter.STRICT) & set(urlfilter.SOFT)) == 0
+
+
+def test_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Foo", None), ("foo", 2), ("bar", 1), ("bar", 3), ("baz", 1), ("", 5), (None, None)], "term string, weight int")
+    assert urlfilter.read_terms(terms) == (["foo"], {"bar": 3, "baz": 1}) or sorted(urlfilter.read_terms(terms)[1].items()) == [("bar", 3), ("baz", 1)]
+    got = urlfilter.judge(spark.createDataFrame([(1, "http://h/bar"), (2, "http://h/bar/baz"), (3, "http://foo.h/")], "page_id long, url string"), terms=terms)
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "allow", 2: "block", 3: "block"}
+
+
+# --- the pipeline on odd tables
+def _run(spark, df, path):
+    import corpus_pipeline
+
+    df.coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return corpus_pipeline.run(spark, str(path))
+
+
+def test_pipeline_on_odd_rows(spark, odd, clash, none, tmp_path):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    rows = _run(spark, odd, tmp_path / "odd").collect()
+    texts = {r[0]: r[1] for r in ROWS if r[0] is not None}
+    texts[9] = texts[9].replace("password=abcdefghijkl123", "[SECRET]")
+    ids = [r["doc_id"] for r in rows]
+    assert set(ids) <= {1, None, 7, 8, 9} and not {2, 3, 4, 5, 6} & set(ids)
+    assert all(r["piece_ids"] == sp.encode(texts[r["doc_id"]]) for r in rows if r["doc_id"] is not None)
+    wide = _run(spark, clash, tmp_path / "clash")
+    assert wide.columns == [*[c for c in clash.columns if c != "text"], "piece_ids"]
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in wide.collect()) and all(r[c] == 1 for r in wide.collect() for c in CLASH)
+    empty = _run(spark, none, tmp_path / "none")
+    assert empty.count() == 0 and empty.columns == [*[c for c in none.columns if c != "text"], "piece_ids"]
+
+
+def test_values_on_odd_rows(odd, clash):
+    """What the operators promise of nulls, blanks, repeated rows and ties, with and without clashing columns."""
+    for d in (odd, clash):
+        mix = {r["doc_id"]: r for r in mixing.mix(d).collect()}
+        assert all((mix[i]["size"], mix[i]["taken"], mix[i]["n_blocks"], mix[i]["first_slot"]) == (0, 0, 0, None) for i in (3, 4, 5))
+        near = simhash.near_duplicates(d).collect()
+        assert {r["component_id"] for r in near if r["doc_id"] in (1, 2)} == {1} and {r["fingerprint"] for r in near if r["doc_id"] in (3, 4, 5)} == {"0" * 16}
+        assert {r["component_id"] for r in near if r["fingerprint"] == "0" * 16} == {3}
+        found = {r["doc_id"]: r["secret_spans"] for r in secrets.scan(d).collect()}
+        assert [x["kind"] for x in found[9]] == ["assign"] and not any(found[i] for i in (1, 3, 4, 5, 6, 7))
+        spans = {r["doc_id"]: r["spans"] for r in pii.report(d).collect()}
+        assert [x.split(":")[0] for x in spans[9].split(",")] == ["email", "phone", "ip", "card"] and not any(spans[i] for i in (1, 3, 4, 5, 6, 7, 8))
+        lang = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(d, langid.fit(d, epochs=1)).collect()}
+        assert all(lang[i] == ("und", 0.0) for i in (3, 4, 5, 6)) and lang[7][0] != "und"
+        tiff = {r["doc_id"]: r for r in media_tiff.text_features(d).collect()}
+        assert all((tiff[i]["n_bytes"], tiff[i]["payload_bytes"]) == (0, 64) for i in (3, 4)) and tiff[1]["media_sha256"] == tiff[2]["media_sha256"] != tiff[3]["media_sha256"]
+        kn = {r["doc_id"]: r for r in kneser_ney.classify(d, trusted(d)).collect()}
+        assert all((kn[i]["perplexity"], kn[i]["kept"]) == (None, False) for i in (3, 4, 5)) and kn[1]["perplexity"] == kn[2]["perplexity"] and kn[7]["n_words"] == 30000
+        ids = {r["doc_id"]: r for r in pieces.round_trip(d).collect()}
+        assert (ids[3]["piece_ids"], ids[3]["n_tokens"], ids[4]["piece_ids"], ids[4]["lossless"], ids[8]["lossless"]) == (None, 0, [], True, True)
+        led = {r["doc_id"]: r for r in rules.apply_policy(rules.ledger(d)).collect()}
+        assert all((led[i]["n_words"], led[i]["kept"]) == (0, False) for i in (3, 4, 5)) and (led[7]["n_repeat_words"], led[7]["kept"]) == (30000, False)
