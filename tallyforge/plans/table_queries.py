@@ -75,7 +75,17 @@ def table_dedupe(spark, sf_dir):
 
 
 
-@register()
+def _found(words, k: int) -> str:
+    return " + ".join(f"{k} * contains(txt, '{w}')::INT" for w in words)
+
+
+@register(rf"""
+WITH n AS (SELECT n_regionkey AS t, n_nationkey AS r, n_name AS a, '$' || n_nationkey AS m, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS k FROM nation),
+x AS (SELECT t, (max(r) - min(r) + 1)::INT AS "rows", lower('Column_1 ' || string_agg(a, ' ' ORDER BY r) || ' Column_2 ' || string_agg(m, ' ' ORDER BY r) || ' Column_3 ' || repeat(' ', any_value(k)::INT - 1)) AS txt,
+  'Table Headers: Column_1, Column_2, Column_3' || chr(10) || string_agg('Row ' || i || ': ' || a || ' | ' || m || ' | ', chr(10) ORDER BY i) AS text FROM n GROUP BY t)
+SELECT t AS table_num, "rows", 3::INT AS cols, round(2 / 3.0 + 0.25, 6)::DOUBLE AS content_quality, round(2 / 3.0, 6)::DOUBLE AS filled_ratio, text,
+  ({_found(tb.WORDS_HIGH, 3)} + {_found(tb.WORDS_MEDIUM, 2)} + length(txt) - length(translate(txt, '$%', '')) + {" + ".join(f"regexp_matches(txt, '{x}')::INT" for x in tb.PATTERNS)} + 1)::INT AS financial_score FROM x
+""")
 def table_cells_scored(spark, sf_dir):
     """P1-P3, P17 and T13-T16 on small cell tables made of nations: one table a region."""
     n = table(spark, sf_dir, "nation").withColumn("row_idx", F.col("n_nationkey"))
