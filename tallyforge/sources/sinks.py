@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import mapping, records as rec, tables as tb
+from ..operators import mapping, reconcile as rc, records as rec, tables as tb
 from . import readers
 
 #: Rows of an Excel sheet, its header included.
@@ -57,6 +57,11 @@ def save_as(df: DataFrame, path: str, kind: str) -> None:
         raise ValueError(f"unknown format: {kind}")
 
 
+def save_facts(facts: DataFrame, path: str, kind: str = "csv", first=("source_file", "concept", "numeric_value", "unit", "period_type", "start_date", "end_date", "instant_date")) -> None:
+    """Facts in their order, the named columns in front."""
+    save_as(rc.reorder(facts.orderBy(*rc.fact_order()), list(first)), path, kind)
+
+
 def append_run(runs: DataFrame, path: str) -> None:
     """Histories are append-only; the latest row of a key counts."""
     runs.write.mode("append").parquet(path)

@@ -155,3 +155,22 @@ def test_ocr_and_structure_sinks(spark, tmp_path):
     tables = spark.createDataFrame([("d", 1, 2, 2)], "doc_id string, table_num int, rows int, cols int")
     sinks.save_structure(whole, tables, str(tmp_path / "m"))
     assert {r["doc_id"]: r["n_tables"] for r in spark.read.json(str(tmp_path / "m" / "structure")).collect()} == {"d": 1, "e": 0}
+
+
+def test_fallback_records(spark):
+    pages = spark.createDataFrame([("acme_2023", 1, "First page"), ("acme_2023", 2, "\t\n")], "doc_id string, page int, text string")
+    c = cells(spark, {("acme_2023", "pdfplumber", 1, 1): GOOD}).withColumn("header", F.concat(F.lit("H"), F.col("col_idx").cast("string")))
+    boxes = spark.createDataFrame([("acme_2023", 1, 1, "Text", None, (0.0, 0.0, 1.0, 1.0), 2, None, None, "block text")], schemas.LAYOUT_BLOCKS)
+    s = spark.createDataFrame([("acme_2023", i, f"S{i}", "x" * 60) for i in range(1, 13)], "doc_id string, section_number int, title string, content string")
+    found = wf.fallback_records(pages, c, boxes, s, extracted_at="2024-01-01")
+    kinds = {r["block_type"]: r["n"] for r in records.type_counts(found, []).collect()}
+    assert kinds == {"text_block": 1, "table": 1, "layout_block": 1, "docling_section": 10}
+    assert found.where(F.size(records.errors()) > 0).count() == 0
+    assert {r["company"] for r in found.collect()} == {"Unknown Company"} and {r["fiscal_year"] for r in found.collect()} == {"2023"}
+
+
+def test_facts_are_written_in_order(spark, tmp_path):
+    f = spark.createDataFrame([("b", None, 1.0, "f"), ("a", "2024-02-01", 2.0, "f"), ("a", "2024-01-01", 3.0, "f")], "concept string, end_date string, numeric_value double, source_file string").withColumn("instant_date", F.lit(None).cast("string"))
+    sinks.save_facts(f.coalesce(1), str(tmp_path / "facts"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "facts"))
+    assert got.columns == ["source_file", "concept", "numeric_value", "end_date", "instant_date"] and [r["numeric_value"] for r in got.collect()] == ["3.0", "2.0", "1.0"]
