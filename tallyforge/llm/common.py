@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PREFIX = "tallyforge-"
 _own_dir: list[str] = []
 _spent: list[tuple[SparkSession, str]] = []
 
@@ -31,10 +34,11 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared scratch folder and read it back.
 
-    Survives lost executors, as the files lie in shared storage; removed when the session ends.
+    Survives lost executors, as the files lie in shared storage; removed when the session ends. All tables of an application are in
+    one folder, named by its id, so that those of a driver that was killed can be told (see ``clear_left``).
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{PREFIX}{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")  # the write's own shuffle files go with it, not at some later collection
     try:
@@ -59,13 +63,30 @@ def release(*tables: DataFrame) -> None:
         _spent.remove((t.sparkSession, t._scratch_path))
 
 
+def clear_left(spark: SparkSession, days: float = 7) -> list[str]:
+    """Delete the scratch folders of other applications that were last written to more than ``days`` ago; returns their names."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x for x in (fs.listStatus(top) if fs.exists(top) else []) if x.isDirectory() and x.getPath().getName().startswith(PREFIX)]
+    gone = []
+    for x in found:
+        name = x.getPath().getName()
+        if name != PREFIX + spark.sparkContext.applicationId and x.getModificationTime() < (time.time() - days * 86400) * 1000:
+            fs.delete(x.getPath(), True)
+            gone.append(name)
+    return gone
+
+
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _spent:
+    for spark, folder in {(spark, path.rpartition("/")[0]) for spark, path in _spent}:
         try:
-            _delete(spark, path)
-        except Exception:  # the session has gone; its scratch folder is the cluster's to clear
-            return
+            _delete(spark, folder)
+        except Exception:  # the session has gone; clear_left finds the folder
+            continue
+    for own in _own_dir:
+        shutil.rmtree(own.removeprefix("file://"), ignore_errors=True)
 
 
 def word_count(text) -> F.Column:

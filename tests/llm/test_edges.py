@@ -247,3 +247,19 @@ def test_values_on_odd_rows(odd, clash):
         assert (ids[3]["piece_ids"], ids[3]["n_tokens"], ids[4]["piece_ids"], ids[4]["lossless"], ids[8]["lossless"]) == (None, 0, [], True, True)
         led = {r["doc_id"]: r for r in rules.apply_policy(rules.ledger(d)).collect()}
         assert all((led[i]["n_words"], led[i]["kept"]) == (0, False) for i in (3, 4, 5)) and (led[7]["n_repeat_words"], led[7]["kept"]) == (30000, False)
+
+
+def test_folders_left_behind_are_cleared(spark):
+    import os
+    import time
+
+    from tallyforge.llm import common
+
+    kept = common.materialize(spark.range(3).toDF("x"), "kept")
+    top = common.scratch_dir(spark).removeprefix("file://")
+    for name, age in (("tallyforge-old", 9), ("tallyforge-new", 1), ("other-old", 9)):
+        os.makedirs(f"{top}/{name}", exist_ok=True)
+        os.utime(f"{top}/{name}", (time.time() - age * 86400,) * 2)
+    assert common.clear_left(spark, 7) == ["tallyforge-old"] and common.clear_left(spark, 7) == []
+    assert kept.count() == 3 and os.path.isdir(f"{top}/tallyforge-new") and os.path.isdir(f"{top}/other-old")
+    common.release(kept)
