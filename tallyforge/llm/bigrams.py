@@ -31,12 +31,15 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, release
-from .kneser_ney import BLOCK_DOCS, BLOCK_WORDS, END, START, UNIT, column, discounts_of, fold, pieces_of, trusted_texts
+from .kneser_ney import BLOCK_DOCS, END, START, UNIT, column, discounts_of, fold, pieces_of, trusted_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HOT_PARTS, SHARD_WORDS, RANGES = 4_000, 2_000_000, 3
+BLOCK_WORDS = 1_500_000  # of a block of texts: what a worker holds at once
 LOT = 1000  # equal rows that one row gives back
+#: Tasks of a shuffle at most; with more shards each task has several, one after the other.
+MOST_TASKS = 20_000
 #: What a context keeps for unseen words at least: discounts may be 0.
 LEAST = 1e-9
 #: Kinds of rows in the shuffles, in the order in which a shard reads them.
@@ -95,6 +98,24 @@ def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == wanted
 
 
+def by_shard(batches, columns: tuple[int, ...]):
+    """(shard, its rows) of batches sorted by shard; a row holds the values of ``columns``, the first of which is the shard."""
+    shard, rows = None, []
+    for b in batches:
+        for s, *row in zip(*(b.column(i).to_pylist() for i in columns)):
+            if s != shard:
+                if rows:
+                    yield shard, rows
+                shard, rows = s, []
+            rows.append(row)
+    if rows:
+        yield shard, rows
+
+
+def to_shards(df: DataFrame, shards: int, *order: str) -> DataFrame:
+    return df.repartitionById(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", *order)
+
+
 def _row(shard=None, kind=None, source=None, arrays=(), stats=()):
     return (shard, kind, source, *arrays, *[None] * (5 - len(arrays)), *stats, *[None] * (6 - len(stats)))
 
@@ -212,25 +233,24 @@ def segments(words: np.ndarray, shard: np.ndarray, one: np.ndarray, two: np.ndar
 # --- training
 def count(trusted: DataFrame, deal: Dealer) -> DataFrame:
     """Rows of kind PAIRS (first words, how many, second words, which, count) by shard, HOT_FIRST, HOT_PAIR and MET."""
-    shared = trusted.sparkSession.sparkContext.broadcast(deal)
+    shared = trusted.sparkSession.sparkContext.broadcast(cloudpickle.dumps(deal))  # with its class, which workers need not have
 
     def split(batches):
+        deal = cloudpickle.loads(shared.value)
         for block in pieces_of(batches, BLOCK_WORDS, 1 << 30):
             words, codes, n = block_words(column(block, 0))
             one, two, _ = neighbours(codes, n)
             keys = np.sort(one * np.int64(len(words)) + two)
             at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
             one, two = keys[at] // len(words), keys[at] % len(words)
-            shard = shared.value.shard(words, one, two)
+            shard = deal.shard(words, one, two)
             for s, *arrays in segments(words, shard, one, two, np.diff(np.append(at, len(keys)))):
                 yield _batch([_row(s, PAIRS, None, tuple(map(put, arrays)))[:8]], False)
 
     def add(batches):
-        parts: dict[int, list] = {}
-        for b in batches:
-            for s, *raw in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in range(3, 8))):
-                parts.setdefault(s, []).append(tuple(map(get, raw)))
-        for s, found in parts.items():
+        deal = cloudpickle.loads(shared.value)
+        for s, packed in by_shard(batches, (0, 3, 4, 5, 6, 7)):
+            found = [tuple(map(get, raw)) for raw in packed]
             firsts = np.unique(np.concatenate([f[0] for f in found]))
             seconds = np.unique(np.concatenate([f[2] for f in found]))
             size = np.int64(len(seconds))
@@ -244,10 +264,10 @@ def count(trusted: DataFrame, deal: Dealer) -> DataFrame:
             begin = np.searchsorted(one, np.arange(len(firsts)))
             rows = [_row(s, PAIRS, None, (put_sorted(firsts), put(np.diff(np.append(begin, len(one)))), put_sorted(seconds), put(two), put(c)))]
             rows.append(_row(s, MET, stats=tuple(int((c == i).sum()) for i in (1, 2, 3, 4))))
-            for i in np.flatnonzero(find(shared.value.hot, firsts)[1]):
+            for i in np.flatnonzero(find(deal.hot, firsts)[1]):
                 own = c[begin[i] : begin[i + 1] if i + 1 < len(begin) else len(c)]
                 rows.append(_row(s, HOT_FIRST, stats=(int(firsts[i : i + 1].view(np.int64)[0]), int(own.sum()), *(int((own == k).sum()) for k in (1, 2)), int((own > 2).sum()))))
-            for a, b in shared.value.pairs:
+            for a, b in deal.pairs:
                 (i,), (j,) = find(firsts, np.array([a]))[0], find(seconds, np.array([b]))[0]
                 k = np.searchsorted(keys, i * size + j)
                 if firsts[i] == a and seconds[j] == b and k < len(keys) and keys[k] == i * size + j:
@@ -255,7 +275,7 @@ def count(trusted: DataFrame, deal: Dealer) -> DataFrame:
             yield _batch(rows)
 
     packed = trusted.select("text").mapInArrow(split, ROW)
-    return materialize(packed.repartitionById(deal.shards, "shard").mapInArrow(add, f"{ROW}, {STATS}"), "kn-counts")
+    return materialize(to_shards(packed, deal.shards).mapInArrow(add, f"{ROW}, {STATS}"), "kn-counts")
 
 
 def continue_(counts: DataFrame, deal: Dealer) -> DataFrame:
@@ -275,12 +295,7 @@ def continue_(counts: DataFrame, deal: Dealer) -> DataFrame:
                     yield _batch(rows[i : i + 1000], False)
 
     def answer(batches):
-        asked: dict[int, list] = {}
-        for b in batches:
-            for k, s, words, n in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
-                asked.setdefault(k, []).append((s, words, n))
-        for k, found in asked.items():
-            # packed as they came; opened one after the other
+        for k, found in by_shard(batches, (0, 2, 3, 4)):  # packed as they came; opened one after the other
             words = np.unique(np.concatenate([get_sorted(w) for _, w, _ in found]))
             n = np.zeros(len(words), np.int64)
             for _, w, c in found:
@@ -293,7 +308,7 @@ def continue_(counts: DataFrame, deal: Dealer) -> DataFrame:
                 yield _batch([_row(s, ANSWER, k, (put(n[np.searchsorted(words, get_sorted(w))]),)) for s, w, _ in found[i : i + 1000]])
 
     pairs = counts.where(f"kind = {PAIRS}").select("shard", "c", "d")
-    return materialize(pairs.mapInArrow(ask, ROW).repartitionById(shards, "shard").mapInArrow(answer, f"{ROW}, {STATS}"), "kn-continued")
+    return materialize(to_shards(pairs.mapInArrow(ask, ROW), shards).mapInArrow(answer, f"{ROW}, {STATS}"), "kn-continued")
 
 
 class Numbers:
@@ -389,12 +404,12 @@ class Shard:
 def _score_range(docs: DataFrame, model: DataFrame, numbers: Numbers, deal: Dealer, part: int, ranges: int) -> DataFrame:
     """(id, lang, n, h, v): what the shards of one range add to each text; the first range also adds what is hot."""
     sc = docs.sparkSession.sparkContext
-    shared, here = sc.broadcast((deal, numbers)), deal.shards // ranges
+    shared, here = sc.broadcast(cloudpickle.dumps((deal, numbers))), deal.shards // ranges
     kind = docs.schema["_id"].dataType.simpleString()
     texts = f"docs array<struct<id:{kind},lang:string,n:bigint,h:bigint,v:bigint>>"
 
     def post(batches):
-        deal, numbers = shared.value
+        deal, numbers = cloudpickle.loads(shared.value)
         number = TaskContext.get().partitionId() << 32
         for block in pieces_of(batches, BLOCK_WORDS, BLOCK_DOCS):
             raw = column(block, 0)
@@ -423,18 +438,18 @@ def _score_range(docs: DataFrame, model: DataFrame, numbers: Numbers, deal: Deal
             number += 1
 
     def join(batches):
-        _, numbers = shared.value
-        rows, met = [], {}
+        (deal, numbers), own, rows, shard = cloudpickle.loads(shared.value), None, [], None
         for b in batches:
             for i, r in enumerate(zip(*(b.column(j).to_pylist() for j in range(8)))):
+                if r[0] != own:  # shards come one after the other
+                    own, rows, shard = r[0], [], None
                 if r[1] < POSTS:
                     rows.append(r)
                 elif r[1] == DOCS:
                     yield pa.RecordBatch.from_arrays([b.column(2).slice(i, 1), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), b.column(8).slice(i, 1)], ["block", "a", "b", "docs"])
                 else:
-                    if r[0] not in met:
-                        met = {r[0]: Shard([x for x in rows if x[0] == r[0]], numbers, deal_shards)}  # shards come one after the other
-                    texts, sums = met[r[0]].sums(r)
+                    shard = shard or Shard(rows, numbers, deal.shards)
+                    texts, sums = shard.sums(r)
                     yield pa.RecordBatch.from_arrays([pa.array([r[2]], pa.int64()), pa.array([put(texts)], pa.binary()), pa.array([put_signed(sums)], pa.binary()), pa.nulls(1, b.column(8).type)], ["block", "a", "b", "docs"])
 
     def add(batches):
@@ -457,11 +472,10 @@ def _score_range(docs: DataFrame, model: DataFrame, numbers: Numbers, deal: Deal
         if block is not None:
             yield done()
 
-    deal_shards = deal.shards
     mine = model.where(f"shard % {ranges} = {part}").withColumn("shard", F.floor(F.col("shard") / ranges).cast("int"))
     posted = docs.select("text", "_id", "lang").mapInArrow(post, f"{ROW}, {texts}")
     both = posted.unionByName(mine, allowMissingColumns=True)
-    joined = both.repartitionById(here, "shard").sortWithinPartitions("shard", "kind").mapInArrow(join, f"block bigint, a binary, b binary, {texts}")
+    joined = to_shards(both, here, "kind").mapInArrow(join, f"block bigint, a binary, b binary, {texts}")
     per_text = joined.repartition("block").sortWithinPartitions("block").mapInArrow(add, f"id {kind}, lang string, n bigint, h bigint, v bigint")
     return materialize(per_text, f"kn-range-{part}")
 
