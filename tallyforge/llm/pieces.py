@@ -29,7 +29,7 @@ import hashlib
 import re
 import sys
 import types
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +119,7 @@ def load_vocabulary(model_file: str = DEFAULT_MODEL) -> dict:
 class Encoder:
     """Words to ids, with a bounded memory of words seen."""
 
-    def __init__(self, vocabulary: dict, keep_words: int = 600_000):
+    def __init__(self, vocabulary: dict, keep_words: int = 400_000):
         self.ids, self.scores, self.by_byte, self.table, self.unknown = (vocabulary[k] for k in ("ids", "scores", "bytes", "table", "unknown"))
         long = [p for p in self.ids if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in long):
@@ -134,7 +134,7 @@ class Encoder:
                 node = node.setdefault(ch, {})
             node[0] = (p, {})
         self.answers = 0
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as packed 32-bit numbers
         self.keep_words = keep_words
         self.learn = self.learn_bpe if vocabulary["kind"] == BPE else self.learn_unigram
 
@@ -153,9 +153,9 @@ class Encoder:
         return parts
 
     def _fit(self, prev: str, token: str, answers: dict) -> bool:
-        """Whether ``token`` may follow ``prev``; kept, as long as there are fewer than two million answers."""
+        """Whether ``token`` may follow ``prev``; kept, as long as there are fewer than a million answers."""
         ok = self.merge(prev + token) == ([prev, token] if prev else [token])
-        if self.answers < 2_000_000:
+        if self.answers < 1_000_000:
             answers[prev] = ok
             self.answers += 1
         return ok
@@ -231,10 +231,10 @@ class Encoder:
             else:
                 out.append(self.unknown)
         out.reverse()
-        self.known[word] = tuple(out)
+        self.known[word] = array("i", out).tobytes()
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        ids = np.array(list(chain.from_iterable(map(self.known.__getitem__, words))), np.int32)
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
         if self.by_byte or not len(ids):
             return ids
         again = ids == self.unknown  # a run of unknown characters is one id
