@@ -279,15 +279,21 @@ def pages(media: DataFrame, id_col: str, blob_col: str) -> DataFrame:
     return media.select(F.col(id_col), F.col(blob_col)).mapInArrow(run, f"id {kind}, page int, width bigint, height bigint, samples bigint, compression bigint, predictor bigint, tiled boolean, n_bytes bigint, mean double, page_hash string, error string")
 
 
-def store_text(text: str | None, width: int = 64, page_rows: int = 4096, compression: int = DEFLATE) -> tuple[int, bytes]:
-    """UTF-8 length, and a file whose pages hold the zero-padded bytes as 8-bit samples."""
+#: Forms by the remainder of the payload's CRC: (compression, predictor, tile); all others are deflated strips, as plain Python codecs are slow.
+FORMS_OF = 64
+FORMS = {0: (LZW, 2, 64), 1: (LZW, 1, None), 2: (PACKBITS, 2, None), 3: (PACKBITS, 1, 64), 4: (NONE, 1, 64), 5: (DEFLATE, 1, 64)}
+
+
+def store_text(text: str | None, width: int = 64, page_rows: int = 4096, compression: int | None = None) -> tuple[int, bytes]:
+    """UTF-8 length, and a file whose pages hold the zero-padded bytes as 8-bit samples; without a ``compression`` the payload chooses the form."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     padded = raw + b"\0" * (-len(raw) % width if raw else width)
     grid = np.frombuffer(padded, np.uint8).reshape(-1, width)
-    return len(raw), write_tiff([grid[i : i + page_rows] for i in range(0, len(grid), page_rows)], compression)
+    how, predictor, tile = (compression, 2, None) if compression else FORMS.get(zlib.crc32(padded) % FORMS_OF, (DEFLATE, 2, None))
+    return len(raw), write_tiff([grid[i : i + page_rows] for i in range(0, len(grid), page_rows)], how, predictor, tile=tile)
 
 
-def text_media(docs: DataFrame, id_col="doc_id", text_col="text", compression: int = DEFLATE) -> DataFrame:
+def text_media(docs: DataFrame, id_col="doc_id", text_col="text", compression: int | None = None) -> DataFrame:
     """(id, n_bytes, media): each text stored as a TIFF file."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -299,7 +305,7 @@ def text_media(docs: DataFrame, id_col="doc_id", text_col="text", compression: i
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, n_bytes bigint, media binary")
 
 
-def text_features(docs: DataFrame, id_col="doc_id", text_col="text", compression: int = DEFLATE) -> DataFrame:
+def text_features(docs: DataFrame, id_col="doc_id", text_col="text", compression: int | None = None) -> DataFrame:
     """Store each text, read the stored bytes back page by page, and describe what was read."""
     kind = docs.schema[id_col].dataType.simpleString()
 

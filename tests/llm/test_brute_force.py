@@ -326,7 +326,7 @@ def test_planted_private_data(spark):
         more = [(c["start"], c["rank"], c["end"], c["kind"]) for c in cands[r["doc_id"]] if c["rank"] > 3 and c["ok"] and sum(odds[f] for f in feats(c)) > 0]
         assert all(e <= s or b >= t for b, _, t, _ in more for s, _, e, _ in base) or not base
         assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + more)), texts[r["doc_id"]]
-        assert r["n_added"] == len(more) and r["n_candidates"] == len(cands[r["doc_id"]])
+        assert r["n_added"] == len(more) and r["n_candidates"] == len(cands[r["doc_id"]]) and r["has_private"] == bool(base + more)
         found[r["doc_id"]] = bool(more)
     real = [i for i, (_, kind) in enumerate(rows) if kind == 0]
     assert sum(found[i] for i in real) >= 0.95 * len(real)
@@ -452,6 +452,8 @@ def test_tiff_pages(spark, docs):
         raw = (docs[r["doc_id"]]["text"] or "").encode()
         padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    forms = {(r["compression"], r["predictor"], r["tiled"]) for r in media_tiff.pages(media_tiff.text_media(spark.range(600).selectExpr("id AS doc_id", "concat('text ', id) AS text")), "doc_id", "media").collect() if r["error"] is None}
+    assert forms == {(c, p, t is not None) for c, p, t in media_tiff.FORMS.values()} | {(media_tiff.DEFLATE, 2, False)}
     media = media_tiff.text_media(df.limit(5)).unionByName(spark.createDataFrame([(-1, 0, b"junk"), (-2, 0, None)], "doc_id long, n_bytes long, media binary"))
     p = media_tiff.pages(media, "doc_id", "media").collect()
     assert len(p) == 6 and [r["error"] is None for r in p].count(False) == 1 and all(r["width"] == 64 for r in p if not r["error"])
