@@ -188,7 +188,7 @@ def scan(docs: DataFrame, model: dict[str, float], text_col: str = "text", out:
 
 
 def report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_candidates, n_added), one row for each row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_candidates, n_added, has_private), one row for each row of ``docs``.
 
     Texts are searched once: candidates are written to the scratch folder, and model and spans come from there.
     """
@@ -198,5 +198,5 @@ def report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     count = lambda k: F.size(F.filter("pii_spans", lambda x: x["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return df.select(
         "doc_id", *map(count, KINDS[:BASE]), F.sha2(span_list(F.filter("pii_spans", lambda x: x["rank"] < BASE)), 256).alias("base_sha256"), span_list(F.col("pii_spans")).alias("spans"),
-        F.size("_c").cast("long").alias("n_candidates"), F.size(F.filter("pii_spans", lambda x: x["rank"] >= BASE)).cast("long").alias("n_added"),
+        F.size("_c").cast("long").alias("n_candidates"), F.size(F.filter("pii_spans", lambda x: x["rank"] >= BASE)).cast("long").alias("n_added"), (F.size("pii_spans") > 0).alias("has_private"),
     )
