@@ -24,7 +24,7 @@ def op3_secret_scan(spark, sf_dir):
     df = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), candidates="n_candidates").drop("text")
     base = F.filter("secret_spans", lambda x: x["rank"] < 3)
     count = lambda k: F.size(F.filter("secret_spans", lambda x: x["rank"] == secrets.KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return df.select("doc_id", *map(count, secrets.KINDS[:3]), secrets.digest(base).alias("base_sha256"), span_list(F.col("secret_spans")).alias("spans"), "n_candidates", F.size(F.filter("secret_spans", lambda x: x["rank"] == 3)).cast("long").alias("n_added"))
+    return df.select("doc_id", *map(count, secrets.KINDS[:3]), secrets.digest(base).alias("base_sha256"), span_list(F.col("secret_spans")).alias("spans"), "n_candidates", F.size(F.filter("secret_spans", lambda x: x["rank"] == 3)).cast("long").alias("n_added"), (F.size("secret_spans") > 0).alias("has_secret"))
 
 
 def op4_personal_data(spark, sf_dir):
