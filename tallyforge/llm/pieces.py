@@ -119,7 +119,7 @@ def load_vocabulary(model_file: str = DEFAULT_MODEL) -> dict:
 class Encoder:
     """Words to ids, with a bounded memory of words seen."""
 
-    def __init__(self, vocabulary: dict, keep_words: int = 400_000):
+    def __init__(self, vocabulary: dict, keep_words: int = 200_000):
         self.ids, self.scores, self.by_byte, self.table, self.unknown = (vocabulary[k] for k in ("ids", "scores", "bytes", "table", "unknown"))
         long = [p for p in self.ids if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in long):
@@ -153,9 +153,9 @@ class Encoder:
         return parts
 
     def _fit(self, prev: str, token: str, answers: dict) -> bool:
-        """Whether ``token`` may follow ``prev``; kept, as long as there are fewer than a million answers."""
+        """Whether ``token`` may follow ``prev``; kept, as long as there are fewer than 600,000 answers."""
         ok = self.merge(prev + token) == ([prev, token] if prev else [token])
-        if self.answers < 1_000_000:
+        if self.answers < 600_000:
             answers[prev] = ok
             self.answers += 1
         return ok
