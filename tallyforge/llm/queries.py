@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import kneser_ney, langid, media_tiff, mixing, pieces, pii, rules, secrets, simhash, urlfilter
+from . import kneser_ney, langid, media_tiff, minhash, mixing, pieces, pii, rules, secrets, simhash, urlfilter
 from .common import span_list
 
 
@@ -61,7 +61,11 @@ def op10_quality_rules(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_secret_scan, op4_personal_data, op5_language_id, op6_url_filter, op7_tiff_media, op8_quality_kneser_ney, op9_sentencepiece, op10_quality_rules)}
+def op12_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_secret_scan, op4_personal_data, op5_language_id, op6_url_filter, op7_tiff_media, op8_quality_kneser_ney, op9_sentencepiece, op10_quality_rules, op12_minhash_near_dedup)}
 
 _OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, length(regexp_replace(coalesce(text, ''), '[^ \t\n\x0b\f\r]+', 'x', 'g')) - length(regexp_replace(coalesce(text, ''), '[^ \t\n\x0b\f\r]+', '', 'g')) AS size,
@@ -89,4 +93,16 @@ w AS (SELECT r, sum(b - a) AS taken FROM e GROUP BY r)
 SELECT doc_id, size::BIGINT AS size, ss AS source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(n_blocks, 0)::BIGINT AS n_blocks, first_slot::BIGINT AS first_slot FROM o LEFT JOIN w USING (r) LEFT JOIN f USING (r)
 """
 
-ORACLES = {"op1_source_mixing": _OP1_SQL, "op6_url_filter": urlfilter.oracle_sql(), "op10_quality_rules": rules.oracle_sql()}
+_OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\f\r]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM d),
+x AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS t FROM s),
+common AS (SELECT x.r AS a, y.r AS b, x.n AS na, y.n AS nb, count(*) AS c FROM x JOIN x AS y ON x.t = y.t AND x.r < y.r AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+c AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN c USING (r)
+"""
+
+ORACLES = {"op12_minhash_near_dedup": _OP12_SQL, "op1_source_mixing": _OP1_SQL, "op6_url_filter": urlfilter.oracle_sql(), "op10_quality_rules": rules.oracle_sql()}
