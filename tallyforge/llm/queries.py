@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import kneser_ney, langid, media_tiff, minhash, mixing, pieces, pii, rules, secrets, simhash, urlfilter
+from . import kmeans, kneser_ney, langid, media_tiff, minhash, mixing, pieces, pii, rules, secrets, simhash, urlfilter, vector_codes
 from .common import span_list
 
 
@@ -61,11 +61,19 @@ def op10_quality_rules(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_secret_scan, op4_personal_data, op5_language_id, op6_url_filter, op7_tiff_media, op8_quality_kneser_ney, op9_sentencepiece, op10_quality_rules, op12_minhash_near_dedup)}
+def op13_centroid_clustering(spark, sf_dir):
+    return kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_secret_scan, op4_personal_data, op5_language_id, op6_url_filter, op7_tiff_media, op8_quality_kneser_ney, op9_sentencepiece, op10_quality_rules, op11_vector_codes, op12_minhash_near_dedup, op13_centroid_clustering)}
 
 _OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, length(regexp_replace(coalesce(text, ''), '[^ \t\n\x0b\f\r]+', 'x', 'g')) - length(regexp_replace(coalesce(text, ''), '[^ \t\n\x0b\f\r]+', '', 'g')) AS size,
@@ -105,4 +113,44 @@ c AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN c USING (r)
 """
 
-ORACLES = {"op12_minhash_near_dedup": _OP12_SQL, "op1_source_mixing": _OP1_SQL, "op6_url_filter": urlfilter.oracle_sql(), "op10_quality_rules": rules.oracle_sql()}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """Each part's nearest entry by plain search, round after round."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, p, min((vv - 2 * list_dot_product(v, c) + cc)::BIGINT * 256 + e) AS m FROM x JOIN b{i} USING (p) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT p, e, j, sum(y) AS s, count(*) AS n FROM (SELECT p, m % 256 AS e, unnest(v)::BIGINT AS y, unnest(range(len(v))) AS j FROM a{i} JOIN x USING (r, p)) GROUP BY ALL),
+f{i} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS c FROM s{i} GROUP BY p, e),
+b{i + 1} AS MATERIALIZED (SELECT p, e, c, list_dot_product(c, c) AS cc FROM (SELECT b.p, b.e, coalesce(f{i}.c, b.c) AS c FROM b{i} AS b LEFT JOIN f{i} ON f{i}.p = b.p AND f{i}.e = b.e))""")
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q, embedding FROM embeddings WHERE {_FINITE}),
+x AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS vv FROM (SELECT r, p, list_slice(q, p * (len(q) // 4) + 1, (p + 1) * (len(q) // 4)) AS v FROM k, (SELECT unnest(range(4)) AS p))),
+o AS (SELECT r, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS e FROM k QUALIFY e < 256),
+b0 AS MATERIALIZED (SELECT p, e, v AS c, vv AS cc FROM o JOIN x USING (r)),
+{", ".join(steps)},
+d AS (SELECT r, string_agg(printf('%02x', (m % 256)::INT), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS h FROM (SELECT p, e, unnest(c) AS y, unnest(range(len(c))) AS j FROM b{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN d USING (r), h"""
+
+
+def _op13_sql(rounds: int = 3) -> str:
+    """Each vector's nearest centroid by plain search, round after round."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min((qq - 2 * list_dot_product(q, c) + cc)::BIGINT * 16 + e) AS m FROM k, c{i} GROUP BY r)")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT e, j, sum(y) AS s, count(*) AS n FROM (SELECT m % 16 AS e, unnest(q)::BIGINT AS y, unnest(range(64)) AS j FROM a{i} JOIN k USING (r)) GROUP BY ALL),
+f{i} AS (SELECT e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS c FROM s{i} GROUP BY e),
+c{i + 1} AS MATERIALIZED (SELECT e, c, list_dot_product(c, c) AS cc FROM (SELECT c.e, coalesce(f{i}.c, c.c) AS c FROM c{i} AS c LEFT JOIN f{i} ON f{i}.e = c.e))""")
+    return f"""WITH k0 AS (SELECT row_number() OVER () AS r, vec_id, embedding, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+k AS MATERIALIZED (SELECT *, list_dot_product(q, q) AS qq FROM k0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), embedding) - 1 AS e, q AS c, qq AS cc FROM k QUALIFY e < 16),
+{", ".join(steps)},
+d AS (SELECT r, m % 16 AS e, m // 16 AS distance FROM a{rounds}),
+h AS (SELECT e, sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY j)) AS h FROM (SELECT e, unnest(c) AS y, unnest(range(64)) AS j FROM c{rounds}) GROUP BY e)
+SELECT vec_id, e::INT AS cluster, distance, sum(distance) OVER (PARTITION BY e)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, h AS centroid_sha256 FROM k JOIN d USING (r) JOIN h USING (e)"""
+
+
+ORACLES = {"op11_vector_codes": _op11_sql(), "op13_centroid_clustering": _op13_sql(), "op12_minhash_near_dedup": _OP12_SQL, "op1_source_mixing": _OP1_SQL, "op6_url_filter": urlfilter.oracle_sql(), "op10_quality_rules": rules.oracle_sql()}
