@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import sys
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -274,23 +275,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame) -> Data
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int, rows: int, miss: float, bucket_limit: int, levels: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between class ids whose components are those of all links, and (node, root) of all linked classes."""
-    spark = docs.sparkSession
     banded = (rows, threshold, miss)
-    found = spark.createDataFrame([], "a bigint, b bigint")
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    texts = None
+    found, roots, texts = [], None, None
     keyed = classes.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
 
-    def join_up(more):
-        nonlocal found, roots
-        more = materialize(more, "minhash-links")
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            roots = materialize(components(found), "minhash-roots")
-
-    def with_root(df):
-        return df.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
     def further(level):
         def run(batches):
             known: dict = {}
@@ -302,35 +290,47 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shing
         return run
 
     for level in range(levels):
-        sized = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1"), "minhash-buckets")
+        sized = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.min_by("size", "id").alias("size_a")).where("n > 1"), "minhash-buckets")
         total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        members = materialize(split_join(keyed, sized.withColumn("many", F.col("n")), "key", total), "minhash-members")
+        met = materialize(split_join(keyed, sized, "key", total).select("a", F.col("id").alias("b"), "size_a", "size").distinct(), "minhash-members")
         if texts is None:
-            met = members.select("id").distinct()
-            texts = materialize(_texts(docs, id_col, text_col, classes.select("id", "rep", "repeats").join(met, "id", "left_semi")), "minhash-texts")
-        sizes = members.where("id = pivot").select("key", F.col("size").alias("pivot_size"), F.col("many").alias("n"))
-        star = split_join(members.where("id <> pivot"), sizes, "key", total).where(_alike("size", "pivot_size", threshold))
-        star = with_root(star).join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
-        star = star.where(F.col("root") != F.coalesce("pivot_root", "pivot")).groupBy("id").agg(F.min("pivot").alias("a"))
-        join_up(confirmed(star.select("a", F.col("id").alias("b")), texts, shingle, threshold))
-        # pivots whose buckets still span components
-        rooted = materialize(with_root(members), "minhash-rooted")
-        mixed = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
-        rooted = split_join(rooted.select("key", F.col("pivot").alias("a"), F.col("id").alias("b"), "root"), mixed, "key", total).drop("key").distinct()
-        rooted = materialize(rooted, "minhash-mixed")
-        sizes = rooted.groupBy("a").agg(F.count("*").alias("n"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("pivot_root"))
-        groups = materialize(split_join(rooted, sizes.withColumn("m", F.col("n")), "a", rooted.count()), "minhash-groups")
+            reps = classes.select("id", "rep", "repeats").join(met.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+            texts = materialize(_texts(docs, id_col, text_col, reps), "minhash-texts")
+        least = met.where((F.col("a") != F.col("b")) & _alike("size", "size_a", threshold)).groupBy("b").agg(F.min("a").alias("a"))
+        star = materialize(confirmed(least, texts, shingle, threshold), "minhash-links")
+        found.append(star)
+        label = _jumped(star, roots)
+        # pivots whose members still seem to be in several components
+        met = met.select("a", "b").join(label, "b", "left").withColumn("root", F.coalesce("root", "b"))
+        met = materialize(met, "minhash-labels")
+        sizes = met.groupBy("a").agg(F.count("*").alias("n"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("pivot_root"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        sizes = sizes.where("lo <> hi").select("a", "n", "pivot_root", F.col("n").alias("m"))
+        groups = materialize(split_join(met, sizes, "a", met.count()), "minhash-groups")
         last = level + 1 == levels
-        join_up(around_pivots(groups if last else groups.where(F.col("m") <= bucket_limit), texts, shingle, threshold))
+        found.append(materialize(around_pivots(groups if last else groups.where(F.col("m") <= bucket_limit), texts, shingle, threshold), "minhash-links"))
+        edges = reduce(DataFrame.unionByName, found)
+        roots = materialize(components(edges), "minhash-roots")
         large = groups.where(F.col("m") > bucket_limit).select(F.col("b").alias("id")).distinct()
         if last or large.isEmpty():
-            return found, roots
+            return edges, roots
         deep = texts.join(large, "id", "left_semi").join(classes.select("id", F.col("n_shingles").alias("size")), "id").select("id", "size", "text")
         deep = deep.mapInArrow(further(level + 1), "id bigint, size bigint, keys array<bigint>")
         keyed = materialize(deep.select("id", "size", F.explode("keys").alias("key")), "minhash-level")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80, rows: int = 4, miss: float = 5e-8, bucket_limit: int = 2048, levels: int = 3) -> DataFrame:
+def _jumped(star: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(b, root): a member of b's component, mostly the same one for all: four steps up the links to smaller pivots, or the known root."""
+    up = star.select("b", F.col("a").alias("root"))
+    for _ in range(2):
+        up = up.join(up.select(F.col("b").alias("root"), F.col("root").alias("_r")), "root", "left").select("b", F.coalesce("_r", "root").alias("root"))
+    if roots is None:
+        return up
+    known = roots.select(F.col("node").alias("b"), F.col("root").alias("_k"))
+    named = roots.select(F.col("node").alias("root"), F.col("root").alias("_r"))
+    return up.join(named, "root", "left").select("b", F.coalesce("_r", "root").alias("root")).join(known, "b", "full_outer").select("b", F.coalesce("root", "_k").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80, rows: int = 4, miss: float = 5e-8, bucket_limit: int = 1 << 14, levels: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``. ``threshold``: Jaccard similarity in per cent."""
     prints = materialize(profiles(docs, id_col, text_col, shingle, rows, threshold, miss), "minhash-profiles")
     row = F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_hash")
