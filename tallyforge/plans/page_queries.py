@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import layout, monitor as mo, reconcile as rc, tables as tb
+from ..operators import layout, monitor as mo, reconcile as rc, scan, tables as tb
 from ..sources import readers
 from .common import r6, registrar, table
 
@@ -148,3 +148,77 @@ def match_ranking(spark, sf_dir):
 def full_texts(spark, sf_dir):
     """Conversations as documents, turns as pages."""
     return readers.page_counts(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
+
+
+def _drawn(spark, sf_dir):
+    """(words, objects): an order is a page with a drawn table, a row for each line item.
+
+    Rules are drawn in overlapping or touching pieces, half a unit off; some inner ones are left out, so cells span two columns or some rows.
+    """
+    from pyspark.sql import Window as W
+
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    w = W.partitionBy("l_orderkey")
+    li = table(spark, sf_dir, "lineitem").select("*", (F.row_number().over(w.orderBy(*order)) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    page = [F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page")]
+    text = lambda c: F.col(c).cast("string")
+    word = lambda i, c, x, wide, t: F.struct((F.col("r") * 10 + i).alias("word_idx"), t.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x + wide)).alias("x1"), (F.col("r") * 20.0 + 5 + c % 2).alias("top"), (F.col("r") * 20.0 + 15 + c % 2).alias("bottom"))
+    ws = F.array(word(0, 0, 10, 20, text("l_returnflag")), word(1, 0, 40, 20, text("l_linestatus")), word(2, 1, 120, 60, text("l_partkey")), word(3, 2, 220, 40, text("l_linenumber")), word(4, 3, 310, 60, F.concat(F.lit("$"), text("l_suppkey"))))
+    words = li.select(*page, F.inline(ws))
+    y = F.col("r") * 20.0
+    line = lambda x0, top, x1, bottom, keep=F.lit(True): F.when(keep, F.struct(F.lit("line").alias("kind"), x0.cast("double").alias("x0"), top.cast("double").alias("top"), x1.cast("double").alias("x1"), bottom.cast("double").alias("bottom")))
+    at = F.lit
+    first, end = F.col("r") == 0, F.col("r") == F.col("n") - 1
+    rules = F.array(
+        line(at(0), y, at(160), y), line(at(150), y + 0.5, at(300), y + 0.5), line(at(300), y, at(400), y, first | (F.col("l_partkey") % 5 != 0)),
+        line(at(0), y + 20, at(400), y + 20, end), line(at(0), y, at(0.5), y + 20), line(at(400), y, at(400), y + 20),
+        line(at(100), y, at(100), y + 20), line(at(200), y, at(200), y + 20, F.col("l_suppkey") % 3 != 0), line(at(300), y, at(300), y + 20),
+        line(at(0), y + 120, at(50), y + 120, end),  # a stray rule
+    )
+    objects = li.select(*page, F.explode(rules).alias("o")).where("o IS NOT NULL").select("doc_id", "page", "o.*")
+    return words, objects
+
+
+_DRAWN = """WITH li AS (SELECT *, row_number() OVER w - 1 AS r, l_suppkey % 3 = 0 AS wide, row_number() OVER w = 1 OR l_partkey % 5 <> 0 AS opens FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)),
+g AS (SELECT *, max(CASE WHEN opens THEN r END) OVER (PARTITION BY l_orderkey ORDER BY r ROWS UNBOUNDED PRECEDING) AS head FROM li)"""
+
+
+@register(_DRAWN + """, m AS (SELECT l_orderkey, head, string_agg('$' || l_suppkey, chr(10) ORDER BY r) AS t FROM g GROUP BY 1, 2),
+n AS (SELECT l_orderkey, bool_or(NOT wide) AS four FROM g GROUP BY 1),
+c AS (SELECT g.*, m.t, four, unnest(CASE WHEN four THEN [0, 1, 2, 3] ELSE [0, 1, 2] END) AS col_idx FROM g JOIN m USING (l_orderkey, head) JOIN n USING (l_orderkey))
+SELECT l_orderkey AS doc_id, 1 AS table_num, r::INT AS row_idx, col_idx, CASE WHEN col_idx = 0 THEN l_returnflag || ' ' || l_linestatus WHEN col_idx = 1 THEN l_partkey || CASE WHEN wide THEN ' ' || l_linenumber ELSE '' END
+  WHEN four AND col_idx = 2 THEN CASE WHEN wide THEN '' ELSE l_linenumber::VARCHAR END ELSE CASE WHEN r = head THEN t ELSE '' END END AS value FROM c""")
+def ruled_tables(spark, sf_dir):
+    """Cells of drawn tables, with spans over columns and rows."""
+    cells, _ = scan.ruled(*_drawn(spark, sf_dir))
+    return cells.select("doc_id", "table_num", "row_idx", "col_idx", "value")
+
+
+_SPACED = """WITH li AS (SELECT *, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)),
+b AS (SELECT *, r - row_number() OVER (PARTITION BY l_orderkey ORDER BY r) AS run FROM li WHERE l_partkey % 7 <> 0),
+k AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, run) AS rows_n, row_number() OVER (PARTITION BY l_orderkey, run ORDER BY r) - 1 AS i, max((l_suppkey % 4 <> 0)::INT) OVER (PARTITION BY l_orderkey, run) AS has2 FROM b),
+t AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY run DESC) AS u FROM k WHERE rows_n > 1)"""
+
+
+@register(_SPACED + """, s AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY first_r) AS table_num FROM (SELECT *, min(r) OVER (PARTITION BY l_orderkey, run) AS first_r FROM t)),
+c AS (SELECT *, unnest(CASE WHEN has2 = 1 THEN [0, 1, 2] ELSE [0, 1] END) AS col_idx FROM s)
+SELECT l_orderkey AS doc_id, table_num::INT AS table_num, i::INT AS row_idx, col_idx, CASE WHEN col_idx = 0 THEN l_returnflag || ' ' || l_linestatus WHEN has2 = 1 AND col_idx = 1 THEN CASE WHEN l_suppkey % 4 <> 0 THEN '$' || l_suppkey ELSE '' END ELSE l_linenumber::VARCHAR END AS value FROM c""")
+def borderless_tables(spark, sf_dir):
+    """S3: rows of words with wide gaps; lines of prose end a table, and a column that no row of it fills is none."""
+    words, _ = _drawn(spark, sf_dir)
+    r = F.floor(F.col("word_idx") / 10)
+    li = words.where("word_idx % 10 IN (0, 1, 3, 4)").withColumn("i", F.col("word_idx") % 10)
+    part = words.where("word_idx % 10 = 2").select("doc_id", r.alias("r"), (F.col("text").cast("long") % 7 == 0).alias("prose"))
+    li = li.withColumn("r", r).join(part, ["doc_id", "r"])
+    # a prose row keeps one run of words; amounts are missing where the supplier's number is a multiple of four
+    li = li.where(F.when(F.col("prose"), F.col("i") < 2).otherwise((F.col("i") != 4) | (F.substring("text", 2, 20).cast("long") % 4 != 0)))
+    li = li.withColumns({"x0": F.when(F.col("i") == 0, 10.0).when(F.col("i") == 1, 34.0).when(F.col("i") == 4, 100.0).otherwise(200.0), "x1": F.when(F.col("i") == 0, 30.0).when(F.col("i") == 1, 60.0).when(F.col("i") == 4, 150.0).otherwise(240.0)})
+    cells, _ = scan.borderless(li.select("doc_id", "page", "word_idx", "text", "x0", "x1", "top", "bottom"))
+    return cells.select("doc_id", "table_num", "row_idx", "col_idx", "value")
+
+
+@register("SELECT l_orderkey AS doc_id, 1 AS table_num, count(*)::INT AS rows_n FROM lineitem GROUP BY 1")
+def general_tables(spark, sf_dir):
+    """What the general scan keeps; these tables' first rows hold at most one word in four, so none is a header."""
+    cells = scan.general(*_drawn(spark, sf_dir))
+    return cells.groupBy("doc_id", "table_num").agg(F.countDistinct("row_idx").cast("int").alias("rows_n"))
