@@ -48,16 +48,22 @@ def word_lines(words: DataFrame, within: float = 5) -> DataFrame:
     )
 
 
+def page_height(words: DataFrame):
+    """The page's height, from a column ``page_height`` of the words; where that is absent or null, how far down the page's words reach."""
+    reach = F.max("bottom").over(W.partitionBy(*PAGE))
+    return F.coalesce(F.col("page_height"), reach) if "page_height" in words.columns else reach
+
+
 def regions(words: DataFrame, share: float = 0.1, least: int = 5) -> DataFrame:
-    """Header and footer text of each page, from the top and bottom tenth of the words' extent."""
-    h = F.max("bottom").over(W.partitionBy(*PAGE))
+    """Header and footer text of each page: words inside the top and the bottom tenth of its height."""
+    h = page_height(words)
     r = words.withColumn("_h", h).withColumn("region", F.when(F.col("bottom") <= share * F.col("_h"), "header").when(F.col("top") >= (1 - share) * F.col("_h"), "footer")).where("region IS NOT NULL")
     return r.groupBy(*PAGE, "region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "word_idx", "text"))), lambda x: x["text"]), " ").alias("text")).where(F.length("text") > least)
 
 
 def titles(words: DataFrame, share: float = 0.2, n: int = 2) -> DataFrame:
-    """The first blocks of the top fifth."""
-    top = words.withColumn("_h", F.max("bottom").over(W.partitionBy(*PAGE))).where(F.col("top") < share * F.col("_h")).drop("_h")
+    """The first blocks of the page's top fifth."""
+    top = words.withColumn("_h", page_height(words)).where(F.col("top") < share * F.col("_h")).drop("_h")
     return word_blocks(top).where(F.col("block") <= n)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import tokens, words
+from ..functions.text import clean_phrase, tokens, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -49,6 +49,12 @@ def sequence_ratio(a, b):
     return F.pandas_udf(_sequence_ratio, "double")(a, b)
 
 
+def ratio_bound(a, b):
+    """No less than ``sequence_ratio``: twice the shorter length over both."""
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
+
+
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, with one bit for each character of ``a``."""
     at: dict[str, int] = {}
@@ -124,15 +130,16 @@ def cascade(labels: DataFrame, rules: DataFrame, terms: DataFrame, scorer: str =
 
 
 def strategies(labels: DataFrame, concepts: DataFrame, synonyms: DataFrame, least: float = 0.7, least_cosine: float = 0.6, stop=()) -> DataFrame:
-    """Of equality (1.0; the last concept wins), synonym ratio and direct ratio (strictly better, at least ``least``); labels that
-    none of these finds go to the best TF-IDF cosine over concepts with their synonyms, at least ``least_cosine`` (ties: the smaller name).
+    """Of equality (1.0; the last concept wins), synonym ratio and direct ratio (T5, strictly better, at least ``least``), all of texts
+    cleaned by T2; labels that none of these finds go to the best TF-IDF cosine over concepts with their synonyms, at least ``least_cosine`` (ties: the smaller name).
 
     The idf is that of labels and concepts together, so words that no concept has lower a label's cosine. ``stop``: words it leaves out.
     """
     terms = concepts.select(F.col("concept").alias("term"), "concept", F.lit(1).alias("own")).unionByName(synonyms.select("term", "concept", F.lit(0).alias("own")))
-    pairs = with_all(labels.select("clean_label").where("clean_label <> ''").distinct(), terms.distinct())
-    same = (F.col("own") == 1) & (F.lower("term") == F.col("clean_label"))
-    s = pairs.withColumn("confidence", F.when(same, 1.0).otherwise(edit_ratio(F.col("clean_label"), F.lower("term")) / 100)).where(F.col("confidence") >= least)
+    cleaned = labels.select("clean_label").where("clean_label <> ''").distinct().withColumn("_a", clean_phrase(F.col("clean_label")))
+    pairs = with_all(cleaned, terms.distinct().withColumn("_b", clean_phrase(F.col("term"))))
+    same = (F.col("own") == 1) & (F.col("_a") == F.col("_b"))
+    s = pairs.where(ratio_bound(F.col("_a"), F.col("_b")) >= least).withColumn("confidence", F.when(same, 1.0).otherwise(sequence_ratio(F.col("_a"), F.col("_b")))).where(F.col("confidence") >= least)
     s = s.withColumn("method", F.when(same, "exact").when(F.col("own") == 1, "direct").otherwise("synonym"))
     best = s.groupBy("clean_label").agg(F.max_by(F.struct("concept", "confidence", "method"), F.struct("confidence", F.when(F.col("method") == "exact", 1).otherwise(0), -F.col("own"), "concept")).alias("b")).select("clean_label", "b.*")
     split = lambda df, key, text: df.select(key.alias("doc"), F.explode(tokens(text, stop)).alias("token"))
@@ -201,11 +208,14 @@ def upsert_rules(rules: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def pair_by_tokens(left: DataFrame, right: DataFrame, key: str = "name", order: str = "seq") -> DataFrame:
-    """For each left name the first right name (by ``order``) that shares a token; tokens split on '_', '-', '.' and blanks. No partner gives null."""
+    """For each left name the first right name, by ``order`` and then by name, that shares a token; tokens split on '_', '-', '.' and blanks.
+
+    No partner gives null; ``workflows.cross_verify`` holds such names against all files together.
+    """
     def tokens(df):
         return df.select(F.col(key), F.col(order), F.explode(F.array_distinct(F.filter(F.split(F.lower(key), r"[_\-.\s]+"), lambda x: x != ""))).alias("token"))
 
-    first = tokens(right).groupBy("token").agg(F.min_by(F.struct(F.col(order).alias("o"), F.col(key).alias("partner")), F.col(order)).alias("p"))
+    first = tokens(right).groupBy("token").agg(F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("partner"))).alias("p"))
     hit = tokens(left).join(first, "token").groupBy(key, order).agg(F.min("p").alias("p")).select(key, order, F.col("p.partner").alias("partner"))
     return left.select(key, order).join(hit, [key, order], "left")
 

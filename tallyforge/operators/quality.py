@@ -44,7 +44,7 @@ def method_agreement(means: DataFrame, method: str, value: str) -> DataFrame:
 
 def method_overlap(df: DataFrame, group: str, method: str, value: str) -> DataFrame:
     """How many groups several methods reach, and how alike their counts are."""
-    g = df.groupBy(group, method).agg(F.count(value).alias("n")).groupBy(group).agg(F.count("*").alias("m"), F.stddev_pop("n").alias("sd"), F.avg("n").alias("mean"))
+    g = df.groupBy(group, method).agg(F.count(value).alias("n")).groupBy(group).agg(F.count("*").alias("m"), F.stddev_samp("n").alias("sd"), F.avg("n").alias("mean"))
     many = F.col("m") > 1
     return g.agg(F.count("*").alias("n_groups"), F.sum(F.when(many, 1).otherwise(0)).alias("n_overlap"), F.avg(many.cast("double")).alias("overlap_ratio"), F.avg(F.when(many, 1 - F.col("sd") / F.greatest("mean", F.lit(1.0)))).alias("count_similarity"))
 

@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.numeric import percentage_difference, scale_match, within_tolerance
 from .mapping import with_all
 
-# Words of relevant concepts.
+# Key concepts, and words of relevant concepts.
+KEY_CONCEPTS = (
+    "Revenues", "Revenue", "SalesRevenueNet", "NetIncomeLoss", "NetIncome", "ProfitLoss", "Assets", "TotalAssets", "AssetsCurrent", "Liabilities", "LiabilitiesAndStockholdersEquity", "StockholdersEquity", "ShareholdersEquity",
+    "CashAndCashEquivalentsAtCarryingValue", "OperatingIncomeLoss", "GrossProfit", "CostOfRevenue", "CostOfGoodsAndServicesSold", "ResearchAndDevelopmentExpense", "SellingGeneralAndAdministrativeExpenses", "PropertyPlantAndEquipmentNet",
+    "Goodwill", "IntangibleAssetsNetExcludingGoodwill",
+)
 RELEVANT = ("revenue", "income", "profit", "loss", "asset", "liability", "equity", "cash", "expense", "cost", "sales", "earnings", "balance", "debt", "capital", "investment", "dividend")
 
 
-def relevant(concept, exact: list[str] | None = None, parts=RELEVANT):
-    """F1 with ``exact``, F2 otherwise."""
-    return concept.isin(*exact) if exact else F.coalesce(F.lower(concept).rlike("|".join(parts)), F.lit(False))
+def relevant(concept, exact: list[str] | None = None, parts=KEY_CONCEPTS + RELEVANT):
+    """F1 with ``exact``; else F2: a key concept or a relevant word stands in the name, in any case."""
+    return concept.isin(*exact) if exact else F.coalesce(F.lower(concept).rlike("|".join(p.lower() for p in parts)), F.lit(False))
 
 
 def first_facts(facts: DataFrame, seq: str) -> DataFrame:
@@ -48,10 +53,15 @@ def concept_summary(facts: DataFrame, key: str, value: str, modes: list[str]) ->
 
 
 def resolve_column(labels: DataFrame, columns: DataFrame) -> DataFrame:
-    """The column of each label: the equal one, else the first by col_idx with mutual containment. columns(column, col_idx): headers of one table."""
+    """The column of each label: the equal one if it holds a number, else the first by col_idx with mutual containment if that holds one.
+
+    columns(column, col_idx): headers of one table; with ``numeric``, whether the column holds a number (without it all do).
+    """
     own = labels.select("label").distinct()
-    met = with_all(own, columns.select("column", "col_idx").distinct()).where(F.lower("column").contains(F.lower("label")) | F.lower("label").contains(F.lower("column")))
-    return own.join(met, "label", "left").groupBy("label").agg(F.min_by("column", F.struct((F.col("column") != F.col("label")).cast("int"), "col_idx")).alias("column"))
+    number = F.col("numeric") if "numeric" in columns.columns else F.lit(True)
+    met = with_all(own, columns.select("column", "col_idx", number.alias("numeric")).distinct()).where(F.lower("column").contains(F.lower("label")) | F.lower("label").contains(F.lower("column")))
+    found = own.join(met, "label", "left").groupBy("label").agg(F.min(F.when((F.col("column") == F.col("label")) & F.col("numeric"), F.struct("col_idx", "column"))).alias("e"), F.min(F.struct("col_idx", "column", "numeric")).alias("s"))
+    return found.select("label", F.coalesce("e.column", F.when(F.col("s.numeric"), F.col("s.column"))).alias("column"))
 
 
 def reconcile(mapping: DataFrame, reported: DataFrame, facts: DataFrame, ignore_unmapped: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
@@ -79,14 +89,14 @@ def severity(kind, percent):
 
 
 def severity_counts(found: DataFrame, exact: bool = True) -> DataFrame:
-    """A3, A4: counts by severity, and statistics of finite percentages (a missing one counts as 0).
+    """A3, A4: counts by the six severities and ``data_issues`` (missing and unmapped together), and statistics of finite percentages (a missing one counts as 0).
 
     The exact median keeps a count of each distinct percentage; for billions of discrepancies ask for the approximate one.
     """
     n = lambda s: F.sum(F.when(F.col("severity").isin(*s), 1).otherwise(0))
     pct = F.coalesce("percentage_difference", F.lit(0.0))
     pct = F.when(pct < math.inf, pct)
-    return found.agg(F.count("*").alias("n"), n(["critical"]).alias("critical"), n(["moderate"]).alias("moderate"), n(["minor"]).alias("minor"), n(["missing_data", "unmapped"]).alias("data_issues"), n(["errors"]).alias("errors"), F.avg(pct).alias("mean_pct"), (F.percentile(pct, 0.5) if exact else F.percentile_approx(pct, 0.5, 100_000)).alias("median_pct"), F.max(pct).alias("max_pct"), F.min(pct).alias("min_pct"))
+    return found.agg(F.count("*").alias("n"), n(["critical"]).alias("critical"), n(["moderate"]).alias("moderate"), n(["minor"]).alias("minor"), n(["missing_data"]).alias("missing_data"), n(["unmapped"]).alias("unmapped"), n(["missing_data", "unmapped"]).alias("data_issues"), n(["errors"]).alias("errors"), F.avg(pct).alias("mean_pct"), (F.percentile(pct, 0.5) if exact else F.percentile_approx(pct, 0.5, 100_000)).alias("median_pct"), F.max(pct).alias("max_pct"), F.min(pct).alias("min_pct"))
 
 
 def value_range_join(left: DataFrame, right: DataFrame, tolerance: float = 0.1, key: str = "id", value: str = "value") -> DataFrame:
@@ -137,11 +147,22 @@ def uncategorised_large(facts: DataFrame, known: DataFrame, file_col: str, value
     return rest.withColumn("_r", F.row_number().over(W.partitionBy(file_col).orderBy(seq))).where(F.col("_r") <= n).drop("_r")
 
 
-def diagnose(n_left, n_right, n_matched, mean_left, mean_right, n_periods, mapping_rate):
-    """Likely causes of discrepancies, from one-row aggregates."""
-    gap = F.abs(F.log10(F.greatest(F.abs(mean_left), F.lit(1e-9))) - F.log10(F.greatest(F.abs(mean_right), F.lit(1e-9))))
-    causes = F.array(F.when(n_matched / F.greatest(F.least(n_left, n_right), F.lit(1)) < 0.5, "few values match"), F.when(n_periods > 1, "several periods"), F.when(gap > 0.5, "scales differ"), F.when(mapping_rate < 0.5, "few labels map"))
-    return F.filter(causes, lambda x: x.isNotNull())
+def lookalikes(df: DataFrame, text: str, order: list, n: int = 20) -> DataFrame:
+    """M21's sample: how many of the first ``n`` texts hold a capital O, a small l or a capital I, which stand for digits (the limit is the diagnosis's)."""
+    return df.orderBy(*order).limit(n).agg(F.count_if(F.col(text).rlike("[OlI]")).alias("n_lookalike"))
+
+
+def diagnose(n_left, n_right, n_matched, mean_left, mean_right, n_periods, mapping_rate, n_lookalike=None):
+    """struct(match_rate, causes) from one-row aggregates; the means are those of magnitudes.
+
+    match_rate: matches over the smaller side's count, 0 without matches. Causes: several periods, means that differ by more than half of the larger,
+    under half of the labels mapped, more than three look-alikes.
+    """
+    top = F.greatest(mean_left, mean_right)
+    n_lookalike = F.lit(0) if n_lookalike is None else n_lookalike
+    causes = F.array(F.when(n_periods > 1, "several periods"), F.when((top > 0) & (F.abs(mean_left - mean_right) / top > 0.5), "scales differ"), F.when(mapping_rate < 0.5, "few labels map"), F.when(n_lookalike > 3, "look-alike characters"))
+    rate = F.when(n_matched > 0, n_matched / F.least(n_left, n_right)).otherwise(0.0)
+    return F.struct(rate.alias("match_rate"), F.filter(causes, lambda x: x.isNotNull()).alias("causes"))
 
 
 # Categories of facts and what their concepts contain.

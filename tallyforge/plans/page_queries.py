@@ -20,12 +20,12 @@ def _words(spark, sf_dir):
     x0 = (F.col("l_partkey") % 600).cast("double")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("word_idx"), F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string")).alias("text"),
-        x0.alias("x0"), (x0 + 40).alias("x1"), top.alias("top"), (top + 10).alias("bottom"),
+        x0.alias("x0"), (x0 + 40).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.when(F.col("l_orderkey") % 3 != 0, 130.0 + F.col("l_orderkey") % 2 * 50).alias("page_height"),
     )
 
 
 _WORDS = """WITH RECURSIVE words AS (SELECT l_orderkey AS doc_id, 1 AS page, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS word_idx, l_returnflag || l_linestatus || l_partkey AS text, (l_partkey % 600)::DOUBLE AS x0, (l_partkey % 600)::DOUBLE + 40 AS x1,
-  (l_linenumber - 1) * 15.0::DOUBLE + l_suppkey % 7 * 10.0::DOUBLE AS top, (l_linenumber - 1) * 15.0::DOUBLE + l_suppkey % 7 * 10.0::DOUBLE + 10 AS bottom FROM lineitem)"""
+  (l_linenumber - 1) * 15.0::DOUBLE + l_suppkey % 7 * 10.0::DOUBLE AS top, (l_linenumber - 1) * 15.0::DOUBLE + l_suppkey % 7 * 10.0::DOUBLE + 10 AS bottom, CASE WHEN l_orderkey % 3 <> 0 THEN 130.0 + l_orderkey % 2 * 50 END AS page_height FROM lineitem)"""
 _BLOCKS = """, g AS (SELECT *, CASE WHEN lag(top) OVER w IS NULL OR NOT (abs(top - lag(top) OVER w) < 20 AND abs(x0 - lag(x1) OVER w) < 100) THEN 1 ELSE 0 END AS b FROM {0} WINDOW w AS (PARTITION BY doc_id, page ORDER BY top, x0, word_idx)),
 n AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, page ORDER BY top, x0, word_idx ROWS UNBOUNDED PRECEDING)::INT AS block FROM g),
 blocks AS (SELECT doc_id, page, block, string_agg(text, ' ' ORDER BY top, x0, word_idx, text) AS text, count(*)::INT AS word_count, min(x0) AS x1, min(top) AS y1, max(x1) AS x2, max(bottom) AS y2 FROM n GROUP BY 1, 2, 3)"""
@@ -40,15 +40,16 @@ def page_blocks(spark, sf_dir):
     return _flat(layout.word_blocks(_words(spark, sf_dir)))
 
 
-@register(_WORDS + ", t AS (SELECT * FROM (SELECT *, max(bottom) OVER (PARTITION BY doc_id, page) AS h FROM words) WHERE top < 0.2 * h)" + _BLOCKS.format("t") + " SELECT * FROM blocks WHERE block <= 2")
+@register(_WORDS + ", t AS (SELECT * FROM (SELECT *, coalesce(page_height, max(bottom) OVER (PARTITION BY doc_id, page)) AS h FROM words) WHERE top < 0.2 * h)" + _BLOCKS.format("t") + " SELECT * FROM blocks WHERE block <= 2")
 def page_titles(spark, sf_dir):
     return _flat(layout.titles(_words(spark, sf_dir)))
 
 
-@register(_WORDS + """, h AS (SELECT *, max(bottom) OVER (PARTITION BY doc_id, page) AS h FROM words),
+@register(_WORDS + """, h AS (SELECT *, coalesce(page_height, max(bottom) OVER (PARTITION BY doc_id, page)) AS h FROM words),
 r AS (SELECT *, CASE WHEN bottom <= 0.1 * h THEN 'header' WHEN top >= 0.9 * h THEN 'footer' END AS region FROM h)
 SELECT * FROM (SELECT doc_id, page, region, string_agg(text, ' ' ORDER BY top, x0, word_idx, text) AS text FROM r WHERE region IS NOT NULL GROUP BY 1, 2, 3) WHERE length(text) > 5""")
 def page_regions(spark, sf_dir):
+    """Two pages in three know their height."""
     return layout.regions(_words(spark, sf_dir))
 
 
@@ -83,10 +84,10 @@ def _cells(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("pdfplumber").alias("method"), F.lit(1).alias("page"), (F.col("l_linenumber") % 2).alias("table_num"), row.alias("row_idx"), cells).select("doc_id", "method", "page", "table_num", "row_idx", "c.*", F.concat(F.lit("Column_"), F.col("c.col_idx").cast("string")).alias("header"))
 
 
-_CELLS = """WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS table_num, l_linenumber * 1000000 + l_partkey AS row_idx, [l_returnflag || 'x ', l_quantity::INT::VARCHAR, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE '$' || l_suppkey END, CASE WHEN l_suppkey % 2 = 0 THEN '' END] AS vs FROM lineitem),
+_CELLS = """WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS table_num, l_linenumber * 1000000 + l_partkey AS row_idx, [l_returnflag || 'x ', l_quantity::INT::VARCHAR, CASE WHEN l_partkey % 3 = 0 THEN ' n/a' || chr(9) ELSE '$' || l_suppkey END, CASE WHEN l_suppkey % 2 = 0 THEN '' END] AS vs FROM lineitem),
 a AS (SELECT doc_id, table_num, row_idx, i AS col_idx, vs[i + 1] AS value FROM (SELECT *, unnest([0, 1, 2, 3]) AS i FROM r)),
 k AS (SELECT * FROM a WHERE (doc_id, table_num, col_idx) IN (SELECT (doc_id, table_num, col_idx) FROM a WHERE value IS NOT NULL)),
-c AS (SELECT *, trim(coalesce(value, '')) AS v FROM k)"""
+c AS (SELECT *, trim(coalesce(value, ''), ' ' || chr(9)) AS v FROM k)"""
 
 
 @register(_CELLS + """ SELECT doc_id, table_num, count(*) AS n_cells, count(DISTINCT col_idx) AS n_cols, sum(length(coalesce(value, '')))::BIGINT AS chars FROM c GROUP BY 1, 2
@@ -100,12 +101,12 @@ def table_enhance(spark, sf_dir):
 @register(_CELLS + """, f AS (SELECT *, min(row_idx) OVER (PARTITION BY doc_id, table_num) AS first_row, string_agg(coalesce(value, ''), ' ') OVER (PARTITION BY doc_id, table_num) AS txt FROM c)
 SELECT doc_id, table_num, count(DISTINCT col_idx)::INT AS cols, round(avg(CASE WHEN v <> '' THEN 1.0 ELSE 0.0 END), 6) AS filled_ratio, round(avg(CASE WHEN try_cast(v AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS numeric_ratio,
   round(avg(CASE WHEN length(v) >= 2 AND regexp_matches(v, '[A-Za-z0-9]') THEN 1.0 ELSE 0.0 END), 6) AS worded_ratio, round(count(DISTINCT CASE WHEN row_idx = first_row AND try_cast(v AS DOUBLE) IS NOT NULL THEN col_idx END)::DOUBLE / count(DISTINCT col_idx), 6) AS header_numeric_ratio,
-  (length(any_value(txt)) - length(replace(any_value(txt), '$', '')))::INT AS financial_patterns,
+  (length(any_value(txt)) - length(replace(any_value(txt), '$', '')))::INT AS financial_patterns, contains(any_value(txt), '$') AS is_financial,
   round(least(avg(CASE WHEN v <> '' THEN 1.0 ELSE 0.0 END) + least(avg(CASE WHEN regexp_matches(v, '[0-9]') THEN 1.0 ELSE 0.0 END), 0.25), 1), 6) AS content_quality FROM f GROUP BY 1, 2""")
 def table_features(spark, sf_dir):
-    """T13, T15, T16 over many tables."""
+    """T13, T15, T16, F9 over many tables."""
     s = tb.score_tables(tb.clean_cells(_cells(spark, sf_dir)))
-    return s.select("doc_id", "table_num", "cols", *[r6(c).alias(c) for c in ("filled_ratio", "numeric_ratio", "worded_ratio", "header_numeric_ratio", "content_quality")], "financial_patterns")
+    return s.select("doc_id", "table_num", "cols", *[r6(c).alias(c) for c in ("filled_ratio", "numeric_ratio", "worded_ratio", "header_numeric_ratio", "content_quality")], "financial_patterns", "is_financial")
 
 
 @register("""

@@ -61,7 +61,7 @@ def cross_group_agreement(spark, sf_dir):
     return quality.method_agreement(m, "method", "avg_quality").select("n_pairs", r6("agreement").alias("agreement"))
 
 
-@register(_C + """, g AS (SELECT doc_id, method, count(content_quality) AS n FROM c GROUP BY 1, 2), h AS (SELECT doc_id, count(*) AS m, stddev_pop(n) AS sd, avg(n) AS mean FROM g GROUP BY doc_id)
+@register(_C + """, g AS (SELECT doc_id, method, count(content_quality) AS n FROM c GROUP BY 1, 2), h AS (SELECT doc_id, count(*) AS m, stddev_samp(n) AS sd, avg(n) AS mean FROM g GROUP BY doc_id)
 SELECT count(*) AS n_groups, count(*) FILTER (m > 1) AS n_overlap, round(avg((m > 1)::INT), 6) AS overlap_ratio, round(avg(CASE WHEN m > 1 THEN 1 - sd / greatest(mean, 1) END), 6) AS count_similarity FROM h""")
 def overlap_ratio(spark, sf_dir):
     m = quality.method_overlap(_candidates(spark, sf_dir), "doc_id", "method", "content_quality")
@@ -80,28 +80,28 @@ def _found(words, k: int) -> str:
 
 
 @register(rf"""
-WITH n AS (SELECT n_regionkey AS t, n_nationkey AS r, n_name AS a, '$' || n_nationkey AS m, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS k FROM nation),
+WITH n AS (SELECT c_custkey // 25 AS t, c_custkey AS r, c_name || ' ' || lower(c_mktsegment) AS a, '$' || c_custkey AS m, row_number() OVER (PARTITION BY c_custkey // 25 ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_custkey // 25) AS k FROM customer),
 x AS (SELECT t, (max(r) - min(r) + 1)::INT AS "rows", lower('Column_1 ' || string_agg(a, ' ' ORDER BY r) || ' Column_2 ' || string_agg(m, ' ' ORDER BY r) || ' Column_3 ' || repeat(' ', any_value(k)::INT - 1)) AS txt,
-  'Table Headers: Column_1, Column_2, Column_3' || chr(10) || string_agg('Row ' || i || ': ' || a || ' | ' || m || ' | ', chr(10) ORDER BY i) AS text FROM n GROUP BY t)
-SELECT t AS table_num, "rows", 3::INT AS cols, round(2 / 3.0 + 0.25, 6)::DOUBLE AS content_quality, round(2 / 3.0, 6)::DOUBLE AS filled_ratio, text,
+  'Table Headers: Column_1, Column_2, Column_3' || chr(10) || string_agg('Row ' || i || ': ' || a || ' | ' || m || ' | ', chr(10) ORDER BY i) FILTER (i <= 10) || CASE WHEN any_value(k) > 10 THEN chr(10) || '... (' || (any_value(k) - 10) || ' more rows)' ELSE '' END AS text FROM n GROUP BY t)
+SELECT t AS table_num, "rows", 3::INT AS cols, round(2 / 3.0 + 0.25, 6)::DOUBLE AS content_quality, round(2 / 3.0, 6)::DOUBLE AS filled_ratio, text, ({" OR ".join(f"contains(txt, '{w}')" for w in tb.FINANCIAL_WORDS)}) AS is_financial,
   ({_found(tb.WORDS_HIGH, 3)} + {_found(tb.WORDS_MEDIUM, 2)} + length(txt) - length(translate(txt, '$%', '')) + {" + ".join(f"regexp_matches(txt, '{x}')::INT" for x in tb.PATTERNS)} + 1)::INT AS financial_score FROM x
 """)
 def table_cells_scored(spark, sf_dir):
-    """P1-P3, P17 and T13-T16 on small cell tables made of nations: one table a region."""
-    n = table(spark, sf_dir, "nation").withColumn("row_idx", F.col("n_nationkey"))
-    cols = F.array(*[F.struct(F.lit(i).alias("col_idx"), v.alias("value")) for i, v in enumerate((F.col("n_name"), F.concat(F.lit("$"), F.col("n_nationkey").cast("string")), F.lit(" n/a ")))])
-    body = n.select(F.lit("nations").alias("doc_id"), F.lit("pdfplumber").alias("method"), F.lit(1).alias("page"), F.col("n_regionkey").alias("table_num"), F.col("row_idx").cast("int"), F.explode(cols).alias("c")).select("doc_id", "method", "page", "table_num", "row_idx", "c.*")
-    body = body.withColumn("header", F.concat(F.lit("Column_"), F.col("col_idx").cast("string")))
-    scored = tb.score_tables(tb.infer_headers(tb.clean_cells(body)))
-    return scored.join(tb.render(tb.infer_headers(tb.clean_cells(body))), tb.TABLE).select("table_num", "rows", "cols", r6("content_quality").alias("content_quality"), "financial_score", r6("filled_ratio").alias("filled_ratio"), "text")
+    """P1-P3, P17, F9 and T13-T16 on tables made of customers, 25 to a table."""
+    n = table(spark, sf_dir, "customer").where("c_custkey IS NOT NULL").withColumn("row_idx", F.col("c_custkey").cast("int"))
+    values = (F.concat("c_name", F.lit(" "), F.lower("c_mktsegment")), F.concat(F.lit("$"), F.col("c_custkey").cast("string")), F.lit(" NULL "))
+    cols = F.array(*[F.struct(F.lit(i).alias("col_idx"), v.alias("value")) for i, v in enumerate(values)])
+    body = n.select(F.lit("customers").alias("doc_id"), F.lit("pdfplumber").alias("method"), F.lit(1).alias("page"), F.floor(F.col("c_custkey") / 25).alias("table_num"), "row_idx", F.explode(cols).alias("c")).select("doc_id", "method", "page", "table_num", "row_idx", "c.*")
+    headed = tb.infer_headers(tb.clean_cells(body.withColumn("header", F.concat(F.lit("Column_"), F.col("col_idx").cast("string")))))
+    return tb.score_tables(headed).join(tb.render(headed), tb.TABLE).select("table_num", "rows", "cols", r6("content_quality").alias("content_quality"), "financial_score", r6("filled_ratio").alias("filled_ratio"), "is_financial", "text")
 
 
 @register("""
 WITH g AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS k FROM orders GROUP BY 1, 2), m AS (SELECT p, s FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY k DESC, s) AS r FROM g) WHERE r = 1)
-SELECT o_orderpriority, count(o_totalprice) AS n, round(avg(o_totalprice), 2) AS mean, min(o_totalprice) AS min, max(o_totalprice) AS max, m.s AS o_orderstatus_mode FROM orders JOIN m ON m.p = o_orderpriority GROUP BY 1, m.s
+SELECT o_orderpriority, count(o_totalprice) AS n, round(sum(o_totalprice), 0) AS sum, round(avg(o_totalprice), 2) AS mean, min(o_totalprice) AS min, max(o_totalprice) AS max, m.s AS o_orderstatus_mode FROM orders JOIN m ON m.p = o_orderpriority GROUP BY 1, m.s
 """)
 def concept_summary_mode(spark, sf_dir):
-    return rc.concept_summary(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", ["o_orderstatus"]).drop("sum")
+    return rc.concept_summary(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", ["o_orderstatus"]).withColumn("sum", F.round("sum", 0))
 
 
 @register("""
@@ -155,11 +155,11 @@ def reconcile(spark, sf_dir):
     return d.select("label", r6("percentage_difference").alias("percentage_difference"), F.round("scale_factor", 9).alias("scale_factor"), "discrepancy_type", "severity")
 
 
-@register(_R + """SELECT count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'moderate') AS moderate, count(*) FILTER (severity = 'minor') AS minor, count(*) FILTER (severity = 'missing_data') AS data_issues,
+@register(_R + """SELECT count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'moderate') AS moderate, count(*) FILTER (severity = 'minor') AS minor, count(*) FILTER (severity = 'missing_data') AS missing_data, 0 AS unmapped, count(*) FILTER (severity = 'missing_data') AS data_issues, 0 AS errors,
   round(avg(c), 6) AS mean_pct, round(median(c), 6) AS median_pct, round(max(c), 6) AS max_pct, round(min(c), 6) AS min_pct FROM (SELECT *, CASE WHEN coalesce(pct, 0) < 'Infinity'::DOUBLE THEN coalesce(pct, 0) END AS c FROM z)""")
 def reconcile_severity(spark, sf_dir):
     s = rc.severity_counts(rc.reconcile(*_sides(spark, sf_dir)))
-    return s.select("n", "critical", "moderate", "minor", "data_issues", *[r6(c).alias(c) for c in ("mean_pct", "median_pct", "max_pct", "min_pct")])
+    return s.select("n", "critical", "moderate", "minor", "missing_data", "unmapped", "data_issues", "errors", *[r6(c).alias(c) for c in ("mean_pct", "median_pct", "max_pct", "min_pct")])
 
 
 @register("""
@@ -264,3 +264,34 @@ SELECT operation, round(n / rt, 6) AS pages_per_second, round(n / (rt * mem), 6)
 def throughput(spark, sf_dir):
     t = bench.throughput(_results(spark, sf_dir))
     return t.select("operation", *[r6(c).alias(c) for c in ("pages_per_second", "efficiency_score", "resource_efficiency")])
+
+
+@register(_C + """, p AS (SELECT doc_id, page, method, mo, count(*) AS n, min(struct_pack(i := table_num, r := "rows", k := cols)) AS t FROM c GROUP BY 1, 2, 3, 4),
+f AS (SELECT list(method ORDER BY mo) AS ms FROM (SELECT DISTINCT method, mo FROM c ORDER BY mo LIMIT 2)),
+g AS (SELECT doc_id, page, count(*) AS m, stddev_samp(n) AS sd, avg(n) AS mean, any_value(t) FILTER (method = ms[1]) AS t0, any_value(t) FILTER (method = ms[2]) AS t1 FROM p, f GROUP BY 1, 2)
+SELECT count(*) AS n_pages, count(*) FILTER (m > 1) AS n_overlap, round(avg(1 - sd / greatest(mean, 1)) FILTER (m > 1), 6) AS count_similarity, round(count(*) FILTER (m > 1)::DOUBLE / count(*), 6) AS overlap_ratio,
+  round(avg((1 - abs(t0.r - t1.r) / greatest(t0.r + t1.r, 1)::DOUBLE + 1 - abs(t0.k - t1.k) / greatest(t0.k + t1.k, 1)::DOUBLE) / 2) FILTER (m > 1), 6) AS structure_similarity FROM g""")
+def method_consistency(spark, sf_dir):
+    """A13."""
+    c = tb.consistency(_candidates(spark, sf_dir))
+    return c.select("n_pages", "n_overlap", *[r6(x).alias(x) for x in ("count_similarity", "overlap_ratio", "structure_similarity")])
+
+
+@register("""
+WITH l AS (SELECT l_suppkey AS f, count(*) AS n, avg(abs(l_extendedprice)) AS a, avg(abs(l_extendedprice * CASE WHEN l_suppkey % 3 = 0 THEN 2.5 ELSE 1.5 END)) AS b, count(*) FILTER (l_partkey % 3 = 0) AS hit, count(DISTINCT l_linenumber % 2) AS periods, avg((l_partkey % 2)::DOUBLE) AS rate FROM lineitem GROUP BY 1),
+k AS (SELECT f, count(*) FILTER (t ~ '[OlI]') AS odd FROM (SELECT l_suppkey AS f, CASE WHEN l_suppkey % 4 = 0 THEN l_linestatus || l_quantity ELSE l_quantity::VARCHAR END AS t, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r FROM lineitem) WHERE r <= 20 GROUP BY 1)
+SELECT f AS supplier, round(CASE WHEN hit > 0 THEN hit::DOUBLE / n ELSE 0 END, 6) AS match_rate, concat_ws(',', CASE WHEN periods > 1 THEN 'several periods' END, CASE WHEN abs(a - b) / greatest(a, b) > 0.5 THEN 'scales differ' END, CASE WHEN rate < 0.5 THEN 'few labels map' END, CASE WHEN odd > 3 THEN 'look-alike characters' END) AS causes FROM l JOIN k USING (f)
+""")
+def discrepancy_causes(spark, sf_dir):
+    """Each supplier's lines as one comparison; its first twenty quantities as texts."""
+    li = table(spark, sf_dir, "lineitem")
+    v = F.col("l_extendedprice")
+    g = li.groupBy(F.col("l_suppkey").alias("supplier")).agg(
+        F.count("*").alias("n"), F.avg(F.abs(v)).alias("a"), F.avg(F.abs(v * F.when(F.col("l_suppkey") % 3 == 0, 2.5).otherwise(1.5))).alias("b"), F.count_if(F.col("l_partkey") % 3 == 0).alias("hit"),
+        F.countDistinct(F.col("l_linenumber") % 2).alias("periods"), F.avg((F.col("l_partkey") % 2).cast("double")).alias("rate"),
+    )
+    text = F.when(F.col("l_suppkey") % 4 == 0, F.concat("l_linestatus", F.col("l_quantity").cast("string"))).otherwise(F.col("l_quantity").cast("string"))
+    first = rc.head(li.withColumn("t", text), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 20)
+    odd = first.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if(F.col("t").rlike("[OlI]")).alias("odd"))
+    d = rc.diagnose(F.col("n"), F.col("n"), F.col("hit"), F.col("a"), F.col("b"), F.col("periods"), F.col("rate"), F.col("odd"))
+    return g.join(odd, "supplier").select("supplier", d.alias("d")).select("supplier", r6("d.match_rate").alias("match_rate"), F.array_join("d.causes", ",").alias("causes"))

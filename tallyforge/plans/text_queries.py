@@ -195,11 +195,6 @@ def dedupe_keep_best(spark, sf_dir):
     return top.select("b.doc_id", "b.n_chars")
 
 
-@register("SELECT doc_id, i::INT AS idx, v[i + 1] AS value FROM (SELECT doc_id, v, unnest(range(len(v))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '([0-9]{4,})[^0-9]', 1) AS v FROM documents))")
-def amount_regex_extract(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([0-9]{4,})[^0-9]"), F.lit(1))).alias("idx", "value"))
-
-
 def _matches(text: str, pattern: str, kind: str, context: str, scale: float) -> str:
     v, o = (f"regexp_extract_all({text}, '(?i){pattern}', {g})" for g in (1, 0))
     return f"SELECT doc_id, '{kind}' AS pattern_type, '{context}' AS context, unnest(range(len(v))) AS i, v, o, {scale} AS k FROM (SELECT doc_id, {v} AS v, {o} AS o FROM documents)"
@@ -210,10 +205,17 @@ _AMOUNTS = " UNION ALL ".join([_matches("lower(text)", p, "contextual", name, 1.
 
 @register(rf"SELECT doc_id, pattern_type, context, i::INT AS idx, regexp_replace(v[i + 1], '[,$]', '', 'g')::DOUBLE * k::DOUBLE AS value, o[i + 1] AS original_text FROM ({_AMOUNTS})")
 def financial_values(spark, sf_dir):
-    """T17 over whole texts; amount_regex_extract stays beside it, for plain runs of digits."""
+    """T17 over whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.financial_values(F.col("text"))).alias("m")).select("doc_id", "m.*")
 
 
+@register(rf"SELECT doc_id, pattern_type, count(*) AS n, round(sum(regexp_replace(v[i + 1], '[,$]', '', 'g')::DOUBLE * k::DOUBLE), 2) AS total FROM ({_AMOUNTS}) GROUP BY 1, 2")
+def amount_regex_extract(spark, sf_dir):
+    """T17 summed up: how many values each kind of pattern finds in a document, and their sum."""
+    m = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.financial_values(F.col("text"))).alias("m"))
+    return m.groupBy("doc_id", "m.pattern_type").agg(F.count("*").alias("n"), F.round(F.sum("m.value"), 2).alias("total"))
+
+
 _LABEL = "'Total ' || p_name || ' & ' || p_brand || ' (in $millions)'"
 _CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({_LABEL}), '\(in \$.*?\)', '', 'g'), '[^\w\s&]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -287,25 +289,24 @@ def mapping_statistics(spark, sf_dir):
     return s.select("n_labels", "n_mapped", r6("mapping_rate").alias("mapping_rate"), "n_exact")
 
 
-_TOKENS = r"SELECT {0} AS k, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 4)) AS token FROM {1}"
+_ALL_TOKENS = r"SELECT {0} AS k, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')) AS token FROM {1}"
 
 
 @register(rf"""
-WITH d AS ({_TOKENS.format('item_id', 'benchmark')}), q AS ({_TOKENS.format('conv_id * 1000 + turn', 'conversations')}),
+WITH d AS ({_ALL_TOKENS.format('item_id', 'benchmark')}), q AS ({_ALL_TOKENS.format('conv_id * 1000 + turn', 'conversations')}),
 n AS (SELECT count(DISTINCT k) AS n FROM d), idf AS (SELECT token, ln((1 + n.n)::DOUBLE / (1 + count(DISTINCT k))) + 1 AS idf FROM d, n GROUP BY token, n.n),
 dw AS (SELECT k, token, count(*) * idf AS w FROM d JOIN idf USING (token) GROUP BY k, token, idf), qw AS (SELECT k, token, count(*) * idf AS w FROM q JOIN idf USING (token) GROUP BY k, token, idf),
 dn AS (SELECT k, sqrt(sum(w * w)) AS n FROM dw GROUP BY k), qn AS (SELECT k, sqrt(sum(w * w)) AS n FROM qw GROUP BY k),
-s AS (SELECT qw.k AS query, dw.k AS doc, round(sum(qw.w / qn.n * (dw.w / dn.n)), 6) AS cosine FROM qw JOIN dw USING (token) JOIN dn ON dn.k = dw.k JOIN qn ON qn.k = qw.k GROUP BY 1, 2)
-SELECT query, doc, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, doc) AS r FROM s) WHERE r = 1
+s AS (SELECT qw.k AS query, dw.k AS doc, round(sum(qw.w / qn.n * (dw.w / dn.n)), 6) AS cosine FROM qw JOIN dw USING (token) JOIN dn ON dn.k = dw.k JOIN qn ON qn.k = qw.k GROUP BY 1, 2),
+b AS (SELECT query, doc, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, doc) AS r FROM s) WHERE r = 1)
+SELECT query, doc, cosine FROM (SELECT DISTINCT conv_id * 1000 + turn AS query FROM conversations) LEFT JOIN b USING (query)
 """)
 def label_tfidf_map(spark, sf_dir):
-    tok = F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 4)).alias("token")
-    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), tok)
-    queries = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"), tok)
-    return mapping.tfidf(docs, queries)
-
-
-_ALL_TOKENS = r"SELECT {0} AS k, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')) AS token FROM {1}"
+    """Turns of conversations against benchmark, null for one without a match."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"), "text")
+    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.explode(tx.tokens(F.col("text"))).alias("token"))
+    best = mapping.tfidf(docs, c.select("query", F.explode(tx.tokens(F.col("text"))).alias("token")))
+    return c.select("query").distinct().join(best, "query", "left").select("query", "doc", "cosine")
 
 
 @register(rf"""
@@ -318,7 +319,7 @@ b AS (SELECT query, doc, cosine FROM (SELECT *, row_number() OVER (PARTITION BY
 SELECT doc_id AS query, doc, cosine FROM documents LEFT JOIN b ON query = doc_id
 """)
 def document_tfidf_map(spark, sf_dir):
-    """T6 over all words of whole documents against benchmark, null for a document without a match; label_tfidf_map stays beside it, for long words of conversations."""
+    """T6 over all words of whole documents against benchmark, null for a document without a match."""
     d = table(spark, sf_dir, "documents")
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.explode(tx.tokens(F.col("text"))).alias("token"))
     best = mapping.tfidf(docs, d.select(F.col("doc_id").alias("query"), F.explode(tx.tokens(F.col("text"))).alias("token")))
@@ -326,14 +327,15 @@ def document_tfidf_map(spark, sf_dir):
 
 
 @register(r"""
-WITH t AS (SELECT p_partkey AS s, p_name AS name, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[_\-.\s]+'), lambda x: x <> ''))) AS token FROM part),
-f AS (SELECT token, min(s) AS s FROM t WHERE s % 2 = 0 GROUP BY token),
-h AS (SELECT t.s, min(f.s) AS p FROM t JOIN f USING (token) WHERE t.s % 2 = 1 GROUP BY t.s)
-SELECT a.p_partkey AS seq, a.p_name AS name, b.p_name AS partner FROM part a LEFT JOIN h ON h.s = a.p_partkey LEFT JOIN part b ON b.p_partkey = h.p WHERE a.p_partkey % 2 = 1
+WITH t AS (SELECT p_partkey AS k, p_size AS s, p_name AS name, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[_\-.\s]+'), lambda x: x <> ''))) AS token FROM part),
+f AS (SELECT token, min(struct_pack(s, name)) AS p FROM t WHERE k % 2 = 0 GROUP BY token),
+h AS (SELECT t.s, t.name, min(f.p) AS p FROM t JOIN f USING (token) WHERE t.k % 2 = 1 GROUP BY 1, 2)
+SELECT DISTINCT p_size AS seq, p_name AS name, h.p.name AS partner FROM part LEFT JOIN h ON h.s = p_size AND h.name = p_name WHERE p_partkey % 2 = 1
 """)
 def name_token_pair(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"))
-    return mapping.pair_by_tokens(p.where("seq % 2 = 1"), p.where("seq % 2 = 0")).select("seq", "name", "partner")
+    """Many names share their place in the order (sizes), so ties go by name."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("seq"), F.col("p_name").alias("name"))
+    return mapping.pair_by_tokens(p.where("k % 2 = 1").select("name", "seq").distinct(), p.where("k % 2 = 0")).select("seq", "name", "partner")
 
 
 @register(f"""

@@ -10,8 +10,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import schemas
 from ..functions import numeric as nm, text as tx
-from ..operators import bench, layout, mapping, monitor, quality, reconcile as rc, records, tables as tb
+from ..operators import bench, layout, mapping, monitor, quality, reconcile as rc, records, scan, tables as tb
 from ..sources import sinks
 
 
@@ -30,12 +31,15 @@ def tables_of(cells: DataFrame, accuracy: DataFrame | None = None, hybrid: bool
     return clean.join(kept.select(*tb.TABLE), tb.TABLE, "left_semi"), kept
 
 
-def document_pipeline(pages: DataFrame, words: DataFrame, cells: DataFrame, sections: DataFrame | None = None, accuracy: DataFrame | None = None, hybrid: bool = True, documents: DataFrame | None = None, extracted_at="2000-01-01") -> dict[str, DataFrame]:
+def document_pipeline(pages: DataFrame, words: DataFrame, cells: DataFrame | None = None, sections: DataFrame | None = None, accuracy: DataFrame | None = None, hybrid: bool = True, documents: DataFrame | None = None, extracted_at="2000-01-01", objects: DataFrame | None = None) -> dict[str, DataFrame]:
     """Pages, words, candidate tables and markdown sections of many documents to blocks, tables, one union of records, and what is complete.
 
     pages(doc_id, page, text), words(WORDS), cells(CELLS without headers), sections(doc_id, section_number, title, content),
-    documents(DOCUMENTS); without these, company and year come from documents' names. ``extracted_at`` stamps the records.
+    documents(DOCUMENTS); without these, company and year come from documents' names. ``extracted_at`` stamps the records. Without ``cells`` the
+    tables are scanned from the words and the drawn ``objects`` (OBJECTS).
     """
+    if cells is None:
+        cells, accuracy = scan.scan(words, objects if objects is not None else words.sparkSession.createDataFrame([], schemas.OBJECTS))
     kept, tables = tables_of(cells, accuracy, hybrid)
     blocks = layout.word_blocks(words).withColumn("type", F.lit("Text"))
     heads = layout.titles(words).withColumn("type", F.lit("Title"))
@@ -65,23 +69,24 @@ def save_document_pipeline(found: dict[str, DataFrame], path: str) -> None:
     sinks.save_formats(found["records"].sparkSession.read.parquet(f"{path}/records"), f"{path}/formats", ["page", "block_type", "text"])
 
 
-def cross_verify(cells: DataFrame, facts: DataFrame, rules: DataFrame, terms: DataFrame, how: str = "sum", scorer: str = "edit", least: float = 80) -> dict[str, DataFrame]:
-    """Table columns of each document against the facts of the file that its name pairs with.
+def cross_verify(cells: DataFrame, facts: DataFrame, rules: DataFrame, terms: DataFrame, how: str = "sum", scorer: str = "token_sort", least: float = 80) -> dict[str, DataFrame]:
+    """Table columns of each document against the facts of the file that its name pairs with; of all files together if it has no partner.
 
     cells(CELLS), facts(FACTS), rules(clean_label, concept), terms(term, concept). Headers are mapped by exact
     rules, then fuzzily; a column's values and a concept's latest values are aggregated by ``how`` and compared.
     """
     docs = cells.select(F.col("doc_id").alias("name"), F.lit(0).alias("seq")).distinct()
     files = facts.select(F.col("source_file").alias("name"), F.lit(0).alias("seq")).distinct()
-    pairs = mapping.pair_by_tokens(docs, files).where("partner IS NOT NULL").select(F.col("name").alias("doc_id"), F.col("partner").alias("source_file"))
+    pairs = mapping.pair_by_tokens(docs, files).select(F.col("name").alias("doc_id"), F.col("partner").alias("source_file"))
     labels = cells.select("doc_id", F.col("header").alias("label")).where(tx.strip(F.col("label")) != "").distinct().withColumn("clean_label", tx.clean_label(F.col("label")))
     mapped = mapping.cascade(labels, rules, terms, scorer, least)
     reported = cells.withColumn("v", nm.parse_signed(F.col("value"))).where("v IS NOT NULL").withColumnRenamed("header", "label")
     reported = rc.aggregate_values(reported, ["doc_id", "label"], "v", how, "row_idx").withColumnRenamed("value", "pdf_value")
     whole = facts.where("segment IS NULL AND numeric_value IS NOT NULL").dropDuplicates(["source_file", "concept", "context_id", "numeric_value"])
-    whole = rc.latest_period(whole.join(pairs, "source_file").withColumn("_key", F.struct("doc_id", "concept")), "_key").drop("_key")
-    known = rc.aggregate_values(whole, ["doc_id", "concept"], "numeric_value", how, "context_id").withColumnRenamed("value", "fact_value")
-    found = rc.reconcile(mapped.join(pairs, "doc_id", "left_semi"), reported, known, by=("doc_id",))
+    known = lambda keys: rc.aggregate_values(rc.latest_period(whole.withColumn("_key", F.struct(*keys)), "_key").drop("_key"), keys, "numeric_value", how, "context_id").withColumnRenamed("value", "fact_value")
+    own = pairs.where("source_file IS NOT NULL").join(known(["source_file", "concept"]), "source_file").drop("source_file")
+    asked = mapped.where("concept IS NOT NULL").select("doc_id", "concept").distinct().join(pairs.where("source_file IS NULL").select("doc_id"), "doc_id", "left_semi")
+    found = rc.reconcile(mapped, reported, own.unionByName(asked.join(known(["concept"]), "concept").select("doc_id", "concept", "fact_value")), by=("doc_id",))
     return {"pairs": pairs, "mappings": mapped, "statistics": mapping.recommendations(mapping.statistics(mapped)), "discrepancies": found, "summary": rc.severity_counts(found)}
 
 

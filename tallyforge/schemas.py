@@ -3,7 +3,8 @@
 BOX = "STRUCT<x1:DOUBLE,y1:DOUBLE,x2:DOUBLE,y2:DOUBLE>"
 DOCUMENTS = "doc_id STRING, company STRING, fiscal_year STRING, source_path STRING"
 PAGES = "doc_id STRING, page INT, text STRING, word_count INT, char_count INT, extraction_method STRING, needs_ocr BOOLEAN, error STRING, ocr_config STRING"
-WORDS = "doc_id STRING, page INT, word_idx INT, text STRING, x0 DOUBLE, x1 DOUBLE, top DOUBLE, bottom DOUBLE"
+WORDS = "doc_id STRING, page INT, word_idx INT, text STRING, x0 DOUBLE, x1 DOUBLE, top DOUBLE, bottom DOUBLE"  # page_height DOUBLE may follow
+OBJECTS = "doc_id STRING, page INT, kind STRING, x0 DOUBLE, top DOUBLE, x1 DOUBLE, bottom DOUBLE"
 LAYOUT_BLOCKS = f"doc_id STRING, page_num INT, block_id INT, type STRING, confidence DOUBLE, bounding_box {BOX}, word_count INT, rows INT, cols INT, text STRING"
 TABLE_INDEX = "filename STRING, method STRING, page INT, rows INT, cols INT, accuracy DOUBLE, content_quality DOUBLE, financial_score INT"
 TABLE_META = "doc_id STRING, page INT, table_num INT, method STRING, rows INT, cols INT, accuracy DOUBLE, content_quality DOUBLE, financial_score INT"

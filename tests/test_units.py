@@ -79,7 +79,10 @@ def test_headers(spark):
 def test_cleaning_modes(spark):
     rows = [("d", "m", 1, 1, r, c, "h", v) for r, row in enumerate([["a", " N/A "], [None, None], ["", "b"]]) for c, v in enumerate(row)]
     df = spark.createDataFrame(rows, schemas.CELLS)
-    assert sorted(r["value"] for r in tb.clean_cells(df).collect()) == ["", "", "a", "b"]
+    assert sorted(r["value"] for r in tb.clean_cells(df).collect()) == ["", " N/A ", "a", "b"]
+    assert sorted(r["value"] for r in tb.clean_cells(df, missing=tb.MISSING_WIDE, any_case=True).collect()) == ["", "", "a", "b"]
+    marks = spark.createDataFrame([("d", "m", 1, 1, 0, i, "h", v) for i, v in enumerate(("<NA>", "nan", "NaN", "None", " ", "—", "-", "null", "NULL", "NA", "n/a", "--", "nil", "NAN", "Null"))], schemas.CELLS)
+    assert [r["value"] for r in tb.clean_cells(marks).orderBy("col_idx").collect()] == [""] * 9 + ["NA", "n/a", "--", "nil", "NAN", "Null"]
     assert sorted((r["value"] or "-") for r in tb.clean_cells(df, blank_first=False).collect()) == ["-", "N/A", "a", "b"]
 
 
@@ -140,13 +143,16 @@ def test_strategies_end_with_tfidf(spark):
     texts = ["equipment plant property", "revenue", "sales net", "liquid matter of quite other kinds", "zzz", ""]
     labels = spark.createDataFrame(list(enumerate(texts)) + [(9, None), (10, "sales net")], "label int, clean_label string")
     got = {r["label"]: r for r in mapping.strategies(labels, concepts, synonyms).collect()}
-    assert {k: (r["concept"], r["method"]) for k, r in got.items()} == {0: ("Assets", "tfidf"), 1: ("Revenue", "exact"), 2: ("Revenue", "tfidf"), 3: (None, "none"), 4: (None, "none"), 5: (None, "none"), 9: (None, "none"), 10: ("Revenue", "tfidf")}
+    assert {k: (r["concept"], r["method"]) for k, r in got.items()} == {0: ("Assets", "tfidf"), 1: ("Revenue", "exact"), 2: ("Revenue", "synonym"), 3: (None, "none"), 4: (None, "none"), 5: (None, "none"), 9: (None, "none"), 10: ("Revenue", "synonym")}
+    assert got[2]["confidence"] == pytest.approx(10 / 14)  # difflib's ratio to "sales": the synonym's "net" goes, that of the label is not in front
+    got = {r["label"]: r for r in mapping.strategies(labels, concepts, synonyms, least=0.8).collect()}
+    assert {k: got[k]["method"] for k in (2, 10)} == {2: "tfidf", 10: "tfidf"}
     # idf over 5 different labels and 3 concepts; the concept's text is "revenue net sales sales"
     n = 8
     w = {t: math.log((1 + n) / (1 + df)) + 1 for t, df in (("revenue", 2), ("net", 2), ("sales", 2))}
     dot, a, b = w["net"] ** 2 + 2 * w["sales"] ** 2, math.hypot(w["net"], w["sales"]), math.hypot(w["revenue"], w["net"], 2 * w["sales"])
     assert got[2]["confidence"] == pytest.approx(dot / a / b, abs=1e-6) and got[4]["confidence"] == 0
-    assert {r["method"] for r in mapping.strategies(labels.where("label = 2"), concepts, synonyms, least_cosine=0.99).collect()} == {"none"}
+    assert {r["method"] for r in mapping.strategies(labels.where("label = 2"), concepts, synonyms, least=0.8, least_cosine=0.99).collect()} == {"none"}
 
 
 def test_tfidf_of_all_words(spark, tmp_path, monkeypatch):

@@ -46,10 +46,13 @@ def test_tables_against_facts(spark):
     rules = spark.createDataFrame([("total revenue", "Revenues"), ("revenue", "Revenues")], "clean_label string, concept string")
     terms = spark.createDataFrame([("revenue", "Revenues")], "term string, concept string")
     ok = wf.cross_verify(c, facts, rules, terms)
-    assert [(r["doc_id"], r["source_file"]) for r in ok["pairs"].collect()] == [("acme_2024", "acme.xml")]
+    assert sorted((r["doc_id"], r["source_file"]) for r in ok["pairs"].collect()) == [("acme_2024", "acme.xml"), ("other", None)]
     assert ok["discrepancies"].count() == 0 and "Status: PASS" in reports.reconciliation_report(ok)
     off = wf.cross_verify(c, facts.withColumn("numeric_value", F.col("numeric_value") * 2), rules, terms)
-    assert [(r["doc_id"], r["label"], r["pdf_value"], r["fact_value"], r["severity"]) for r in off["discrepancies"].collect()] == [("acme_2024", "Total Revenue", 1500.0, 3000.0, "critical")]
+    wrong = ("Total Revenue", 1500.0, 3000.0, "critical")
+    assert sorted((r["doc_id"], r["label"], r["pdf_value"], r["fact_value"], r["severity"]) for r in off["discrepancies"].collect()) == [("acme_2024", *wrong), ("other", *wrong)]  # without a partner all files count
+    two = wf.cross_verify(c, facts.unionByName(facts.withColumn("source_file", F.lit("beta.xml"))), rules, terms)
+    assert [(r["doc_id"], r["fact_value"]) for r in two["discrepancies"].collect()] == [("other", 3000.0)]
     assert "Status: FAIL" in reports.reconciliation_report(off)
 
 
@@ -174,3 +177,29 @@ def test_facts_are_written_in_order(spark, tmp_path):
     sinks.save_facts(f.coalesce(1), str(tmp_path / "facts"))
     got = spark.read.option("header", True).csv(str(tmp_path / "facts"))
     assert got.columns == ["source_file", "concept", "numeric_value", "end_date", "instant_date"] and [r["numeric_value"] for r in got.collect()] == ["3.0", "2.0", "1.0"]
+
+
+def test_partner_does_not_hang_on_partitions(spark):
+    left, right = spark.createDataFrame([("acme_x", 0)], "name string, seq int"), spark.createDataFrame([("acme_c", 0), ("acme_b", 0), ("acme_a", 1)], "name string, seq int")
+    assert {mapping.pair_by_tokens(left, right.repartition(n)).first()["partner"] for n in (1, 2, 3, 5)} == {"acme_b"}
+
+
+def test_consistency_of_methods(spark):
+    t = spark.createDataFrame([("a", 1, 1, "pdfplumber", 4, 2, None, 0.9, 4), ("a", 1, 1, "camelot_stream", 2, 2, 90.0, 0.5, 0), ("a", 1, 2, "camelot_stream", 9, 9, 90.0, 0.5, 0), ("a", 1, 3, "camelot_stream", 9, 9, 90.0, 0.5, 0), ("a", 2, 1, "pdfplumber", 1, 1, None, 0.5, 0)], schemas.TABLE_META)
+    r = tb.consistency(t).first()
+    assert (r["n_pages"], r["n_overlap"], r["overlap_ratio"]) == (2, 1, 0.5)
+    assert round(r["count_similarity"], 4) == round(1 - 2**0.5 / 2, 4)  # counts 1 and 3: the sample's deviation
+    assert round(r["structure_similarity"], 4) == round((1 - 2 / 6 + 1) / 2, 4)
+
+
+def test_diagnosis(spark):
+    v = lambda x: F.lit(x)
+    d = spark.range(1).select(rc.diagnose(v(10), v(4), v(2), v(1.0), v(2.5), v(1), v(0.5), v(4)).alias("d")).first()["d"]
+    assert d["match_rate"] == 0.5 and d["causes"] == ["scales differ", "look-alike characters"]
+    texts = spark.createDataFrame([(i, "O1" if i < 5 else "12") for i in range(30)], "i int, t string")
+    assert rc.lookalikes(texts, "t", ["i"]).first()[0] == 5
+
+
+def test_financial_tables(spark):
+    got = spark.createDataFrame([("december",), ("a fiscal year",), ("x $ y",), ("equity only",), ("liabilities",)], "t string").select(tb.is_financial(F.col("t"))).collect()
+    assert [r[0] for r in got] == [True, True, True, False, False]
