@@ -1,7 +1,7 @@
 """Media columns: TIFF. Walks image directories, decodes strips and tiles, undoes predictors, one row per page.
 
-Reads both byte orders; compression none, PackBits, LZW or deflate; 8-bit samples, chunky; predictor 1 or 2.
-Writes little-endian files with the same choices. A page that cannot be decoded gives a row with ``error``.
+Reads both byte orders; compression none, PackBits, LZW or deflate; samples of 1, 8 or 16 bits, together or by planes; predictor 1, or 2 but for one bit.
+Writes little-endian files with the same choices; texts are dealt evenly over compressions, predictors, strips and tiles. A page that cannot be decoded gives a row with ``error``.
 
 Defined results: null text is as empty text, whose payload is 64 zero bytes. Every row of a text table gives one row, repeated rows too; equal
 texts give equal values. Long texts go over as many pages as they need. Null blobs give no pages; an empty or broken blob gives a row with
@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed values of the format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
 SIZE_OF = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CODE_OF = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
@@ -46,20 +46,27 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i + 1
-        while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-            j += 1
-        out += bytes((j - i - 1,)) + data[i:j]
-        i = j
+    """Runs of two and more equal bytes as a count and the byte, what is between them as it stands, 128 bytes at most each."""
+    a, out, done = np.frombuffer(data, np.uint8), bytearray(), 0
+    if not len(a):
+        return b""
+    starts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+    ends = np.append(starts[1:], len(a))
+    runs = ends - starts > 1
+
+    def plain(low, high):
+        for k in range(low, high, 128):
+            part = data[k : min(high, k + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for low, high in zip(starts[runs].tolist(), ends[runs].tolist()):
+        plain(done, low)
+        for k in range(low, high, 128):
+            n = min(128, high - k)
+            out += bytes((257 - n if n > 1 else 0, data[k]))
+        done = high
+    plain(done, len(a))
     return bytes(out)
 
 
@@ -142,32 +149,39 @@ def _expand(raw: bytes, how: int, size: int) -> bytes:
     return {NONE: lambda x, _: x, PACKBITS: unpack_bits, LZW: lzw_decode}[how](raw, size)
 
 
-def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, rows_per_strip: int = 128, tile: int | None = None) -> bytes:
-    """Pages (height x width or height x width x samples, uint8) as one file, in strips, or in square tiles of ``tile`` pixels."""
+def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, rows_per_strip: int = 128, tile: int | None = None, planar: bool = False) -> bytes:
+    """Pages (height x width or height x width x samples) as one file, in strips, or in square tiles of ``tile`` pixels.
+
+    Booleans are stored as one-bit samples (without a predictor), uint8 and uint16 as they are; ``planar``: each sample's plane apart.
+    """
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for page in pages:
         a = page[:, :, None] if page.ndim == 2 else page
         h, w, s = a.shape
-        if tile:
-            ny, nx = -(-h // tile), -(-w // tile)
-            full = np.zeros((ny * tile, nx * tile, s), np.uint8)
-            full[:h, :w] = a
-            parts = [full[y * tile : (y + 1) * tile, x * tile : (x + 1) * tile] for y in range(ny) for x in range(nx)]
-        else:
-            parts = [a[y : y + rows_per_strip] for y in range(0, h, rows_per_strip)]
+        bits, used = 1 if a.dtype == bool else 8 * a.dtype.itemsize, 1 if a.dtype == bool else predictor
+        parts = []
+        for plane in np.split(a, s, axis=2) if planar else [a]:
+            if tile:
+                ny, nx = -(-h // tile), -(-w // tile)
+                full = np.zeros((ny * tile, nx * tile, plane.shape[2]), a.dtype)
+                full[:h, :w] = plane
+                parts += [full[y * tile : (y + 1) * tile, x * tile : (x + 1) * tile] for y in range(ny) for x in range(nx)]
+            else:
+                parts += [plane[y : y + rows_per_strip] for y in range(0, h, rows_per_strip)]
         offsets, sizes = [], []
         for p in parts:
-            if predictor == 2:
+            if used == 2:
                 p = np.concatenate([p[:, :1], np.diff(p, axis=1)], axis=1)
-            raw = _squeeze(np.ascontiguousarray(p).tobytes(), compression)
+            p = np.packbits(p.reshape(len(p), -1), axis=1) if bits == 1 else np.ascontiguousarray(p).astype(p.dtype.newbyteorder("<"))
+            raw = _squeeze(p.tobytes(), compression)
             offsets.append(len(out))
             sizes.append(len(raw))
             out += raw
-        tags = {WIDTH: [w], HEIGHT: [h], BITS: [8] * s, COMPRESSION: [compression], PHOTOMETRIC: [2 if s >= 3 else 1], SAMPLES: [s], PREDICTOR: [predictor]}
+        tags = {WIDTH: [w], HEIGHT: [h], BITS: [bits] * s, COMPRESSION: [compression], PHOTOMETRIC: [2 if s >= 3 else 1], SAMPLES: [s], PLANAR: [2 if planar else 1], PREDICTOR: [used]}
         tags |= {TILE_WIDTH: [tile], TILE_LENGTH: [tile], TILE_OFFSETS: offsets, TILE_BYTES: sizes} if tile else {STRIP_OFFSETS: offsets, ROWS_PER_STRIP: [rows_per_strip], STRIP_BYTES: sizes}
         entries = bytearray()
         for tag, values in sorted(tags.items()):
-            short = tag in (BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, PREDICTOR)
+            short = tag in (BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, PLANAR, PREDICTOR)
             body = struct.pack(f"<{len(values)}{'H' if short else 'I'}", *values)
             if len(body) > 4:
                 out += b"\0" * (len(out) % 2)
@@ -184,7 +198,7 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
 
 
 def directories(blob: bytes) -> list[dict[int, list[int]]]:
-    """The tags of each image directory, in file order; a loop of directories ends the walk."""
+    """The tags of each image directory, in file order; a loop of directories ends the walk. Under 0: whether the file's high bytes come first."""
     order = {b"II": "<", b"MM": ">"}.get(blob[:2])
     if order is None or struct.unpack(order + "H", blob[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
@@ -192,7 +206,7 @@ def directories(blob: bytes) -> list[dict[int, list[int]]]:
     while at and at not in seen:
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", blob, at)
-        tags = {}
+        tags = {0: [int(order == ">")]}
         for i in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", blob, at + 2 + 12 * i)
             if kind not in CODE_OF:
@@ -216,28 +230,37 @@ def decode_page(blob: bytes, tags: dict[int, list[int]], most_bytes: int = 1 <<
     w, h, s = (first(tags, t, d) for t, d in ((WIDTH, 0), (HEIGHT, 0), (SAMPLES, 1)))
     if min(w, h, s) < 1 or w * h * s > most_bytes:
         raise ValueError(f"{w} x {h} pixels of {s} samples")
-    if set(tags.get(BITS, [1])) != {8} or first(tags, 284, 1) != 1:
-        raise ValueError("only chunky 8-bit samples are read")
+    bits, planar = set(tags.get(BITS, [1])), first(tags, PLANAR, 1)
+    if len(bits) != 1 or not bits <= {1, 8, 16} or planar not in (1, 2):
+        raise ValueError("only samples of one, eight or sixteen bits are read, together or by planes")
+    bits, planes, each = bits.pop(), s if planar == 2 else 1, 1 if planar == 2 else s
     how, predictor = first(tags, COMPRESSION, NONE), first(tags, PREDICTOR, 1)
     tiled = TILE_OFFSETS in tags
     ph, pw = (first(tags, TILE_LENGTH, 0), first(tags, TILE_WIDTH, 0)) if tiled else (min(h, first(tags, ROWS_PER_STRIP, h)), w)
     if min(ph, pw) < 1 or ph * pw * s > most_bytes:
         raise ValueError(f"parts of {pw} x {ph} pixels")
-    across = -(-w // pw)
+    across, down = -(-w // pw), -(-h // ph)
     parts = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES]))
-    if len(parts) != across * -(-h // ph):
-        raise ValueError(f"{len(parts)} parts for {across * -(-h // ph)}")
-    out = np.zeros((h, w, s), np.uint8)
+    if len(parts) != across * down * planes:
+        raise ValueError(f"{len(parts)} parts for {across * down * planes}")
+    kind = np.dtype(np.uint16 if bits == 16 else np.uint8)
+    stored = kind.newbyteorder(">" if first(tags, 0, 0) else "<")
+    row_bytes = -(-pw * each * bits // 8)
+    out = np.zeros((h, w, s), kind)
     for i, (at, n) in enumerate(parts):
+        plane, i = divmod(i, across * down)
         y, x = i // across * ph, i % across * pw
         rows = ph if tiled else min(ph, h - y)
-        raw = _expand(blob[at : at + n], how, rows * pw * s)
-        a = np.frombuffer(raw, np.uint8, rows * pw * s).reshape(rows, pw, s)
-        if predictor == 2:
-            a = np.cumsum(a, axis=1, dtype=np.uint8)
+        raw = _expand(blob[at : at + n], how, rows * row_bytes)
+        a = np.frombuffer(raw, stored, rows * row_bytes // kind.itemsize).reshape(rows, -1)
+        if bits == 1:
+            a = np.unpackbits(a, axis=1)[:, : pw * each]
+        a = a.reshape(rows, pw, each)
+        if predictor == 2 and bits > 1:
+            a = np.cumsum(a, axis=1, dtype=kind)
         elif predictor != 1:
-            raise ValueError(f"predictor {predictor}")
-        out[y : y + rows, x : x + pw] = a[: h - y, : w - x]
+            raise ValueError(f"predictor {predictor} of samples of {bits} bits")
+        out[y : y + rows, x : x + pw, plane : plane + each] = a[: h - y, : w - x]
     return out
 
 
@@ -269,7 +292,7 @@ def pages(media: DataFrame, id_col: str, blob_col: str) -> DataFrame:
                     head = (key, i, *[first(t, x, d) for x, d in ((WIDTH, None), (HEIGHT, None), (SAMPLES, 1), (COMPRESSION, 1), (PREDICTOR, 1))], TILE_OFFSETS in t)
                     try:
                         a = decode_page(blob, t)
-                        rows.append((*head, a.size, float(a.mean()), page_hash(a), None))
+                        rows.append((*head, a.nbytes, float(a.mean()), page_hash(a), None))
                     except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, MemoryError) as e:
                         rows.append((*head, None, None, None, repr(e)))
             cols = list(zip(*rows)) or [()] * 12
@@ -279,9 +302,8 @@ def pages(media: DataFrame, id_col: str, blob_col: str) -> DataFrame:
     return media.select(F.col(id_col), F.col(blob_col)).mapInArrow(run, f"id {kind}, page int, width bigint, height bigint, samples bigint, compression bigint, predictor bigint, tiled boolean, n_bytes bigint, mean double, page_hash string, error string")
 
 
-#: Forms by the remainder of the payload's CRC: (compression, predictor, tile); all others are deflated strips, as plain Python codecs are slow.
-FORMS_OF = 64
-FORMS = {0: (LZW, 2, 64), 1: (LZW, 1, None), 2: (PACKBITS, 2, None), 3: (PACKBITS, 1, 64), 4: (NONE, 1, 64), 5: (DEFLATE, 1, 64)}
+#: Forms (compression, predictor, tile), one for each remainder of the payload's CRC.
+FORMS = ((DEFLATE, 2, None), (DEFLATE, 1, 64), (LZW, 2, 64), (LZW, 1, None), (PACKBITS, 2, None), (PACKBITS, 1, 64), (NONE, 2, None), (NONE, 1, 64))
 
 
 def store_text(text: str | None, width: int = 64, page_rows: int = 4096, compression: int | None = None) -> tuple[int, bytes]:
@@ -289,7 +311,7 @@ def store_text(text: str | None, width: int = 64, page_rows: int = 4096, compres
     raw = (text or "").encode("utf-8", "surrogatepass")
     padded = raw + b"\0" * (-len(raw) % width if raw else width)
     grid = np.frombuffer(padded, np.uint8).reshape(-1, width)
-    how, predictor, tile = (compression, 2, None) if compression else FORMS.get(zlib.crc32(padded) % FORMS_OF, (DEFLATE, 2, None))
+    how, predictor, tile = (compression, 2, None) if compression else FORMS[zlib.crc32(padded) % len(FORMS)]
     return len(raw), write_tiff([grid[i : i + page_rows] for i in range(0, len(grid), page_rows)], how, predictor, tile=tile)
 
 
