@@ -6,7 +6,7 @@ over its positions. Windows of many documents run side by side as lanes of one m
 by ``lanes`` x ``steps`` and a long text is no special case.
 
 Training takes at most ``docs_per_lang`` documents of each language (the smallest hashes of their ids), at most
-``windows_per_doc`` windows of each, and the ``max_langs`` most common languages: the documented bound of the labelled sample. A chosen row
+``windows_per_doc`` windows of each: the documented bound of the labelled sample. All languages are learned, unless ``max_langs`` is given. A chosen row
 without a text teaches nothing. Prediction sees the text alone.
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0. If there is nothing to learn
@@ -191,17 +191,21 @@ def predict_texts(m: dict, texts: list, steps: int = 64, lanes: int = 4096) -> t
     return names, scores
 
 
-def fit(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=400, windows_per_doc=8, steps=64, hidden=8, epochs=6, seed=5, max_langs=200) -> dict:
-    """Train on a bounded sample: per language the ``docs_per_lang`` rows of smallest id hash, ``windows_per_doc`` windows each."""
+def fit(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=400, windows_per_doc=8, steps=64, hidden=8, epochs=6, seed=5, max_langs=None) -> dict:
+    """Train on a bounded sample: per language the ``docs_per_lang`` rows of smallest id hash, ``windows_per_doc`` windows each.
+
+    All languages are learned; ``max_langs`` keeps the most common ones only.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"), F.col(text_col).cast("string").alias("t"))
     # counts and choice read ids and languages only; a hash threshold by language leaves about four times the sample, so that no task ranks a whole language
-    common = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
+    common = rows.groupBy("l").count()
+    common = (common.orderBy(F.desc("count"), "l").limit(max_langs) if max_langs else common).collect()  # a row a language, as the model has
     if not common:
         return {}
     shares = F.create_map(*[F.lit(x) for r in common for x in (r["l"], min(1.0, 4.0 * docs_per_lang / r["count"]))])
     keys = rows.select("l", "h").where(F.pmod("h", F.lit(1_000_000_000)) < F.try_element_at(shares, F.col("l")) * 1_000_000_000)
     chosen = keys.distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_lang).select("l", "h")
-    text_col, rows = "t", rows.where("t IS NOT NULL").join(F.broadcast(chosen), ["l", "h"], "left_semi")  # docs_per_lang x max_langs keys at most
+    text_col, rows = "t", rows.where("t IS NOT NULL").join(F.broadcast(chosen) if len(common) <= 1000 else chosen, ["l", "h"], "left_semi")  # docs_per_lang keys a language at most
     size = F.length(text_col)
     span = F.greatest(size - steps, F.lit(0))
     starts = F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)), lambda j: F.substring(F.col(text_col), F.floor(span * j / max(1, windows_per_doc - 1)).cast("int") + 1, F.lit(steps)))
