@@ -2,8 +2,8 @@
 
 Base kinds are fixed patterns (assign, access, hex). The method adds kind ``entropy``: candidate tokens are classed
 by the characters they use (hex, alnum of one case, mixed); a window slides over each, the counts of the
-entering and the leaving character are updated, and with them the sum of c*log2(c), so that each step costs
-one update and no recount. A candidate is a secret if some window's entropy reaches its class's limit and the window holds
+entering and the leaving character are updated, and with them the sum of c*log2(c), so that no
+window is counted anew (the fold's array of counters, one for each character of the alphabet, is rebuilt at each step). A candidate is a secret if some window's entropy reaches its class's limit and the window holds
 no run, sequence or placeholder word; a candidate without a digit must reach HIGH bits more. Allow-list patterns fit
 whole candidates only. A candidate that lies inside a base span adds nothing.
 
@@ -115,10 +115,12 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", n_ch
         ),
     )
     df = df.withColumn("_tallyforge_m", F.when(F.size("_tallyforge_spans") > 0, merged))
-    cut = F.expr(f"""concat(
-        array_join(transform(_tallyforge_m, (x, i) -> concat(
-            substring({text_col}, cast(if(i = 0, 0, _tallyforge_m[i - 1].end) + 1 as int), cast(x.start - if(i = 0, 0, _tallyforge_m[i - 1].end) as int)), '{mark}')), ''),
-        substring({text_col}, cast(element_at(_tallyforge_m, -1).end + 1 as int)))""")
+    # what stands between spans comes from parts of the text, as each substring of a long text would be counted off from its start
+    part, size = 4096, "size(_tallyforge_m)"
+    low, high = "if(i = 0, 0L, _tallyforge_m[i - 1].end)", f"if(i = {size}, cast(length({text_col}) as bigint), _tallyforge_m[i].start)"
+    piece = f"transform(array(named_struct('a', {low}, 'b', {high})), g -> if(g.b > g.a, substring(array_join(slice(ps, cast(g.a div {part} as int) + 1, cast((g.b - 1) div {part} - g.a div {part} as int) + 1), ''), cast(g.a % {part} as int) + 1, cast(g.b - g.a as int)), ''))[0]"
+    parts = f"transform(sequence(0, greatest(length({text_col}) - 1, 0) div {part}), c -> substring({text_col}, c * {part} + 1, {part}))"
+    cut = F.expr(f"transform(array({parts}), ps -> array_join(transform(sequence(0, {size}), i -> concat({piece}, if(i < {size}, '{mark}', ''))), ''))[0]")
     df = df.withColumn(text_col, F.when(F.col("_tallyforge_m").isNotNull(), cut).otherwise(F.col(text_col)))
     if n_chars_col in docs.columns:
         df = df.withColumn(n_chars_col, F.when(F.col("_tallyforge_m").isNotNull(), F.length(text_col).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
