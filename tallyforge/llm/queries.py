@@ -58,7 +58,12 @@ def op9_sentencepiece(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     found = rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents")))
     failed = F.col("fails").bitwiseAND(F.lit(rules.POLICIES["base"])) != 0
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fails")
+
+
+def media_pages(spark, sf_dir):
+    """Each text's file, one row a page."""
+    return media_tiff.pages(media_tiff.text_media(_table(spark, sf_dir, "documents")), "doc_id", "media")
 
 
 def op11_vector_codes(spark, sf_dir):
@@ -73,7 +78,7 @@ def op13_centroid_clustering(spark, sf_dir):
     return kmeans.cluster(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_secret_scan, op4_personal_data, op5_language_id, op6_url_filter, op7_tiff_media, op8_quality_kneser_ney, op9_sentencepiece, op10_quality_rules, op11_vector_codes, op12_minhash_near_dedup, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_secret_scan, op4_personal_data, op5_language_id, op6_url_filter, op7_tiff_media, op8_quality_kneser_ney, op9_sentencepiece, op10_quality_rules, op11_vector_codes, op12_minhash_near_dedup, op13_centroid_clustering, media_pages)}
 
 _OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, length(regexp_replace(coalesce(text, ''), '[^ \t\n\x0b\f\r]+', 'x', 'g')) - length(regexp_replace(coalesce(text, ''), '[^ \t\n\x0b\f\r]+', '', 'g')) AS size,

@@ -118,6 +118,7 @@ def ablation(found: DataFrame, policy: str = "v1", rules=RULES) -> DataFrame:
 def oracle_sql() -> str:
     """The query's rows over DuckDB's ``documents``."""
     fails = " OR ".join(f"({c})" for _, c in RULES)
+    bits = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, (_, c) in enumerate(RULES))
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
     w AS (SELECT r, len(list_filter(string_split_regex(t, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) AS n_words, list_filter(string_split_regex(t, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws,
@@ -128,4 +129,4 @@ def oracle_sql() -> str:
     b AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM k) WHERE c > 1),
     c AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM b, (SELECT unnest(range(8)) AS j) GROUP BY r),
     m AS (SELECT w.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_upper, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (r))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, NOT ({fails}) AS kept FROM m"""
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, NOT ({fails}) AS kept, ({bits})::BIGINT AS fails FROM m"""

@@ -453,7 +453,7 @@ def test_tiff_pages(spark, docs):
         padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
     forms = {(r["compression"], r["predictor"], r["tiled"]) for r in media_tiff.pages(media_tiff.text_media(spark.range(600).selectExpr("id AS doc_id", "concat('text ', id) AS text")), "doc_id", "media").collect() if r["error"] is None}
-    assert forms == {(c, p, t is not None) for c, p, t in media_tiff.FORMS.values()} | {(media_tiff.DEFLATE, 2, False)}
+    assert forms == {(c, p, t is not None) for c, p, t in media_tiff.FORMS}
     media = media_tiff.text_media(df.limit(5)).unionByName(spark.createDataFrame([(-1, 0, b"junk"), (-2, 0, None)], "doc_id long, n_bytes long, media binary"))
     p = media_tiff.pages(media, "doc_id", "media").collect()
     assert len(p) == 6 and [r["error"] is None for r in p].count(False) == 1 and all(r["width"] == 64 for r in p if not r["error"])
