@@ -30,7 +30,7 @@ HEADING_WORDS = ("FORM", "REPORT", "TESLA", "ITEM", "PART", "SECTION")
 MONEY_WORDS = ("$", "MILLION", "BILLION", "REVENUE", "INCOME")
 STRUCTURE_WORDS = ("TABLE", "FIGURE", "EXHIBIT")
 
-#: Financial values: (name, pattern), and (name, pattern, scale); group 1 is the number.
+#: Financial values as (name, pattern), and (name, pattern, scale); group 1 is the number.
 CONTEXT_PATTERNS = (
     ("revenue", r"(?:revenue|sales|income)[^\d]*(\$?\d+(?:,\d{3})*(?:\.\d+)?)"),
     ("net_income", r"(?:net income|profit|earnings)[^\d]*(\$?\d+(?:,\d{3})*(?:\.\d+)?)"),
@@ -196,15 +196,19 @@ def profile(text, lexicon=PROFILE_WORDS, folds: dict | None = None) -> dict:
 def financial_values(text, contextual=CONTEXT_PATTERNS, general=VALUE_PATTERNS):
     """Array of (pattern_type, context, idx, value, original_text) of all matches of each pattern; patterns overlap, each emits its own.
 
-    Contextual patterns read the lowered text. Case, blanks and word ends are those of Unicode. ``idx`` counts a pattern's matches.
+    Contextual patterns read the lowered text, up to its last digit: they end with a number. Texts without a digit are not searched. Case, blanks and
+    word ends are those of Unicode. ``idx`` counts a pattern's matches.
     """
+    digit = F.lit(r"(?U)\d")
+
     def found(t, pattern, kind, context, scale):
-        p = F.lit("(?iU)" + pattern)
-        both = F.zip_with(F.regexp_extract_all(t, p, F.lit(0)), F.regexp_extract_all(t, p, F.lit(1)), lambda whole, number: F.struct(whole.alias("whole"), number.alias("number")))
-        return F.transform(both, lambda m, i: F.struct(F.lit(kind).alias("pattern_type"), F.lit(context).alias("context"), i.alias("idx"), (parse_accounting(m["number"]) * scale).alias("value"), m["whole"].alias("original_text")))
+        p = "(?iU)" + pattern
+        return F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda m, i: F.struct(F.lit(kind).alias("pattern_type"), F.lit(context).alias("context"), i.alias("idx"), (parse_accounting(F.regexp_extract(m, p, 1)) * scale).alias("value"), m.alias("original_text")))
 
-    each = [found(F.lower(text), p, "contextual", name, 1.0) for name, p in contextual] + [found(text, p, name, "unknown", k) for name, p, k in general]
-    return F.filter(F.concat(*each), lambda m: m["value"].isNotNull())
+    to_last = lambda t: F.substring(t, F.lit(1), F.length(t) - F.regexp_instr(F.reverse(t), digit) + 1)
+    each = F.transform(F.array(to_last(F.lower(text))), lambda low: F.concat(*[found(low, p, "contextual", name, 1.0) for name, p in contextual]))[0]
+    each = F.concat(each, *[found(text, p, name, "unknown", k) for name, p, k in general])
+    return F.when(F.regexp_like(text, digit), F.filter(each, lambda m: m["value"].isNotNull()))
 
 
 def clean_filename(name):
@@ -248,6 +252,7 @@ def any_sections(markdown, first: str = "Introduction"):
     """
     parts = F.split(F.concat(F.lit("\n"), F.coalesce(markdown, F.lit("")), F.lit("\n")), "\n#")
     # the line end that opens the next heading was its own line's: it is given back
-    body = lambda p, i: F.concat(F.when(i == 0, F.substring(p, 2, 1 << 30)).when(p.contains("\n"), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise(""), F.when((i < F.size(parts) - 1) & p.contains("\n"), F.lit("\n")).otherwise(""))
-    each = F.transform(parts, lambda p, i: F.struct(F.when(i == 0, F.lit(first)).otherwise(strip(F.btrim(F.substring_index(p, "\n", 1), F.lit("# ")))).alias("title"), body(p, i).alias("content")))
+    body = lambda p, i, n: F.concat(F.when(i == 0, F.substring(p, 2, 1 << 30)).when(p.contains("\n"), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise(""), F.when((i < n - 1) & p.contains("\n"), F.lit("\n")).otherwise(""))
+    section = lambda p, i, n: F.struct(F.when(i == 0, F.lit(first)).otherwise(strip(F.btrim(F.substring_index(p, "\n", 1), F.lit("# ")))).alias("title"), body(p, i, n).alias("content"))
+    each = F.transform(F.array(parts), lambda ps: F.transform(ps, lambda p, i: section(p, i, F.size(ps))))[0]  # split once
     return F.filter(each, lambda s: strip(s["content"]) != "")

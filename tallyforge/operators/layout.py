@@ -25,16 +25,24 @@ def word_blocks(words: DataFrame, dy: float = 20, dx: float = 100) -> DataFrame:
     )
 
 
-def anchor_groups(xs, within: float):
-    """W7's fold: for an ordered array of numbers, each one's group; a group holds what is nearer than ``within`` to its first."""
-    start = F.struct(F.array().cast("array<int>").alias("g"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("anchor"))
+def anchor_groups(xs, within: float, chunk: int = 256):
+    """W7's fold: for an ordered array of numbers, each one's group; a group holds what is nearer than ``within`` to its first.
 
+    The groups of ``chunk`` numbers are gathered at a time, as each step copies what it has gathered.
+    """
     def step(acc, x):
         same = F.coalesce(F.abs(x - acc["anchor"]) < within, F.lit(False))
         n = F.when(same, acc["n"]).otherwise(acc["n"] + 1)
         return F.struct(F.concat(acc["g"], F.array(n)).alias("g"), n.alias("n"), F.when(same, acc["anchor"]).otherwise(x.cast("double")).alias("anchor"))
 
-    return F.aggregate(xs, start, step, lambda acc: acc["g"])
+    def part(acc, ys):
+        start = F.struct(F.array().cast("array<int>").alias("g"), acc["n"].alias("n"), acc["anchor"].alias("anchor"))
+        done = F.aggregate(ys, start, step)
+        return F.transform(F.array(done), lambda d: F.struct(F.concat(acc["gs"], F.array(d["g"])).alias("gs"), d["n"].alias("n"), d["anchor"].alias("anchor")))[0]
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / chunk).cast("int")), lambda c: F.slice(xs, c * chunk + 1, chunk))
+    start = F.struct(F.array().cast("array<array<int>>").alias("gs"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("anchor"))
+    return F.aggregate(chunks, start, part, lambda acc: F.flatten(acc["gs"]))
 
 
 def word_lines(words: DataFrame, within: float = 5) -> DataFrame:

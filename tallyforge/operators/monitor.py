@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.numeric import alert_severity, metric_threshold, relative_change
+from .quantiles import quantile
 
 
 def flatten_metrics(df: DataFrame, keys: list[str], nested: str) -> DataFrame:
@@ -74,7 +75,7 @@ def diff_outliers(history: DataFrame, metric: str = "metric", ts: str = "ts", va
     one = F.row_number().over(W.partitionBy(metric, "_d").orderBy(ts)) == 1
     prev = F.when(one, F.col("_prev")).otherwise(F.lag(value).over(W.partitionBy(metric, "_d").orderBy(ts)))
     d = h.join(days, [metric, "_d"]).withColumn("step", F.abs(F.col(value) - prev)).drop("_d", "_prev")
-    return d.join(d.groupBy(metric).agg(F.percentile("step", q).alias("limit")), metric).where("step > limit")
+    return d.join(quantile(d, [metric], "step", q, "limit"), metric).where("step > limit")
 
 
 def first_last(history: DataFrame, metric: str = "metric", ts: str = "ts", value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import percentage_difference, scale_match, within_tolerance
 from .mapping import with_all
+from .quantiles import with_quantile
 
 # Key concepts, and words of relevant concepts.
 KEY_CONCEPTS = (
@@ -91,19 +92,21 @@ def severity(kind, percent):
 def severity_counts(found: DataFrame, exact: bool = True) -> DataFrame:
     """A3, A4: counts by the six severities and ``data_issues`` (missing and unmapped together), and statistics of finite percentages (a missing one counts as 0).
 
-    The exact median keeps a count of each distinct percentage; for billions of discrepancies ask for the approximate one.
+    The exact median is that of ``quantiles.quantile``; without ``exact`` it is a sketch's.
     """
     n = lambda s: F.sum(F.when(F.col("severity").isin(*s), 1).otherwise(0))
     pct = F.coalesce("percentage_difference", F.lit(0.0))
     pct = F.when(pct < math.inf, pct)
-    return found.agg(F.count("*").alias("n"), n(["critical"]).alias("critical"), n(["moderate"]).alias("moderate"), n(["minor"]).alias("minor"), n(["missing_data"]).alias("missing_data"), n(["unmapped"]).alias("unmapped"), n(["missing_data", "unmapped"]).alias("data_issues"), n(["errors"]).alias("errors"), F.avg(pct).alias("mean_pct"), (F.percentile(pct, 0.5) if exact else F.percentile_approx(pct, 0.5, 100_000)).alias("median_pct"), F.max(pct).alias("max_pct"), F.min(pct).alias("min_pct"))
+    counts = found.agg(F.count("*").alias("n"), n(["critical"]).alias("critical"), n(["moderate"]).alias("moderate"), n(["minor"]).alias("minor"), n(["missing_data"]).alias("missing_data"), n(["unmapped"]).alias("unmapped"), n(["missing_data", "unmapped"]).alias("data_issues"), n(["errors"]).alias("errors"), F.avg(pct).alias("mean_pct"), F.max(pct).alias("max_pct"), F.min(pct).alias("min_pct"), *([] if exact else [F.percentile_approx(pct, 0.5, 100_000).alias("median_pct")]))
+    return with_quantile(counts, found.select(pct.alias("_pct")), [], "_pct", 0.5, "median_pct") if exact else counts
 
 
-def value_range_join(left: DataFrame, right: DataFrame, tolerance: float = 0.1, key: str = "id", value: str = "value") -> DataFrame:
+def value_range_join(left: DataFrame, right: DataFrame, tolerance: float = 0.1, key: str = "id", value: str = "value", heavy: int = 100_000) -> DataFrame:
     """Pairs whose values differ by at most ``tolerance`` of the larger, as an equi-join on logarithmic buckets.
 
     A bucket is as wide as the tolerance, so partners lie in the same or a neighbouring one: the right side is given
-    three buckets. Signs must agree; zeros meet zeros. Buckets hold narrow value ranges; a frequent value is
+    three buckets. Signs must agree; zeros meet zeros. A bucket with more than ``heavy`` rows of the left side, and more than a ten-thousandth
+    of all, is split: its left rows are dealt over several tasks, and right rows go to each of them. A frequent value is
     merged on both sides before the join if keys are not wanted (see ``range_partners``).
     """
     width = math.log(1 / (1 - tolerance))
@@ -111,7 +114,13 @@ def value_range_join(left: DataFrame, right: DataFrame, tolerance: float = 0.1,
     a = left.select(F.col(key).alias("left_id"), F.col(value).alias("v")).where("v IS NOT NULL").select("left_id", F.col("v").alias("left_value"), F.signum("v").alias("s"), bucket.alias("b"))
     b = right.select(F.col(key).alias("right_id"), F.col(value).alias("v")).where("v IS NOT NULL").select("right_id", F.col("v").alias("right_value"), F.signum("v").alias("s"), bucket.alias("b0")).select("*", F.explode(F.sequence(F.col("b0") - 1, F.col("b0") + 1)).alias("b")).drop("b0")
     larger = F.greatest(F.abs("left_value"), F.abs("right_value"))
-    pairs = a.join(b, ["s", "b"]).where(F.abs(F.col("left_value") - F.col("right_value")) <= tolerance * larger)
+    counts = a.groupBy("s", "b").agg(F.count("*").alias("n"))
+    limit = counts.agg(F.greatest(F.lit(heavy), F.ceil(F.sum("n") / 10_000)).alias("limit"))
+    large = F.broadcast(counts.join(F.broadcast(limit), F.lit(True)).where("n > limit").select("s", "b", F.ceil(F.col("n") / F.col("limit")).alias("parts")))  # under 10,000 rows
+    parts = F.coalesce("parts", F.lit(1))
+    a = a.join(large, ["s", "b"], "left").withColumn("part", F.pmod(F.xxhash64("left_id"), parts)).drop("parts")
+    b = b.join(large, ["s", "b"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    pairs = a.join(b, ["s", "b", "part"]).where(F.abs(F.col("left_value") - F.col("right_value")) <= tolerance * larger)
     return pairs.select("left_id", "right_id", "left_value", "right_value", F.when(F.col("left_value") == F.col("right_value"), "Exact").otherwise("Close").alias("quality"))
 
 
@@ -125,12 +134,36 @@ def range_partners(left: DataFrame, right: DataFrame, tolerance: float = 0.1, ke
     return left.join(counts, left[value] == counts["left_value"], "left").select(F.col(key), F.col(value), F.coalesce("partners", F.lit(0)).alias("partners"))
 
 
+def nearest_values(truth: DataFrame, parsed: DataFrame, key: str = "key") -> DataFrame:
+    """(key, truth, below, above, least): for each distinct truth (key, truth) the nearest parsed values (key, value) on both sides, and the key's least.
+
+    Truths and values are sorted together, and a truth takes the last value before it and the first behind it: no pairs of them are made.
+    A key's numbers are dealt by magnitude (a bucket spans a twelfth part of it), so that a frequent key is sorted in many
+    tasks; only the ends of buckets, some thousands a key at most, are ranked by key.
+    """
+    size = F.floor(F.log2(F.abs("p")) * 8) + 10_000
+    u = truth.select(key, F.col("truth").cast("double").alias("p"), F.lit(1).alias("side")).distinct().unionByName(parsed.where(F.col("value").isNotNull()).select(key, F.col("value").cast("double").alias("p"), F.lit(0).alias("side")).distinct())
+    u = u.withColumn("_b", F.when(F.col("p") == 0, F.lit(0)).when(F.col("p") > 0, size).otherwise(-size)).withColumn("v", F.when(F.col("side") == 0, F.col("p")))
+    by_key = W.partitionBy(key).orderBy("_b")
+    ends = u.groupBy(key, "_b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = ends.select(
+        key, "_b", F.last("hi", True).over(by_key.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("lo", True).over(by_key.rowsBetween(1, W.unboundedFollowing)).alias("_behind"), F.min("lo").over(W.partitionBy(key)).alias("least"),
+    )
+    inside = W.partitionBy(key, "_b").orderBy("p", "side")
+    u = u.withColumns({"_lo": F.last("v", True).over(inside.rowsBetween(W.unboundedPreceding, 0)), "_hi": F.first("v", True).over(inside.rowsBetween(0, W.unboundedFollowing))}).where("side = 1")
+    e = ends.withColumnRenamed(key, "_k")
+    met = u.join(e.withColumnRenamed("_b", "_eb"), u[key].eqNullSafe(F.col("_k")) & u["_b"].eqNullSafe(F.col("_eb")))
+    return met.select(key, F.col("p").alias("truth"), F.coalesce("_lo", "_before").alias("below"), F.coalesce("_hi", "_behind").alias("above"), "least")
+
+
 def best_match(truth: DataFrame, parsed: DataFrame, key: str = "key") -> DataFrame:
-    """Per truth row (key, truth) the most accurate parsed value (key, value) and its class. Values of a key are scored where they are joined."""
-    acc = F.when(F.col("truth") == 0, (F.col("value") == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("value") - F.col("truth")) / F.abs("truth")))
-    g = truth.join(parsed, key, "left").withColumn("accuracy", acc)
-    best = g.groupBy(key, "truth").agg(F.max_by(F.struct("value", "accuracy"), F.struct(F.coalesce("accuracy", F.lit(-1.0)), -F.col("value"))).alias("b"))
-    return best.select(key, "truth", F.col("b.value").alias("value"), F.round("b.accuracy", 6).alias("accuracy")).withColumn("match", F.when(F.col("accuracy") >= 0.9, "match").when(F.col("accuracy") >= 0.5, "near").otherwise("missing"))
+    """Per truth (key, truth) the most accurate parsed value (key, value) and its class; ties go to the smaller value."""
+    acc = lambda v: F.when(F.col("truth") == 0, (v == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(v - F.col("truth")) / F.abs("truth")))
+    option = lambda c: F.when(F.col(c).isNotNull(), F.struct(acc(F.col(c)).alias("accuracy"), (-F.col(c)).alias("minus")))
+    near = nearest_values(truth, parsed, key)
+    best = F.array_max(F.filter(F.array(option("below"), option("above"), option("least")), lambda x: x.isNotNull() & x["accuracy"].isNotNull()))
+    best = near.withColumn("b", best).select(key, "truth", (-F.col("b.minus")).alias("value"), F.round(F.coalesce("b.accuracy", F.lit(0.0)), 6).alias("accuracy"))
+    return best.withColumn("match", F.when(F.col("accuracy") >= 0.9, "match").when(F.col("accuracy") >= 0.5, "near").otherwise("missing"))
 
 
 def accuracy_rates(matches: DataFrame) -> DataFrame:
