@@ -55,31 +55,87 @@ def ratio_bound(a, b):
     return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with one bit for each character of ``a``."""
-    at: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        at[ch] = at.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    rows = full
-    for ch in b:
-        met = rows & at.get(ch, 0)
-        rows = (rows + met | rows - met) & full
-    return len(a) - rows.bit_count()
+#: Bits of a limb: sums of two limbs and a carry fit a long.
+LIMB = 62
+_FULL = (1 << LIMB) - 1
 
 
-def _token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: str, y: str) -> float:
-        n = len(x) + len(y)
-        return float(round(200 * common_length(x, y) / n)) if x and y else 0.0
+def place_masks(a):
+    """For each character of a text the places where it stands, as bits of as many limbs as the text takes: map<string, array<bigint>>."""
+    chars = F.split(a, "")
+    limbs = F.sequence(F.lit(0), F.floor((F.length(a) - 1) / LIMB).cast("int"))
+    mask = lambda cs, ch, k: F.aggregate(F.transform(F.slice(cs, k * LIMB + 1, LIMB), lambda x, i: F.when(x == ch, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("bigint")), F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(x))
+    made = F.transform(F.array(chars), lambda cs: F.map_from_entries(F.transform(F.array_distinct(cs), lambda ch: F.struct(ch, F.transform(limbs, lambda k: mask(cs, ch, k))))))[0]
+    return F.when(F.length(a) > 0, made)
 
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+
+def common_length(masks, n, b):
+    """Length of the longest common subsequence of a text of ``n`` characters, given by its ``place_masks``, and ``b``: one addition for each limb and character of ``b``."""
+    full, zero = F.lit(_FULL).cast("bigint"), F.lit(0).cast("bigint")
+    kept = lambda v, m: v.bitwiseAND(full.bitwiseXOR(m))
+
+    def narrow(v, ch):
+        m = F.coalesce(F.get(F.try_element_at(masks, ch), F.lit(0)), zero)
+        return (v + v.bitwiseAND(m)).bitwiseAND(full).bitwiseOR(kept(v, m))
+
+    def limb(acc, v, m):
+        total = v + v.bitwiseAND(m) + acc["carry"]
+        return F.struct(F.shiftright(total, LIMB).alias("carry"), F.concat(acc["out"], F.array(total.bitwiseAND(full).bitwiseOR(kept(v, m)))).alias("out"))
+
+    def wide(vs, ch):
+        pairs = F.arrays_zip(vs.alias("v"), F.try_element_at(masks, ch).alias("m"))
+        start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.when(F.try_element_at(masks, ch).isNull(), vs).otherwise(F.aggregate(pairs, start, lambda acc, p: limb(acc, p["v"], p["m"]), lambda acc: acc["out"]))
+
+    chars = F.split(b, "")
+    gone = lambda v: LIMB - F.bit_count(v)
+    one = F.aggregate(chars, full, narrow, gone)
+    many = F.aggregate(chars, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / LIMB).cast("int")), lambda k: full), wide, lambda vs: F.aggregate(vs, F.lit(0), lambda t, v: t + gone(v)))
+    return F.when((n == 0) | (F.length(b) == 0), 0).when(n <= LIMB, one).otherwise(many)
+
+
+def _plain_sorted(t):
+    """T3's text: words of letters and digits, lowered and sorted."""
+    return token_sort(F.regexp_replace(t, r"[^\p{L}\p{N}_]", " "))
+
+
+def _twice_share(common, n, m):
+    """200 x common over both lengths as a whole number, halves to even; 0 if either is blank."""
+    return F.when((n > 0) & (m > 0), F.bround(200.0 * common / (n + m))).otherwise(0.0)
 
 
 def token_sort_ratio(a, b):
     """Words of letters and digits, lowered and sorted; 200 x common subsequence over both lengths, as a whole number; 0 if either is blank."""
-    plain = lambda t: token_sort(F.regexp_replace(t, r"[^\p{L}\p{N}_]", " "))
-    return F.pandas_udf(_token_sort_ratio, "double")(plain(a), plain(b))
+    both = F.transform(F.array(F.struct(_plain_sorted(a).alias("a"), _plain_sorted(b).alias("b"))), lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), place_masks(t["a"]).alias("m")))
+    return F.transform(both, lambda t: _twice_share(common_length(t["m"], F.length(t["a"]), t["b"]), F.length(t["a"]), F.length(t["b"])))[0]
+
+
+def token_sort_pairs(labels: DataFrame, terms: DataFrame, least: float, salts: int = 32) -> DataFrame:
+    """labels(clean_label) with those of terms(term, concept) whose token-sort ratio is ``least`` or more, as ``confidence``; no such pair is lost.
+
+    A common subsequence is no longer than the shorter text, so labels only meet terms of lengths that can reach ``least``: terms stand in
+    lots by length. Nor is it longer than the characters in common, whatever their order; pairs short of that are not scored.
+    """
+    x = max(0.0, (least - 0.5) / 100)
+    if x <= 0:
+        raise ValueError("least must be above 0.5")
+    bag = lambda t: F.transform(F.array(F.array_sort(F.split(t, ""))), lambda cs: F.transform(cs, lambda c, i: F.concat(c, (i - F.array_position(cs, c)).cast("string"))))[0]
+    own = labels.select("clean_label", _plain_sorted(F.col("clean_label")).alias("_a")).where("_a <> ''").withColumns({"_n": F.length("_a"), "_m": place_masks(F.col("_a")), "_bag": bag(F.col("_a"))})
+    other = terms.select("term", "concept", _plain_sorted(F.col("term")).alias("_b")).where("_b <> ''").withColumns({"_k": F.length("_b"), "_bag_b": bag(F.col("_b"))})
+    n = other.count()
+    lots = max(1, -(-n // SMALL_DIMENSION))
+    lot = other.groupBy("_k", F.pmod(F.xxhash64("term", "concept"), F.lit(lots)).alias("_lot")).agg(F.collect_list(F.struct("term", "concept", "_b", "_bag_b")).alias("_ts"))
+    low, high = F.ceil(F.col("_n") * (x / (2 - x)) - 1e-9).cast("int"), F.floor(F.col("_n") * ((2 - x) / x) + 1e-9).cast("int")
+    each = own.withColumn("_k", F.explode(F.sequence(low, high)))
+    if lots == 1:
+        met = each.withColumn("_lot", F.lit(0).cast("bigint")).join(F.broadcast(lot), ["_k", "_lot"])  # SMALL_DIMENSION terms at most
+    else:
+        each = each.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lots - 1).cast("bigint")))).withColumn("_salt", F.pmod(F.xxhash64("clean_label"), F.lit(salts)).cast("int"))
+        met = each.join(lot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["_k", "_lot", "_salt"])
+    pairs = met.select("clean_label", "_n", "_m", "_bag", "_k", F.explode("_ts").alias("_t"))
+    pairs = pairs.where(200.0 * F.size(F.array_intersect("_bag", F.col("_t._bag_b"))) >= 100 * x * (F.col("_n") + F.col("_k")) - 1e-6)
+    scored = pairs.select("clean_label", "_t.term", "_t.concept", _twice_share(common_length(F.col("_m"), F.col("_n"), F.col("_t._b")), F.col("_n"), F.col("_k")).alias("confidence"))
+    return scored.where(F.col("confidence") >= least)
 
 
 SCORERS = {"edit": edit_ratio, "token_sort": token_sort_ratio, "token_sort_edit": lambda a, b: edit_ratio(token_sort(a), token_sort(b)), "contain": contain_score, "sequence": lambda a, b: 100 * sequence_ratio(a, b)}
@@ -105,16 +161,21 @@ def with_all(labels: DataFrame, terms: DataFrame, salts: int = 32) -> DataFrame:
 def fuzzy(labels: DataFrame, terms: DataFrame, scorer: str = "token_sort", least: float = 80, block=None) -> DataFrame:
     """Best term at or above ``least`` for each distinct label; ties go to the smaller term.
 
-    labels(label, clean_label), terms(term, concept). Each label meets all terms (see ``with_all``), unless a blocking key is
-    given: ``block`` maps a text column to an array of keys, and only pairs that share a key are scored.
+    labels(label, clean_label), terms(term, concept). Each label meets all terms (see ``with_all``; for T3 those that bounds leave, see
+    ``token_sort_pairs``), unless a blocking key is given: ``block`` maps a text column to an array of keys, and only pairs that share a key are scored.
     """
     score = SCORERS[scorer]
     distinct = labels.select("clean_label").distinct()
-    if block is None:
+    if block is None and scorer == "token_sort" and least > 0.5:
+        pairs = None
+    elif block is None:
         pairs = with_all(distinct, terms.select("term", "concept").distinct())
     else:
         pairs = distinct.select("clean_label", F.explode(block(F.col("clean_label"))).alias("_b")).join(terms.select("term", "concept", F.explode(block(F.col("term"))).alias("_b")), "_b").drop("_b").distinct()
-    scored = pairs.withColumn("confidence", score(F.col("clean_label"), F.col("term"))).where(F.col("confidence") >= least)
+    if pairs is None:
+        scored = token_sort_pairs(distinct, terms.select("term", "concept").distinct(), least)
+    else:
+        scored = pairs.withColumn("confidence", score(F.col("clean_label"), F.col("term"))).where(F.col("confidence") >= least)
     best = scored.withColumn("_r", F.row_number().over(W.partitionBy("clean_label").orderBy(F.desc("confidence"), "term", "concept"))).where("_r = 1").select("clean_label", "term", "concept", "confidence")
     return labels.join(best, "clean_label", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("method", F.when(F.col("concept").isNotNull(), "fuzzy").otherwise("none"))
 

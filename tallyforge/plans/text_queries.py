@@ -248,31 +248,36 @@ def _terms(spark, sf_dir):
     return n.select(F.lower("n_name").alias("term"), F.lit("nation").alias("concept")).unionByName(r.select(F.lower("r_name").alias("term"), F.lit("region").alias("concept")))
 
 
-_FUZZY = """
-WITH t AS (SELECT lower(n_name) AS term, 'nation' AS concept FROM nation UNION SELECT lower(r_name), 'region' FROM region),
-l AS (SELECT DISTINCT lower(c_mktsegment) AS c FROM customer),
-s AS (SELECT c, term, concept, 100.0 * (1 - levenshtein(c, term)::DOUBLE / greatest(length(c), length(term))) AS k FROM l, t),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k DESC, term, concept) AS r FROM s WHERE k >= 15) WHERE r = 1)
+def _sorted_words(c: str) -> str:
+    return rf"array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(lower({c}), '[^a-z0-9_]', ' ', 'g'), '\s+'), lambda x: x <> '')), ' ')"
+
+
+#: Every label with every term; the common subsequence by one bit for each character of the label.
+_TOKEN_SORT = rf"""
+WITH l AS (SELECT c, a, length(a) AS n, (1::UBIGINT << length(a)) - 1 AS o FROM (SELECT c, {_sorted_words('c')} AS a FROM (SELECT DISTINCT {{label}} AS c FROM {{labels}}))),
+t AS (SELECT term, concept, {_sorted_words('term')} AS b FROM (SELECT DISTINCT {{term}} AS term, {{concept}} AS concept FROM {{terms}})),
+m AS (SELECT c, term, concept, n, length(b) AS k, o, list_transform(string_split(b, ''), lambda ch: list_sum(list_transform(range(n), lambda i: CASE WHEN substr(a, i + 1, 1) = ch THEN 1::UBIGINT << i ELSE 0 END))::UBIGINT) AS ms FROM l, t),
+s AS (SELECT c, term, concept, round_even(200.0::DOUBLE * (n - bit_count(list_reduce(ms, lambda v, x: ((v + (v & x)) | (v & xor(o, x))) & o, o))) / (n + k), 0) AS score FROM m),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, term, concept) AS r FROM s WHERE score >= 80) WHERE r = 1)
 """
 
 
-@register(_FUZZY + "SELECT lower(c_mktsegment) AS clean_label, term, concept, round(coalesce(k, 0), 6) AS confidence, count(*) AS n FROM customer LEFT JOIN b ON lower(c_mktsegment) = c GROUP BY ALL")
+@register(_TOKEN_SORT.format(label="'the ' || lower(p_type) || ' ' || lower(p_name)", labels="part WHERE p_size < 25", term="lower(p_name) || ', ' || lower(p_type)", concept="p_size % 3", terms="part WHERE p_size >= 25") + "SELECT c AS clean_label, term, concept::VARCHAR AS concept, coalesce(score, 0)::DOUBLE AS confidence, n FROM (SELECT 'the ' || lower(p_type) || ' ' || lower(p_name) AS c, count(*) AS n FROM part WHERE p_size < 25 GROUP BY 1) LEFT JOIN b USING (c)")
 def label_fuzzy_map(spark, sf_dir):
-    labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("label"), F.lower("c_mktsegment").alias("clean_label"))
-    return mapping.fuzzy(labels, _terms(spark, sf_dir), "edit", least=15).groupBy("clean_label", "term", "concept", r6("confidence").alias("confidence")).agg(F.count("*").alias("n"))
+    """J2 by T3 at 80: types and names in another order, with an article, against those of other parts."""
+    p = table(spark, sf_dir, "part")
+    labels = p.where("p_size < 25").select(F.col("p_partkey").alias("label"), F.concat(F.lit("the "), F.lower("p_type"), F.lit(" "), F.lower("p_name")).alias("clean_label"))
+    terms = p.where("p_size >= 25").select(F.concat(F.lower("p_name"), F.lit(", "), F.lower("p_type")).alias("term"), (F.col("p_size") % 3).cast("string").alias("concept"))
+    return mapping.fuzzy(labels, terms).groupBy("clean_label", "term", "concept", "confidence").agg(F.count("*").alias("n"))
 
 
-@register("""
-WITH l AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS c FROM part), t AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS term, p_type AS concept FROM part WHERE p_partkey % 7 = 0),
-s AS (SELECT c, term, concept, 100.0 * (1 - levenshtein(c, term)::DOUBLE / greatest(length(c), length(term))) AS k FROM l, t WHERE split_part(c, ' ', 2) = split_part(term, ' ', 2)),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k DESC, term, concept) AS r FROM s WHERE k >= 80) WHERE r = 1)
-SELECT p_partkey AS label, term, concept, round(coalesce(k, 0), 6) AS confidence FROM part LEFT JOIN b ON lower(p_name || ' ' || p_brand) = c
-""")
+@register(_TOKEN_SORT.format(label="lower(p_name || ' ' || p_brand)", labels="part", term="lower(p_brand || ' ' || p_name)", concept="p_type", terms="part WHERE p_partkey % 7 = 0") + "SELECT p_partkey AS label, term, concept, coalesce(score, 0)::DOUBLE AS confidence FROM part LEFT JOIN b ON lower(p_name || ' ' || p_brand) = c")
 def part_fuzzy_map(spark, sf_dir):
-    """J2 with a blocking key: parts' labels against a seventh of them, where the second words agree."""
-    p = table(spark, sf_dir, "part").withColumn("name", F.lower(F.concat_ws(" ", "p_name", "p_brand")))
-    labels, terms = p.select(F.col("p_partkey").alias("label"), F.col("name").alias("clean_label")), p.where("p_partkey % 7 = 0").select(F.col("name").alias("term"), F.col("p_type").alias("concept"))
-    return mapping.fuzzy(labels, terms, "edit", 80, lambda t: F.array(F.split_part(t, F.lit(" "), F.lit(2)))).select("label", "term", "concept", r6("confidence").alias("confidence"))
+    """J2 by T3 at 80: all parts' labels against a seventh of them, whose words stand in another order."""
+    p = table(spark, sf_dir, "part")
+    labels = p.select(F.col("p_partkey").alias("label"), F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("clean_label"))
+    terms = p.where("p_partkey % 7 = 0").select(F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("term"), F.col("p_type").alias("concept"))
+    return mapping.fuzzy(labels, terms).select("label", "term", "concept", "confidence")
 
 
 @register()

@@ -102,3 +102,50 @@ def test_groups_of_many_words(spark, tmp_path):
             n, anchor = n + 1, t
         want.append(n)
     assert want in got and [] in got and [1, 1, 2, 3, 4, 5] in got
+
+
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+def _sorted_text(t):
+    return " ".join(sorted(re.sub(r"[^\w]", " ", t.lower()).split()))
+
+
+def _ratio(a, b):
+    a, b = _sorted_text(a), _sorted_text(b)
+    return float(round(200 * _common(a, b) / (len(a) + len(b)))) if a and b else 0.0
+
+
+def test_common_length_over_limbs(spark):
+    from tallyforge.operators import mapping
+
+    rnd = random.Random(5)
+    text = lambda n, abc: "".join(rnd.choice(abc) for _ in range(n))
+    pairs = [(text(rnd.choice([0, 1, 5, 61, 62, 63, 124, 125, 200]), abc), text(rnd.choice([0, 1, 7, 62, 130]), abc)) for abc in ("ab", "abcdefgh", "aé😀ß") for _ in range(40)]
+    pairs += [("a" * 62, "a" * 62), ("a" * 125, "a" * 63), ("ab" * 70, "ba" * 70)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = [r["c"] for r in df.orderBy("i").select(mapping.common_length(mapping.place_masks(F.col("a")), F.length("a"), F.col("b")).alias("c")).collect()]
+    assert got == [_common(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("lots", [20_000, 7])
+def test_token_sort_pairs_lose_none(spark, lots, monkeypatch):
+    from tallyforge.operators import mapping
+
+    monkeypatch.setattr(mapping, "SMALL_DIMENSION", lots)
+    rnd = random.Random(6)
+    vocabulary = ["net", "total", "income", "incomes", "revenue", "cost", "of", "goods", "sold", "cash", "and", "assets", "asset", "ratio", "per-share"]
+    label = lambda: " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 12)))
+    labels, terms = sorted({label() for _ in range(60)} | {"", "!!", "x"}), sorted({label() for _ in range(60)} | {"X", "-"})
+    df = spark.createDataFrame([(x,) for x in labels], "clean_label string"), spark.createDataFrame([(x, x) for x in terms], "term string, concept string")
+    for least in (60, 80, 100):
+        got = {(r["clean_label"], r["term"]): r["confidence"] for r in mapping.token_sort_pairs(*df, least).collect()}
+        assert got == {(a, b): _ratio(a, b) for a in labels for b in terms if _ratio(a, b) >= least}
+    best = {r["clean_label"]: r["confidence"] for r in mapping.fuzzy(df[0], df[1]).collect()}
+    assert best == {a: max((_ratio(a, b) for b in terms if _ratio(a, b) >= 80), default=0.0) for a in labels}
