@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import monitor_queries, page_queries, record_queries, table_queries, text_queries
+from . import file_queries, monitor_queries, page_queries, record_queries, table_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (text_queries, table_queries, monitor_queries, page_queries, record_queries):
+for _m in (text_queries, table_queries, monitor_queries, page_queries, record_queries, file_queries):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
