@@ -172,3 +172,20 @@ def tracked_metrics(spark, sf_dir):
     long = e.select(F.col("event_id").alias("id"), F.struct("ts", "event_id").alias("ts"), F.explode(F.array(F.struct(F.concat("event_type", F.lit(".value")).alias("m"), F.col("value").cast("double").alias("v")), F.struct(F.concat("event_type", F.lit(".user")).alias("m"), F.col("user_id").cast("double").alias("v")))).alias("x"))
     found = mo.tracked_metrics(long.select("id", "ts", F.col("x.m").alias("metric"), F.col("x.v").alias("value")), names=kinds)
     return found.select("id", "metric", "value")
+
+
+@register(_H + """, b AS (SELECT metric, arg_min(value, ts) AS b, min(ts) AS t FROM h GROUP BY 1),
+r AS (SELECT metric, ts, b AS baseline, value AS current, CASE WHEN b = 0 THEN CASE WHEN value <> 0 THEN 1.0 ELSE 0.0 END ELSE (value - b) / b END AS rc FROM h JOIN b USING (metric) WHERE ts > t)
+SELECT metric, ts, round(current, 6) AS current, round(baseline, 6) AS baseline, CASE WHEN abs(rc) > 0.2 THEN 'critical' ELSE 'warning' END AS severity FROM r WHERE abs(rc) > 0.1""")
+def first_run_alerts(spark, sf_dir):
+    """J11, K14 as a stream: daily means in three batches of files, the second of which comes twice."""
+    from ..sources import scratch
+    from ..streaming import monitor as stream
+
+    path, h = scratch.folder(spark, "stream"), _history(spark, sf_dir).select("metric", F.col("ts").cast("timestamp").alias("ts"), "value")
+    third = F.pmod(F.datediff("ts", F.lit("2024-01-01")), F.lit(31))
+    for part in (h.where(third < 10), h.where((third >= 10) & (third < 20)), h.where((third >= 10) & (third < 20)), h.where(third >= 20)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    history = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.start(stream.first_run_alerts(history), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.schema("metric string, ts timestamp, baseline double, current double, relative_change double, threshold double, severity string").parquet(f"{path}/out").select("metric", F.to_date("ts").alias("ts"), r6("current").alias("current"), r6("baseline").alias("baseline"), "severity")

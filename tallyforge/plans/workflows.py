@@ -130,3 +130,15 @@ def fallback_records(pages: DataFrame, cells: DataFrame, layout_blocks: DataFram
     blocks = layout_blocks.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page_num").alias("page"), F.concat(F.lit("Page "), F.col("page_num").cast("string")).alias("section"), F.lit("layout_block").alias("block_type"), F.coalesce("text", "type").alias("text"), F.lit("layout_detection").alias("extraction_method"), F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.col("bounding_box").alias("bbox"))
     found = [records.text_records(pages, "doc_id", "page", "text", "text_block", "pdfplumber_text"), records.table_records(cells), blocks, records.section_records(sections.where(F.col("section_number") <= n_sections))]
     return records.completed(records.union(*found), documents, extracted_at)
+
+
+def output_checks(spark, path: str, expected: DataFrame) -> DataFrame:
+    """What a run has written, against what it should have: expected(output, folder, pattern, least) to (output, n_files, n_bytes, status).
+
+    Files under ``path``/folder whose names match the pattern count; ``passed``: ``least`` of them. Empty files do not count. Contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    inside = F.col("path").contains(F.concat(F.lit(path.rstrip("/").rpartition("/")[2] + "/"), F.col("folder"), F.lit("/")))
+    met = expected.join(files, inside & F.rlike(F.element_at(F.split("path", "/"), -1), F.col("pattern")), "left")
+    g = met.groupBy("output", "least").agg(F.count("path").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+    return g.select("output", "n_files", "n_bytes", F.when((F.col("n_files") >= F.col("least")) & (F.col("n_bytes") > 0), "passed").otherwise("failed").alias("status"))
