@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schemas
 from ..functions import numeric as nm, text as tx
 from ..operators import bench, layout, mapping, monitor, quality, reconcile as rc, records, scan, tables as tb
-from ..sources import sinks
+from ..sources import scratch, sinks
 
 
 def tables_of(cells: DataFrame, accuracy: DataFrame | None = None, hybrid: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -135,10 +135,11 @@ def fallback_records(pages: DataFrame, cells: DataFrame, layout_blocks: DataFram
 def output_checks(spark, path: str, expected: DataFrame) -> DataFrame:
     """What a run has written, against what it should have: expected(output, folder, pattern, least) to (output, n_files, n_bytes, status).
 
-    Files under ``path``/folder whose names match the pattern count; ``passed``: ``least`` of them. Empty files do not count. Contents are not read.
+    Files under ``path``/folder whose names match the pattern count; ``passed``: ``least`` of them, and not all empty. The run's files are listed, hidden
+    ones too; contents are not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    inside = F.col("path").contains(F.concat(F.lit(path.rstrip("/").rpartition("/")[2] + "/"), F.col("folder"), F.lit("/")))
+    files = scratch.listed(spark, path)
+    inside = F.startswith(F.col("path"), F.concat("folder", F.lit("/")))
     met = expected.join(files, inside & F.rlike(F.element_at(F.split("path", "/"), -1), F.col("pattern")), "left")
     g = met.groupBy("output", "least").agg(F.count("path").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
     return g.select("output", "n_files", "n_bytes", F.when((F.col("n_files") >= F.col("least")) & (F.col("n_bytes") > 0), "passed").otherwise("failed").alias("status"))

@@ -42,6 +42,19 @@ def named_files(files: DataFrame, path: str) -> str:
     return path
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of all files under ``path``, hidden ones too, relative to it; listed by the driver."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, start = [], len(fs.makeQualified(top).toString().rstrip("/")) + 1
+    if fs.exists(top):
+        files = fs.listFiles(top, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString()[start:], f.getLen()))
+    return spark.createDataFrame(found, "path string, length long")
+
+
 @atexit.register
 def _sweep() -> None:
     for path in _own:

@@ -102,24 +102,21 @@ def import_rules(rules: DataFrame, path: str) -> DataFrame:
     return mapping.upsert_rules(rules.select("clean_label", "concept"), more).distinct()
 
 
-def archive_runs(registry: DataFrame, archive: str, remove: bool = False) -> DataFrame:
-    """The files of each run that the registry marks (run_id, run_directory, archive) go to one compressed table at ``archive``, by run.
+def archive_runs(registry: DataFrame, archive: str) -> DataFrame:
+    """The folder of each run that the registry marks (run_id, run_directory, archive) moves to ``archive``/run_id, whole.
 
-    Empty files have nothing to keep and are left out. With ``remove`` the runs' own folders are deleted once the table is written. Returns (run_id, path, length) of what was archived now; runs whose
-    folder is gone are left out. The registry holds a row a run, so marked runs are listed by the driver.
+    Returns (run_id, path) of what was moved now; runs whose folder is gone are left out, and an archived run is not replaced. The registry holds a row a
+    run, so the driver moves them one by one; nothing is read or copied where both places are in one file system.
     """
     spark = registry.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = {r["run_id"]: jvm.org.apache.hadoop.fs.Path(r["run_directory"]) for r in registry.where("archive").select("run_id", "run_directory").collect()}
-    there = {run: p for run, p in sorted(paths.items()) if p.getFileSystem(conf).exists(p)}
-    schema = "run_id string, path string, length long"
-    if not there:
-        return spark.createDataFrame([], schema)
-    names = spark.createDataFrame([(str(run), p.getFileSystem(conf).makeQualified(p).toString()) for run, p in there.items()], "run_id string, top string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([p.toString() for p in there.values()])
-    found = files.join(F.broadcast(names), F.startswith("path", F.concat("top", F.lit("/")))).select("run_id", "path", "length", "content")
-    found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("run_id").parquet(archive)
-    if remove:
-        for p in there.values():
-            p.getFileSystem(conf).delete(p, True)
-    return spark.read.schema(schema + ", content binary").parquet(archive).select("run_id", "path", "length").where(F.col("run_id").isin(*map(str, there)))
+    moved = []
+    for r in registry.where("archive").select(F.col("run_id").cast("string"), "run_directory").orderBy("run_id").collect():
+        old, new = jvm.org.apache.hadoop.fs.Path(r["run_directory"]), jvm.org.apache.hadoop.fs.Path(archive, r["run_id"])
+        fs = old.getFileSystem(conf)
+        if fs.exists(old) and not fs.exists(new):
+            fs.mkdirs(new.getParent())
+            if not fs.rename(old, new):
+                raise OSError(f"{r['run_directory']} cannot be moved to {archive}")
+            moved.append((r["run_id"], new.toString()))
+    return spark.createDataFrame(moved, "run_id string, path string")

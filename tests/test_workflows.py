@@ -209,16 +209,18 @@ def test_runs_are_archived_and_outputs_checked(spark, tmp_path):
     for run in ("r1", "r2", "r3"):
         (tmp_path / "runs" / run / "text").mkdir(parents=True)
         (tmp_path / "runs" / run / "text" / "page_1.txt").write_text(f"text of {run}")
-        (tmp_path / "runs" / run / "_index.csv").write_text("a,b")
+        (tmp_path / "runs" / run / "text" / "_index.csv").write_text("a,b")
     (tmp_path / "runs" / "r1" / "empty").mkdir()
     (tmp_path / "runs" / "r1" / "empty" / "x.json").write_text("")
     e = spark.createDataFrame([("pages", "text", "^page_", 1), ("words", "text", "^words", 1), ("blank", "empty", "json$", 1), ("two pages", "text", "^page_", 2)], "output string, folder string, pattern string, least int")
     got = {r["output"]: (r["n_files"], r["status"]) for r in wf.output_checks(spark, str(tmp_path / "runs" / "r1"), e).collect()}
-    assert got == {"pages": (1, "passed"), "words": (0, "failed"), "blank": (0, "failed"), "two pages": (1, "failed")}
+    assert got == {"pages": (1, "passed"), "words": (0, "failed"), "blank": (1, "failed"), "two pages": (1, "failed")}
+    hidden = spark.createDataFrame([("index", "text", "^_index", 1)], "output string, folder string, pattern string, least int")
+    assert wf.output_checks(spark, str(tmp_path / "runs" / "r1"), hidden).first()["status"] == "passed"
+    assert wf.output_checks(spark, str(tmp_path / "nothing"), e).where("status = 'failed'").count() == 4
     registry = spark.createDataFrame([(r, str(tmp_path / "runs" / r), r != "r3") for r in ("r1", "r2", "r3", "r4")], "run_id string, run_directory string, archive boolean")
-    gone = sinks.archive_runs(registry, str(tmp_path / "archive"), remove=True)
-    assert {(r["run_id"], r["path"].rsplit("/", 1)[1]) for r in gone.collect()} == {(r, f) for r in ("r1", "r2") for f in ("page_1.txt", "_index.csv")}
+    gone = sinks.archive_runs(registry, str(tmp_path / "archive"))
+    assert sorted(r["run_id"] for r in gone.collect()) == ["r1", "r2"]
     assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["r3"]
-    kept = spark.read.parquet(str(tmp_path / "archive"))
-    assert kept.where("run_id = 'r2' AND path LIKE '%page_1.txt'").first()["content"] == b"text of r2"
-    assert sinks.archive_runs(registry, str(tmp_path / "archive")).count() == 0 and kept.count() == 4
+    assert (tmp_path / "archive" / "r2" / "text" / "page_1.txt").read_text() == "text of r2" and (tmp_path / "archive" / "r1" / "text" / "_index.csv").exists() and (tmp_path / "archive" / "r1" / "empty" / "x.json").exists()
+    assert sinks.archive_runs(registry, str(tmp_path / "archive")).count() == 0
