@@ -38,7 +38,7 @@ def edges(objects: DataFrame, thin: float = 2, snap: float = 2, join: float = 2)
     h, v = edge("h", "top", "x0", "x1"), edge("v", "x0", "top", "bottom")
     four = F.array(h, edge("h", "bottom", "x0", "x1"), v, edge("v", "x1", "top", "bottom"))
     each = F.when(flat & ~upright, F.array(h)).when(upright & ~flat, F.array(v)).when((F.col("kind") == "rect") & ~flat & ~upright, four)
-    drawn = objects.where(F.col("kind").isin("line", "rect")).select(*PAGE, F.inline(each))
+    drawn = objects.where(F.col("kind").isin("line", "rect")).select(*PAGE, F.inline(each)).repartition(*PAGE)  # dealt once for all that follows
     line = [*PAGE, "axis", "_p"]
     drawn = gap_groups(drawn, [*PAGE, "axis"], ["at", "lo"], lambda w: F.coalesce(F.col("at") - F.lag("at").over(w) > snap, F.lit(True)), "_p")
     whole = W.partitionBy(*line)
@@ -56,38 +56,26 @@ def separated(found: DataFrame, tol: float) -> DataFrame:
     return found.withColumn("_t", F.struct("_a", "_b", "_c")).drop("_a", "_b", "_c", "_x0", "_x1", "_y0", "_y1")
 
 
-def grids(found: DataFrame, tol: float = 2) -> tuple[DataFrame, DataFrame]:
-    """(grids, their edges). A grid (doc_id, page, table_num, xs, ys) holds the positions of edges that cross others, two of each kind at least."""
-    apart = separated(found, tol)
-    key = [*PAGE, "_t"]
-    side = lambda axis, p: apart.where(F.col("axis") == axis).select(*key, F.col("at").alias(f"{p}_at"), F.col("lo").alias(f"{p}_lo"), F.col("hi").alias(f"{p}_hi"))
-    inside = lambda a, p: F.col(f"{a}_at").between(F.col(f"{p}_lo") - tol, F.col(f"{p}_hi") + tol)
-    joints = side("h", "h").join(side("v", "v"), key).where(inside("v", "h") & inside("h", "v"))
-    g = joints.groupBy(*key).agg(F.array_sort(F.collect_set("v_at")).alias("xs"), F.array_sort(F.collect_set("h_at")).alias("ys")).where((F.size("xs") > 1) & (F.size("ys") > 1))
-    g = g.withColumn("table_num", F.row_number().over(W.partitionBy(*PAGE).orderBy(F.get("ys", F.lit(0)), F.get("xs", F.lit(0)), "_t")))
-    return g.select(*GRID, "xs", "ys"), apart.join(g.select(*key, "table_num"), key).select(*GRID, "axis", "at", "lo", "hi")
+def grids(found: DataFrame, tol: float = 2) -> DataFrame:
+    """(doc_id, page, table_num, xs, ys, hs, vs): the positions of edges that cross others, two of each kind at least, and all edges (at, lo, hi) of the table."""
+    side = lambda axis: F.array_sort(F.collect_list(F.when(F.col("axis") == axis, F.struct("at", "lo", "hi")))).alias(f"{axis}s")
+    g = separated(found, tol).groupBy(*PAGE, "_t").agg(side("h"), side("v"))
+    within = lambda a, b: a["at"].between(b["lo"] - tol, b["hi"] + tol)
+    crossing = lambda own, others: F.array_distinct(F.transform(F.filter(own, lambda x: F.exists(others, lambda y: within(x, y) & within(y, x))), lambda x: x["at"]))
+    g = g.withColumns({"xs": crossing("vs", "hs"), "ys": crossing("hs", "vs")}).where((F.size("xs") > 1) & (F.size("ys") > 1))
+    return g.select(*PAGE, F.row_number().over(W.partitionBy(*PAGE).orderBy(F.get("ys", F.lit(0)), F.get("xs", F.lit(0)), "_t")).alias("table_num"), "xs", "ys", "hs", "vs")
 
 
 def _squares(g: DataFrame) -> DataFrame:
-    """A row for each smallest cell of each grid: its indexes and box."""
-    cols = g.select(*GRID, "xs", "ys", F.posexplode(F.slice("xs", 1, F.size("xs") - 1)).alias("col_idx", "cx0"))
-    rows = cols.select(*GRID, "col_idx", "cx0", F.get("xs", F.col("col_idx") + 1).alias("cx1"), "ys", F.posexplode(F.slice("ys", 1, F.size("ys") - 1)).alias("row_idx", "cy0"))
-    return rows.select(*GRID, "row_idx", "col_idx", "cx0", "cx1", "cy0", F.get("ys", F.col("row_idx") + 1).alias("cy1"))
+    """A row for each smallest cell of each grid."""
+    each = lambda c, n: F.explode(F.sequence(F.lit(0), F.size(c) - 2)).alias(n)
+    return g.select(*GRID, "ys", each("xs", "col_idx")).select(*GRID, "col_idx", each("ys", "row_idx"))
 
 
-def _spans(g: DataFrame, lines: DataFrame, tol: float) -> DataFrame:
-    """Squares with ``to_col``: the nearest square to the left with a line on its left side, and ``to_row``: the nearest above with a line on top."""
-    s = _squares(g)
-    v = lines.where("axis = 'v'").select(*GRID, F.col("at").alias("cx0"), "lo", "hi")
-    h = lines.where("axis = 'h'").select(*GRID, F.col("at").alias("cy0"), "lo", "hi")
-    at = [*GRID, "row_idx", "col_idx"]
-    left = s.join(v, [*GRID, "cx0"]).where((F.col("lo") <= F.col("cy0") + tol) & (F.col("hi") >= F.col("cy1") - tol)).select(*at).distinct().withColumn("_l", F.lit(True))
-    top = s.join(h, [*GRID, "cy0"]).where((F.col("lo") <= F.col("cx0") + tol) & (F.col("hi") >= F.col("cx1") - tol)).select(*at).distinct().withColumn("_u", F.lit(True))
-    s = s.join(left, at, "left").join(top, at, "left")
-    along = W.partitionBy(*GRID, "row_idx").orderBy("col_idx").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*GRID, "col_idx").orderBy("row_idx").rowsBetween(W.unboundedPreceding, 0)
-    s = s.withColumn("to_col", F.last(F.when(F.col("_l") | (F.col("col_idx") == 0), F.col("col_idx")), True).over(along))
-    return s.withColumn("to_row", F.last(F.when(F.col("_u") | (F.col("row_idx") == 0), F.col("row_idx")), True).over(down)).drop("_l", "_u")
+def _nearest_line(lines: str, at: str, index, low, high, tol: float):
+    """The last position up to ``index`` where a line stands that covers ``low`` to ``high``; the first position counts as one."""
+    stands = lambda k: F.exists(lines, lambda x: (x["at"] == F.get(at, k)) & (x["lo"] <= low + tol) & (x["hi"] >= high - tol))
+    return F.array_max(F.filter(F.sequence(F.lit(0), index), lambda k: (k == 0) | stands(k)))
 
 
 def _lines(words: DataFrame, row_tol: float) -> DataFrame:
@@ -109,23 +97,23 @@ def ruled(words: DataFrame, objects: DataFrame, tol: float = 2, row_tol: float =
     above, to the first square of the span. Every square has a row; empty ones hold an empty text. accuracy: the mean share of a word's
     box inside its square, in per cent; 0 for a table without words.
     """
-    g, lines = grids(edges(objects, tol, tol, tol), tol)
-    spans = _spans(g, lines, tol)
+    g = grids(edges(objects, tol, tol, tol), tol)
     mid_x, mid_y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    last = lambda c: F.element_at(c, -1)
-    placed = _lines(words, row_tol).join(g, PAGE).where((mid_x >= F.get("xs", F.lit(0))) & (mid_x < last("xs")) & (mid_y >= F.get("ys", F.lit(0))) & (mid_y < last("ys")))
-    index = lambda ps, mid: (F.size(F.filter(ps, lambda p: p <= mid)) - 1).cast("int")
+    first, last = lambda c: F.get(c, F.lit(0)), lambda c: F.element_at(c, -1)
+    placed = _lines(words, row_tol).join(g, PAGE).where((mid_x >= first("xs")) & (mid_x < last("xs")) & (mid_y >= first("ys")) & (mid_y < last("ys")))
     placed = placed.withColumn("_first", F.min("table_num").over(W.partitionBy(*PAGE, "word_idx"))).where("table_num = _first")
-    placed = placed.select(*GRID, "word_idx", "text", "x0", "x1", "top", "bottom", "_line", index("xs", mid_x).alias("col_idx"), index("ys", mid_y).alias("row_idx"))
-    placed = placed.join(spans.select(*GRID, "row_idx", "col_idx", "to_col", "cx0", "cx1", "cy0", "cy1"), [*GRID, "row_idx", "col_idx"])
-    box = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(1e-9))
-    common = lambda a, b, lo, hi: F.greatest(F.least(b, hi) - F.greatest(a, lo), F.lit(0.0)) / box(a, b)
-    share = common("x0", "x1", "cx0", "cx1") * common("top", "bottom", "cy0", "cy1")
-    accuracy = placed.withColumn("_share", share).groupBy(*GRID).agg((100 * F.avg("_share")).alias("accuracy"))
+    index = lambda ps, mid: (F.size(F.filter(ps, lambda p: p <= mid)) - 1).cast("int")
+    placed = placed.withColumns({"_c": index("xs", mid_x), "_r": index("ys", mid_y)})
+    at = lambda ps, i: F.get(ps, F.col(i))
+    box = {"cx0": at("xs", "_c"), "cx1": F.get("xs", F.col("_c") + 1), "cy0": at("ys", "_r"), "cy1": F.get("ys", F.col("_r") + 1)}
+    wide = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(1e-9))
+    common = lambda a, b, lo, hi: F.greatest(F.least(F.col(b), box[hi]) - F.greatest(F.col(a), box[lo]), F.lit(0.0)) / wide(a, b)
+    accuracy = placed.groupBy(*GRID).agg((100 * F.avg(common("x0", "x1", "cx0", "cx1") * common("top", "bottom", "cy0", "cy1"))).alias("accuracy"))
     accuracy = g.select(*GRID).join(accuracy, GRID, "left").select("doc_id", F.lit(method).alias("method"), "page", "table_num", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"))
-    placed = placed.drop("col_idx").withColumnRenamed("to_col", "col_idx").join(spans.select(*GRID, "row_idx", "col_idx", "to_row"), [*GRID, "row_idx", "col_idx"])
-    texts = _cell_texts(placed.drop("row_idx").withColumnRenamed("to_row", "row_idx"))
-    cells = spans.select(*GRID, "row_idx", "col_idx").join(texts, [*GRID, "row_idx", "col_idx"], "left")
+    placed = placed.withColumn("col_idx", _nearest_line("vs", "xs", F.col("_c"), box["cy0"], box["cy1"], tol))
+    placed = placed.withColumn("row_idx", _nearest_line("hs", "ys", F.col("_r"), F.get("xs", F.col("col_idx")), F.get("xs", F.col("col_idx") + 1), tol))
+    texts = _cell_texts(placed.select(*GRID, "row_idx", "col_idx", "_line", "x0", "word_idx", "text"))
+    cells = _squares(g).join(texts, [*GRID, "row_idx", "col_idx"], "left")
     return cells.select("doc_id", F.lit(method).alias("method"), "page", "table_num", "row_idx", "col_idx", F.coalesce("value", F.lit("")).alias("value")), accuracy
 
 
