@@ -172,6 +172,8 @@ def fuzzy(labels: DataFrame, terms: DataFrame, scorer: str = "token_sort", least
         pairs = with_all(distinct, terms.select("term", "concept").distinct())
     else:
         pairs = distinct.select("clean_label", F.explode(block(F.col("clean_label"))).alias("_b")).join(terms.select("term", "concept", F.explode(block(F.col("term"))).alias("_b")), "_b").drop("_b").distinct()
+    if scorer == "sequence":
+        pairs = pairs.where(100 * ratio_bound(F.col("clean_label"), F.col("term")) >= least)
     if pairs is None:
         scored = token_sort_pairs(distinct, terms.select("term", "concept").distinct(), least)
     else:

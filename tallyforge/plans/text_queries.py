@@ -282,8 +282,11 @@ def part_fuzzy_map(spark, sf_dir):
 
 @register()
 def label_seq_ratio(spark, sf_dir):
-    labels = table(spark, sf_dir, "part").select(F.lower("p_name").alias("clean_label")).distinct().withColumn("label", F.col("clean_label"))
-    return mapping.fuzzy(labels, _terms(spark, sf_dir), scorer="sequence", least=30).select("label", "term", "concept", r6("confidence").alias("confidence"))
+    """T5: all parts' names against all names with their brands, at 60; difflib's ratio has no SQL, tests hold it against difflib."""
+    p = table(spark, sf_dir, "part")
+    labels = p.select(F.lower("p_name").alias("clean_label")).distinct().withColumn("label", F.col("clean_label"))
+    terms = p.select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("term"), F.col("p_brand").alias("concept")).distinct()
+    return mapping.fuzzy(labels, terms, scorer="sequence", least=60).select("label", "term", "concept", r6("confidence").alias("confidence"))
 
 
 @register(_EXACT + """

@@ -149,3 +149,19 @@ def test_token_sort_pairs_lose_none(spark, lots, monkeypatch):
         assert got == {(a, b): _ratio(a, b) for a in labels for b in terms if _ratio(a, b) >= least}
     best = {r["clean_label"]: r["confidence"] for r in mapping.fuzzy(df[0], df[1]).collect()}
     assert best == {a: max((_ratio(a, b) for b in terms if _ratio(a, b) >= 80), default=0.0) for a in labels}
+
+
+def test_sequence_scorer_equals_difflib(spark):
+    import difflib
+
+    from tallyforge.operators import mapping
+
+    rnd = random.Random(8)
+    label = lambda: " ".join(rnd.choice(["net", "income", "incomes", "cash", "flow", "total", "a"]) for _ in range(rnd.randint(1, 5)))
+    labels, terms = sorted({label() for _ in range(40)} | {""}), sorted({label() for _ in range(40)})
+    df = spark.createDataFrame([(x,) for x in labels], "clean_label string"), spark.createDataFrame([(x, x) for x in terms], "term string, concept string")
+    ratio = lambda a, b: 100 * difflib.SequenceMatcher(None, a, b).ratio()
+    got = {r["clean_label"]: (r["term"], r["confidence"]) for r in mapping.fuzzy(*df, scorer="sequence", least=70).collect()}
+    for a in labels:
+        best = max(((ratio(a, b), b) for b in terms if ratio(a, b) >= 70), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=None)
+        assert (got[a][0] is None) == (best is None) and got[a][1] == pytest.approx(best[0] if best else 0.0)
