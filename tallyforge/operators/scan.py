@@ -25,7 +25,12 @@ def sweep(df: DataFrame, keys: list[str], lo: str, hi: str, gap: float, out: str
     return gap_groups(df, keys, [lo, hi], lambda w: F.coalesce(F.col(lo) > F.max(hi).over(_before(w)) + gap, F.lit(True)), out)
 
 
-def edges(objects: DataFrame, thin: float = 2, snap: float = 2, join: float = 2) -> DataFrame:
+def _dealt(df: DataFrame, parts: int | None) -> DataFrame:
+    """Pages dealt once for all that follows: over ``parts`` tasks, or over as many as the session sets."""
+    return df.repartition(parts, *PAGE) if parts else df.repartition(*PAGE)
+
+
+def edges(objects: DataFrame, thin: float = 2, snap: float = 2, join: float = 2, parts: int | None = None) -> DataFrame:
     """Drawn objects (doc_id, page, kind, x0, top, x1, bottom) to edges (doc_id, page, axis, at, lo, hi).
 
     Lines and thin boxes are one edge, other rectangles four; slanted lines, curves and images none. Positions that follow
@@ -38,12 +43,12 @@ def edges(objects: DataFrame, thin: float = 2, snap: float = 2, join: float = 2)
     h, v = edge("h", "top", "x0", "x1"), edge("v", "x0", "top", "bottom")
     four = F.array(h, edge("h", "bottom", "x0", "x1"), v, edge("v", "x1", "top", "bottom"))
     each = F.when(flat & ~upright, F.array(h)).when(upright & ~flat, F.array(v)).when((F.col("kind") == "rect") & ~flat & ~upright, four)
-    drawn = objects.where(F.col("kind").isin("line", "rect")).select(*PAGE, F.inline(each)).repartition(*PAGE)  # dealt once for all that follows
+    drawn = _dealt(objects.where(F.col("kind").isin("line", "rect")).select(*PAGE, F.inline(each)), parts)
     line = [*PAGE, "axis", "_p"]
     drawn = gap_groups(drawn, [*PAGE, "axis"], ["at", "lo"], lambda w: F.coalesce(F.col("at") - F.lag("at").over(w) > snap, F.lit(True)), "_p")
-    whole = W.partitionBy(*line)
-    drawn = drawn.withColumn("at", (F.min("at").over(whole) + F.max("at").over(whole)) / 2)
-    return sweep(drawn, line, "lo", "hi", join, "_s").groupBy(*PAGE, "axis", "at", "_s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_s")
+    merged = sweep(drawn, line, "lo", "hi", join, "_s").groupBy(*line, "_s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("at").alias("_from"), F.max("at").alias("_to"))
+    whole = W.partitionBy(*line)  # over what is left after merging
+    return merged.select(*PAGE, "axis", ((F.min("_from").over(whole) + F.max("_to").over(whole)) / 2).alias("at"), "lo", "hi")
 
 
 def separated(found: DataFrame, tol: float) -> DataFrame:
@@ -58,24 +63,30 @@ def separated(found: DataFrame, tol: float) -> DataFrame:
 
 def grids(found: DataFrame, tol: float = 2) -> DataFrame:
     """(doc_id, page, table_num, xs, ys, hs, vs): the positions of edges that cross others, two of each kind at least, and all edges (at, lo, hi) of the table."""
-    side = lambda axis: F.array_sort(F.collect_list(F.when(F.col("axis") == axis, F.struct("at", "lo", "hi")))).alias(f"{axis}s")
-    g = separated(found, tol).groupBy(*PAGE, "_t").agg(side("h"), side("v"))
-    within = lambda a, b: a["at"].between(b["lo"] - tol, b["hi"] + tol)
+    near = separated(found, tol).withColumn("_e", F.struct("at", "lo", "hi", (F.col("lo") - tol).alias("from"), (F.col("hi") + tol).alias("to")))
+    side = lambda axis: F.sort_array(F.collect_list(F.when(F.col("axis") == axis, F.col("_e")))).alias(f"{axis}s")
+    g = near.groupBy(*PAGE, "_t").agg(side("h"), side("v"))
+    within = lambda a, b: (a["at"] >= b["from"]) & (a["at"] <= b["to"])
     crossing = lambda own, others: F.array_distinct(F.transform(F.filter(own, lambda x: F.exists(others, lambda y: within(x, y) & within(y, x))), lambda x: x["at"]))
     g = g.withColumns({"xs": crossing("vs", "hs"), "ys": crossing("hs", "vs")}).where((F.size("xs") > 1) & (F.size("ys") > 1))
     return g.select(*PAGE, F.row_number().over(W.partitionBy(*PAGE).orderBy(F.get("ys", F.lit(0)), F.get("xs", F.lit(0)), "_t")).alias("table_num"), "xs", "ys", "hs", "vs")
 
 
-def _squares(g: DataFrame) -> DataFrame:
-    """A row for each smallest cell of each grid."""
-    each = lambda c, n: F.explode(F.sequence(F.lit(0), F.size(c) - 2)).alias(n)
-    return g.select(*GRID, "ys", each("xs", "col_idx")).select(*GRID, "col_idx", each("ys", "row_idx"))
+def _squares():
+    """The places of all smallest cells of a grid with the positions ``xs`` and ``ys``."""
+    upto = lambda c: F.sequence(F.lit(0), F.size(c) - 2)
+    return F.flatten(F.transform(upto("ys"), lambda r: F.transform(upto("xs"), lambda c: F.struct(r.alias("row_idx"), c.alias("col_idx")))))
+
+
+def _stops(lines: str, at: str):
+    """The lines that stand at positions of the grid, each with its position's index."""
+    return F.filter(F.transform(lines, lambda x: F.struct((F.array_position(F.col(at), x["at"]) - 1).cast("int").alias("k"), x["lo"].alias("lo"), x["hi"].alias("hi"))), lambda x: x["k"] > 0)
 
 
-def _nearest_line(lines: str, at: str, index, low, high, tol: float):
+def _nearest_line(stops: str, index, low, high):
     """The last position up to ``index`` where a line stands that covers ``low`` to ``high``; the first position counts as one."""
-    stands = lambda k: F.exists(lines, lambda x: (x["at"] == F.get(at, k)) & (x["lo"] <= low + tol) & (x["hi"] >= high - tol))
-    return F.array_max(F.filter(F.sequence(F.lit(0), index), lambda k: (k == 0) | stands(k)))
+    found = F.filter(stops, lambda x: (x["k"] <= index) & (x["lo"] <= low) & (x["hi"] >= high))
+    return F.coalesce(F.array_max(F.transform(found, lambda x: x["k"])), F.lit(0))
 
 
 def _lines(words: DataFrame, row_tol: float) -> DataFrame:
@@ -83,73 +94,83 @@ def _lines(words: DataFrame, row_tol: float) -> DataFrame:
     return gap_groups(words, PAGE, ["top", "x0", "word_idx"], lambda w: F.coalesce(F.col("top") - F.lag("top").over(w) > row_tol, F.lit(True)), "_line")
 
 
-def _cell_texts(placed: DataFrame) -> DataFrame:
-    """A text for each cell: words of a line by x0, with blanks between, and a line end between lines."""
+def _word():
+    """What a cell keeps of a word, in the order of its text; words without a text stand last in their line."""
+    return F.struct("_line", F.col("text").isNull().alias("none"), "x0", "word_idx", "text")
+
+
+def _cell_texts(cells: DataFrame) -> DataFrame:
+    """A text for each cell of rows with ``_ws``, arrays of words or null: words of a line by x0, with blanks between, and a line end between lines; without words an empty text."""
     at = [*GRID, "row_idx", "col_idx"]
-    by_line = placed.groupBy(*at, "_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_idx", "text"))), lambda x: x["text"]), " ").alias("t"))
-    return by_line.groupBy(*at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "t"))), lambda x: x["t"]), "\n").alias("value"))
+    own = cells.groupBy(*at).agg(F.sort_array(F.flatten(F.collect_list("_ws"))).alias("_ws"))
+    mark = lambda w, i: F.when(i == 0, "").when(F.get("_ws", i - 1)["_line"] != w["_line"], "\n").when(w["none"], "").otherwise(" ")
+    return own.select(*at, F.array_join(F.transform("_ws", lambda w, i: F.concat(mark(w, i), F.coalesce(w["text"], F.lit("")))), "").alias("value"))
 
 
-def ruled(words: DataFrame, objects: DataFrame, tol: float = 2, row_tol: float = 2, method: str = "camelot_lattice") -> tuple[DataFrame, DataFrame]:
+def ruled(words: DataFrame, objects: DataFrame, tol: float = 2, row_tol: float = 2, method: str = "camelot_lattice", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cells, accuracy) of the tables that lines draw. words(WORDS), objects(doc_id, page, kind, x0, top, x1, bottom).
 
     Edges that cross make a grid; a word goes to the square that holds its middle, and where no line parts that from the square to its left or
     above, to the first square of the span. Every square has a row; empty ones hold an empty text. accuracy: the mean share of a word's
     box inside its square, in per cent; 0 for a table without words.
+
+    Words meet their page's tables in one pass; the page's first row, which stands also where there are no words, brings the squares.
     """
-    g = grids(edges(objects, tol, tol, tol), tol)
+    g = grids(edges(objects, tol, tol, tol, parts), tol)
     mid_x, mid_y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
     first, last = lambda c: F.get(c, F.lit(0)), lambda c: F.element_at(c, -1)
-    placed = _lines(words, row_tol).join(g, PAGE).where((mid_x >= first("xs")) & (mid_x < last("xs")) & (mid_y >= first("ys")) & (mid_y < last("ys")))
-    placed = placed.withColumn("_first", F.min("table_num").over(W.partitionBy(*PAGE, "word_idx"))).where("table_num = _first")
+    tables = g.select(*PAGE, F.struct("table_num", "xs", "ys", _stops("hs", "ys").alias("hs"), _stops("vs", "xs").alias("vs")).alias("t")).groupBy(*PAGE).agg(F.sort_array(F.collect_list("t")).alias("_ts"))
+    inside = lambda t: (mid_x >= first(t["xs"])) & (mid_x < last(t["xs"])) & (mid_y >= first(t["ys"])) & (mid_y < last(t["ys"]))
+    lead = F.row_number().over(W.partitionBy(*PAGE).orderBy("top", "x0", "word_idx")) == 1
+    met = _lines(_dealt(words, parts), row_tol).withColumn("_lead", lead).join(tables, PAGE, "right")
+    held = F.transform(F.slice(F.filter("_ts", inside), 1, 1), lambda t: F.struct(t.alias("t"), F.lit(False).alias("_blank")))  # the first table that holds the word
+    blank = F.when(F.coalesce("_lead", F.lit(True)), F.transform("_ts", lambda t: F.struct(t.alias("t"), F.lit(True).alias("_blank")))).otherwise(F.array())
+    placed = met.select(*PAGE, "word_idx", "text", "x0", "x1", "top", "bottom", "_line", F.inline(F.concat(held, blank))).select("*", "t.*").drop("t")
     index = lambda ps, mid: (F.size(F.filter(ps, lambda p: p <= mid)) - 1).cast("int")
     placed = placed.withColumns({"_c": index("xs", mid_x), "_r": index("ys", mid_y)})
     at = lambda ps, i: F.get(ps, F.col(i))
-    box = {"cx0": at("xs", "_c"), "cx1": F.get("xs", F.col("_c") + 1), "cy0": at("ys", "_r"), "cy1": F.get("ys", F.col("_r") + 1)}
+    placed = placed.withColumns({"cx0": at("xs", "_c"), "cx1": F.get("xs", F.col("_c") + 1), "cy0": at("ys", "_r"), "cy1": F.get("ys", F.col("_r") + 1)})
     wide = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(1e-9))
-    common = lambda a, b, lo, hi: F.greatest(F.least(F.col(b), box[hi]) - F.greatest(F.col(a), box[lo]), F.lit(0.0)) / wide(a, b)
-    accuracy = placed.groupBy(*GRID).agg((100 * F.avg(common("x0", "x1", "cx0", "cx1") * common("top", "bottom", "cy0", "cy1"))).alias("accuracy"))
+    common = lambda a, b, lo, hi: F.greatest(F.least(F.col(b), F.col(hi)) - F.greatest(F.col(a), F.col(lo)), F.lit(0.0)) / wide(a, b)
+    accuracy = placed.where("not _blank").groupBy(*GRID).agg((100 * F.avg(common("x0", "x1", "cx0", "cx1") * common("top", "bottom", "cy0", "cy1"))).alias("accuracy"))
     accuracy = g.select(*GRID).join(accuracy, GRID, "left").select("doc_id", F.lit(method).alias("method"), "page", "table_num", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"))
-    placed = placed.withColumn("col_idx", _nearest_line("vs", "xs", F.col("_c"), box["cy0"], box["cy1"], tol))
-    placed = placed.withColumn("row_idx", _nearest_line("hs", "ys", F.col("_r"), F.get("xs", F.col("col_idx")), F.get("xs", F.col("col_idx") + 1), tol))
-    texts = _cell_texts(placed.select(*GRID, "row_idx", "col_idx", "_line", "x0", "word_idx", "text"))
-    cells = _squares(g).join(texts, [*GRID, "row_idx", "col_idx"], "left")
-    return cells.select("doc_id", F.lit(method).alias("method"), "page", "table_num", "row_idx", "col_idx", F.coalesce("value", F.lit("")).alias("value")), accuracy
+    placed = placed.withColumn("col_idx", _nearest_line("vs", F.col("_c"), F.col("cy0") + tol, F.col("cy1") - tol))
+    placed = placed.withColumn("row_idx", _nearest_line("hs", F.col("_r"), F.get("xs", F.col("col_idx")) + tol, F.get("xs", F.col("col_idx") + 1) - tol))
+    each = F.when(F.col("_blank"), _squares()).otherwise(F.array(F.struct("row_idx", "col_idx")))
+    cells = _cell_texts(placed.select(*GRID, F.when(~F.col("_blank"), F.array(_word())).alias("_ws"), F.inline(each)))
+    return cells.select("doc_id", F.lit(method).alias("method"), "page", "table_num", "row_idx", "col_idx", "value"), accuracy
 
 
-def borderless(words: DataFrame, row_tol: float = 2, edge_tol: float = 50, column_tol: float = 0, word_gap: float = 10, method: str = "camelot_stream") -> tuple[DataFrame, DataFrame]:
+def borderless(words: DataFrame, row_tol: float = 2, edge_tol: float = 50, column_tol: float = 0, word_gap: float = 10, method: str = "camelot_stream", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """S3: (cells, accuracy) of tables without lines.
 
     Rows: tops within ``row_tol`` of the one before. In a row, words with at most ``word_gap`` between make a run. Rows of several runs that
     follow each other, with at most ``edge_tol`` between, make a table of two rows at least. Its columns are those of the runs' projection on
     x: a gap wider than ``column_tol`` in all rows parts two of them; tables of one column are none. No run crosses a column, so accuracy is 100.
     """
-    lined = _lines(words, row_tol)
-    parts = sweep(lined, [*PAGE, "_line"], "x0", "x1", word_gap, "_part")
-    runs = parts.groupBy(*PAGE, "_line", "_part").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.min("top").alias("y0"), F.max("bottom").alias("y1"))
-    rows = runs.groupBy(*PAGE, "_line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count("*").alias("n")).where("n > 1")
+    words = sweep(_lines(_dealt(words, parts), row_tol), [*PAGE, "_line"], "x0", "x1", word_gap, "_part")
+    runs = words.groupBy(*PAGE, "_line", "_part").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.min("top").alias("y0"), F.max("bottom").alias("y1"), F.collect_list(_word()).alias("_ws"))
+    rows = runs.groupBy(*PAGE, "_line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.collect_list(F.struct("left", "right", "_ws")).alias("_runs")).where(F.size("_runs") > 1)
     rows = gap_groups(rows, PAGE, ["_line"], lambda w: F.coalesce((F.col("_line") - F.lag("_line").over(w) > 1) | (F.col("y0") - F.lag("y1").over(w) > edge_tol), F.lit(True)), "_run")
     run = W.partitionBy(*PAGE, "_run")
     rows = rows.withColumns({"row_idx": F.row_number().over(run.orderBy("_line")) - 1, "rows": F.count("*").over(run)}).where("rows > 1")
-    placed = sweep(runs.join(rows.select(*PAGE, "_line", "_run", "row_idx", "rows"), [*PAGE, "_line"]), [*PAGE, "_run"], "left", "right", column_tol, "_col")
-    placed = placed.withColumn("cols", F.max("_col").over(run)).where("cols > 1").withColumn("table_num", F.dense_rank().over(W.partitionBy(*PAGE).orderBy("_run"))).withColumn("col_idx", F.col("_col") - 1)
-    placed = placed.drop("left", "right", "y0", "y1")
-    shape = placed.groupBy(*GRID).agg(F.first("rows").cast("int").alias("r"), F.first("cols").alias("c"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    grid = shape.select(*GRID, "c", every("r").alias("row_idx")).select(*GRID, "row_idx", every("c").alias("col_idx"))
-    texts = _cell_texts(parts.join(placed, [*PAGE, "_line", "_part"]))
-    cells = grid.join(texts, [*GRID, "row_idx", "col_idx"], "left")
-    cells = cells.select("doc_id", F.lit(method).alias("method"), "page", "table_num", "row_idx", "col_idx", F.coalesce("value", F.lit("")).alias("value"))
+    placed = sweep(rows.select(*PAGE, "_run", "row_idx", "rows", F.posexplode("_runs").alias("_i", "_r")).select("*", "_r.*").drop("_r"), [*PAGE, "_run"], "left", "right", column_tol, "_col")
+    placed = placed.withColumn("cols", F.max("_col").over(run)).where("cols > 1").withColumn("table_num", F.dense_rank().over(W.partitionBy(*PAGE).orderBy("_run")))
+    shape = placed.select(*GRID).distinct()
+    own = F.array(F.struct((F.col("_col") - 1).alias("col_idx"), "_ws"))
+    blank = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: F.struct(c.alias("col_idx"), F.lit(None).cast(placed.schema["_ws"].dataType).alias("_ws")))
+    cells = _cell_texts(placed.select(*GRID, "row_idx", F.inline(F.when(F.col("_i") == 0, F.concat(own, blank)).otherwise(own))))  # a row's first run brings all its cells
+    cells = cells.select("doc_id", F.lit(method).alias("method"), "page", "table_num", "row_idx", "col_idx", "value")
     return cells, shape.select("doc_id", F.lit(method).alias("method"), "page", "table_num", F.lit(100.0).alias("accuracy"))
 
 
-def general(words: DataFrame, objects: DataFrame, tol: float = 2) -> DataFrame:
+def general(words: DataFrame, objects: DataFrame, tol: float = 2, parts: int | None = None) -> DataFrame:
     """Cells with headers of the ruled tables that pass their page's gate, renumbered by page."""
-    cells, _ = ruled(words, objects, tol, method="pdfplumber")
-    headed = tb.infer_headers(tb.clean_cells(cells))
-    good = tb.score_tables(headed).where(tb.page_gate(F.col("page"), F.col("content_quality"))).select(*tb.TABLE)
-    good = good.withColumn("_new", F.row_number().over(W.partitionBy("doc_id", "method", "page").orderBy("table_num")))
-    return headed.join(good, tb.TABLE).drop("table_num").withColumnRenamed("_new", "table_num").select(*tb.TABLE, "row_idx", "col_idx", "header", "value")
+    cells, _ = ruled(words, objects, tol, method="pdfplumber", parts=parts)
+    headed = tb.infer_headers(tb.clean_cells(cells, deal=False))
+    good = tb.with_quality(headed).where(tb.page_gate(F.col("page"), F.col("content_quality"))).drop("content_quality")
+    number = F.dense_rank().over(W.partitionBy("doc_id", "method", "page").orderBy("table_num"))
+    return good.withColumn("table_num", number).select(*tb.TABLE, "row_idx", "col_idx", "header", "value")
 
 
 def scan(words: DataFrame, objects: DataFrame, methods: tuple[str, ...] = tb.METHOD_ORDER, least_rows: int = 1, tol: float = 2) -> tuple[DataFrame, DataFrame]:
