@@ -20,9 +20,14 @@ def _text(c):
 
 
 def _files(spark, rows, label: str):
-    """rows(name, order, line) as files: a file's lines in their order."""
-    whole = rows.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "line"))), lambda x: x["line"]), "").alias("text"))
-    return scratch.named_files(whole, scratch.folder(spark, label))
+    """rows(name, order, line) as files: a file's lines in their order, each but the last with a line end."""
+    return scratch.named_lines(rows, scratch.folder(spark, label))
+
+
+def _parts(spark, sf_dir):
+    """The instances' parts, parsed once and kept for the joins of facts with contexts and units."""
+    readers.xbrl_parts(spark, _instances(spark, sf_dir)).write.parquet(path := scratch.folder(spark, "xbrl-parts"))
+    return spark.read.parquet(path)
 
 
 def _instances(spark, sf_dir):
@@ -58,7 +63,7 @@ f AS (SELECT 'group' || g || CASE WHEN g % 2 = 0 THEN '.xml' ELSE '.xbrl' END AS
 @register(_INSTANCES + " SELECT * FROM f UNION ALL SELECT 'broken.xml', 'error' " + ", NULL" * 12)
 def xbrl_facts(spark, sf_dir):
     """Facts with periods and currencies; one context is missing, and a broken file gives an error row."""
-    parts = readers.xbrl_parts(spark, _instances(spark, sf_dir))
+    parts = _parts(spark, sf_dir)
     found = readers.facts(parts).drop("precision", "decimals")
     bad = parts.where("kind = 'error'").select(F.col("file").alias("source_file"), F.col("kind").alias("concept"))
     return found.unionByName(bad, allowMissingColumns=True)
@@ -68,7 +73,7 @@ def xbrl_facts(spark, sf_dir):
 SELECT source_file, concept, numeric_value, unit, period_type, start_date, end_date, instant_date, context_id FROM r""")
 def facts_saved(spark, sf_dir):
     """Relevant facts in their order as CSV, and back."""
-    f = readers.facts(readers.xbrl_parts(spark, _instances(spark, sf_dir)))
+    f = readers.facts(_parts(spark, sf_dir))
     f = f.where(rc.relevant(F.col("concept"), parts=("Liabilities", "Assets"))).select("context_id", "unit", "concept", "source_file", "numeric_value", "start_date", "end_date", "instant_date", "period_type")
     sinks.save_facts(f, path := scratch.folder(spark, "facts"))
     return spark.read.option("header", True).schema("source_file string, concept string, numeric_value double, unit string, period_type string, start_date date, end_date date, instant_date date, context_id string").csv(path)

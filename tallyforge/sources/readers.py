@@ -79,42 +79,95 @@ def named_cells(cells: DataFrame) -> DataFrame:
     return cells.select(name.alias("doc_id"), at["method"].alias("method"), at["page"].alias("page"), at["table_id"].alias("table_num"), "row_idx", "col_idx", "header", F.nullif("value", F.lit("")).alias("value"))
 
 
-def _walk_xbrl(name: str, text: str) -> list[tuple]:
+def _xbrl_row(e, name: str) -> tuple | None:
+    """What an element that has ended says: a context, a unit, a fact or nothing."""
+    local = lambda x: x.tag.rsplit("}", 1)[-1]
+    kind = local(e)
+    if kind == "context":
+        got = {local(x): (x.text or "").strip() for x in e.iter()}
+        seg = ";".join((x.get("dimension") or "") + "=" + (x.text or "").strip() for x in e.iter() if local(x) in ("explicitMember", "typedMember"))
+        return ("context", name, e.get("id"), None, None, None, None, None, got.get("startDate") or None, got.get("endDate") or None, got.get("instant") or None, seg or None, got.get("identifier"))
+    if kind == "unit":
+        return ("unit", name, e.get("id"), None, next(((x.text or "").strip() for x in e.iter() if local(x) == "measure"), None), *[None] * 8)
+    if e.get("contextRef") and (e.text or "").strip():
+        space = e.tag[1:].split("}")[0] if e.tag.startswith("{") else ""
+        return ("fact", name, e.get("contextRef"), kind, e.text.strip(), space, e.get("unitRef"), e.get("decimals"), *[None] * 5)
+    return None
+
+
+def _walk_xbrl(name: str, pieces, some: int = 5_000):
+    """Lists of the rows of one instance, which comes as pieces of text in order; of a bad file only one row of kind ``error``.
+
+    Elements go when they end, unless a context or unit around them is open; rows wait in a temporary file until the instance has ended well. So what is held
+    in memory does not grow with the file.
+    """
+    import pickle
+    import tempfile
     import xml.etree.ElementTree as ET
 
-    local = lambda e: e.tag.rsplit("}", 1)[-1]
-    space = lambda e: e.tag[1:].split("}")[0] if e.tag.startswith("{") else ""
-    out = []
-    try:
-        if "<!DOCTYPE" in text or "<!ENTITY" in text:  # entities may expand without bound
-            raise ET.ParseError("a document type is not accepted")
-        root = ET.fromstring(text)
-    except ET.ParseError as e:
-        return [("error", name, None, None, str(e), *[None] * 8)]
-    for e in root.iter():
-        kind = local(e)
-        if kind == "context":
-            got = {local(x): (x.text or "").strip() for x in e.iter()}
-            seg = ";".join((x.get("dimension") or "") + "=" + (x.text or "").strip() for x in e.iter() if local(x) in ("explicitMember", "typedMember"))
-            out.append(("context", name, e.get("id"), None, None, None, None, None, got.get("startDate") or None, got.get("endDate") or None, got.get("instant") or None, seg or None, got.get("identifier")))
-        elif kind == "unit":
-            measure = next(((x.text or "").strip() for x in e.iter() if local(x) == "measure"), None)
-            out.append(("unit", name, e.get("id"), None, measure, *[None] * 8))
-        elif e.get("contextRef") and (e.text or "").strip():
-            out.append(("fact", name, e.get("contextRef"), kind, e.text.strip(), space(e), e.get("unitRef"), e.get("decimals"), *[None] * 5))
-    return out
+    parser, path, around, rows = ET.XMLPullParser(("start", "end")), [], 0, []
+
+    def take():
+        nonlocal around
+        for event, e in parser.read_events():
+            bound = e.tag.rsplit("}", 1)[-1] in ("context", "unit")
+            if event == "start":
+                path.append(e)
+                around += bound
+                continue
+            path.pop()
+            around -= bound
+            if (row := _xbrl_row(e, name)) is not None:
+                rows.append(row)
+            if not around:
+                del e[:]
+                if path:
+                    del path[-1][:]
+
+    with tempfile.TemporaryFile() as kept:
+        try:
+            for piece in pieces:
+                if "<!DOCTYPE" in piece or "<!ENTITY" in piece:  # entities may expand without bound
+                    raise ET.ParseError("a document type is not accepted")
+                parser.feed(piece)
+                take()
+                if len(rows) >= some:
+                    pickle.dump(rows, kept)
+                    rows.clear()
+            parser.close()
+            take()
+        except ET.ParseError as e:
+            yield [("error", name, None, None, str(e), *[None] * 8)]
+            return
+        last = kept.tell()
+        kept.seek(0)
+        while kept.tell() < last:
+            yield pickle.load(kept)
+        if rows:
+            yield rows
 
 
 def xbrl_parts(spark: SparkSession, path: str, glob: str = "*.x*") -> DataFrame:
-    """Facts, contexts and units of each instance file as rows; a bad file gives one row of kind ``error``."""
+    """Facts, contexts and units of each instance file as rows; a bad file gives one row of kind ``error``.
+
+    A file's lines come to one worker in their order and are parsed as they come; no file is held whole. Spark leaves empty files out.
+    """
     def run(frames):
+        import itertools
+
         import pandas as pd
 
         names = ["kind", "file", "id", "name", "value", "namespace", "unit", "decimals", "start", "end", "instant", "segment", "entity"]
-        for frame in frames:
-            yield pd.DataFrame([r for n, t in zip(frame["file"], frame["text"]) for r in _walk_xbrl(n, t)], columns=names)
-
-    return _files(spark, path, glob).select("file", "text").mapInPandas(run, "kind string, file string, id string, name string, value string, namespace string, unit string, decimals string, start string, `end` string, instant string, segment string, entity string")
+        stretches = ((k, "".join(v + "\n" for v in g["text"])) for frame in frames for k, g in frame.groupby("file_path", sort=False))
+        for at, own in itertools.groupby(stretches, lambda x: x[0]):
+            for rows in _walk_xbrl(at.rsplit("/", 1)[-1], (piece for _, piece in own)):
+                yield pd.DataFrame(rows, columns=names)
+
+    read = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    # within a stretch of a file rows are read in order, so their ids ascend
+    lines = read.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("text"))
+    dealt = lines.repartition("file_path").sortWithinPartitions("file_path", "start", "i").select("file_path", "text")
+    return dealt.mapInPandas(run, "kind string, file string, id string, name string, value string, namespace string, unit string, decimals string, start string, `end` string, instant string, segment string, entity string")
 
 
 def facts(parts: DataFrame) -> DataFrame:

@@ -27,8 +27,18 @@ def folder(spark: SparkSession, label: str) -> str:
 
 def named_files(files: DataFrame, path: str) -> str:
     """Write files(name, text), a row a file, under their own names in ``path``; each ends with one line end. For as many files as one listing holds: they are renamed one by one."""
-    spark = files.sparkSession
     files.select(F.regexp_replace("text", r"\n\z", "").alias("value"), "name").write.partitionBy("name").text(path)
+    return _renamed(files.sparkSession, path)
+
+
+def named_lines(rows: DataFrame, path: str) -> str:
+    """Write rows(name, order, line), a row a line with its line end, as ``named_files`` does: a file's lines are sorted and written one by one, none is held whole."""
+    dealt = rows.select(F.regexp_replace("line", r"\n\z", "").alias("value"), "name", "order").repartition("name").sortWithinPartitions("name", "order")
+    dealt.drop("order").write.partitionBy("name").text(path)
+    return _renamed(rows.sparkSession, path)
+
+
+def _renamed(spark: SparkSession, path: str) -> str:
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

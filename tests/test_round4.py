@@ -1,6 +1,7 @@
 """Plans of the scans and tables: rows are dealt once, and nothing is computed twice."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.plans import registry
 
@@ -20,3 +21,43 @@ def test_tasks_follow_the_rows(spark):
 
     assert parts(spark.range(1000), 10) == 100
     assert parts(spark.range(10), 10) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_an_instance_is_not_held_whole():
+    import tracemalloc
+
+    from tallyforge.sources.readers import _walk_xbrl
+
+    def pieces(n, end="</xbrl>"):
+        yield '<xbrl><context id="c1"><entity><identifier>e</identifier></entity><period><instant>2024-01-01</instant></period></context>\n'
+        for i in range(n):
+            yield f'<group><Revenues\n contextRef="c1"\n unitRef="usd">{i}<note>x</note></Revenues></group>\n'
+        yield end
+
+    tracemalloc.start()
+    kinds = {}
+    for rows in _walk_xbrl("a.xml", pieces(40_000)):
+        for r in rows:
+            kinds[r[0]] = kinds.get(r[0], 0) + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kinds == {"context": 1, "fact": 40_000}
+    assert peak < 12_000_000  # 40,000 facts as a tree and a list take several times that
+    bad = list(_walk_xbrl("b.xml", pieces(20_000, "</oops>")))
+    assert [r[0] for rows in bad for r in rows] == ["error"]
+
+
+def test_instances_over_lines_and_files(spark, tmp_path):
+    from tallyforge.sources.readers import xbrl_parts
+
+    (tmp_path / "x").mkdir()
+    body = '<xbrl>\n<context id="c">\n<period>\n<startDate>2024-01-01</startDate>\n<endDate>2024-02-01</endDate>\n</period></context>\n' + "".join(f'<A contextRef="c"\n>{i}</A>\n' for i in range(3000)) + "</xbrl>"
+    for name in ("a", "b"):
+        (tmp_path / "x" / f"{name}.xml").write_text(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")  # a file is read in several stretches
+    try:
+        got = {(r["file"], r["kind"]): (r["count"], r["values"]) for r in xbrl_parts(spark, str(tmp_path / "x")).groupBy("file", "kind").agg(F.count("*").alias("count"), F.countDistinct("value").alias("values")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {("a.xml", "context"): (1, 0), ("a.xml", "fact"): (3000, 3000), ("b.xml", "context"): (1, 0), ("b.xml", "fact"): (3000, 3000)}
