@@ -9,20 +9,21 @@ def quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, out: st
     """(keys, ``out``): the exact ``q``-quantile of each key's values that are not null, interpolated as ``percentile`` does; null keys are a key.
 
     No task holds a key's values. A sketch of bounded size gives each key of more than ``small`` values two bounds, around the rank by more than
-    the sketch's error; values below them are only counted, equal ones between them are merged, and that remainder is ranked.
+    the sketch's error; values below them are only counted, equal ones between them are merged, and that remainder is ranked. The bounds are broadcast, so values
+    are merged before they are shuffled.
     """
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     room = 2.0 / accuracy + 2.0 / small
     ends = F.percentile_approx("_v", [max(0.0, q - room), min(1.0, q + room)], accuracy)
-    b = base.groupBy(*keys).agg(F.count("*").alias("_n"), ends.alias("_e"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    many = F.col("_n") > small
-    b = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", F.when(many, F.col("_e")[0]).otherwise(F.col("_lo")).alias("_lo"), F.when(many, F.col("_e")[1]).otherwise(F.col("_hi")).alias("_hi"))
+    b = base.groupBy(*keys).agg(F.count("*").alias("_n"), ends.alias("_e")).where(F.col("_n") > small)  # at most a row for each ``small`` rows
+    b = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi"))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    met = base.join(b if keys else F.broadcast(b), same).where("_v <= _hi")  # without keys b is one row
-    c = met.groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
-    c = c.withColumn("_upto", F.sum("_c").over(W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.asc_nulls_first("_v"))))
+    met = base.join(F.broadcast(b), same, "left").where("_hi IS NULL OR _v <= _hi")
+    c = met.groupBy(*keys, "_n", F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    own = W.partitionBy(*(keys or [F.lit(0)]))
+    c = c.withColumns({"_upto": F.sum("_c").over(own.orderBy(F.asc_nulls_first("_v"))), "_n": F.coalesce("_n", F.sum("_c").over(own))})
     at = (F.col("_n") - 1) * F.lit(float(q))
     v = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
     r = c.groupBy(*keys, "_n").agg(v(F.floor(at)).alias("_a"), v(F.ceil(at)).alias("_b"))
