@@ -101,7 +101,7 @@ def severity_counts(found: DataFrame, exact: bool = True) -> DataFrame:
     return with_quantile(counts, found.select(pct.alias("_pct")), [], "_pct", 0.5, "median_pct") if exact else counts
 
 
-def value_range_join(left: DataFrame, right: DataFrame, tolerance: float = 0.1, key: str = "id", value: str = "value", heavy: int = 100_000) -> DataFrame:
+def value_range_join(left: DataFrame, right: DataFrame, tolerance: float = 0.1, key: str = "id", value: str = "value", heavy: int = 100_000, pairs: int = 20_000_000) -> DataFrame:
     """Pairs whose values differ by at most ``tolerance`` of the larger, as an equi-join on logarithmic buckets.
 
     A bucket is as wide as the tolerance, so partners lie in the same or a neighbouring one: the right side is given
@@ -115,13 +115,17 @@ def value_range_join(left: DataFrame, right: DataFrame, tolerance: float = 0.1,
     b = right.select(F.col(key).alias("right_id"), F.col(value).alias("v")).where("v IS NOT NULL").select("right_id", F.col("v").alias("right_value"), F.signum("v").alias("s"), bucket.alias("b0")).select("*", F.explode(F.sequence(F.col("b0") - 1, F.col("b0") + 1)).alias("b")).drop("b0")
     larger = F.greatest(F.abs("left_value"), F.abs("right_value"))
     counts = a.groupBy("s", "b").agg(F.count("*").alias("n"))
-    limit = counts.agg(F.greatest(F.lit(heavy), F.ceil(F.sum("n") / 10_000)).alias("limit"))
-    large = F.broadcast(counts.join(F.broadcast(limit), F.lit(True)).where("n > limit").select("s", "b", F.ceil(F.col("n") / F.col("limit")).alias("parts")))  # under 10,000 rows
+    sizes = counts.join(b.groupBy("s", "b").agg(F.count("*").alias("m")), ["s", "b"], "left").withColumn("k", F.col("n") * F.coalesce("m", F.lit(0)))
+    rows, met = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+    limit, most = max(heavy, -(-rows // 10_000)), max(pairs, -(-met // 10_000))
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // pairs))
+    large = F.broadcast(sizes.where((F.col("n") > limit) | (F.col("k") > most)).select("s", "b", F.greatest(F.ceil(F.col("n") / limit), F.ceil(F.col("k") / most)).alias("parts")))  # under 20,000 rows
     parts = F.coalesce("parts", F.lit(1))
     a = a.join(large, ["s", "b"], "left").withColumn("part", F.pmod(F.xxhash64("left_id"), parts)).drop("parts")
     b = b.join(large, ["s", "b"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    pairs = a.join(b, ["s", "b", "part"]).where(F.abs(F.col("left_value") - F.col("right_value")) <= tolerance * larger)
-    return pairs.select("left_id", "right_id", "left_value", "right_value", F.when(F.col("left_value") == F.col("right_value"), "Exact").otherwise("Close").alias("quality"))
+    a, b = (x.repartition(tasks, "s", "b", "part") for x in (a, b))
+    found = a.join(b, ["s", "b", "part"]).where(F.abs(F.col("left_value") - F.col("right_value")) <= tolerance * larger)
+    return found.select("left_id", "right_id", "left_value", "right_value", F.when(F.col("left_value") == F.col("right_value"), "Exact").otherwise("Close").alias("quality"))
 
 
 def range_partners(left: DataFrame, right: DataFrame, tolerance: float = 0.1, key: str = "id", value: str = "value") -> DataFrame:
@@ -134,21 +138,23 @@ def range_partners(left: DataFrame, right: DataFrame, tolerance: float = 0.1, ke
     return left.join(counts, left[value] == counts["left_value"], "left").select(F.col(key), F.col(value), F.coalesce("partners", F.lit(0)).alias("partners"))
 
 
-def nearest_values(truth: DataFrame, parsed: DataFrame, key: str = "key") -> DataFrame:
+def nearest_values(truth: DataFrame, parsed: DataFrame, key: str = "key", parts: int | None = None) -> DataFrame:
     """(key, truth, below, above, least): for each distinct truth (key, truth) the nearest parsed values (key, value) on both sides, and the key's least.
 
     Truths and values are sorted together, and a truth takes the last value before it and the first behind it: no pairs of them are made.
     A key's numbers are dealt by magnitude (a bucket spans a twelfth part of it), so that a frequent key is sorted in many
-    tasks; only the ends of buckets, some thousands a key at most, are ranked by key.
+    tasks, ``parts`` of them if given; only the ends of buckets, some thousands a key at most, are ranked by key.
     """
+    dealt = lambda df, *cols: df.repartition(parts, *cols) if parts else df
     size = F.floor(F.log2(F.abs("p")) * 8) + 10_000
-    u = truth.select(key, F.col("truth").cast("double").alias("p"), F.lit(1).alias("side")).distinct().unionByName(parsed.where(F.col("value").isNotNull()).select(key, F.col("value").cast("double").alias("p"), F.lit(0).alias("side")).distinct())
-    u = u.withColumn("_b", F.when(F.col("p") == 0, F.lit(0)).when(F.col("p") > 0, size).otherwise(-size)).withColumn("v", F.when(F.col("side") == 0, F.col("p")))
+    u = truth.select(key, F.col("truth").cast("double").alias("p"), F.lit(1).alias("side")).unionByName(parsed.where(F.col("value").isNotNull()).select(key, F.col("value").cast("double").alias("p"), F.lit(0).alias("side")))
+    u = u.withColumn("_b", F.when(F.col("p") == 0, F.lit(0)).when(F.col("p") > 0, size).otherwise(-size))
+    u = dealt(u, key, "_b").distinct().withColumn("v", F.when(F.col("side") == 0, F.col("p")))
     by_key = W.partitionBy(key).orderBy("_b")
-    ends = u.groupBy(key, "_b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = dealt(u.groupBy(key, "_b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("side").alias("_asked")), key)
     ends = ends.select(
-        key, "_b", F.last("hi", True).over(by_key.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("lo", True).over(by_key.rowsBetween(1, W.unboundedFollowing)).alias("_behind"), F.min("lo").over(W.partitionBy(key)).alias("least"),
-    )
+        key, "_b", F.last("hi", True).over(by_key.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("lo", True).over(by_key.rowsBetween(1, W.unboundedFollowing)).alias("_behind"), F.min("lo").over(W.partitionBy(key)).alias("least"), "_asked",
+    ).where("_asked = 1").drop("_asked")  # buckets without a truth are done with
     inside = W.partitionBy(key, "_b").orderBy("p", "side")
     u = u.withColumns({"_lo": F.last("v", True).over(inside.rowsBetween(W.unboundedPreceding, 0)), "_hi": F.first("v", True).over(inside.rowsBetween(0, W.unboundedFollowing))}).where("side = 1")
     e = ends.withColumnRenamed(key, "_k")
@@ -156,11 +162,11 @@ def nearest_values(truth: DataFrame, parsed: DataFrame, key: str = "key") -> Dat
     return met.select(key, F.col("p").alias("truth"), F.coalesce("_lo", "_before").alias("below"), F.coalesce("_hi", "_behind").alias("above"), "least")
 
 
-def best_match(truth: DataFrame, parsed: DataFrame, key: str = "key") -> DataFrame:
+def best_match(truth: DataFrame, parsed: DataFrame, key: str = "key", parts: int | None = None) -> DataFrame:
     """Per truth (key, truth) the most accurate parsed value (key, value) and its class; ties go to the smaller value."""
     acc = lambda v: F.when(F.col("truth") == 0, (v == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(v - F.col("truth")) / F.abs("truth")))
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(acc(F.col(c)).alias("accuracy"), (-F.col(c)).alias("minus")))
-    near = nearest_values(truth, parsed, key)
+    near = nearest_values(truth, parsed, key, parts)
     best = F.array_max(F.filter(F.array(option("below"), option("above"), option("least")), lambda x: x.isNotNull() & x["accuracy"].isNotNull()))
     best = near.withColumn("b", best).select(key, "truth", (-F.col("b.minus")).alias("value"), F.round(F.coalesce("b.accuracy", F.lit(0.0)), 6).alias("accuracy"))
     return best.withColumn("match", F.when(F.col("accuracy") >= 0.9, "match").when(F.col("accuracy") >= 0.5, "near").otherwise("missing"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
 from ..operators import bench, quality, reconcile as rc, tables as tb
-from .common import r6, registrar, table
+from .common import parts, r6, registrar, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -181,7 +181,7 @@ SELECT k AS key, round(acc, 6) AS accuracy, v AS value, CASE WHEN round(acc, 6)
 def best_truth_match(spark, sf_dir):
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 40 + 10).cast("double").alias("truth"))
     p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("value"))
-    return rc.best_match(t, p).select("key", "accuracy", "value", "match")
+    return rc.best_match(t, p, parts=parts(table(spark, sf_dir, "lineitem"), 500_000)).select("key", "accuracy", "value", "match")
 
 
 @register("""
