@@ -215,11 +215,12 @@ def strategies(labels: DataFrame, concepts: DataFrame, synonyms: DataFrame, leas
     return labels.join(best, "clean_label", "left").withColumn("method", F.coalesce("method", F.lit("none"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, least: float = 0.0, corpus: DataFrame | None = None) -> DataFrame:
+def tfidf(docs: DataFrame, queries: DataFrame, least: float = 0.0, corpus: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Best document by TF-IDF cosine for each query: docs(doc, token), queries(query, token), one row a token occurrence.
 
     Smooth idf: ln((1 + n) / (1 + df)) + 1 over ``docs``, or over ``corpus`` (doc, token), which then holds the words of ``docs`` too;
-    words outside it do not count. Pairs meet on shared tokens only; a query that shares none gets no row.
+    words outside it do not count. Pairs meet on shared tokens only; a query that shares none gets no row. Queries are dealt over ``parts`` tasks, if given: a
+    task holds its queries' pairs.
     """
     corpus = docs if corpus is None else corpus
     pairs = corpus.distinct()
@@ -228,15 +229,15 @@ def tfidf(docs: DataFrame, queries: DataFrame, least: float = 0.0, corpus: DataF
     small = pairs.limit(SMALL_POSTINGS + 1).count() <= SMALL_POSTINGS
     near = F.broadcast if small else lambda df: df
 
-    def weigh(df, key):
+    def weigh(df, key, parts=None):
         if small:  # tokens that docs have are dealt by their text once, and all else is done there: no token is a task of its own
-            tf = df.join(near(idf), "token").repartition(key).groupBy(key, "token", "idf").agg(F.count("*").alias("tf"))
+            tf = df.join(near(idf), "token").repartition(*([parts] if parts else []), key).groupBy(key, "token", "idf").agg(F.count("*").alias("tf"))
         else:
             tf = df.groupBy(key, "token").agg(F.count("*").alias("tf")).join(idf, "token")
         tf = tf.withColumn("w", F.col("tf") * F.col("idf"))
         return tf.select(key, "token", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).alias("w"))
 
-    d, q = weigh(docs, "doc"), weigh(queries, "query")
+    d, q = weigh(docs, "doc"), weigh(queries, "query", parts)
     dots = q.withColumnRenamed("w", "wq").join(near(d), "token").groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("cosine"))
     return dots.where(F.col("cosine") >= least).groupBy("query").agg(F.min_by(F.struct("doc", "cosine"), F.struct(-F.col("cosine"), "doc")).alias("b")).select("query", "b.doc", "b.cosine")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import mapping, quality, records
-from .common import r6, registrar, table
+from .common import parts, r6, registrar, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -313,7 +313,7 @@ def label_tfidf_map(spark, sf_dir):
     """Turns of conversations against benchmark, null for one without a match."""
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"), "text")
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.explode(tx.tokens(F.col("text"))).alias("token"))
-    best = mapping.tfidf(docs, c.select("query", F.explode(tx.tokens(F.col("text"))).alias("token")))
+    best = mapping.tfidf(docs, c.select("query", F.explode(tx.tokens(F.col("text"))).alias("token")), parts=parts(c, 500))
     return c.select("query").distinct().join(best, "query", "left").select("query", "doc", "cosine")
 
 
@@ -330,7 +330,7 @@ def document_tfidf_map(spark, sf_dir):
     """T6 over all words of whole documents against benchmark, null for a document without a match."""
     d = table(spark, sf_dir, "documents")
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.explode(tx.tokens(F.col("text"))).alias("token"))
-    best = mapping.tfidf(docs, d.select(F.col("doc_id").alias("query"), F.explode(tx.tokens(F.col("text"))).alias("token")))
+    best = mapping.tfidf(docs, d.select(F.col("doc_id").alias("query"), F.explode(tx.tokens(F.col("text"))).alias("token")), parts=parts(d, 500))
     return d.select(F.col("doc_id").alias("query")).join(best, "query", "left").select("query", "doc", "cosine")
 
 

@@ -61,3 +61,39 @@ def test_instances_over_lines_and_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {("a.xml", "context"): (1, 0), ("a.xml", "fact"): (3000, 3000), ("b.xml", "context"): (1, 0), ("b.xml", "fact"): (3000, 3000)}
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_quantiles_merge_values_before_the_shuffle(spark, unbroadcast):
+    from tallyforge.operators import quantiles
+
+    df = spark.range(10_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 100).cast("double").alias("v"))
+    found = quantiles.quantile(df, ["k"], "v", small=1000, accuracy=1000)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: r["quantile"] for r in found.collect()} == {0: 49.5, 1: 49.5, 2: 49.5}
+
+
+def test_few_rows_with_many_pairs_take_many_tasks(spark):
+    from tallyforge.operators import reconcile as rc
+
+    a = spark.range(300).select("id", F.lit(100.0).alias("value"))
+    found = rc.value_range_join(a, a, 0.1, pairs=5_000)
+    assert found.count() == 90_000 and found.select("left_id").distinct().count() == 300
+    assert found.rdd.getNumPartitions() >= 18
+
+
+def test_truths_and_queries_are_dealt_over_the_tasks_given(spark):
+    from tallyforge.operators import mapping, reconcile as rc
+
+    t, p = spark.range(50).select(F.col("id").alias("key"), F.lit(10.0).alias("truth")), spark.range(200).select((F.col("id") % 40).alias("key"), (F.col("id") % 23).cast("double").alias("value"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(rc.best_match(t, p, parts=9)) == rows(rc.best_match(t, p))
+    docs, queries = (spark.createDataFrame([(i, w) for i in range(20) for w in (f"w{i % 5}", "all")], f"{n} long, token string") for n in ("doc", "query"))
+    assert rows(mapping.tfidf(docs, queries, parts=9)) == rows(mapping.tfidf(docs, queries))
