@@ -273,12 +273,19 @@ def page_hash(a: np.ndarray) -> str:
     return np.packbits((sums > sums.mean()).ravel()).tobytes().hex()
 
 
+def _slices(batches, rows: int = 64):
+    """Batches in pieces of some rows: texts and files stand in Python's memory by the piece, not by Spark's batch."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def pages(media: DataFrame, id_col: str, blob_col: str) -> DataFrame:
     """One row a page: (id, page, width, height, samples, compression, predictor, tiled, n_bytes, mean, page_hash, error)."""
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for key, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if blob is None:
@@ -320,7 +327,7 @@ def text_media(docs: DataFrame, id_col="doc_id", text_col="text", compression: i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             made = [store_text(t, compression=compression) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], [id_col, "n_bytes", "media"])
 
