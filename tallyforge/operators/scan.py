@@ -1,7 +1,7 @@
 """Tables from positioned words and drawn objects: ruled, borderless and general scans.
 
-All pages of all documents go through one plan: segments, grids and words meet by page and table keys, positions by sweeps in windows.
-Only what is drawn on one page, and the lines of one table, are bounded groups.
+All pages of all documents go through one plan: the ruled and the general scan over whole pages in numpy (``page_grids``), the borderless one by
+sweeps in windows. What stands on one page is a bounded group.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from . import tables as tb
+from . import page_grids as pg, tables as tb
 from .layout import PAGE, gap_groups
 
 GRID = [*PAGE, "table_num"]
@@ -30,63 +30,34 @@ def _dealt(df: DataFrame, parts: int | None) -> DataFrame:
     return df.repartition(parts, *PAGE) if parts else df.repartition(*PAGE)
 
 
-def edges(objects: DataFrame, thin: float = 2, snap: float = 2, join: float = 2, parts: int | None = None) -> DataFrame:
-    """Drawn objects (doc_id, page, kind, x0, top, x1, bottom) to edges (doc_id, page, axis, at, lo, hi).
-
-    Lines and thin boxes are one edge, other rectangles four; slanted lines, curves and images none. Positions that follow
-    each other within ``snap`` become one, halfway between the first and the last; edges at one position that meet, or nearly (``join``), become one.
-    """
-    def edge(axis, at, lo, hi):
-        return F.struct(F.lit(axis).alias("axis"), F.col(at).cast("double").alias("at"), F.col(lo).cast("double").alias("lo"), F.col(hi).cast("double").alias("hi"))
-
-    flat, upright = F.col("bottom") - F.col("top") <= thin, F.col("x1") - F.col("x0") <= thin
-    h, v = edge("h", "top", "x0", "x1"), edge("v", "x0", "top", "bottom")
-    four = F.array(h, edge("h", "bottom", "x0", "x1"), v, edge("v", "x1", "top", "bottom"))
-    each = F.when(flat & ~upright, F.array(h)).when(upright & ~flat, F.array(v)).when((F.col("kind") == "rect") & ~flat & ~upright, four)
-    drawn = _dealt(objects.where(F.col("kind").isin("line", "rect")).select(*PAGE, F.inline(each)), parts)
-    line = [*PAGE, "axis", "_p"]
-    drawn = gap_groups(drawn, [*PAGE, "axis"], ["at", "lo"], lambda w: F.coalesce(F.col("at") - F.lag("at").over(w) > snap, F.lit(True)), "_p")
-    merged = sweep(drawn, line, "lo", "hi", join, "_s").groupBy(*line, "_s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("at").alias("_from"), F.max("at").alias("_to"))
-    whole = W.partitionBy(*line)  # over what is left after merging
-    return merged.select(*PAGE, "axis", ((F.min("_from").over(whole) + F.max("_to").over(whole)) / 2).alias("at"), "lo", "hi")
-
+_TYPES = {"ws": "array<struct<word_idx: bigint, text: string, x0: double, x1: double, top: double, bottom: double>>", "os": "array<struct<kind: string, x0: double, top: double, x1: double, bottom: double>>"}
+_FIELDS = {"ws": ["word_idx", "text", "x0", "x1", "top", "bottom"], "os": ["kind", "x0", "top", "x1", "bottom"]}
 
-def separated(found: DataFrame, tol: float) -> DataFrame:
-    """Edges with ``_t``: what blank bands separate, down, then across, then down again, is apart."""
-    h = F.col("axis") == "h"
-    found = found.withColumns({"_x0": F.when(h, F.col("lo")).otherwise(F.col("at")), "_x1": F.when(h, F.col("hi")).otherwise(F.col("at")), "_y0": F.when(h, F.col("at")).otherwise(F.col("lo")), "_y1": F.when(h, F.col("at")).otherwise(F.col("hi"))})
-    found = sweep(found, PAGE, "_y0", "_y1", tol, "_a")
-    found = sweep(found, [*PAGE, "_a"], "_x0", "_x1", tol, "_b")
-    found = sweep(found, [*PAGE, "_a", "_b"], "_y0", "_y1", tol, "_c")
-    return found.withColumn("_t", F.struct("_a", "_b", "_c")).drop("_a", "_b", "_c", "_x0", "_x1", "_y0", "_y1")
 
+def pieces(words: DataFrame | None, objects: DataFrame, parts: int | None = None) -> DataFrame:
+    """Words and drawn objects as pieces of pages (doc_id, page, ws, os), dealt by page."""
+    def side(df, own):
+        return df.select(*PAGE, *[(F.array(F.struct(*_FIELDS[c])) if c == own else F.array()).cast(t).alias(c) for c, t in _TYPES.items()])
 
-def grids(found: DataFrame, tol: float = 2) -> DataFrame:
-    """(doc_id, page, table_num, xs, ys, hs, vs): the positions of edges that cross others, two of each kind at least, and all edges (at, lo, hi) of the table."""
-    near = separated(found, tol).withColumn("_e", F.struct("at", "lo", "hi", (F.col("lo") - tol).alias("from"), (F.col("hi") + tol).alias("to")))
-    side = lambda axis: F.sort_array(F.collect_list(F.when(F.col("axis") == axis, F.col("_e")))).alias(f"{axis}s")
-    g = near.groupBy(*PAGE, "_t").agg(side("h"), side("v"))
-    within = lambda a, b: (a["at"] >= b["from"]) & (a["at"] <= b["to"])
-    crossing = lambda own, others: F.array_distinct(F.transform(F.filter(own, lambda x: F.exists(others, lambda y: within(x, y) & within(y, x))), lambda x: x["at"]))
-    g = g.withColumns({"xs": crossing("vs", "hs"), "ys": crossing("hs", "vs")}).where((F.size("xs") > 1) & (F.size("ys") > 1))
-    return g.select(*PAGE, F.row_number().over(W.partitionBy(*PAGE).orderBy(F.get("ys", F.lit(0)), F.get("xs", F.lit(0)), "_t")).alias("table_num"), "xs", "ys", "hs", "vs")
+    drawn = side(objects.where(F.col("kind").isin("line", "rect")), "os")
+    return _dealt(drawn if words is None else side(words, "ws").unionByName(drawn), parts)
 
 
-def _squares():
-    """The places of all smallest cells of a grid with the positions ``xs`` and ``ys``."""
-    upto = lambda c: F.sequence(F.lit(0), F.size(c) - 2)
-    return F.flatten(F.transform(upto("ys"), lambda r: F.transform(upto("xs"), lambda c: F.struct(r.alias("row_idx"), c.alias("col_idx")))))
+def _over_pages(of: DataFrame, scan, columns: str, *args) -> DataFrame:
+    """``scan`` of ``page_grids`` over pieces. The count makes Spark bring a page's pieces next to each other, where they do not stand so."""
+    rows = of.select(*PAGE, *[F.col(c).cast(t).alias(c) for c, t in _TYPES.items()]).withColumn("_n", F.count("*").over(W.partitionBy(*PAGE)))
+    keys = [f"`{c}` {of.schema[c].dataType.simpleString()}" for c in PAGE]
+    names = [*PAGE, *(c.split()[0] for c in columns.split(", "))]
+    return rows.mapInArrow(pg.mapper(scan, names, *args), ", ".join([*keys, columns]))
 
 
-def _stops(lines: str, at: str):
-    """The lines that stand at positions of the grid, each with its position's index."""
-    return F.filter(F.transform(lines, lambda x: F.struct((F.array_position(F.col(at), x["at"]) - 1).cast("int").alias("k"), x["lo"].alias("lo"), x["hi"].alias("hi"))), lambda x: x["k"] > 0)
-
+def edges(objects: DataFrame, thin: float = 2, snap: float = 2, join: float = 2, parts: int | None = None) -> DataFrame:
+    """Drawn objects (doc_id, page, kind, x0, top, x1, bottom) to edges (doc_id, page, axis, at, lo, hi).
 
-def _nearest_line(stops: str, index, low, high):
-    """The last position up to ``index`` where a line stands that covers ``low`` to ``high``; the first position counts as one."""
-    found = F.filter(stops, lambda x: (x["k"] <= index) & (x["lo"] <= low) & (x["hi"] >= high))
-    return F.coalesce(F.array_max(F.transform(found, lambda x: x["k"])), F.lit(0))
+    Lines and thin boxes are one edge, other rectangles four; slanted lines, curves and images none. Positions that follow
+    each other within ``snap`` become one, halfway between the first and the last; edges at one position that meet, or nearly (``join``), become one.
+    """
+    return _over_pages(pieces(None, objects, parts), pg.edges, "axis string, at double, lo double, hi double", thin, snap, join)
 
 
 def _lines(words: DataFrame, row_tol: float) -> DataFrame:
@@ -113,32 +84,16 @@ def ruled(words: DataFrame, objects: DataFrame, tol: float = 2, row_tol: float =
     Edges that cross make a grid; a word goes to the square that holds its middle, and where no line parts that from the square to its left or
     above, to the first square of the span. Every square has a row; empty ones hold an empty text. accuracy: the mean share of a word's
     box inside its square, in per cent; 0 for a table without words.
-
-    Words meet their page's tables in one pass; the page's first row, which stands also where there are no words, brings the squares.
     """
-    g = grids(edges(objects, tol, tol, tol, parts), tol)
-    mid_x, mid_y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    first, last = lambda c: F.get(c, F.lit(0)), lambda c: F.element_at(c, -1)
-    tables = g.select(*PAGE, F.struct("table_num", "xs", "ys", _stops("hs", "ys").alias("hs"), _stops("vs", "xs").alias("vs")).alias("t")).groupBy(*PAGE).agg(F.sort_array(F.collect_list("t")).alias("_ts"))
-    inside = lambda t: (mid_x >= first(t["xs"])) & (mid_x < last(t["xs"])) & (mid_y >= first(t["ys"])) & (mid_y < last(t["ys"]))
-    lead = F.row_number().over(W.partitionBy(*PAGE).orderBy("top", "x0", "word_idx")) == 1
-    met = _lines(_dealt(words, parts), row_tol).withColumn("_lead", lead).join(tables, PAGE, "right")
-    held = F.transform(F.slice(F.filter("_ts", inside), 1, 1), lambda t: F.struct(t.alias("t"), F.lit(False).alias("_blank")))  # the first table that holds the word
-    blank = F.when(F.coalesce("_lead", F.lit(True)), F.transform("_ts", lambda t: F.struct(t.alias("t"), F.lit(True).alias("_blank")))).otherwise(F.array())
-    placed = met.select(*PAGE, "word_idx", "text", "x0", "x1", "top", "bottom", "_line", F.inline(F.concat(held, blank))).select("*", "t.*").drop("t")
-    index = lambda ps, mid: (F.size(F.filter(ps, lambda p: p <= mid)) - 1).cast("int")
-    placed = placed.withColumns({"_c": index("xs", mid_x), "_r": index("ys", mid_y)})
-    at = lambda ps, i: F.get(ps, F.col(i))
-    placed = placed.withColumns({"cx0": at("xs", "_c"), "cx1": F.get("xs", F.col("_c") + 1), "cy0": at("ys", "_r"), "cy1": F.get("ys", F.col("_r") + 1)})
-    wide = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(1e-9))
-    common = lambda a, b, lo, hi: F.greatest(F.least(F.col(b), F.col(hi)) - F.greatest(F.col(a), F.col(lo)), F.lit(0.0)) / wide(a, b)
-    accuracy = placed.where("not _blank").groupBy(*GRID).agg((100 * F.avg(common("x0", "x1", "cx0", "cx1") * common("top", "bottom", "cy0", "cy1"))).alias("accuracy"))
-    accuracy = g.select(*GRID).join(accuracy, GRID, "left").select("doc_id", F.lit(method).alias("method"), "page", "table_num", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"))
-    placed = placed.withColumn("col_idx", _nearest_line("vs", F.col("_c"), F.col("cy0") + tol, F.col("cy1") - tol))
-    placed = placed.withColumn("row_idx", _nearest_line("hs", F.col("_r"), F.get("xs", F.col("col_idx")) + tol, F.get("xs", F.col("col_idx") + 1) - tol))
-    each = F.when(F.col("_blank"), _squares()).otherwise(F.array(F.struct("row_idx", "col_idx")))
-    cells = _cell_texts(placed.select(*GRID, F.when(~F.col("_blank"), F.array(_word())).alias("_ws"), F.inline(each)))
-    return cells.select("doc_id", F.lit(method).alias("method"), "page", "table_num", "row_idx", "col_idx", "value"), accuracy
+    return ruled_pages(pieces(words, objects, parts), tol, row_tol, method)
+
+
+def ruled_pages(of: DataFrame, tol: float = 2, row_tol: float = 2, method: str = "camelot_lattice") -> tuple[DataFrame, DataFrame]:
+    """``ruled`` over pieces of pages; a row may hold any part of a page's words and objects."""
+    cells = _over_pages(of, pg.cells, "table_num int, row_idx int, col_idx int, value string", tol, row_tol)
+    accuracy = _over_pages(of, pg.accuracy, "table_num int, accuracy double", tol, row_tol)
+    named = ["doc_id", F.lit(method).alias("method"), "page", "table_num"]
+    return cells.select(*named, "row_idx", "col_idx", "value"), accuracy.select(*named, "accuracy")
 
 
 def borderless(words: DataFrame, row_tol: float = 2, edge_tol: float = 50, column_tol: float = 0, word_gap: float = 10, method: str = "camelot_stream", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -166,11 +121,13 @@ def borderless(words: DataFrame, row_tol: float = 2, edge_tol: float = 50, colum
 
 def general(words: DataFrame, objects: DataFrame, tol: float = 2, parts: int | None = None) -> DataFrame:
     """Cells with headers of the ruled tables that pass their page's gate, renumbered by page."""
-    cells, _ = ruled(words, objects, tol, method="pdfplumber", parts=parts)
-    headed = tb.infer_headers(tb.clean_cells(cells, deal=False))
-    good = tb.with_quality(headed).where(tb.page_gate(F.col("page"), F.col("content_quality"))).drop("content_quality")
-    number = F.dense_rank().over(W.partitionBy("doc_id", "method", "page").orderBy("table_num"))
-    return good.withColumn("table_num", number).select(*tb.TABLE, "row_idx", "col_idx", "header", "value")
+    return general_pages(pieces(words, objects, parts), tol)
+
+
+def general_pages(of: DataFrame, tol: float = 2, row_tol: float = 2) -> DataFrame:
+    """``general`` over pieces of pages, in the scan's own pass: headers, quality and the gate need no more than a page's tables."""
+    cells = _over_pages(of, pg.headed_cells, "table_num int, row_idx int, col_idx int, header string, value string", tol, row_tol, list(tb.MISSING), tb.PAGE_GATE)
+    return cells.select("doc_id", F.lit("pdfplumber").alias("method"), "page", "table_num", "row_idx", "col_idx", "header", "value")
 
 
 def scan(words: DataFrame, objects: DataFrame, methods: tuple[str, ...] = tb.METHOD_ORDER, least_rows: int = 1, tol: float = 2) -> tuple[DataFrame, DataFrame]:
