@@ -1,8 +1,8 @@
 """The ruled scan of many pages at once: numpy over Arrow batches, no loop over pages, words or lines.
 
-Rows come as pieces of pages (doc_id, page, ws, os: arrays of words and of drawn objects), all of a page's next to each other. Batches are put together
-until they hold some ``LEAST`` words and objects; the last page waits for the next batch, as it may go on there. Groups are runs of sorted rows: a page, a
-line's position, a table, a cell.
+Rows come as pieces of pages, all of a page's next to each other: ``WORDS`` and ``OBJECTS`` are arrays, a place in each for a word or a drawn object.
+Batches are put together until they hold some ``LEAST`` words and objects; the last page waits for the next batch, as it may go on there. Groups are runs
+of sorted rows: a page, a line's position, a table, a cell.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 
 from ..functions.text import WHITE
 
+WORDS = {"word_idx": "bigint", "text": "string", "word_x0": "double", "word_x1": "double", "word_top": "double", "word_bottom": "double"}
+#: Lines and boxes (``box``); what lacks a place is none.
+OBJECTS = {"box": "boolean", "x0": "double", "top": "double", "x1": "double", "bottom": "double"}
 LEAST = 200_000
 #: Cells written at a time, and pairs of lines compared at a time.
 CELLS, PAIRS = 200_000, 2_000_000
@@ -180,18 +183,15 @@ class _Grids:
         return index
 
 
-def _children(lists):
-    """(row of each struct in a column of arrays, the structs' fields); structs that are null are left out."""
-    rows, items = pc.list_parent_indices(lists), lists.flatten()
-    if items.null_count:
-        rows, items = rows.filter(items.is_valid()), items.filter(items.is_valid())
-    return rows.to_numpy(), dict(zip([f.name for f in items.type], items.flatten()))
-
-
 def _numbers(column):
     return column.to_numpy(zero_copy_only=False)
 
 
+def _rows(batch, column):
+    """The row of each element of a column of arrays."""
+    return pc.list_parent_indices(batch.column(column)).to_numpy()
+
+
 def _pages(batch):
     """Each row's page, numbered, and each page's first row."""
     codes = [_numbers(pc.dictionary_encode(batch.column(c), null_encoding="encode").indices) for c in ("doc_id", "page")]
@@ -200,19 +200,16 @@ def _pages(batch):
 
 
 def _found_edges(batch, page, tol):
-    rows, o = _children(batch.column("os"))
-    rect = _numbers(pc.fill_null(pc.equal(o["kind"], "rect"), False))
-    drawn = rect | _numbers(pc.fill_null(pc.equal(o["kind"], "line"), False))
-    coords = [_numbers(o[c])[drawn] for c in ("x0", "top", "x1", "bottom")]
-    return _edges(page[rows][drawn], rect[drawn], *coords, *tol)
+    box = _numbers(pc.fill_null(batch.column("box").flatten(), False))
+    return _edges(page[_rows(batch, "box")], box, *(_numbers(batch.column(c).flatten()) for c in ("x0", "top", "x1", "bottom")), *tol)
 
 
 class _Placed:
     """Words in tables: ``t`` the table, ``r`` and ``c`` the smallest cell that holds a word's middle, ``line`` the word's line on the page."""
 
     def __init__(self, batch, page, g: _Grids, row_tol: float):
-        rows, w = _children(batch.column("ws"))
-        top = _numbers(w["top"])
+        rows, w = _rows(batch, "text"), {c: batch.column(c).flatten() for c in WORDS}
+        top = _numbers(w["word_top"])
         known = ~np.isnan(top)
         if batch.column("doc_id").null_count or batch.column("page").null_count:  # a page without a name holds no words
             known &= (_numbers(batch.column("doc_id").is_valid()) & _numbers(batch.column("page").is_valid()))[rows]
@@ -222,7 +219,7 @@ class _Placed:
         begins = _changes(page)
         begins[1:] |= top[1:] - top[:-1] > row_tol
         line = np.cumsum(begins) - 1
-        x0, x1, bottom = (_numbers(w[c])[order] for c in ("x0", "x1", "bottom"))
+        x0, x1, bottom = (_numbers(w[c])[order] for c in ("word_x0", "word_x1", "word_bottom"))
         x, y = (x0 + x1) / 2, (top + bottom) / 2
         t = g.holding(page, x, y)
         i = np.flatnonzero(t >= 0)
@@ -319,7 +316,7 @@ def cells(batch, tol, row_tol):
 def headed_cells(batch, tol, row_tol, missing, gate):
     """(doc_id, page, table_num, row_idx, col_idx, header, value): cleaned cells with headers of the tables that pass their page's gate, renumbered by page.
 
-    What ``tables.clean_cells``, ``infer_headers``, ``with_quality`` and ``page_gate`` do to cells none of which is null; whole tables at a time.
+    What ``tables.clean_cells``, ``infer_headers``, ``score_tables`` (the quality) and ``page_gate`` do to cells none of which is null; whole tables at a time.
     """
     g, w, first = _scanned(batch, tol, row_tol)
     cell, texts = _cell_texts(w, g, tol)
@@ -367,7 +364,7 @@ def mapper(scan, names, *args, least: int | None = None):
     least = least or LEAST
 
     def size(batch):
-        return sum(len(batch.column(c).flatten()) for c in ("ws", "os")) + batch.num_rows
+        return sum(len(batch.column(c).flatten()) for c in ("text", "box")) + batch.num_rows
 
     def whole(held):
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]

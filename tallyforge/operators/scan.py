@@ -30,22 +30,21 @@ def _dealt(df: DataFrame, parts: int | None) -> DataFrame:
     return df.repartition(parts, *PAGE) if parts else df.repartition(*PAGE)
 
 
-_TYPES = {"ws": "array<struct<word_idx: bigint, text: string, x0: double, x1: double, top: double, bottom: double>>", "os": "array<struct<kind: string, x0: double, top: double, x1: double, bottom: double>>"}
-_FIELDS = {"ws": ["word_idx", "text", "x0", "x1", "top", "bottom"], "os": ["kind", "x0", "top", "x1", "bottom"]}
-
-
 def pieces(words: DataFrame | None, objects: DataFrame, parts: int | None = None) -> DataFrame:
-    """Words and drawn objects as pieces of pages (doc_id, page, ws, os), dealt by page."""
-    def side(df, own):
-        return df.select(*PAGE, *[(F.array(F.struct(*_FIELDS[c])) if c == own else F.array()).cast(t).alias(c) for c, t in _TYPES.items()])
+    """Words and drawn objects as pieces of pages (doc_id, page, and the arrays ``page_grids`` names), dealt by page."""
+    def side(df, **own):
+        return df.select(*PAGE, *[(F.array(own[c]) if c in own else F.array()).cast(f"array<{t}>").alias(c) for c, t in {**pg.WORDS, **pg.OBJECTS}.items()])
 
-    drawn = side(objects.where(F.col("kind").isin("line", "rect")), "os")
-    return _dealt(drawn if words is None else side(words, "ws").unionByName(drawn), parts)
+    drawn = side(objects.where(F.col("kind").isin("line", "rect")), box=F.col("kind") == "rect", **{c: F.col(c) for c in ("x0", "top", "x1", "bottom")})
+    if words is None:
+        return _dealt(drawn, parts)
+    ws = side(words, word_idx=F.col("word_idx"), text=F.col("text"), **{f"word_{c}": F.col(c) for c in ("x0", "x1", "top", "bottom")})
+    return _dealt(ws.unionByName(drawn), parts)
 
 
 def _over_pages(of: DataFrame, scan, columns: str, *args) -> DataFrame:
-    """``scan`` of ``page_grids`` over pieces. The count makes Spark bring a page's pieces next to each other, where they do not stand so."""
-    rows = of.select(*PAGE, *[F.col(c).cast(t).alias(c) for c, t in _TYPES.items()]).withColumn("_n", F.count("*").over(W.partitionBy(*PAGE)))
+    """``scan`` of ``page_grids`` over pieces, those of a page in one task; they are sorted, where they are not, so that they stand next to each other."""
+    rows = of.select(*PAGE, *[F.col(c).cast(f"array<{t}>").alias(c) for c, t in {**pg.WORDS, **pg.OBJECTS}.items()]).sortWithinPartitions(*PAGE)
     keys = [f"`{c}` {of.schema[c].dataType.simpleString()}" for c in PAGE]
     names = [*PAGE, *(c.split()[0] for c in columns.split(", "))]
     return rows.mapInArrow(pg.mapper(scan, names, *args), ", ".join([*keys, columns]))
@@ -89,7 +88,7 @@ def ruled(words: DataFrame, objects: DataFrame, tol: float = 2, row_tol: float =
 
 
 def ruled_pages(of: DataFrame, tol: float = 2, row_tol: float = 2, method: str = "camelot_lattice") -> tuple[DataFrame, DataFrame]:
-    """``ruled`` over pieces of pages; a row may hold any part of a page's words and objects."""
+    """``ruled`` over ``pieces``; a row may hold any part of a page's words and objects, but all of a page's rows are in one partition."""
     cells = _over_pages(of, pg.cells, "table_num int, row_idx int, col_idx int, value string", tol, row_tol)
     accuracy = _over_pages(of, pg.accuracy, "table_num int, accuracy double", tol, row_tol)
     named = ["doc_id", F.lit(method).alias("method"), "page", "table_num"]
@@ -125,7 +124,7 @@ def general(words: DataFrame, objects: DataFrame, tol: float = 2, parts: int | N
 
 
 def general_pages(of: DataFrame, tol: float = 2, row_tol: float = 2) -> DataFrame:
-    """``general`` over pieces of pages, in the scan's own pass: headers, quality and the gate need no more than a page's tables."""
+    """``general`` over ``pieces`` (as ``ruled_pages`` takes them), in the scan's own pass: headers, quality and the gate need no more than a page's tables."""
     cells = _over_pages(of, pg.headed_cells, "table_num int, row_idx int, col_idx int, header string, value string", tol, row_tol, list(tb.MISSING), tb.PAGE_GATE)
     return cells.select("doc_id", F.lit("pdfplumber").alias("method"), "page", "table_num", "row_idx", "col_idx", "header", "value")
 
